@@ -16,6 +16,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from framewalk.session import importable
+
 #: Rows of one Arrow batch; a batch of very long texts then stays small.
 ARROW_ROWS = 512
 
@@ -37,6 +39,7 @@ class Workspace:
     """
 
     def __init__(self, spark: SparkSession, name: str):
+        importable(spark)
         self.spark = spark
         self.path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))

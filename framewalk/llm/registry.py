@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
+from framewalk.llm.decontamination import op5_decontamination
 from framewalk.llm.line_dedup import OP8_SQL, op8_line_dedup
+from framewalk.llm.quality_classifier import op9_quality_classifier
 from framewalk.llm.quality_rules import OP10_SQL, op10_quality_rules
 from framewalk.llm.sentencepiece_bpe import op6_sentencepiece
+from framewalk.llm.sharding import op4_sharding
 from framewalk.llm.simhash import op3_simhash
+from framewalk.llm.toxicity import op2_toxicity
+from framewalk.llm.url_filter import OP7_SQL, op7_url_filter
 
 QUERIES = {
+    "op2_toxicity": op2_toxicity,
     "op3_simhash": op3_simhash,
+    "op4_sharding": op4_sharding,
+    "op5_decontamination": op5_decontamination,
     "op6_sentencepiece": op6_sentencepiece,
+    "op7_url_filter": op7_url_filter,
     "op8_line_dedup": op8_line_dedup,
+    "op9_quality_classifier": op9_quality_classifier,
     "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLE_SQL = {"op8_line_dedup": OP8_SQL, "op10_quality_rules": OP10_SQL}
+ORACLE_SQL = {"op7_url_filter": OP7_SQL, "op8_line_dedup": OP8_SQL, "op10_quality_rules": OP10_SQL}
