@@ -14,9 +14,11 @@ the start of a word; words are encoded one by one and remembered, within a bound
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,7 +26,9 @@ from framewalk.llm.common import Workspace, table
 
 SPACE = "▁"
 #: Words and pairs that a task remembers, and the longest such word.
-WORDS, PAIRS, LONGEST = 300_000, 1_000_000, 48
+WORDS, PAIRS, LONGEST = 400_000, 1_000_000, 48
+#: No token: the start of a word, or a character that is no piece.
+NONE = (1 << 24) - 1
 
 
 class Piece:
@@ -57,12 +61,15 @@ class Piece:
         self.unk_surface = model.trainer_spec.unk_surface
         self.silent = {i for i, p in enumerate(model.pieces) if p.type == 3}
         self.automaton = ahocorasick.Automaton()
-        for p in self.ids:
-            self.automaton.add_word(p, p)
+        for p, i in self.ids.items():
+            self.automaton.add_word(p, (len(p), i))
         self.automaton.make_automaton()
         self.split = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n" if not any("\n" in p for p in self.ids) else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.words: dict[str, tuple[tuple[int, ...], str]] = {}
+        self.is_byte = np.zeros(len(self.pieces), bool)
+        self.is_byte[list(self.of_byte)] = True
+        self.surfaces = ["" if i in self.silent else self.unk_surface if i == self.unk else p for i, p in enumerate(self.pieces)]
+        self.pairs: dict[int, bool] = {}
+        self.words: dict[str, bytes] = {}
 
     def merged(self, text: str) -> list[str]:
         """The merge rule itself, for texts of at most two pieces: the best pair first, the leftmost of equals."""
@@ -78,56 +85,40 @@ class Piece:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def compatible(self, left: str, right: str) -> bool:
-        """Whether the two stay as they are when encoded together; left may be empty."""
-        key = (left, right)
-        known = self.pairs.get(key)
-        if known is None:
-            if len(self.pairs) >= PAIRS:
-                self.pairs.clear()
-            known = self.pairs[key] = self.merged(left + right) == ([left, right] if left else [right])
+    def compatible(self, left: int, right: int) -> bool:
+        """Whether the two tokens stay as they are when encoded together; left may be NONE."""
+        if len(self.pairs) >= PAIRS:
+            self.pairs.clear()
+        parts = [self.pieces[right]] if left == NONE else [self.pieces[left], self.pieces[right]]
+        known = self.pairs[left << 24 | right] = self.merged("".join(parts)) == parts
         return known
 
-    def tokens(self, word: str) -> list[str]:
-        """The pieces of a word; a character that is no piece stands for itself."""
-        last = [""] * (len(word) + 1)
-        pairs, done = self.pairs, 0
-        for end, piece in self.automaton.iter(word):
+    def encode_word(self, word: str) -> bytes:
+        """The ids of a word as int32 bytes; a character that is no piece gives its UTF-8 bytes' ids."""
+        last, pairs, done = [NONE] * (len(word) + 1), self.pairs, 0
+        for end, (size, token) in self.automaton.iter(word):
             end += 1
-            while done < end - 1:  # characters that end no piece
-                done += 1
-                last[done] = word[done - 1]
-            if done == end:
+            if end == done:
                 continue
-            before = end - len(piece)
-            key = (last[before], piece)
-            if pairs[key] if key in pairs else self.compatible(*key):
-                last[end] = piece
+            before = last[end - size]
+            fits = pairs.get(before << 24 | token)
+            if self.compatible(before, token) if fits is None else fits:
+                last[end] = token
                 done = end
-        while done < len(word):
-            done += 1
-            last[done] = word[done - 1]
         out, at = [], len(word)
         while at:
-            out.append(last[at])
-            at -= len(last[at])
-        out.reverse()
-        return out
-
-    def encode_word(self, word: str) -> tuple[int, ...]:
-        out: list[int] = []
-        for t in self.tokens(word):
-            i = self.ids.get(t)
-            if i is not None:
-                out.append(i)
-            elif self.fallback:
-                out += [self.byte[b] for b in t.encode("utf-8")]
+            token = last[at]
+            if token != NONE:
+                out.append(token)
+                at -= len(self.pieces[token])
             else:
-                out.append(self.unk)
-        return tuple(out)
+                at -= 1
+                out += [self.byte[b] for b in reversed(word[at].encode("utf-8"))] if self.fallback else [self.unk]
+        out.reverse()
+        return array("i", out).tobytes()
 
-    def encode(self, text: str | None, end: bool = True) -> list[int]:
-        out: list[int] = []
+    def encode(self, text: str | None, end: bool = True) -> np.ndarray:
+        out: list[bytes] = []
         if text:
             known = self.words
             for word in self.split.findall(SPACE + text.replace(" ", SPACE)):
@@ -138,27 +129,26 @@ class Piece:
                         if len(known) >= WORDS:
                             known.clear()
                         known[word] = ids
-                out += ids
+                out.append(ids)
         if end:
-            out.append(self.end)
-        return out
+            out.append(array("i", [self.end]).tobytes())
+        return np.frombuffer(b"".join(out), np.int32)
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: np.ndarray) -> str:
         """Pieces in a row, bytes as UTF-8 (each byte that fits no character as U+FFFD), one leading space less."""
-        out: list[str] = []
-        raw = bytearray()
-        for i in ids:
-            b = self.of_byte.get(i)
-            if b is not None:
-                raw.append(b)
-                continue
-            if raw:
-                out.append(_utf8(raw))
-                raw.clear()
-            if i not in self.silent:
-                out.append(self.unk_surface if i == self.unk else self.pieces[i])
-        if raw:
+        ids = np.asarray(ids, np.int32)
+        bytes_at = np.flatnonzero(self.is_byte[ids])
+        tokens, surface, out, start, k = ids.tolist(), self.surfaces.__getitem__, [], 0, 0
+        while k < len(bytes_at):
+            at = int(bytes_at[k])
+            out += map(surface, tokens[start:at])
+            raw = bytearray()
+            start = at
+            while k < len(bytes_at) and bytes_at[k] == start:
+                raw.append(self.of_byte[tokens[start]])
+                k, start = k + 1, start + 1
             out.append(_utf8(raw))
+        out += map(surface, tokens[start:])
         text = "".join(out)
         if text.startswith(SPACE):
             text = text[1:]
@@ -202,24 +192,27 @@ def encode_decode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
     """
     Workspace(docs.sparkSession, "pieces")
 
-    @F.pandas_udf("ids array<int>, decoded string")
-    def both(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         piece = load(model)
-        for batch in texts:
-            ids = [piece.encode(t, end) for t in batch]
-            yield pd.DataFrame({"ids": ids, "decoded": [piece.decode(i) for i in ids]})
+        for batch in batches:
+            ids = [piece.encode(t, end) for t in batch["text"].to_pylist()]
+            ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+            flat = pa.array(np.concatenate([np.empty(0, np.int32), *ids]))
+            decoded = pa.array([piece.decode(i) for i in ids], pa.string())
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.ListArray.from_arrays(pa.array(ends), flat), decoded], names=["doc_id", "ids", "decoded"])
+
+    return rows.mapInArrow(both, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>, decoded string")
+
 
-    made = docs.select(F.col(id_col).alias("doc_id"), both(F.col(text_col)).alias("made"))
-    return made.select("doc_id", "made.ids", "made.decoded")
+def digests(made: DataFrame) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of encode_decode's rows."""
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return made.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    made = encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
-    return made.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
-    )
+    return digests(encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model")))
