@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from framewalk.llm.decontamination import op5_decontamination
+from framewalk.llm.html_text import op1_html_text
 from framewalk.llm.line_dedup import OP8_SQL, op8_line_dedup
 from framewalk.llm.quality_classifier import op9_quality_classifier
 from framewalk.llm.quality_rules import OP10_SQL, op10_quality_rules
@@ -13,6 +14,7 @@ from framewalk.llm.toxicity import op2_toxicity
 from framewalk.llm.url_filter import OP7_SQL, op7_url_filter
 
 QUERIES = {
+    "op1_html_text": op1_html_text,
     "op2_toxicity": op2_toxicity,
     "op3_simhash": op3_simhash,
     "op4_sharding": op4_sharding,

@@ -171,10 +171,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs of which each class keeps one: the row with the least id (of rows with that id, any one; rows without an id stay)."""
+    """The rows and columns of docs, of which each class keeps the least id only.
+
+    Rows that share that id all stay, and so do rows without an id.
+    """
     found = near_duplicates(docs, **options)
     others = found.where("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti")
+    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
