@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from framewalk.plans import state_queries
+
+QUERIES: dict = {**state_queries.QUERIES}
+ORACLE_SQL: dict = {**state_queries.ORACLE_SQL}
