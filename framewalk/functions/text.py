@@ -17,7 +17,7 @@ def excel_colname(n: Column, upper: bool = True, letters: int = 14) -> Column:
     def digit(acc: Column, _: Column) -> Column:
         rest = acc["n"] - 1
         letter = F.substring(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), (F.pmod(rest, F.lit(26)) + 1).cast("int"), F.lit(1))
-        return F.when(acc["n"] > 0, F.struct(F.floor(rest / 26).cast("long").alias("n"), F.concat(letter, acc["s"]).alias("s"))).otherwise(acc)
+        return F.when(acc["n"] > 0, F.struct(F.call_function("div", rest, F.lit(26)).alias("n"), F.concat(letter, acc["s"]).alias("s"))).otherwise(acc)
 
     name = F.aggregate(step, start, digit, lambda acc: acc["s"])
     name = F.when(n == 0, F.lit("0")).otherwise(name)

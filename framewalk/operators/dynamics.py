@@ -72,6 +72,7 @@ def make_whole_by_bonds(positions: DataFrame, boxes: DataFrame, compound: str, a
     schema = positions.schema
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(atom)
         at = {i: k for k, i in enumerate(rows[atom])}
         near: dict[int, list[int]] = {k: [] for k in at.values()}
         for bond in rows["_bonds"].iloc[0] if rows["_bonds"].iloc[0] is not None else []:

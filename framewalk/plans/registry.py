@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from framewalk.plans import state_queries
+from framewalk.plans import space_queries, stat_queries, state_queries
 
-QUERIES: dict = {**state_queries.QUERIES}
-ORACLE_SQL: dict = {**state_queries.ORACLE_SQL}
+_PARTS = (state_queries, space_queries, stat_queries)
+QUERIES: dict = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
+ORACLE_SQL: dict = {name: sql for part in _PARTS for name, sql in part.ORACLE_SQL.items()}
