@@ -15,11 +15,14 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from framewalk.session import importable
 
 #: Rows of one Arrow batch; a batch of very long texts then stays small.
 ARROW_ROWS = 512
+#: Most numbers that a table may hold to be broadcast; a larger one is shuffled for its join.
+BROADCAST_NUMBERS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -49,6 +52,15 @@ class Workspace:
         frame.write.mode("overwrite").parquet(f"{self.path}/{name}")
         return self.spark.read.schema(frame.schema).parquet(f"{self.path}/{name}")
 
+    def side(self, frame: DataFrame, name: str, size=None) -> DataFrame:
+        """The frame, written and counted: to be broadcast if it holds few numbers, as it is if not.
+
+        size is a column, the numbers of a row (1 unless given).
+        """
+        kept = self.keep(frame, name)
+        held = kept.agg(F.sum(size if size is not None else F.lit(1))).first()[0] or 0
+        return F.broadcast(kept) if held <= BROADCAST_NUMBERS else kept
+
     def drop(self, name: str) -> None:
         """Removes a table that is not read any more."""
         jvm = self.spark._jvm

@@ -157,6 +157,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows and columns of docs whose id no test item aligns with; rows without an id stay."""
     found = contaminated(docs, benchmark, **options).select("doc_id").distinct()
+    found = Workspace(docs.sparkSession, "leaks").side(found, "found")
     return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
 
 

@@ -63,8 +63,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     work = Workspace(docs.sparkSession, "linededup")
     gone = removals(docs, id_col, text_col, site_col, min_sites, lg_k, work)
     gone = gone.select(F.col("id").alias("_fw_id"), F.col("key").alias("_fw_key"), F.col("gone").alias("_fw_gone"))
+    gone = work.side(gone, "gone", 2 + F.size("_fw_gone"))
     keyed = docs.withColumn("_fw_own", _text_key(F.col(text_col)))
-    joined = keyed.join(gone, keyed[id_col].eqNullSafe(gone["_fw_id"]) & (keyed["_fw_own"] == gone["_fw_key"]), "left")
+    joined = keyed.join(gone, F.col(id_col).eqNullSafe(F.col("_fw_id")) & (F.col("_fw_own") == F.col("_fw_key")), "left")
     rest = F.array_join(F.filter(lines_of(F.col(text_col)), lambda _, i: ~F.array_contains("_fw_gone", i)), "\n")
     text = F.when(F.col("_fw_gone").isNull(), F.col(text_col)).otherwise(rest)
     return joined.withColumn(text_col, text).select(*docs.columns)

@@ -176,7 +176,7 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     Rows that share that id all stay, and so do rows without an id.
     """
     found = near_duplicates(docs, **options)
-    others = found.where("component_id < doc_id").select("doc_id").distinct()
+    others = Workspace(docs.sparkSession, "simhash").side(found.where("component_id < doc_id").select("doc_id").distinct(), "others")
     return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
 
 

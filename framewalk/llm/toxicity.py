@@ -165,6 +165,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, target: str = "toxic", t
 def keep_clean(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows and columns of docs that are not predicted toxic; rows without an id stay, rows with one id go together."""
     toxic = toxicity_scores(docs, labels, **options).where("predicted = 1").select("doc_id").distinct()
+    toxic = Workspace(docs.sparkSession, "toxicity").side(toxic, "toxic")
     return docs.join(toxic, "doc_id", "left_anti").select(*docs.columns)
 
 
