@@ -32,7 +32,7 @@ def _small_star(links: DataFrame) -> DataFrame:
 def connected_components(links: DataFrame, work: Workspace, rounds: int = 60) -> DataFrame:
     """(u, v) links of long ids -> (node, root), root being the least id of the component.
 
-    Only nodes with a link to another node are returned.  Direction, repeated
+    Roots themselves and nodes without a link to another one are not returned.  Direction, repeated
     links and links of a node to itself do not matter; links with a null are
     ignored.  Every round is written to the shared folder; the loop ends when a
     round leaves the link set as it was (each then points to its root).
