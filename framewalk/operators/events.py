@@ -188,5 +188,35 @@ def msd_at_coordination_change(contacts: DataFrame, positions: DataFrame, change
     return steps.groupBy("dt").agg(F.count("*").alias("n"), F.avg("d2").alias("msd"))
 
 
-def nearest_image_displacement(a: Column, b: Column, length: Column) -> Column:
-    return min_image(b - a, length)
+def contact_hists_at_moves(counts: DataFrame, refs: DataFrame, dtrj: DataFrame) -> DataFrame:
+    """(moved, n, diff, same, tot, pair): contact histograms of the compounds that changed their state since the frame before, and of those that did not.
+
+    counts is (frame, ref, sel, n), refs (frame, ref), dtrj (cmp, frame, state) of the reference compounds.
+    """
+    from framewalk.operators.contacts import contact_hists
+
+    w = Window.partitionBy("cmp").orderBy("frame")
+    flags = dtrj.select("frame", F.col("cmp").alias("ref"), (F.col("state") != F.lag("state").over(w)).alias("moved")).where("moved is not null")
+    return contact_hists(counts.join(flags, ["frame", "ref"]), refs.join(flags, ["frame", "ref"]), ["moved"])
+
+
+def events_by_bin(events: DataFrame, bin_: Column, compounds: DataFrame | None = None) -> DataFrame:
+    """(bin, n, error[, rate]): events by bin with Poisson errors; compounds has (bin, weight), the mean number of compounds in a bin, to divide by."""
+    made = events.groupBy(bin_.alias("bin")).agg(F.count("*").alias("n"), F.sqrt(F.count("*")).alias("error"))
+    if compounds is None:
+        return made
+    return made.join(compounds, "bin", "left").select("bin", "n", "error", F.try_divide(F.col("n").cast("double"), F.col("weight")).alias("rate"))
+
+
+def topological_map(positions: DataFrame, center: DataFrame, cutoff: float, boxes: DataFrame, levels: list[str]) -> DataFrame:
+    """(frame, n_atoms, and the sorted numbers of each level): what lies within a cutoff of one point in each frame.
+
+    positions has (frame, atom, levels, x, y, z), center one row a frame (frame, x, y, z).
+    """
+    rows = positions.join(center.select("frame", *(F.col(a).alias(f"c{a}") for a in AXES)), "frame").join(boxes.select("frame", "lx", "ly", "lz"), "frame")
+    squared = F.lit(0.0)
+    for a in AXES:
+        d = min_image(F.col(a) - F.col(f"c{a}"), F.col(f"l{a}"))
+        squared = squared + d * d
+    near = rows.where(squared <= cutoff * cutoff)
+    return near.groupBy("frame").agg(F.count("*").alias("n_atoms"), *(F.array_sort(F.collect_set(k)).alias(k) for k in levels))

@@ -284,6 +284,34 @@ def back_jump_prob(dtrj: DataFrame, dtrj2: DataFrame | None = None, continuous:
     return joined.select(*keys, "lag", "n_back", "norm", F.try_divide(F.col("n_back").cast("double"), F.col("norm")).alias("prob"))
 
 
+def in_blocks(dtrj: DataFrame, n_blocks: int, n_frames: int) -> DataFrame:
+    """dtrj with block, its frames numbered from 0 in each and cmp made of the compound and the block; left-over frames are dropped."""
+    size = n_frames // n_blocks
+    block = F.floor(F.col("frame") / size).cast("int")
+    rows = dtrj.withColumn("block", block).where(F.col("block") < n_blocks)
+    return rows.withColumns({"cmp": F.col("cmp") * n_blocks + F.col("block"), "frame": (F.col("frame") - F.col("block") * size).cast("int")})
+
+
+def remain_prob_in_blocks(dtrj: DataFrame, n_blocks: int, n_frames: int, **options) -> DataFrame:
+    """(lag, mean, sd): remain_prob of each of n_blocks parts of the sequences, averaged over them."""
+    from framewalk.operators.dynamics import block_average
+
+    rows = in_blocks(dtrj, n_blocks, n_frames)
+    second = rows.select("cmp", "frame", F.col("block").alias("state"))
+    by_block = remain_prob(rows.select("cmp", "frame", "state"), second, **options)
+    return block_average(by_block, ["lag"], "prob")
+
+
+def lifetime_moments(dtrj: DataFrame, dtrj2: DataFrame | None = None, threshold: float = 0.01, **options) -> DataFrame:
+    """(state, count_mean, count_std, [integral_mean]): mean lifetimes by counting, and by integrating the survival function of each state."""
+    from framewalk.operators.stats import describe, moments_of_survival
+
+    counted = describe(lifetimes(dtrj, uncensored=True), ["state"], "lifetime").select("state", F.col("mean").alias("count_mean"), F.col("std").alias("count_std"))
+    curve = kaplan_meier(dtrj, dtrj, **options)
+    moments = moments_of_survival(curve, ["state2"], "t", "sf", 1, threshold).select(F.col("state2").alias("state"), F.col("m1").alias("integral_mean"))
+    return counted.join(moments, "state", "full")
+
+
 def trans_info(dtrj: DataFrame) -> DataFrame:
     """One row: compounds that stay in one state, are always or never negative; negative frames; transitions, by the signs of their states."""
     here, there = F.col("state") >= 0, F.col("next_state") >= 0

@@ -118,3 +118,41 @@ def fit_goodness(df: DataFrame, keys: list[str], y: str, fit: str) -> DataFrame:
     """(keys, r2, rmse) of a fit."""
     r = F.col(y) - F.col(fit)
     return df.where(F.col(y).isNotNull() & F.col(fit).isNotNull()).groupBy(*keys).agg((1 - F.try_divide(F.sum(r * r), F.var_pop(y) * F.count(y))).alias("r2"), F.sqrt(F.avg(r * r)).alias("rmse"))
+
+
+def normal_test(df: DataFrame, keys: list[str], x: str) -> DataFrame:
+    """(keys, n, z_skew, z_kurt, k2, p): D'Agostino and Pearson's test of normality, for n >= 20 (null below).
+
+    k2 is the sum of the squared scores of skewness and kurtosis, p its chance with two degrees of freedom.
+    """
+    made = df.groupBy(*keys).agg(F.count(x).cast("double").alias("n"), F.skewness(x).alias("g"), (F.kurtosis(x) + 3).alias("b"))
+    n, g, b = F.col("n"), F.col("g"), F.col("b")
+    y = g * F.sqrt((n + 1) * (n + 3) / (6 * (n - 2)))
+    beta = 3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9))
+    w2 = F.sqrt(2 * (beta - 1)) - 1
+    skew = F.asinh(y / F.sqrt(2 / (w2 - 1))) / F.sqrt(0.5 * F.log(w2))
+    mean = 3 * (n - 1) / (n + 1)
+    var = 24 * n * (n - 2) * (n - 3) / ((n + 1) * (n + 1) * (n + 3) * (n + 5))
+    z = (b - mean) / F.sqrt(var)
+    third = 6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * F.sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3)))
+    a = 6 + 8 / third * (2 / third + F.sqrt(1 + 4 / (third * third)))
+    root = (1 - 2 / a) / (1 + z * F.sqrt(2 / (a - 4)))
+    kurt = ((1 - 2 / (9 * a)) - F.signum(root) * F.pow(F.abs(root), F.lit(1 / 3))) / F.sqrt(2 / (9 * a))
+    good = n >= 20
+    scored = made.where(g.isNotNull()).select(*keys, n.cast("long").alias("n"), F.when(good, skew).alias("z_skew"), F.when(good, kurt).alias("z_kurt"))
+    k2 = F.col("z_skew") * F.col("z_skew") + F.col("z_kurt") * F.col("z_kurt")
+    return scored.withColumn("k2", k2).withColumn("p", F.exp(-F.col("k2") / 2))
+
+
+def auto_histogram(df: DataFrame, keys: list[str], x: str) -> DataFrame:
+    """(keys, bin, lo, hi, n, density): bins of a width that suits n normal values, std * (24 sqrt(pi) / n) ** (1/3), from the least value on.
+
+    The width is made in one aggregation; bins without values do not appear.
+    """
+    width = F.col("_s") * F.cbrt(24 * F.sqrt(F.lit(3.141592653589793)) / F.col("_n"))
+    size = df.groupBy(*keys).agg(F.min(x).cast("double").alias("_m"), F.stddev_pop(x).alias("_s"), F.count(x).alias("_n"))
+    size = size.select(*keys, "_m", "_n", F.when(width > 0, width).otherwise(1.0).alias("_w"))
+    rows = df.where(F.col(x).isNotNull()).join(F.broadcast(size) if not keys else size, keys) if keys else df.where(F.col(x).isNotNull()).join(F.broadcast(size))
+    made = rows.groupBy(*keys, F.floor((F.col(x) - F.col("_m")) / F.col("_w")).cast("int").alias("bin")).agg(F.count("*").alias("n"), F.first("_m").alias("_m"), F.first("_w").alias("_w"), F.first("_n").alias("_n"))
+    low = F.col("_m") + F.col("bin") * F.col("_w")
+    return made.select(*keys, "bin", low.alias("lo"), (low + F.col("_w")).alias("hi"), "n", (F.col("n") / (F.col("_n") * F.col("_w"))).alias("density"))

@@ -372,6 +372,51 @@ def _user_states(spark, sf_dir):
 _OWN = f"{EVENTS_SQL}, {_USERS}, own AS (SELECT DISTINCT frame, ref, sel FROM cc)"
 
 
+@query(f"""
+WITH {EVENTS_SQL}, {_USERS},
+f AS (SELECT frame, cmp AS ref, state <> lag(state) OVER (PARTITION BY cmp ORDER BY frame) AS moved FROM ev),
+rm AS (SELECT rf.frame, rf.ref, moved FROM rf JOIN f ON rf.frame = f.frame AND rf.ref = f.ref WHERE moved IS NOT NULL),
+cm AS (SELECT cc.*, moved FROM cc JOIN f ON cc.frame = f.frame AND cc.ref = f.ref WHERE moved IS NOT NULL),
+e AS (SELECT r.moved, r.frame, r.ref, count(c.sel) AS d, coalesce(sum(c.n), 0) AS t FROM rm r LEFT JOIN cm c ON r.frame = c.frame AND r.ref = c.ref GROUP BY ALL),
+s AS (SELECT DISTINCT moved, frame, ref, n FROM cm UNION ALL SELECT moved, frame, ref, 0 FROM e WHERE d = 0),
+k AS (SELECT moved, CAST(d AS BIGINT) AS n, 'd' AS k FROM e UNION ALL SELECT moved, CAST(t AS BIGINT), 't' FROM e UNION ALL SELECT moved, CAST(n AS BIGINT), 's' FROM s UNION ALL SELECT moved, CAST(n AS BIGINT), 'p' FROM cm),
+g AS (SELECT moved, unnest(range(0, top + 1)) AS n FROM (SELECT moved, max(n) AS top FROM k GROUP BY moved))
+SELECT g.moved, g.n, count(CASE WHEN k = 'd' THEN 1 END) AS diff, count(CASE WHEN k = 's' THEN 1 END) AS same, count(CASE WHEN k = 't' THEN 1 END) AS tot, count(CASE WHEN k = 'p' THEN 1 END) AS pair
+FROM g LEFT JOIN k ON g.n = k.n AND g.moved = k.moved GROUP BY g.moved, g.n""")
+def contact_hists_at_moves(spark, sf_dir):
+    counts, refs, _ = _user_counts(spark, sf_dir)
+    return events.contact_hists_at_moves(counts, refs, _user_states(spark, sf_dir))
+
+
+@query(f"""{_RENEWALS}, ev AS (SELECT n.sel % 5 AS bin FROM op o JOIN nx n ON n.ref = o.ref AND n.t0 = o.t0 WHERE n.t0 > 0 AND n.stop < {N_DAYS})
+SELECT bin, count(*) AS n, round(sqrt(count(*)), 6) + 0.0 AS error FROM ev GROUP BY bin""")
+def events_by_bin(spark, sf_dir):
+    found = events.renewal_events(_user_counts(spark, sf_dir)[0], N_DAYS)
+    return events.events_by_bin(found, F.col("sel") % 5).withColumn("error", _round(F.col("error")))
+
+
+@query(f"""
+WITH {CONTACTS_SQL}, c AS (SELECT frame, arg_min(x, event_id) AS cx, arg_min(y, event_id) AS cy, arg_min(z, event_id) AS cz FROM pt GROUP BY frame),
+d AS (SELECT pt.frame, event_type, x - cx AS dx, y - cy AS dy, z - cz AS dz FROM pt JOIN c ON pt.frame = c.frame)
+SELECT frame, count(*) AS n_atoms, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS event_type
+FROM d WHERE (dx - floor(dx / {BOX[0]} + 0.5) * {BOX[0]}) ** 2 + (dy - floor(dy / {BOX[1]} + 0.5) * {BOX[1]}) ** 2 + (dz - floor(dz / {BOX[2]} + 0.5) * {BOX[2]}) ** 2 <= 900 GROUP BY frame""")
+def topological_map(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select(F.datediff("ts", F.lit("2024-01-01").cast("date")).alias("frame"), "event_id", "event_type", F.col("value").alias("x"), ((F.hour("ts") * 60 + F.minute("ts")) / 10).alias("y"), F.get_json_object("props", "$.k").cast("double").alias("z"))
+    center = rows.groupBy("frame").agg(F.min_by(F.struct("x", "y", "z"), "event_id").alias("p")).select("frame", "p.*")
+    made = events.topological_map(rows, center, 30.0, boxes(spark, N_DAYS), ["event_type"])
+    return made.withColumn("event_type", F.array_join("event_type", ","))
+
+
+@query(f"""
+WITH {CONTACTS_SQL},
+a AS (SELECT frame, user_id, arg_min(x, event_id) AS x, arg_min(y, event_id) AS y, arg_min(z, event_id) AS z, arg_max(x, event_id) AS u, arg_max(y, event_id) AS v, arg_max(z, event_id) AS w FROM pt GROUP BY ALL)
+SELECT frame, count(*) AS n, round(sqrt(avg((u - x) ** 2) + avg((v - y) ** 2) + avg((w - z) ** 2)) + 1e-9, 6) + 0.0 AS rmsd FROM a GROUP BY frame""")
+def rmsd_two_sets(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select(F.datediff("ts", F.lit("2024-01-01").cast("date")).alias("frame"), "event_id", "user_id", F.col("value").alias("x"), ((F.hour("ts") * 60 + F.minute("ts")) / 10).alias("y"), F.get_json_object("props", "$.k").cast("double").alias("z"))
+    ends = [rows.groupBy("frame", "user_id").agg(best(F.struct("x", "y", "z"), "event_id").alias("p")).select("frame", "user_id", "p.*") for best in (F.min_by, F.max_by)]
+    return dynamics.rmsd(*ends, ["frame"], "user_id").select("frame", "n", F.round(F.col("rmsd") + 1e-9, 6).alias("rmsd"))
+
+
 @query(f"""
 WITH {_OWN},
 r AS (SELECT cmp AS ref, frame AS t0, state <> lag(state) OVER w AS moved, lag(state, 2) OVER w AS s0, lead(state, 1) OVER w AS s1 FROM ev WINDOW w AS (PARTITION BY cmp ORDER BY frame)),

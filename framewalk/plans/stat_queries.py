@@ -172,6 +172,27 @@ def fit_gaussian(spark, sf_dir):
     return fits.fit_model(hist.select("label", ((F.col("lo") + F.col("hi")) / 2).alias("c"), (F.col("n") / total / 0.25).alias("d")), "gaussian", ["label"], "c", "d")
 
 
+@query("""
+WITH b AS (SELECT label, unnest(embedding)::DOUBLE AS x FROM embeddings),
+m AS (SELECT label, count(*)::DOUBLE AS n, avg(x) AS c FROM b GROUP BY label),
+g AS (SELECT b.label, any_value(m.n) AS n, avg((x - c) ** 3) / avg((x - c) ** 2) ** 1.5 AS g, avg((x - c) ** 4) / avg((x - c) ** 2) ** 2 AS b FROM b JOIN m ON b.label = m.label GROUP BY b.label),
+s AS (SELECT *, g * sqrt((n + 1) * (n + 3) / (6 * (n - 2))) AS y, 3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9)) AS beta FROM g),
+w AS (SELECT *, sqrt(2 * (beta - 1)) - 1 AS w2 FROM s)
+SELECT label, CAST(n AS BIGINT) AS n, round(asinh(y / sqrt(2 / (w2 - 1))) / sqrt(0.5 * ln(w2)), 5) + 0.0 AS z_skew FROM w""")
+def normal_test(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select("label", F.explode(F.col("embedding").cast("array<double>")).alias("x"))
+    made = stats.normal_test(rows, ["label"], "x")
+    return made.select("label", "n", (F.round("z_skew", 5) + F.lit(0.0)).alias("z_skew"))
+
+
+@query("""
+WITH w AS (SELECT p_type, min(p_retailprice) AS m, stddev_pop(p_retailprice) * cbrt(24 * sqrt(pi()) / count(*)) AS w, count(*) AS n FROM part GROUP BY p_type)
+SELECT p.p_type, CAST(floor((p_retailprice - m) / w.w) AS INTEGER) AS bin, count(*) AS n, round(count(*) / (any_value(w.n) * any_value(w.w)) + 1e-9, 6) + 0.0 AS density FROM part p JOIN w ON p.p_type = w.p_type GROUP BY ALL""")
+def auto_histogram(spark, sf_dir):
+    made = stats.auto_histogram(table(spark, sf_dir, "part"), ["p_type"], "p_retailprice")
+    return made.select("p_type", "bin", "n", _round(F.col("density")).alias("density"))
+
+
 # ---- sequences
 
 

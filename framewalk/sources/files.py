@@ -141,6 +141,16 @@ def read_xyz(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(load, "path string, frame int, atom_ix long, name string, x double, y double, z double")
 
 
+def write_gro(atoms: DataFrame, path: str) -> None:
+    """Frames as text in .gro form: a folder for each frame, its lines in order; atoms has the columns of read_gro."""
+    line = F.format_string("%5d%-5s%5s%5d%8.3f%8.3f%8.3f", F.col("resid") % 100_000, "resname", "name", ((F.col("atom_ix") + 1) % 100_000).cast("int"), "x", "y", "z")
+    body = atoms.select("frame", F.col("atom_ix").alias("k"), line.alias("value"))
+    ends = atoms.groupBy("frame").agg(F.count("*").alias("n"), F.first("lx").alias("lx"), F.first("ly").alias("ly"), F.first("lz").alias("lz"), F.max("atom_ix").alias("top"))
+    extra = F.explode(F.array(F.struct(F.lit(-2).cast("long").alias("k"), F.format_string("frame %d", "frame").alias("value")), F.struct(F.lit(-1).cast("long").alias("k"), F.format_string("%5d", "n").alias("value")), F.struct((F.col("top") + 1).alias("k"), F.format_string("%10.5f%10.5f%10.5f", "lx", "ly", "lz").alias("value"))))
+    rows = body.unionByName(ends.select("frame", extra.alias("e")).select("frame", "e.k", "e.value"))
+    rows.repartition("frame").sortWithinPartitions("frame", "k").select("frame", "value").write.mode("errorifexists").partitionBy("frame").text(path)
+
+
 def select_atoms(atoms: DataFrame, selection: str) -> DataFrame:
     """Rows of atoms for a selection such as "name CA CB and not resid 1:5 or resname SOL": words become a predicate.
 
