@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Ranges that distinct values are numbered in.
+RANGES = 256
+
 
 def islands(df: DataFrame, by: list[str], order: str, value: str, step: float = 1, tol: float = 1e-8, sort: bool = False) -> DataFrame:
     """df with island: the number of the contiguous sequence a row is in, one ending where the difference to the value before is not step.
@@ -39,15 +42,17 @@ def longest_const_seq(df: DataFrame, by: list[str], order: str, value: str, **op
 def sequenize(df: DataFrame, value: str, step: int = 1, start: int = 0, out: str = "seq") -> DataFrame:
     """df with the rank of the value among the distinct ones, times step, plus start.
 
-    Distinct values are dealt into ranges and numbered there; the ranges' sizes give the offsets, so that no
-    task numbers them all.
+    Distinct values are dealt into RANGES ranges by a sample of them and numbered there; the ranges' sizes give the
+    offsets, so that no task numbers them all.  Nulls get a null.
     """
-    distinct = df.select(F.col(value).alias("_v")).where(F.col(value).isNotNull()).distinct().repartitionByRange("_v").withColumn("_p", F.spark_partition_id())
-    inner = distinct.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy("_v")) - 1)
-    sizes = inner.groupBy("_p").agg(F.count("*").alias("_n"), F.min("_v").alias("_low"))
-    offsets = sizes.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_low").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_o"))
+    distinct = df.select(F.col(value).alias("_v")).where(F.col(value).isNotNull()).distinct()
+    bounds = sorted(r["_v"] for r in distinct.orderBy(F.xxhash64("_v"), "_v").limit(RANGES - 1).collect())
+    below = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col("_v"))) if bounds else F.lit(0)
+    inner = distinct.withColumn("_p", below).withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy("_v")) - 1)
+    sizes = distinct.groupBy(below.alias("_p")).agg(F.count("*").alias("_n"))
+    offsets = sizes.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_o"))
     ranks = inner.join(F.broadcast(offsets), "_p").select("_v", (F.lit(start) + (F.col("_o") + F.col("_r")) * step).alias(out))
-    return df.join(ranks, df[value].eqNullSafe(ranks["_v"]), "left").drop("_v")
+    return df.join(ranks, df[value] == ranks["_v"], "left").drop("_v")
 
 
 def group_values(df: DataFrame, key: str, value: str, order: str) -> DataFrame:

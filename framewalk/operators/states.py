@@ -169,19 +169,16 @@ def n_leaves_vs_time(dtrj: DataFrame, dtrj2: DataFrame | None = None, n_frames:
     leaves = ~F.col("is_first") & ~F.col("is_last")
     if discard_all_neg:
         leaves = leaves & (F.col("next_state") >= 0)
-    by_length = found.groupBy(*keys, F.col("len").alias("t")).agg(F.count_if(leaves).alias("n_leaves"), F.count("*").alias("n"))
-    times = dtrj.sparkSession.range(n).select(F.col("id").alias("t"))
+    # runs as long as the whole sequence are at risk at all times: they are put at t = n, which is left out at the end
+    by_length = found.groupBy(*keys, F.least(F.col("len"), F.lit(n)).alias("t")).agg(F.count_if(leaves).alias("n_leaves"), F.count("*").alias("n"))
     if keys:
-        grid = dtrj2.select(F.col("state").alias("state2")).distinct().select("state2", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("t"))
+        grid = dtrj2.select(F.col("state").alias("state2")).distinct().select("state2", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n).cast("long"))).alias("t"))
     else:
-        grid = times
-    # a run may be n frames long: it is at risk at all t below n
-    longest = by_length.where(F.col("t") >= n).groupBy(*keys).agg(F.sum("n").alias("n_long")) if keys else by_length.where(F.col("t") >= n).agg(F.sum("n").alias("n_long"))
-    joined = grid.join(by_length, [*keys, "t"], "left")
-    joined = joined.join(F.broadcast(longest), keys, "left") if keys else joined.join(F.broadcast(longest))
+        grid = dtrj.sparkSession.range(n + 1).select(F.col("id").alias("t"))
     later = Window.partitionBy(*keys).orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, 0)
-    risk = F.coalesce(F.sum("n").over(later), F.lit(0)) + F.coalesce("n_long", F.lit(0))
-    return joined.select(*keys, "t", F.coalesce("n_leaves", F.lit(0)).alias("n_leaves"), risk.alias("n_risk"))
+    risk = F.coalesce(F.sum("n").over(later), F.lit(0))
+    joined = grid.join(by_length, [*keys, "t"], "left")
+    return joined.select(*keys, "t", F.coalesce("n_leaves", F.lit(0)).alias("n_leaves"), risk.alias("n_risk")).where(F.col("t") < n)
 
 
 def leave_prob(dtrj: DataFrame, dtrj2: DataFrame | None = None, **options) -> DataFrame:

@@ -354,7 +354,7 @@ def number_names(spark, sf_dir):
 def sort_by_names(spark, sf_dir):
     rows = sequences.sort_by_names(table(spark, sf_dir, "part"), "p_type", ["STANDARD", "ECONOMY"], "p_partkey")
     rank = F.when(F.col("p_type") == "STANDARD", 1).when(F.col("p_type") == "ECONOMY", 2).otherwise(3)
-    placed = sequences.sequenize(rows.withColumn("k", F.struct(rank, "p_partkey")), "k", 1, 1, "place")
+    placed = sequences.sequenize(rows.withColumn("k", rank * 10**12 + F.col("p_partkey")), "k", 1, 1, "place")
     return placed.select("p_partkey", "p_type", "place")
 
 
