@@ -1,9 +1,10 @@
 """Toxicity: boosted trees over dense features, with isotonic calibration.
 
-The sample of labelled rows is cut in three: one part gives the lexicon (words and
-word beginnings much more frequent in toxic texts), one the trees, one the
-calibration.  Features are densities in the whole text, written once as a table
-that both the fit and the scoring read.
+The lexicon (words and word beginnings much more frequent in toxic texts) is learnt
+from a sample of labelled rows.  The rows that trees and calibration are fitted on
+are read with a lexicon of the other half of the sample, so that no row meets
+entries that it gave rise to; new texts are read with that of all of it.  Features
+are densities in the whole text, written once as a table.
 """
 
 from __future__ import annotations
@@ -21,12 +22,16 @@ from pyspark.sql import functions as F
 from framewalk.llm.common import Workspace, table
 from framewalk.llm.labelled import TRAIN_ROWS, held_out, labelled_sample
 
-#: Fewest toxic texts with an entry, least ratio of the rates in the two classes, least z-score; most entries.
-MIN_TOXIC, MIN_RATIO, MIN_Z, ENTRIES = 6, 6.0, 4.0, 5_000
+#: Fewest toxic texts with an entry, least ratio of the rates in the two classes, least log-likelihood ratio; most entries.
+MIN_TOXIC, MIN_RATIO, MIN_G, ENTRIES = 4, 6.0, 16.0, 5_000
+#: Share of the sample that the trees are fitted on; the rest is for the calibration.
+TREES = 0.7
 #: Lengths of word beginnings.
 STEMS = (4, 5, 6)
 #: Words on either side in which a second person is near.
 NEAR = 3
+#: Tokens that a task remembers.
+TOKENS = 150_000
 
 # Pronouns of the second person.
 SECOND_PERSON = frozenset("you your yours yourself u ur thou du dich dir dein deine deinen ihr euch tu te toi ton ta tes vous votre vos tú ti tuyo usted ustedes vos".split())
@@ -65,7 +70,7 @@ class Reader:
             plain = low.translate(SIGNS)
             out |= OBF | OBF_LEX * (plain in self.lexicon or any(plain[:n] + "-" in self.lexicon for n in STEMS if len(plain) > n))
         if len(token) <= 48:
-            if len(self.known) > 500_000:
+            if len(self.known) > TOKENS:
                 self.known.clear()
             self.known[token] = out
         return out
@@ -95,40 +100,49 @@ class Reader:
         return [math.log1p(n), rate(LEX), rate(STEM), math.log1p(hit.size), math.log1p(distinct), densest, rate(YOU), near, capitals / chars, rate(CAPS), count("!") / n, count("?") / n, signs / chars, rate(OBF), rate(OBF_LEX), digits / chars, chars / n]
 
 
-def learn_lexicon(sample: DataFrame) -> frozenset[str]:
-    """Entries of sample(text, y) that mark toxic texts; at most ENTRIES of them."""
+def learn_lexicons(sample: DataFrame, work: Workspace) -> list[frozenset[str]]:
+    """Entries of sample(text, y, half) that mark toxic texts: those of half 0, of half 1, and of both; at most ENTRIES each."""
 
     def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        each = Counter(), Counter()  # of a part of the bounded sample
+        each: dict[tuple[int, int], Counter] = {(h, y): Counter() for h in (0, 1) for y in (0, 1)}  # of a part of the bounded sample
         for b in batches:
-            for t, y in zip(b["text"], b["y"]):
-                each[y == 1].update(entries_of(t))
-        rows = [(e, each[1][e], each[0][e]) for e in each[1].keys() | each[0].keys()]
+            for t, h, y in zip(b["text"], b["half"], b["y"]):
+                each[h, y].update(entries_of(t))
+        rows = [(e, h, n if y else 0, 0 if y else n) for (h, y), c in each.items() for e, n in c.items()]
         for s in range(0, len(rows), 50_000):
-            yield pd.DataFrame(rows[s : s + 50_000], columns=["e", "a", "b"])
-
-    size = sample.agg(F.sum("y"), F.count("*")).first()
-    toxic = size[0] or 0
-    clean = size[1] - toxic
-    if not toxic or not clean:
-        return frozenset()
-    a, b = F.col("a"), F.col("b")
-    rated = sample.select("text", "y").mapInPandas(counts, "e string, a long, b long").groupBy("e").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where(a >= MIN_TOXIC)
-    rated = rated.withColumn("ratio", F.log((a + 0.5) / (toxic + 1)) - F.log((b + 0.5) / (clean + 1))).withColumn("z", F.col("ratio") / F.sqrt(1 / (a + 0.5) + 1 / (b + 0.5)))
-    best = rated.where((F.col("ratio") >= math.log(MIN_RATIO)) & (F.col("z") >= MIN_Z)).orderBy(F.desc("z"), "e").limit(ENTRIES)
-    return frozenset(r["e"] for r in best.select("e").collect())
+            yield pd.DataFrame(rows[s : s + 50_000], columns=["e", "half", "a", "b"])
+
+    counted = work.keep(sample.select("text", "half", "y").mapInPandas(counts, "e string, half int, a long, b long").groupBy("e", "half").agg(F.sum("a").alias("a"), F.sum("b").alias("b")), "entries")
+    sizes = {(r["half"], r["y"]): r["count"] for r in sample.groupBy("half", "y").count().collect()}
+    out = []
+    for halves in ((0,), (1,), (0, 1)):
+        toxic, clean = (sum(sizes.get((h, y), 0) for h in halves) for y in (1, 0))
+        if not toxic or not clean:
+            out.append(frozenset())
+            continue
+        a, b = F.col("a"), F.col("b")
+        rows = counted.where(F.col("half").isin(*halves)).groupBy("e").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where(a >= MIN_TOXIC)
+        ratio = ((a + 0.5) / (toxic + 1)) / ((b + 0.5) / (clean + 1))
+        share = (a + b) / (toxic + clean)
+        g = F.lit(0.0)
+        for seen, of in ((a, toxic), (b, clean)):
+            for n, p in ((seen, share), (of - seen, 1 - share)):
+                g = g + F.when(n > 0, 2 * n * F.log(n / (of * p))).otherwise(0.0)
+        best = rows.withColumn("g", g).where((ratio >= MIN_RATIO) & (F.col("g") >= MIN_G)).orderBy(F.desc("g"), "e").limit(ENTRIES)
+        out.append(frozenset(r["e"] for r in best.select("e").collect()))
+    return out
 
 
-def featured(rows: DataFrame, lexicon: frozenset[str], keep: list[str]) -> DataFrame:
-    """The columns keep of rows, and features made of its column text."""
+def featured(rows: DataFrame, lexicons: list[frozenset[str]], keep: list[str]) -> DataFrame:
+    """The columns keep of rows, and features made of the column text with the lexicon whose number is in the column lexicon."""
 
     @F.pandas_udf("array<double>")
-    def features(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        reader = Reader(lexicon)
-        for batch in texts:
-            yield pd.Series([reader.features(t) for t in batch], dtype="object")
+    def features(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        readers = [Reader(x) for x in lexicons]
+        for texts, which in batches:
+            yield pd.Series([readers[k].features(t) for t, k in zip(texts, which)], dtype="object")
 
-    return rows.select(*keep, features("text").alias("features"))
+    return rows.select(*keep, features("text", "lexicon").alias("features"))
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, target: str = "toxic", threshold: float = 0.5, bound: int = TRAIN_ROWS, trees: int = 20, depth: int = 4) -> DataFrame:
@@ -143,20 +157,21 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, target: str = "toxic", t
     from pyspark.ml.regression import IsotonicRegression
 
     work = Workspace(docs.sparkSession, "toxicity")
-    sample = work.keep(labelled_sample(docs, labels, target, bound), "sample")
-    lexicon = learn_lexicon(sample.where("u < 0.5"))
-    rest = work.keep(featured(sample.where("u >= 0.5"), lexicon, ["y", "u"]).coalesce(8), "fitting")
-    table_ = work.keep(featured(docs, lexicon, ["doc_id"]), "features")
+    sample = labelled_sample(docs, labels, target, bound).withColumn("half", (F.col("u") * 1000).cast("int") % 2)
+    sample = work.keep(sample, "sample")
+    lexicons = learn_lexicons(sample, work)
+    rest = work.keep(featured(sample.withColumn("lexicon", 1 - F.col("half")), lexicons, ["y", "u"]).coalesce(8), "fitting")
+    table_ = work.keep(featured(docs.withColumn("lexicon", F.lit(2)), lexicons, ["doc_id"]), "features")
     known = table_.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "features")
-    parts = {(r["part"], r["y"]): r["count"] for r in rest.groupBy((F.col("u") < 0.8).alias("part"), "y").count().collect()}
+    parts = {(r["part"], r["y"]): r["count"] for r in rest.groupBy((F.col("u") < TREES).alias("part"), "y").count().collect()}
     if not all(parts.get((p, y)) for p in (True, False) for y in (0, 1)):
         by = sample.agg(F.sum("y"), F.count("*")).first()
         scored = known.withColumn("score", F.lit(((by[0] or 0) + 1) / (by[1] + 2)))
     else:
         fit = rest.select(F.col("y").cast("double").alias("label"), "u", array_to_vector("features").alias("vector")).coalesce(4)
-        model = GBTClassifier(featuresCol="vector", maxIter=trees, maxDepth=depth, stepSize=0.2, seed=7).fit(fit.where("u < 0.8"))
+        model = GBTClassifier(featuresCol="vector", maxIter=trees, maxDepth=depth, stepSize=0.2, seed=7).fit(fit.where(F.col("u") < TREES))
         raw = lambda rows: model.transform(rows).withColumn("raw", vector_to_array("probability")[1])
-        curve = IsotonicRegression(featuresCol="raw", labelCol="label", predictionCol="score").fit(raw(fit.where("u >= 0.8")).select("label", "raw"))
+        curve = IsotonicRegression(featuresCol="raw", labelCol="label", predictionCol="score").fit(raw(fit.where(F.col("u") >= TREES)).select("label", "raw"))
         vectors = known.select("doc_id", "held_out", array_to_vector("features").alias("vector"))
         scored = curve.transform(raw(vectors).select("doc_id", "held_out", "raw"))
     return scored.select("doc_id", "held_out", F.least(F.lit(1.0), F.greatest(F.lit(0.0), "score")).alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
