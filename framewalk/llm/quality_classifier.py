@@ -25,6 +25,8 @@ MIN_DOCS, VOCABULARY = 5, 100_000
 #: Share of the sample that only the curve is fitted on.
 CURVE = 0.25
 SEP = "\x1f"
+#: Tokens whose shape a task remembers.
+TOKENS = 150_000
 
 _token = re.compile(r"\w+|[^\w\s]+")
 
@@ -45,7 +47,7 @@ class Shapes(dict):
     """Shapes of tokens seen, emptied when many."""
 
     def __missing__(self, token: str) -> str:
-        if len(self) > 500_000:
+        if len(self) > TOKENS:
             self.clear()
         made = self[token] = shape(token)
         return made
