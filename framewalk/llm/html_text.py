@@ -32,6 +32,8 @@ CLOSED_BY_SAME = {"li": "li", "dd": "dd dt", "dt": "dd dt", "tr": "tr td th", "t
 BAD_WORDS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promos promotion banner banners sidebar sidebars rail footer foot cookie cookies consent gdpr privacy notice notices notification notifications alert alerts announcement popup popups modal overlay subscribe subscription newsletter signup signin login register share sharing social socials related recommended recommendations recommend trending popular breadcrumb breadcrumbs pagination pager paging comment comments commentlist disqus reply replies respond discussion responses widget widgets toolbar skip copyright legal masthead topbar navbar nav navigation navigational menu menus submenu outbrain taboola search searchbox form contactform complementary contentinfo dialog teaser teasers paywall print hidden".split())
 HEADS = frozenset("header heading hd head".split())
 GOOD_WORDS = frozenset("content article post entry story body main maintext text".split())
+READERS = frozenset("comment comments commentlist disqus reply replies respond responses discussion".split())
+LAYOUT = frozenset("with without has no and page layout wrapper wrap outer".split())
 
 RAW = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(script|style)\b[^>]*+>.*?(?:</\1\s*>|\Z)|<(title|textarea|iframe|xmp|noembed|noframes)\b[^>]*+>.*?</\2\s*>", re.S | re.I)
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
@@ -58,22 +60,26 @@ def place_of(tag: str, attributes: str, place: float, inside: bool) -> tuple[flo
     if place <= BAD or tag in NEVER:
         return BAD, False
     words: set[str] = set()
+    bad: set[str] = set()
     if attributes:
         for name, value in ATTRIBUTE.findall(attributes):
             name, value = name.lower(), value.strip("\"'")
             if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
                 return BAD, False
             if name in ("class", "id", "role"):
-                words.update(w.lower() for w in WORD.findall(value))
-    good = words & GOOD_WORDS
+                for token in value.split():
+                    own = {w.lower() for w in WORD.findall(token)}
+                    words |= own
+                    if not own & LAYOUT:  # "content-with-sidebar" holds more than a sidebar
+                        bad |= own & BAD_WORDS
     if tag not in ("html", "body", "main"):
-        if words & BAD_WORDS and not (good and not words & {"comment", "comments", "related", "reply", "replies"}):
-            return BAD, tag not in ALWAYS
-        if (tag == "header" or words & HEADS) and not (inside or good):
+        if bad:
+            return BAD, not (tag in ALWAYS or bad & READERS)
+        if (tag == "header" or words & HEADS) and not (inside or words & GOOD_WORDS):
             return BAD, tag != "header"
     if tag in ALWAYS:
         return GOOD, False
-    return max(place, HINT) if good else place, False
+    return max(place, HINT) if words & GOOD_WORDS else place, False
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -84,6 +90,7 @@ def blocks_of(page: str) -> list[Block]:
     text: list[str] = []
     size = [0, 0]  # characters: all, linked
     link = made = at = 0
+    skipped: list[str] = []  # open inline elements that are bad by their class, up to the next block
 
     def flush() -> None:
         if text:
@@ -95,7 +102,7 @@ def blocks_of(page: str) -> list[Block]:
             size[:] = 0, 0
 
     for m in TAG.finditer(page):
-        if m.start() > at:
+        if m.start() > at and not skipped:
             piece = page[at : m.start()]
             text.append(entities.unescape(piece) if "&" in piece else piece)
             size[0] += len(piece)
@@ -106,11 +113,19 @@ def blocks_of(page: str) -> list[Block]:
             continue
         tag = tag.lower()
         if tag not in BREAKS and tag not in NEVER:
+            if skipped:
+                if shut and tag in skipped:
+                    del skipped[len(skipped) - 1 - skipped[::-1].index(tag) :]
+                elif not shut and tag == skipped[0]:
+                    skipped.append(tag)
+            elif not shut and attributes and tag not in VOID and place_of(tag, attributes, 0.0, True)[0] <= BAD:
+                skipped.append(tag)
             if tag == "a":
                 link = 0 if shut else 1
             elif tag == "br":
                 text.append(" ")
             continue
+        skipped.clear()
         flush()
         if shut:
             for k in range(len(stack) - 1, 0, -1):
@@ -129,7 +144,7 @@ def blocks_of(page: str) -> list[Block]:
         made += 1
         place, by_class = place_of(tag, attributes, above[2], above[3])
         stack.append((tag, made, place, above[3] or tag in ALWAYS, above[4] or (made if by_class and above[2] > BAD else 0)))
-    if at < len(page):
+    if at < len(page) and not skipped:
         text.append(entities.unescape(page[at:]))
         size[0] += len(page) - at
     flush()

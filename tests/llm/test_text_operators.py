@@ -220,6 +220,17 @@ def test_page():
     assert html_text.main_text(inside).split("\n") == WANTED
 
 
+def test_places():
+    long = "I liked this story very much, and all of it is true. " * 30
+    page = f"""<body><div class="content-with-sidebar"><div class="post-header"><h1>Head of it</h1></div><article><p>The story itself is short, <span class="ad">buy now</span> but it is here.</p>
+    <div class="article-footer">Filed under many things by many people</div></article><section class="comments"><article class="comment"><p>{long}</p></article></section></div></body>"""
+    assert html_text.main_text(page).split("\n") == ["Head of it", "The story itself is short, but it is here."]
+    wide = f'<body><div class="popup-page"><p>{long}</p></div><div class="menu">Home About</div></body>'
+    assert html_text.main_text(wide) == long.strip()
+    odd_class = f'<body><div class="print"><p>{long}</p></div><div class="menu">Home About</div></body>'
+    assert html_text.main_text(odd_class) == long.strip()
+
+
 @pytest.mark.parametrize("odd", [None, "", "<", "<p", "<a href='x>text", "</div></div>", "<!-- open", "<script>x", "&#xD800;&bogus;&#0;", "<p title=\"" * 500, "<div>" * 5000 + "x", "<" * 5000])
 def test_odd_pages(odd):
     assert isinstance(html_text.main_text(odd), str)
