@@ -46,15 +46,19 @@ def longest_bound(start: np.ndarray, stop: np.ndarray, sel: np.ndarray) -> list[
 
 
 def bound_intervals(contacts: DataFrame) -> DataFrame:
-    """(ref, sel, t0, stop) of longest_bound, for every reference compound.  A group is a compound's runs."""
+    """(ref, sel, t0, stop) of longest_bound, for every reference compound, whose contact runs are one array."""
     importable(contacts.sparkSession)
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["start", "sel"])
-        found = longest_bound(rows["start"].to_numpy(), rows["stop"].to_numpy(), rows["sel"].to_numpy())
-        return pd.DataFrame([(rows["ref"].iloc[0], s, a, b) for a, b, s in found], columns=["ref", "sel", "t0", "stop"])
+    @F.pandas_udf("array<struct<t0: int, stop: int, sel: bigint>>")
+    def intervals(runs: pd.Series) -> pd.Series:
+        def one(r):
+            start, stop, sel = (np.array([x[c] for x in r]) for c in ("start", "stop", "sel"))
+            return [{"t0": a, "stop": b, "sel": s} for a, b, s in longest_bound(start, stop, sel)]
 
-    return contact_runs(contacts).groupBy("ref").applyInPandas(one, "ref long, sel long, t0 int, stop int")
+        return runs.map(one)
+
+    each = contact_runs(contacts).groupBy("ref").agg(F.array_sort(F.collect_list(F.struct("start", F.col("sel").cast("long").alias("sel"), "stop"))).alias("runs"))
+    return each.select("ref", F.explode(intervals("runs")).alias("r")).select("ref", "r.sel", "r.t0", "r.stop")
 
 
 def coordination_sequence(contacts: DataFrame, refs: DataFrame, n_frames: int) -> DataFrame:

@@ -27,18 +27,21 @@ def fill_gaps(states: np.ndarray, intermittency: int) -> np.ndarray:
 def correct_intermittency(dtrj: DataFrame, intermittency: int) -> DataFrame:
     """(cmp, frame, state) with gaps of at most intermittency frames filled; frames must be dense.
 
-    The rule is sequential in the frames of a compound, so each compound is one group.
+    The rule is sequential in the frames of a compound, so a compound's states are one array; many of them go
+    to Python in a batch.
     """
     if intermittency <= 0:
         return dtrj.select("cmp", "frame", "state")
     importable(dtrj.sparkSession)
+    kind = dtrj.schema["state"].dataType.simpleString()
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("frame")
-        return rows.assign(state=fill_gaps(rows["state"].to_numpy(), intermittency))
+    @F.pandas_udf(f"array<{kind}>")
+    def filled(states: pd.Series) -> pd.Series:
+        return states.map(lambda s: fill_gaps(np.array(s), intermittency))
 
-    chosen = dtrj.select("cmp", "frame", "state")
-    return chosen.groupBy("cmp").applyInPandas(one, chosen.schema)
+    each = dtrj.groupBy("cmp").agg(F.array_sort(F.collect_list(F.struct("frame", "state"))).alias("s"))
+    done = each.select("cmp", F.col("s.frame").alias("frame"), filled("s.state").alias("state"))
+    return done.select("cmp", F.explode(F.arrays_zip("frame", "state")).alias("r")).select("cmp", "r.frame", "r.state")
 
 
 def correct_contact_intermittency(contacts: DataFrame, intermittency: int, n_frames: int) -> DataFrame:

@@ -125,8 +125,8 @@ def normal_test(df: DataFrame, keys: list[str], x: str) -> DataFrame:
 
     k2 is the sum of the squared scores of skewness and kurtosis, p its chance with two degrees of freedom.
     """
-    made = df.groupBy(*keys).agg(F.count(x).cast("double").alias("n"), F.skewness(x).alias("g"), (F.kurtosis(x) + 3).alias("b"))
-    n, g, b = F.col("n"), F.col("g"), F.col("b")
+    made = df.groupBy(*keys).agg(F.count(x).cast("double").alias("_n"), F.skewness(x).alias("_g"), (F.kurtosis(x) + 3).alias("_b"))
+    n, g, b = F.col("_n"), F.col("_g"), F.col("_b")
     y = g * F.sqrt((n + 1) * (n + 3) / (6 * (n - 2)))
     beta = 3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9))
     w2 = F.sqrt(2 * (beta - 1)) - 1

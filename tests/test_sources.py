@@ -62,6 +62,27 @@ def test_structures(spark, tmp_path):
     assert files.read_xyz(spark, f"file://{tmp_path}/a.xyz").count() == 6
 
 
+def test_write_gro(spark, tmp_path):
+    atoms = spark.createDataFrame([(f, k, 1, "SOL", "OW", 0.5 * k, 1.0, 2.0, 3.0, 3.0, 3.0) for f in range(2) for k in range(3)], "frame int, atom_ix long, resid int, resname string, name string, x double, y double, z double, lx double, ly double, lz double")
+    files.write_gro(atoms, f"file://{tmp_path}/out")
+    back = files.read_gro(spark, f"file://{tmp_path}/out/*/*.txt")
+    assert column(back, "x", "path", "atom_ix") == [0.0, 0.5, 1.0] * 2
+    assert back.count() == 6
+
+
+def test_windowed_counts(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    rows_ = [(f"2024-01-01 00:{m:02d}:00", k) for m in (1, 3, 12, 14, 31) for k in ("a", "b")]
+    data = spark.createDataFrame(rows_, "t string, key string").withColumn("t", F.to_timestamp("t"))
+    data.coalesce(1).write.parquet(f"file://{tmp_path}/in")
+    stream = spark.readStream.schema(data.schema).parquet(f"file://{tmp_path}/in")
+    q = streams.windowed_counts(stream, "t", "key", "10 minutes", "1 minute").writeStream.format("memory").queryName("counts_out").outputMode("append").option("checkpointLocation", f"file://{tmp_path}/ck").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    got = {(r["start"].minute, r["key"]): r["n"] for r in spark.table("counts_out").collect()}
+    assert got == {(m, k): 2 for m in (0, 10) for k in "ab"}
+
+
 def test_selection(spark):
     assert files.selection_sql("name C* and (resid 1:3 or not index 5)") == "(`name` LIKE 'C%') AND ( (`resid` BETWEEN 1 AND 3) OR NOT (`atom_ix` BETWEEN 5 AND 5) )"
     for bad in ("name", "shape round", "prop x; 1"):

@@ -132,3 +132,25 @@ def test_closed_form_fits(spark):
     assert empty.count() == 0
     few = fits.fit_model(curve.where("t < 2"), "kww", ["g"], "t", "y").first()
     assert few["tau"] is None and plain(few["n"]) == 1
+
+
+def test_normal_test(spark):
+    rng = np.random.default_rng(4)
+    rows_ = [(g, float(v)) for g in range(300) for v in rng.normal(size=80)] + [(999, float(v)) for v in rng.exponential(size=80)] + [(1000, 1.0)] * 5
+    made = {r["g"]: r for r in stats.normal_test(spark.createDataFrame(rows_, "g long, x double"), ["g"], "x").collect()}
+    p = np.array([made[g]["p"] for g in range(300)])
+    assert 0.01 < (p < 0.05).mean() < 0.1 and 0.4 < p.mean() < 0.6
+    z = np.array([made[g]["z_kurt"] for g in range(300)])
+    assert abs(z.mean()) < 0.2 and 0.8 < z.std() < 1.2
+    assert made[999]["p"] < 1e-4
+    assert 1000 not in made or made[1000]["p"] is None
+
+
+def test_auto_histogram(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=5000)
+    made = stats.auto_histogram(spark.createDataFrame([(0, float(v)) for v in x], "g long, x double"), ["g"], "x").collect()
+    width = x.std() * (24 * math.pi**0.5 / 5000) ** (1 / 3)
+    assert all(abs(r["hi"] - r["lo"] - width) < 1e-9 for r in made)
+    assert sum(r["n"] for r in made) == 5000
+    assert abs(sum(r["density"] * width for r in made) - 1) < 1e-9
