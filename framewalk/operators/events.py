@@ -178,6 +178,48 @@ def contacts_at_block_transitions(contacts: DataFrame, moves: DataFrame, lag: in
     return full.groupBy("kind").agg(F.count("*").alias("n_events"), F.avg("b").alias("avg_before"), F.avg("a").alias("avg_after"), F.avg("c").alias("avg_common"), F.avg(F.col("a") - F.col("c")).alias("avg_attached"), F.avg(F.col("b") - F.col("c")).alias("avg_detached"))
 
 
+def block_transitions_with_history(dtrj: DataFrame, min_block: int, max_gap: int) -> DataFrame:
+    """(cmp, frame, gap, kind, prev, valid, counted): moves between runs of at least min_block frames, with the state of the such run before.
+
+    kind is unsuccessful (back to the same state), left2right or right2left; a move is valid if its gap has at
+    most max_gap frames, and counted if that holds for the gap before, too.  The first such run of a compound has no history
+    and gives no row.
+    """
+    from framewalk.operators.states import runs
+
+    q = Window.partitionBy("cmp").orderBy("run")
+    end = F.col("t0") + F.col("len")
+    long = runs(dtrj).where(F.col("len") >= min_block).select(
+        "cmp", "run", "state", (end - 1).cast("int").alias("frame"), (F.lead("t0").over(q) - end).cast("int").alias("gap"), F.lead("state").over(q).alias("to"),
+        F.lag("state").over(q).alias("prev"), (F.col("t0") - F.lag(end).over(q)).cast("int").alias("gap_before"),
+    )
+    kind = F.when(F.col("state") == F.col("to"), "unsuccessful").when(F.col("state") < F.col("to"), "left2right").otherwise("right2left")
+    valid = F.col("gap") <= max_gap
+    return long.where("prev is not null and to is not null").select("cmp", "frame", "gap", kind.alias("kind"), "prev", valid.alias("valid"), (valid & (F.col("gap_before") <= max_gap)).alias("counted"))
+
+
+def partners_at_block_transitions(contacts: DataFrame, moves: DataFrame, lag: int = 0) -> DataFrame:
+    """(kind, prev, ...) for the moves of block_transitions_with_history: numbers of moves, mean gaps, and of counted moves the mean
+    numbers of partners detached, attached and remaining, the mean, variance, least and largest partner number before and after
+    (of bound compounds), and their mean absolute change (of those bound both times).
+    """
+    own = contacts.select("frame", "ref", "sel").distinct()
+    rows = moves.withColumnRenamed("cmp", "ref").withColumns({"f0": F.col("frame") - lag, "f1": F.col("frame") + F.col("gap") + 1 + lag})
+    each = own.groupBy("frame", "ref").agg(F.count("*").alias("n"), F.avg("sel").alias("mean"), F.var_pop("sel").alias("var"), F.min("sel").cast("double").alias("min"), F.max("sel").cast("double").alias("max"))
+    side = lambda f, tag: each.select(F.col("frame").alias(f), "ref", *(F.col(c).alias(f"{c}_{tag}") for c in ("n", "mean", "var", "min", "max")))
+    both = rows.where("counted").select("ref", "f0", "f1").join(own.withColumnRenamed("frame", "f0"), ["ref", "f0"]).join(own.withColumnRenamed("frame", "f1"), ["ref", "f1", "sel"]).groupBy("ref", "f0", "f1").agg(F.count("*").alias("common"))
+    full = rows.join(side("f0", "before"), ["ref", "f0"], "left").join(side("f1", "after"), ["ref", "f1"], "left").join(both, ["ref", "f0", "f1"], "left").fillna(0, ["n_before", "n_after", "common"])
+    of = lambda c: F.when(F.col("counted"), c)
+    stats = [F.avg(of(F.col(f"{c}_{tag}"))).alias(f"{c}_{tag}") for tag in ("before", "after") for c in ("mean", "var", "min", "max")]
+    changes = [F.avg(of(F.abs(F.col(f"{c}_before") - F.col(f"{c}_after")))).alias(f"{c}_change") for c in ("mean", "var", "min", "max")]
+    return full.groupBy("kind", "prev").agg(
+        F.count("*").alias("n_moves"), F.count_if("valid").alias("n_valid"), F.count_if("counted").alias("n_counted"),
+        F.avg("gap").alias("gap"), F.avg(F.when(F.col("valid"), F.col("gap"))).alias("gap_valid"), F.avg(of(F.col("gap"))).alias("gap_counted"),
+        F.avg(of(F.col("n_before") - F.col("common"))).alias("detached"), F.avg(of(F.col("n_after") - F.col("common"))).alias("attached"), F.avg(of(F.col("common"))).alias("remain"),
+        *stats, *changes,
+    )
+
+
 def msd_at_coordination_change(contacts: DataFrame, positions: DataFrame, changes: DataFrame, n_frames: int) -> DataFrame:
     """(dt, n, msd): square displacement of compounds between consecutive coordination changes, by their distance in frames.
 

@@ -35,6 +35,10 @@ def _tie(c, places: int):
     return F.round(c + 1e-8, places) + F.lit(0.0)
 
 
+def _tie5(c):
+    return F.round(c + 1e-9, 5) + F.lit(0.0)
+
+
 def _xyz(*names: str):
     return tuple(F.col(n) for n in names)
 
@@ -460,6 +464,27 @@ def contacts_at_block_transitions(spark, sf_dir):
     return made.withColumns({c: _round(F.col(c)) for c in made.columns if c.startswith("avg")})
 
 
+_STATS = ", ".join(f"round(avg(CASE WHEN counted THEN {t}.{c} END) + 1e-9, 5) + 0.0 AS {c}_{n}" for t, n in (("b", "before"), ("a", "after")) for c in ("mean", "var", "min", "max"))
+_STATS += ", " + ", ".join(f"round(avg(CASE WHEN counted THEN abs(b.{c} - a.{c}) END) + 1e-9, 5) + 0.0 AS {c}_change" for c in ("mean", "var", "min", "max"))
+
+
+@query(_blocks_sql(f""", hb AS (
+  SELECT cmp, state, CAST(t0 + len - 1 AS INTEGER) AS frame, CAST(lead(t0) OVER q - t0 - len AS INTEGER) AS gap, lead(state) OVER q AS to_, lag(state) OVER q AS prev, t0 - lag(t0 + len) OVER q AS pre
+  FROM runs WHERE len >= 2 WINDOW q AS (PARTITION BY cmp ORDER BY run)),
+hm AS (SELECT cmp, frame, gap, CASE WHEN state = to_ THEN 'unsuccessful' WHEN state < to_ THEN 'left2right' ELSE 'right2left' END AS kind, prev, gap <= 6 AS valid, gap <= 6 AND pre <= 6 AS counted FROM hb WHERE prev IS NOT NULL AND to_ IS NOT NULL),
+st AS (SELECT frame, ref, count(*) AS n, avg(sel) AS mean, var_pop(sel) AS var, min(sel) AS min, max(sel) AS max FROM own GROUP BY ALL),
+hc AS (SELECT *, (SELECT count(*) FROM own o JOIN own q ON o.ref = q.ref AND o.sel = q.sel WHERE o.ref = m.cmp AND o.frame = m.frame - 1 AND q.frame = m.frame + gap + 2) AS common FROM hm m)
+SELECT h.kind, CAST(h.prev AS INTEGER) AS prev, count(*) AS n_moves, count(CASE WHEN valid THEN 1 END) AS n_valid, count(CASE WHEN counted THEN 1 END) AS n_counted,
+       round(avg(gap) + 1e-9, 5) + 0.0 AS gap, round(avg(CASE WHEN valid THEN gap END) + 1e-9, 5) + 0.0 AS gap_valid, round(avg(CASE WHEN counted THEN gap END) + 1e-9, 5) + 0.0 AS gap_counted,
+       round(avg(CASE WHEN counted THEN coalesce(b.n, 0) - common END) + 1e-9, 5) + 0.0 AS detached, round(avg(CASE WHEN counted THEN coalesce(a.n, 0) - common END) + 1e-9, 5) + 0.0 AS attached,
+       round(avg(CASE WHEN counted THEN common END) + 1e-9, 5) + 0.0 AS remain, {_STATS}
+FROM hc h LEFT JOIN st b ON b.ref = h.cmp AND b.frame = h.frame - 1 LEFT JOIN st a ON a.ref = h.cmp AND a.frame = h.frame + gap + 2 GROUP BY h.kind, h.prev"""))
+def partners_at_block_transitions(spark, sf_dir):
+    moves = events.block_transitions_with_history(_user_states(spark, sf_dir), 2, 6)
+    made = events.partners_at_block_transitions(_user_counts(spark, sf_dir)[0], moves, 1)
+    return made.withColumns({c: _tie5(F.col(c)) for c in made.columns if made.schema[c].dataType.typeName() == "double"})
+
+
 @query()
 def contact_intermittency(spark, sf_dir):
     return repair.correct_contact_intermittency(_user_counts(spark, sf_dir)[0], 2, N_DAYS)
