@@ -43,9 +43,9 @@ def removals(docs: DataFrame, id_col: str, text_col: str, site_col: str, min_sit
     rows = docs.select(F.col(id_col).alias("id"), _text_key(F.col(text_col)).alias("key"), F.col(site_col).alias("site"), line)
     rows = rows.where("line <> ''").select("id", "key", "site", "pos", F.xxhash64("line").alias("h"))
     rows = work.keep(rows, "lines")
-    spread = work.keep(spread_lines(rows.select("h", "site").distinct(), min_sites, lg_k), "spread")
+    spread = work.side(spread_lines(rows.select("h", "site").distinct(), min_sites, lg_k), "spread")
     found = work.keep(rows.join(spread, "h", "left_semi"), "found")
-    first = found.groupBy("h").agg(F.min(F.struct("id", "key", "pos")).alias("first"))
+    first = work.side(found.groupBy("h").agg(F.min(F.struct("id", "key", "pos")).alias("first")), "first", F.lit(4))
     here = F.struct("id", "key", "pos")
     gone = found.join(first, "h").where(~here.eqNullSafe(F.col("first")))
     return gone.groupBy("id", "key").agg(F.array_sort(F.collect_set("pos")).alias("gone"))
@@ -58,17 +58,17 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     occurrence by (id, text hash, position) stays, a null id being the least.
     Rows alike in id and text are treated alike: both keep the first occurrence.  A text that loses
     nothing is returned as it was (null stays null); one that loses all its lines
-    becomes empty.  Columns that docs has under the working names do not clash.
+    becomes empty.
     """
     work = Workspace(docs.sparkSession, "linededup")
     gone = removals(docs, id_col, text_col, site_col, min_sites, lg_k, work)
-    gone = gone.select(F.col("id").alias("_fw_id"), F.col("key").alias("_fw_key"), F.col("gone").alias("_fw_gone"))
-    gone = work.side(gone, "gone", 2 + F.size("_fw_gone"))
-    keyed = docs.withColumn("_fw_own", _text_key(F.col(text_col)))
-    joined = keyed.join(gone, F.col(id_col).eqNullSafe(F.col("_fw_id")) & (F.col("_fw_own") == F.col("_fw_key")), "left")
-    rest = F.array_join(F.filter(lines_of(F.col(text_col)), lambda _, i: ~F.array_contains("_fw_gone", i)), "\n")
-    text = F.when(F.col("_fw_gone").isNull(), F.col(text_col)).otherwise(rest)
-    return joined.withColumn(text_col, text).select(*docs.columns)
+    gone = work.side(gone, "gone", 2 + F.size("gone"))
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("own_id"), _text_key(F.col(text_col)).alias("own_key"))
+    joined = rows.join(gone, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_key") == F.col("key")), "left")
+    was = F.col(f"row.`{text_col}`")
+    rest = F.array_join(F.filter(lines_of(was), lambda _, i: ~F.array_contains("gone", i)), "\n")
+    text = F.when(F.col("gone").isNull(), was).otherwise(rest)
+    return joined.select(*(text.alias(c) if c == text_col else F.col(f"row.`{c}`") for c in docs.columns))
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -146,7 +146,7 @@ def test_dedup_lines(spark):
     lines = [f"Line  number {k}" for k in range(30)] + ["", "  "]
     data = [(k, "\n".join(rng.choice(lines[: rng.choice([6, 32])]).replace("L", rng.choice("lL")) for _ in range(rng.randrange(9))), f"s{rng.randrange(9)}", "k", 1) for k in range(120)]
     data += [(120, None, "s1", "k", 1), (121, "", None, "k", 1), (122, "Line number 3\nown line", None, "k", 1)]
-    docs = spark.createDataFrame(data, "doc_id long, text string, source string, key string, gone int")
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string, key string, gone int")  # names that the operator uses itself
     for least in (3, 8):
         made = line_dedup.dedup_lines(docs, min_sites=least)
         assert made.columns == docs.columns
