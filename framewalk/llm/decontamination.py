@@ -25,7 +25,7 @@ SEED = 5
 #: A seed in at most so many documents is rare; so is one that is no more frequent than the median seed of its item.
 RARE = 10
 #: Alignment score, as a share of the item's own, from which on a document is contaminated.
-SCORE = 0.6
+SCORE = 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Words of test items that are looked up in one pass; more items mean more passes.
 BLOCK_WORDS = 1_000_000
