@@ -294,3 +294,7 @@ def test_rules(spark):
     assert all(made[100 + k]["kept"] for k in range(60))  # copies of one text are one document
     assert made[200]["base_failed"] and made[201]["base_failed"] and made[202]["kept"]
     assert quality_rules.quality_rules(docs.limit(0)).count() == 0
+    clean = {r["doc_id"]: r["text"] for r in quality_rules.without_common_lines(docs).collect()}
+    assert len(clean) == len(data) and clean[200] is None
+    assert all(clean[k] == own(k, 70 if k % 2 else 10) for k in range(40))
+    assert clean[100] == own(100, 80) and clean[202] == common
