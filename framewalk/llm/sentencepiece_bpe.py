@@ -26,7 +26,7 @@ from framewalk.llm.common import Workspace, table
 
 SPACE = "▁"
 #: Words and pairs that a task remembers, and the longest such word.
-WORDS, PAIRS, LONGEST = 200_000, 400_000, 48
+WORDS, PAIRS, LONGEST = 300_000, 400_000, 48
 #: No token: the start of a word, or a character that is no piece.
 NONE = (1 << 24) - 1
 
