@@ -21,7 +21,7 @@ from framewalk.llm.common import Workspace, table
 from framewalk.llm.labelled import TRAIN_ROWS, held_out, labelled_sample
 
 #: Fewest sample documents with an n-gram, and most n-grams in the model.
-MIN_DOCS, VOCABULARY = 5, 100_000
+MIN_DOCS, VOCABULARY = 5, 60_000
 #: Share of the sample that only the curve is fitted on.
 CURVE = 0.25
 SEP = "\x1f"
@@ -148,28 +148,32 @@ def fit(docs: DataFrame, labels: DataFrame, target: str, bound: int = TRAIN_ROWS
 
     rows = work.keep(labelled_sample(docs, labels, target, bound).mapInPandas(grams, "y int, u double, grams array<string>"), "grams")
     counted = rows.where(F.col("u") >= CURVE).select("y", F.explode("grams").alias("g")).groupBy("g").agg(F.count("*").alias("n"), F.sum("y").alias("p")).where(F.col("n") >= MIN_DOCS)
-    vocabulary = counted.orderBy(F.desc("n"), "g").limit(VOCABULARY).collect()
+    vocabulary = counted.orderBy(F.desc("n"), "g").limit(VOCABULARY).toArrow()
+    keys, n, p = vocabulary["g"].to_pylist(), *(vocabulary[c].to_numpy().astype(float) for c in ("n", "p"))
     by = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
-    if not vocabulary or not by.get(0) or not by.get(1):
+    if not keys or not by.get(0) or not by.get(1):
         share = (by.get(1, 0) + 1) / (sum(by.values()) + 2)
         return Model({}, 0.0, 0.0, float(np.log(share / (1 - share))))
-    number = {r["g"]: i for i, r in enumerate(vocabulary)}
-    ratio = log_ratios(np.array([r["n"] for r in vocabulary], float), np.array([r["p"] for r in vocabulary], float))
+    number = {g: i for i, g in enumerate(keys)}
+    ratio = log_ratios(n, p)
 
     def numbers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame({"y": b["y"], "u": b["u"], "ids": [sorted(number[g] for g in x if g in number) for x in b["grams"]]})
 
-    sample = rows.mapInPandas(numbers, "y int, u double, ids array<int>").orderBy("u", "ids").toPandas()
-    ids = [np.array(x, int) for x in sample["ids"]]
+    sample = rows.mapInPandas(numbers, "y int, u double, ids array<int>").orderBy("u", "ids").toArrow().combine_chunks()
+    held = sample["ids"].chunk(0)
+    ends, flat = held.offsets.to_numpy(), held.values.to_numpy(zero_copy_only=False)
+    ids = [flat[s:e] for s, e in zip(ends, ends[1:])]
     values = [ratio[i] / (np.linalg.norm(ratio[i]) or 1.0) for i in ids]
-    fitting, y = (sample["u"] >= CURVE).to_numpy(), sample["y"].to_numpy()
+    u, y = sample["u"].to_numpy(), sample["y"].to_numpy()
+    fitting = u >= CURVE
     part = np.flatnonzero(fitting)
-    w = dual_descent([ids[i] for i in part], [values[i] for i in part], np.where(y[part] == 1, 1.0, -1.0), len(vocabulary))
+    w = dual_descent([ids[i] for i in part], [values[i] for i in part], np.where(y[part] == 1, 1.0, -1.0), len(keys))
     margins = np.array([w[i] @ v + w[-1] for i, v in zip(ids, values)])
     curve = ~fitting if len(set(y[~fitting])) == 2 else fitting
     slope, offset = logistic_curve(margins[curve], y[curve].astype(float))
-    return Model({gram(r["g"]): (float(ratio[i]), float(ratio[i] * w[i])) for i, r in enumerate(vocabulary)}, float(w[-1]), slope, offset)
+    return Model({gram(g): (float(ratio[i]), float(ratio[i] * w[i])) for i, g in enumerate(keys)}, float(w[-1]), slope, offset)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, target: str = "quality", threshold: float = 0.3, bound: int = TRAIN_ROWS) -> DataFrame:
