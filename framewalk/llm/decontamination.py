@@ -1,17 +1,17 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 Word n-grams of the test items are looked up in every document.  Where a document
-has some, the passage around them is cut out.  How many documents hold each seed
-is counted over all data; a pair of passage and item goes on if they share a seed
-that is rare among the item's own.  Local alignment then scores the pair, so that
-edited copies are found too.
+has some, however frequent, the passage around them is cut out.  Local alignment
+then scores every pair of passage and item, so that edited copies are found too;
+only a pair whose common words are too few for the score is not aligned.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -22,8 +22,6 @@ from framewalk.llm.common import Workspace, table
 
 #: Words of a seed.
 SEED = 5
-#: A seed in at most so many documents is rare; so is one that is no more frequent than the median seed of its item.
-RARE = 10
 #: Alignment score, as a share of the item's own, from which on a document is contaminated.
 SCORE = 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -37,9 +35,9 @@ def words_of(text: str | None) -> list[str]:
     return _token.findall((text or "").lower())
 
 
-def seed_index(items: list[tuple[int, str | None]], n: int = SEED) -> tuple[dict[int, dict[tuple[str, ...], list[tuple[int, int]]]], dict[int, int]]:
-    """By length, each seed's (item, number) list; and the items' lengths.  An item of fewer words is one seed as a whole."""
-    index: dict[int, dict[tuple[str, ...], list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
+def seed_index(items: list[tuple[int, str | None]], n: int = SEED) -> tuple[dict[int, dict[tuple[str, ...], list[int]]], dict[int, int]]:
+    """By length, each seed's items; and the items' lengths.  An item of fewer words is one seed as a whole."""
+    index: dict[int, dict[tuple[str, ...], list[int]]] = defaultdict(lambda: defaultdict(list))
     lengths = {}
     for k, text in items:
         w = words_of(text)
@@ -47,35 +45,31 @@ def seed_index(items: list[tuple[int, str | None]], n: int = SEED) -> tuple[dict
             continue
         lengths[k] = len(w)
         size = min(n, len(w))
-        first: dict[tuple[str, ...], int] = {}
-        for i in range(len(w) - size + 1):
-            first.setdefault(tuple(w[i : i + size]), i)
-        for gram, i in first.items():
-            index[size][gram].append((k, i))
+        for gram in {tuple(w[i : i + size]) for i in range(len(w) - size + 1)}:
+            index[size][gram].append(k)
     return {s: dict(x) for s, x in index.items()}, lengths
 
 
-def passages(text: str | None, index: dict, lengths: dict[int, int]) -> Iterator[tuple[int, list[int], int, str]]:
-    """(item, seeds, first word, words) of each passage that shares seeds with an item."""
+def passages(text: str | None, index: dict, lengths: dict[int, int]) -> Iterator[tuple[int, int, list[str]]]:
+    """(item, first word, words) of each passage that shares seeds with an item."""
     w = words_of(text)
-    found: dict[int, list[tuple[int, int]]] = defaultdict(list)
+    found: dict[int, list[int]] = defaultdict(list)
     for size, seeds in index.items():
         grams = list(zip(*(w[i:] for i in range(size))))
         hits = seeds.keys() & set(grams)
         if hits:
             for at, g in enumerate(grams):
                 if g in hits:
-                    for item, number in seeds[g]:
-                        found[item].append((at, number))
+                    for item in seeds[g]:
+                        found[item].append(at)
     for item, hits in found.items():
         hits.sort()
         reach = lengths[item]
         start = 0
         for k in range(1, len(hits) + 1):
-            if k == len(hits) or hits[k][0] - hits[k - 1][0] > 2 * reach:
-                part = hits[start:k]
-                low, high = max(0, part[0][0] - reach), part[-1][0] + 2 * reach
-                yield item, sorted({x for _, x in part}), low, " ".join(w[low:high])
+            if k == len(hits) or hits[k] - hits[k - 1] > 2 * reach:
+                low, high = max(0, hits[start] - reach), hits[k - 1] + 2 * reach
+                yield item, low, w[low:high]
                 start = k
 
 
@@ -105,42 +99,45 @@ def align(passage: list[str], item: list[str]) -> tuple[float, int, int]:
     return top / (MATCH * len(item)), int(j), end
 
 
-def _block(docs: DataFrame, items: list[tuple[int, object, str | None]], work: Workspace, name: str, n: int, rare: int, least: float) -> DataFrame:
+def _block(docs: DataFrame, items: list[tuple[int, object, str | None]], item_type: str, n: int, least: float) -> DataFrame:
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast([(k, text) for k, _, text in items])  # at most BLOCK_WORDS words, or one item
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index, lengths = seed_index(held.value, n)
-        for batch in batches:
-            rows = [(d, *x) for d, t in zip(batch["doc_id"], batch["text"]) for x in passages(t, index, lengths)]
-            yield pd.DataFrame(rows, columns=["doc_id", "item", "seeds", "low", "passage"])
+        texts = dict(held.value)
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    found = work.keep(docs.mapInPandas(look, f"doc_id {kind}, item int, seeds array<int>, low int, passage string"), f"passages{name}")
-    seen = found.select("doc_id", "item", F.explode("seeds").alias("seed")).distinct().groupBy("item", "seed").agg(F.count("*").alias("df"))
-    middle = seen.groupBy("item").agg(F.percentile_approx("df", 0.5).alias("middle"))
-    kept = seen.join(middle, "item").where(F.col("df") <= F.greatest(F.lit(rare), F.col("middle"))).groupBy("item").agg(F.collect_list("seed").alias("rare"))
-    pairs = found.join(F.broadcast(work.keep(kept, f"rare{name}")), "item").where(F.arrays_overlap("seeds", "rare"))
+        @cache
+        def item_words(k: int) -> tuple[list[str], Counter]:
+            return (w := words_of(texts[k])), Counter(w)
 
-    @F.pandas_udf("score double, start int, end int")
-    def scored(item: pd.Series, passage: pd.Series) -> pd.DataFrame:
-        texts = {k: words_of(t) for k, t in held.value if k in set(item)}
-        return pd.DataFrame([align(p.split(" "), texts[k]) for k, p in zip(item, passage)], columns=["score", "start", "end"])
+        def scored(text: str | None) -> Iterator[tuple[int, float, int, int]]:
+            for k, low, passage in passages(text, index, lengths):
+                item, counts = item_words(k)
+                if (Counter(passage) & counts).total() / len(item) >= least:  # no alignment scores more than its words match
+                    score, start, end = align(passage, item)
+                    if score >= least:
+                        yield k, score, low + start, low + end
 
-    ids = spark.createDataFrame([(k, i) for k, i, _ in items], f"item int, item_id {work.item_type}")
-    rows = pairs.withColumn("a", scored("item", "passage")).where(F.col("a.score") >= least)
-    return rows.join(F.broadcast(ids), "item").select("doc_id", "item_id", F.col("a.score").alias("score"), (F.col("low") + F.col("a.start")).alias("start_word"), (F.col("low") + F.col("a.end")).alias("end_word"))
+        for batch in batches:
+            rows = [(d, *x) for d, t in zip(batch["doc_id"], batch["text"]) for x in scored(t)]
+            yield pd.DataFrame(rows, columns=["doc_id", "item", "score", "start_word", "end_word"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.mapInPandas(look, f"doc_id {kind}, item int, score double, start_word int, end_word int")
+    ids = spark.createDataFrame([(k, i) for k, i, _ in items], f"item int, item_id {item_type}")
+    return rows.join(F.broadcast(ids), "item").select("doc_id", "item_id", "score", "start_word", "end_word")
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", seed: int = SEED, rare: int = RARE, score: float = SCORE) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", seed: int = SEED, score: float = SCORE) -> DataFrame:
     """A row for each pair of document and test item that align: (doc_id, item_id, score, start_word, end_word).
 
     The words are runs of \\w in lower case; the span is the best one of the
     document, counted in its words, the end not included.  Null and empty texts
     and items without words give no rows.  Documents that share an id are taken as one.
     """
-    work = Workspace(docs.sparkSession, "leaks")
-    work.item_type = benchmark.schema[item_col].dataType.simpleString()
+    Workspace(docs.sparkSession, "leaks")  # sets the session up
+    item_type = benchmark.schema[item_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text).alias("text"))
     words = items.agg(F.sum(F.size(F.split(F.coalesce("text", F.lit("")), r"\W+")))).first()[0] or 0
@@ -148,7 +145,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     out = None
     for b in range(blocks):
         block = [(k, *r) for k, r in enumerate(items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect())]
-        found = _block(rows, block, work, str(b), seed, rare, score)
+        found = _block(rows, block, item_type, seed, score)
         out = found if out is None else out.unionByName(found)
     best = out.groupBy("doc_id", "item_id").agg(F.max(F.struct("score", -F.col("start_word"), -F.col("end_word"))).alias("b"))
     return best.select("doc_id", "item_id", F.col("b.score").alias("score"), (-F.col("b.col2")).alias("start_word"), (-F.col("b.col3")).alias("end_word"))

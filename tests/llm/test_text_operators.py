@@ -107,6 +107,18 @@ def test_hot_leaks(spark):
     assert decontamination.contaminated(docs, bench).count() == 200
 
 
+@pytest.mark.parametrize("whole", [12, 1000])
+def test_edited_beside_whole_copies(spark, whole):
+    """An edited copy keeps the seeds that are the most frequent; it is found beside any number of whole copies."""
+    item = [f"q{k}" for k in range(30)]
+    edited = [f"e{k}" if k % 6 == 5 else w for k, w in enumerate(item)]
+    docs = [(d, f"own{d} {' '.join(item)} tail{d}") for d in range(whole)] + [(whole, f"own {' '.join(edited)} tail"), (whole + 1, f"own {' '.join(item[:8])} tail")]
+    found = decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string"))
+    scores = {r["doc_id"]: r["score"] for r in found.collect()}
+    assert set(scores) == set(range(whole + 1))
+    assert abs(scores[whole] - slow_align(edited, item)) < 1e-9
+
+
 def test_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontamination, "BLOCK_WORDS", 40)
     bench = spark.createDataFrame([(k, " ".join(f"b{k}x{j}" for j in range(15))) for k in range(9)], "item_id long, text string")
