@@ -329,11 +329,25 @@ p AS (SELECT a.block, c.frame - a.frame AS lag, count(*) AS v, count(CASE WHEN a
 q AS (SELECT block, lag, s / v AS prob FROM p UNION ALL SELECT DISTINCT block, 0, 1.0 FROM b)
 SELECT CAST(lag AS INTEGER) AS lag, round(avg(prob), 6) + 0.0 AS mean, round(stddev_pop(prob) / sqrt(count(*)), 6) + 0.0 AS sd FROM q GROUP BY lag""")
 def remain_prob_in_blocks(spark, sf_dir):
-    # three blocks of the 45 frames that every compound has; frames beyond the blocks are left out, as block averaging does
+    # a dense matrix: the first 45 frames only, which every compound of the given tables has; remain_prob_in_all_blocks takes all frames
     made = states.remain_prob_in_blocks(dtrj(spark, sf_dir), 3, 45)
     return _rounded(made, "mean", "sd")
 
 
+@query(f"""
+WITH {EVENTS_SQL}, z AS (SELECT (max(frame) + 1) // 3 AS size FROM ev),
+b AS (SELECT cmp, CAST(frame // size AS INTEGER) AS block, frame % size AS frame, state FROM ev, z WHERE frame < 3 * size),
+l AS (SELECT *, max(frame) OVER (PARTITION BY cmp, block) + 1 AS n FROM b),
+p AS (SELECT a.block, c.frame - a.frame AS lag, count(*) AS v, count(CASE WHEN a.state = c.state THEN 1 END) AS s FROM l a JOIN l c ON a.cmp = c.cmp AND a.block = c.block AND c.frame > a.frame WHERE a.frame < a.n - 1 GROUP BY ALL),
+q AS (SELECT block, lag, s / v AS prob FROM p UNION ALL SELECT DISTINCT block, 0, 1.0 FROM b)
+SELECT CAST(lag AS INTEGER) AS lag, round(avg(prob), 6) + 0.0 AS mean, round(stddev_pop(prob) / sqrt(count(*)), 6) + 0.0 AS sd FROM q GROUP BY lag""")
+def remain_prob_in_all_blocks(spark, sf_dir):
+    # three blocks of the longest sequence; only its frames that three does not divide are left out
+    rows = dtrj(spark, sf_dir)
+    made = states.remain_prob_in_blocks(rows, 3, states.n_frames_of(rows))
+    return _rounded(made, "mean", "sd")
+
+
 @query(f"""
 WITH {EVENTS_SQL}, {RUNS_SQL}
 SELECT CAST(state AS INTEGER) AS state, round(avg(len), 6) + 0.0 AS count_mean, round(stddev_samp(len), 6) + 0.0 AS count_std FROM runs WHERE NOT is_first AND NOT is_last GROUP BY state""")

@@ -4,8 +4,10 @@ import pytest
 from helpers import column, near, plain, rows
 
 from framewalk.operators import states
+from framewalk.plans import state_queries, tables
 
 NAN = float("nan")
+SF = "/root/testdata/sf0.001"
 F1 = [[1, -2, -2, 3, 3, 3], [-2, -2, 3, 3, 3, 1], [3, 3, 3, 1, -2, -2], [1, 3, 3, 3, -2, -2], [1, 4, 4, 4, 4, -1]]
 F2 = [[1, 2, 2, 3, 3, 3], [2, 2, 3, 3, 3, 1], [3, 3, 3, 1, 2, 2], [1, 3, 3, 3, 2, 2]]
 F3 = [[1, 2, 2, 1, 3, 3, 3], [-1, 2, 2, -1, 3, 3, 3], [1, -2, -2, 1, 3, 3, 3], [1, 2, 2, 3, 3, 3, 1], [-1, 2, 2, 3, 3, 3, -1], [1, 2, 2, -3, -3, -3, 1]]
@@ -135,3 +137,11 @@ def test_properties(dtrj):
     assert all(0 <= r["sf"] <= 1 for r in made)
     assert all(a["sf"] >= b["sf"] for a, b in zip(made, made[1:]))
     assert states.lifetimes(dtrj(F1)).agg({"lifetime": "sum"}).first()[0] == 30
+
+
+def test_blocks_reach_the_last_frames(spark):
+    rows = tables.dtrj(spark, SF)
+    n = states.n_frames_of(rows)
+    made = state_queries.QUERIES["remain_prob_in_all_blocks"](spark, SF)
+    assert n > 45
+    assert sorted(r["lag"] for r in made.collect()) == list(range(n // 3))
