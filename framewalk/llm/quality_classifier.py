@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from framewalk.llm.common import Workspace, table
 from framewalk.llm.labelled import TRAIN_ROWS, held_out, labelled_sample
 
-#: Fewest sample documents with an n-gram, and most n-grams in the model.
-MIN_DOCS, VOCABULARY = 5, 60_000
+#: Fewest sample documents with an n-gram in the model.
+MIN_DOCS = 5
 #: Share of the sample that only the curve is fitted on.
 CURVE = 0.25
 SEP = "\x1f"
@@ -136,8 +136,8 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, target: str, bound: int = TRAIN_ROWS, work: Workspace | None = None) -> Model:
     """The model, from about `bound` labelled rows.
 
-    Only n-gram counts and the rows' n-gram numbers come to the driver, both within
-    the stated bounds.  Without rows of both classes the score is the smoothed share of label 1.
+    Only the counts of n-grams in MIN_DOCS rows or more and the rows' n-gram numbers come
+    to the driver; the bounded sample bounds both.  Without rows of both classes the score is the smoothed share of label 1.
     """
     work = work or Workspace(docs.sparkSession, "nbsvm")
 
@@ -148,7 +148,7 @@ def fit(docs: DataFrame, labels: DataFrame, target: str, bound: int = TRAIN_ROWS
 
     rows = work.keep(labelled_sample(docs, labels, target, bound).mapInPandas(grams, "y int, u double, grams array<string>"), "grams")
     counted = rows.where(F.col("u") >= CURVE).select("y", F.explode("grams").alias("g")).groupBy("g").agg(F.count("*").alias("n"), F.sum("y").alias("p")).where(F.col("n") >= MIN_DOCS)
-    vocabulary = counted.orderBy(F.desc("n"), "g").limit(VOCABULARY).toArrow()
+    vocabulary = counted.orderBy(F.desc("n"), "g").toArrow()
     keys, n, p = vocabulary["g"].to_pylist(), *(vocabulary[c].to_numpy().astype(float) for c in ("n", "p"))
     by = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
     if not keys or not by.get(0) or not by.get(1):
@@ -180,8 +180,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, target: str = "quality",
     """One row per row of docs: (doc_id, held_out, score, predicted).
 
     docs has doc_id and text, labels has doc_id and the target.  A null text counts
-    as empty and gets a score like any other.  The model is at most VOCABULARY
-    n-grams and goes to the tasks as a broadcast.
+    as empty and gets a score like any other.  The model is every
+    n-gram in MIN_DOCS sample rows or more and goes to the tasks as a broadcast.
     """
     spark = docs.sparkSession
     work = Workspace(spark, "nbsvm")

@@ -80,6 +80,14 @@ def test_isolated_labels(spark):
     assert rows(quality_classifier.quality_scores(docs, labels)) == rows(quality_classifier.quality_scores(docs, turned))
 
 
+def test_every_frequent_ngram_is_kept(spark):
+    words = " ".join(f"w{k}" for k in range(35_000))
+    docs = spark.createDataFrame([(k, f"{words} tail{k}") for k in range(30)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(30)], "doc_id long, quality int")
+    weights = quality_classifier.fit(docs, labels, "quality").weights
+    assert {f"w{k}" for k in range(35_000)} | {(f"w{k}", f"w{k + 1}") for k in range(34_999)} <= weights.keys()
+
+
 def test_pipeline(spark, tmp_path):
     sf = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
