@@ -59,9 +59,9 @@ def ngrams(text: str | None, shapes: Shapes) -> set:
     pairs = set(pairwise(tokens))
     s = [shapes[t] for t in tokens]
     out = set(zip(s, s[1:], s[2:]))
-    repeats = [a for a in pairs if a[0] == a[1]]
+    repeats = {a for a, b in pairs if a == b}
     if repeats:
-        out.add(("=", "many" if sum(map(tokens.count, {a[0] for a in repeats[:20]})) * 2 > len(tokens) else "some", "="))
+        out.add(("=", "many" if sum(t in repeats for t in tokens) * 2 > len(tokens) else "some", "="))
     out |= pairs
     out.update(tokens)
     if not tokens:

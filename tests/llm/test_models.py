@@ -80,6 +80,14 @@ def test_isolated_labels(spark):
     assert rows(quality_classifier.quality_scores(docs, labels)) == rows(quality_classifier.quality_scores(docs, turned))
 
 
+def test_all_doubled_tokens_count():
+    doubled = " ".join(f"a{k} a{k}" for k in range(50))
+    grams = quality_classifier.ngrams(doubled, quality_classifier.Shapes())
+    assert ("=", "many", "=") in grams and ("=", "some", "=") not in grams
+    rest = " ".join(f"b{k}" for k in range(100))
+    assert ("=", "some", "=") in quality_classifier.ngrams(f"{doubled} {rest}", quality_classifier.Shapes())
+
+
 def test_every_frequent_ngram_is_kept(spark):
     words = " ".join(f"w{k}" for k in range(35_000))
     docs = spark.createDataFrame([(k, f"{words} tail{k}") for k in range(30)], "doc_id long, text string")
