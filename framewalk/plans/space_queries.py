@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from framewalk.functions import geometry
 from framewalk.operators import binning, contacts, dynamics, events, fits, repair, states
-from framewalk.plans.tables import BOX, CONTACTS_SQL, CUTOFF, EVENTS_SQL, N_DAYS, boxes, dtrj, particles, positions, table
+from framewalk.plans.tables import BOX, CONTACTS_SQL, CUTOFF, EVENTS_SQL, N_DAYS, boxes, boxes_of, dtrj, particles, positions, table
 from framewalk.plans.tables import events as user_events
 
 QUERIES: dict = {}
@@ -159,13 +159,13 @@ def wrap_compounds(spark, sf_dir):
 @query(f"WITH {CONTACTS_SQL} SELECT frame, ref, sel, round(dist, 6) + 0.0 AS dist FROM con")
 def contact_pairs(spark, sf_dir):
     ref, sel = particles(spark, sf_dir)
-    made = contacts.contact_pairs(ref, sel, CUTOFF, boxes(spark, N_DAYS))
+    made = contacts.contact_pairs(ref, sel, CUTOFF, boxes_of(ref, sel))
     return made.withColumn("dist", _round(F.col("dist")))
 
 
 def _particle_contacts(spark, sf_dir):
     ref, sel = particles(spark, sf_dir)
-    return contacts.contact_pairs(ref, sel, CUTOFF, boxes(spark, N_DAYS)), ref, sel
+    return contacts.contact_pairs(ref, sel, CUTOFF, boxes_of(ref, sel)), ref, sel
 
 
 def _user_counts(spark, sf_dir):
@@ -407,7 +407,7 @@ FROM d WHERE (dx - floor(dx / {BOX[0]} + 0.5) * {BOX[0]}) ** 2 + (dy - floor(dy
 def topological_map(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select(F.datediff("ts", F.lit("2024-01-01").cast("date")).alias("frame"), "event_id", "event_type", F.col("value").alias("x"), ((F.hour("ts") * 60 + F.minute("ts")) / 10).alias("y"), F.get_json_object("props", "$.k").cast("double").alias("z"))
     center = rows.groupBy("frame").agg(F.min_by(F.struct("x", "y", "z"), "event_id").alias("p")).select("frame", "p.*")
-    made = events.topological_map(rows, center, 30.0, boxes(spark, N_DAYS), ["event_type"])
+    made = events.topological_map(rows, center, 30.0, boxes_of(rows), ["event_type"])
     return made.withColumn("event_type", F.array_join("event_type", ","))
 
 

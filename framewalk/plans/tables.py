@@ -62,6 +62,14 @@ def boxes(spark: SparkSession, n: int) -> DataFrame:
     return spark.range(n).select(F.col("id").cast("int").alias("frame"), *(F.lit(v).alias(f"l{a}") for a, v in zip("xyz", BOX)))
 
 
+def boxes_of(*particles: DataFrame) -> DataFrame:
+    """A box for every frame that one of the tables has."""
+    frames = particles[0].select("frame")
+    for p in particles[1:]:
+        frames = frames.union(p.select("frame"))
+    return frames.distinct().select("frame", *(F.lit(v).alias(f"l{a}") for a, v in zip("xyz", BOX)))
+
+
 def series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, t, x): the values of a user's events."""
     return events(spark, sf_dir).select(F.col("cmp").alias("id"), F.col("frame").alias("t"), "x")

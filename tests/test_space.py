@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from framewalk.functions import geometry
 from framewalk.operators import binning, contacts, dynamics, events, repair
+from framewalk.plans import space_queries
 
 CM = [(1, 0), (2, 0), (2, 1), (3, 1), (3, 2), (4, 0), (4, 1), (4, 2), (4, 3)]
 
@@ -202,3 +203,14 @@ def test_hexagon_faces():
     vertices = [(0.0, 0.0), (1.0, 0.0), (1.5, 3**0.5 / 2), (2.5, 3**0.5 / 2)]
     faces = binning.hexagon_faces(vertices, 1.0, lengths)
     assert sorted((round(x, 6), round(y, 6)) for x, y in faces) == [(0.5, 0.866025), (2.0, 0.0)]
+
+
+def test_contacts_of_any_day(spark, tmp_path):
+    """Events before day 0 and from day 30 on are in the contacts, too."""
+    days = ["2023-12-30", "2024-01-01", "2024-01-31", "2024-03-01"]
+    data = [(2 * k + j, 7, kind, 5.0 + j, f"{day} 10:00:00", '{"k": 3}') for k, day in enumerate(days) for j, kind in enumerate(["click", "purchase"])]
+    made = spark.createDataFrame(data, "event_id long, user_id long, event_type string, value double, ts string, props string")
+    made.withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(f"file://{tmp_path}/events.parquet")
+    for name in ("contact_pairs", "topological_map"):
+        found = space_queries.QUERIES[name](spark, f"file://{tmp_path}").collect()
+        assert sorted(r["frame"] for r in found) == [-2, 0, 30, 60]
