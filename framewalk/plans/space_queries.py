@@ -506,6 +506,14 @@ def msd(spark, sf_dir):
     return made.withColumns({c: _tie(F.col(c), 4) for c in ("msd_x", "msd_y", "msd_z", "msd")})
 
 
+@query(f"""WITH {EVENTS_SQL}, {_MSD.format(g='', r=1)}
+SELECT CAST(lag AS INTEGER) AS lag, count(*) AS n, round(avg(dx2) + 1e-8, 4) + 0.0 AS msd_x, round(avg(dy2) + 1e-8, 4) + 0.0 AS msd_y, round(avg(dz2) + 1e-8, 4) + 0.0 AS msd_z, round(avg(dx2) + avg(dy2) + avg(dz2) + 1e-8, 4) + 0.0 AS msd FROM p GROUP BY lag""")
+def msd_all_starts(spark, sf_dir):
+    rows = positions(spark, sf_dir)
+    made = dynamics.msd(rows, "cmp", states.n_frames_of(rows), restart=1)
+    return made.withColumns({c: _tie(F.col(c), 4) for c in ("msd_x", "msd_y", "msd_z", "msd")})
+
+
 @query(f"""WITH {EVENTS_SQL}, {_MSD.format(g='a.state2 AS layer, a.frame AS f0,', r=5)}
 SELECT layer, CAST(lag AS INTEGER) AS lag, count(*) AS n, round(avg(dx) + 1e-8, 4) + 0.0 AS md_x, round(avg(dy) + 1e-8, 4) + 0.0 AS md_y, round(avg(dz) + 1e-8, 4) + 0.0 AS md_z,
        round(avg(dx2) + 1e-8, 4) + 0.0 AS msd_x, round(avg(dy2) + 1e-8, 4) + 0.0 AS msd_y, round(avg(dz2) + 1e-8, 4) + 0.0 AS msd_z FROM p WHERE f0 < (SELECT max(frame) FROM ev) GROUP BY ALL""")

@@ -155,6 +155,11 @@ def remain_prob_continuous(spark, sf_dir):
     return _rounded(states.remain_prob(dtrj(spark, sf_dir), restart=3, continuous=True), "prob")
 
 
+@query(_remain_sql("TRUE", "AND b.frame < a.nch"))
+def remain_prob_continuous_all_starts(spark, sf_dir):
+    return _rounded(states.remain_prob(dtrj(spark, sf_dir), continuous=True), "prob")
+
+
 @query(_remain_sql("a.state >= 0", ""))
 def remain_prob_discard_neg_start(spark, sf_dir):
     return _rounded(states.remain_prob(dtrj(spark, sf_dir), discard_neg_start=True), "prob")

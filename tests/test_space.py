@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from framewalk.functions import geometry
 from framewalk.operators import binning, contacts, dynamics, events, repair
-from framewalk.plans import space_queries
+from framewalk.plans import space_queries, tables
 
+SF = "/root/testdata/sf0.001"
 CM = [(1, 0), (2, 0), (2, 1), (3, 1), (3, 2), (4, 0), (4, 1), (4, 2), (4, 3)]
 
 
@@ -214,3 +215,9 @@ def test_contacts_of_any_day(spark, tmp_path):
     for name in ("contact_pairs", "topological_map"):
         found = space_queries.QUERIES[name](spark, f"file://{tmp_path}").collect()
         assert sorted(r["frame"] for r in found) == [-2, 0, 30, 60]
+
+
+def test_msd_of_all_starts(spark):
+    """At lag 0 every position is a start."""
+    made = space_queries.QUERIES["msd_all_starts"](spark, SF)
+    assert made.where("lag = 0").first()["n"] == tables.positions(spark, SF).count()
