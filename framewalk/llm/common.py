@@ -19,33 +19,48 @@ from pyspark.sql import functions as F
 
 from framewalk.session import importable
 
-#: Rows of one Arrow batch; a batch of very long texts then stays small.
-ARROW_ROWS = 512
+#: Most rows and bytes of one Arrow batch, so that a batch of very long texts stays small.
+ARROW_ROWS, ARROW_BYTES = 512, 16 << 20
 #: Most numbers that a table may hold to be broadcast; a larger one is shuffled for its join.
 BROADCAST_NUMBERS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one is made only where none is set (tests)."""
+    """The folder that all executors share, spark.checkpoint.dir; one is made only in local mode where none is set (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="spark-framewalk-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches where the session's user has not set a bound of their own."""
+    given = spark.conf.getAll
+    for key, bound in (("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)):
+        if key not in given:
+            spark.conf.set(key, str(bound))
+
+
 class Workspace:
     """A new folder below the shared one, for tables that cut a lineage.
 
     A table written here survives lost executors, and later steps read it
-    instead of computing it again.
+    instead of computing it again.  Operators drop what they do not read any more;
+    what their result is read from stays until release() is called.
     """
 
+    #: Of all operators since the last release().
+    made: list["Workspace"] = []
+
     def __init__(self, spark: SparkSession, name: str):
         importable(spark)
+        bounded_batches(spark)
         self.spark = spark
         self.path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+        Workspace.made.append(self)
 
     def keep(self, frame: DataFrame, name: str) -> DataFrame:
         """Writes the frame and returns it as read from there."""
@@ -61,11 +76,19 @@ class Workspace:
         held = kept.agg(F.sum(size if size is not None else F.lit(1))).first()[0] or 0
         return F.broadcast(kept) if held <= BROADCAST_NUMBERS else kept
 
-    def drop(self, name: str) -> None:
-        """Removes a table that is not read any more."""
+    def drop(self, *names: str) -> None:
+        """Removes tables that are not read any more; without names the whole folder."""
         jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        for name in names or ("",):
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}".rstrip("/"))
+            path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def release(*keep: Workspace) -> None:
+    """Removes the folders of all operators that have run, but for those given: to be called when their results are written."""
+    for work in [w for w in Workspace.made if w not in keep]:
+        work.drop()
+        Workspace.made.remove(work)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

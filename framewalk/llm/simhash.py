@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 from framewalk.llm.common import Workspace, table
 from framewalk.llm.components import connected_components
 
-#: Most fingerprints in a tile; larger tiles are cut into parts by hash.
-TILE = 8192
+#: Most fingerprints in a tile (1 MB); larger tiles are cut into parts by hash.  A tile is sent once for each pair that
+#: it is in, so that larger tiles mean fewer bytes shuffled.
+TILE = 1 << 17
 #: Shingles that are hashed at a time.
 BLOCK = 1 << 14
 #: Pairs compared at a time.
@@ -167,7 +168,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = connected_components(fingerprint_links(distinct, radius, work, tile), work)
     classed = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = classed.groupBy("root").agg(F.min("first").alias("component_id"))
-    return made.join(classed.select("fp", "root").join(least, "root").drop("root"), "fp").select("doc_id", F.col("fp").alias("fingerprint"), "component_id")
+    classes = work.side(classed.select("fp", "root").join(least, "root").drop("root"), "classes", F.lit(2))
+    work.drop("tiles", "distinct")
+    return made.join(classes, "fp").select("doc_id", F.col("fp").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
