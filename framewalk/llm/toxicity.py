@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from framewalk.llm.common import Workspace, table
 from framewalk.llm.labelled import TRAIN_ROWS, held_out, labelled_sample
 
-#: Fewest toxic texts with an entry, least ratio of the rates in the two classes, least log-likelihood ratio; most entries.
-MIN_TOXIC, MIN_RATIO, MIN_G, ENTRIES = 4, 6.0, 16.0, 5_000
+#: Fewest toxic texts with an entry, least ratio of the rates in the two classes, least log-likelihood ratio.
+MIN_TOXIC, MIN_RATIO, MIN_G = 4, 6.0, 16.0
 #: Share of the sample that the trees are fitted on; the rest is for the calibration.
 TREES = 0.7
 #: Lengths of word beginnings.
@@ -101,7 +101,7 @@ class Reader:
 
 
 def learn_lexicons(sample: DataFrame, work: Workspace) -> list[frozenset[str]]:
-    """Entries of sample(text, y, half) that mark toxic texts: those of half 0, of half 1, and of both; at most ENTRIES each."""
+    """Entries of sample(text, y, half) that mark toxic texts: those of half 0, of half 1, and of both; all that pass the tests."""
 
     def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         each: dict[tuple[int, int], Counter] = {(h, y): Counter() for h in (0, 1) for y in (0, 1)}  # of a part of the bounded sample
@@ -128,8 +128,9 @@ def learn_lexicons(sample: DataFrame, work: Workspace) -> list[frozenset[str]]:
         for seen, of in ((a, toxic), (b, clean)):
             for n, p in ((seen, share), (of - seen, 1 - share)):
                 g = g + F.when(n > 0, 2 * n * F.log(n / (of * p))).otherwise(0.0)
-        best = rows.withColumn("g", g).where((ratio >= MIN_RATIO) & (F.col("g") >= MIN_G)).orderBy(F.desc("g"), "e").limit(ENTRIES)
-        out.append(frozenset(r["e"] for r in best.select("e").collect()))
+        best = rows.withColumn("g", g).where((ratio >= MIN_RATIO) & (F.col("g") >= MIN_G)).select("e")
+        out.append(frozenset(best.toArrow()["e"].to_pylist()))  # of the bounded sample
+    work.drop("entries")
     return out
 
 
