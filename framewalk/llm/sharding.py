@@ -27,6 +27,11 @@ def key_of(group: Column, row: Column) -> Column:
     return F.xxhash64(group).bitwiseAND(F.lit(-1 << 24)).bitwiseOR(F.xxhash64(row, F.lit("row")).bitwiseAND(F.lit((1 << 24) - 1)))
 
 
+def tie_of(group: Column, row: Column, *rest: Column) -> Column:
+    """The full hash of the group, the row's id, and the hash of the rest: the same rows get the same places in every run."""
+    return F.struct(F.xxhash64(group, F.lit("tie"), *rest).alias("h"), row.cast("string").alias("id"))
+
+
 def splitters(rows: DataFrame, total: int, ranges: int, sample: int) -> list[int]:
     """At most ranges - 1 boundaries: quantiles of a sample in which a row's chance goes with its size."""
     chance = F.shiftrightunsigned(F.xxhash64("key", "size", F.lit("sample")), 11) / F.lit(float(1 << 53))
@@ -55,14 +60,16 @@ def _ordered(rows: DataFrame, total: int, work: Workspace, ranges: int, sample:
     cells = cut.groupBy("range", "cut").agg(F.sum("size").alias("b"), F.count("*").alias("n"))
     cells = cells.select("range", "cut", F.coalesce(F.sum("b").over(before), F.lit(0)).alias("bytes0"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("rows0"))
     cells = work.keep(cells, "cells")  # at most 2 * ranges rows and one
-    inside = Window.partitionBy("range", "cut").orderBy("key", "size")
+    inside = Window.partitionBy("range", "cut").orderBy("key", "size", "tie")
     upto = F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     placed = cut.join(F.broadcast(cells), ["range", "cut"]).withColumn("middle", 2 * (F.col("bytes0") + upto) - F.col("size")).withColumn("at", F.col("rows0") + F.row_number().over(inside) - 1)
     return placed.drop("range", "cut", "bytes0", "rows0")
 
 
 def place(rows: DataFrame, shards: int, work: Workspace, ranges: int = RANGES, sample: int = SAMPLE) -> DataFrame:
-    """rows (with columns key and size, size at least 1) with shard and slot added, near equal in bytes.
+    """rows (with columns key, size and tie, size at least 1) with shard and slot added, near equal in bytes.
+
+    tie orders what is equal in key and size; rows that are equal in it, too, must be interchangeable.
 
     Rows of more than 1 / GIANT of a shard are fewer than GIANT * shards; they are dealt
     out first, largest first and to and fro.  The others fill what is left of each
@@ -70,7 +77,7 @@ def place(rows: DataFrame, shards: int, work: Workspace, ranges: int = RANGES, s
     """
     total = rows.agg(F.sum("size")).first()[0] or 0
     giant = F.col("size") * F.lit(GIANT * shards) > F.lit(total)
-    turn = F.row_number().over(Window.orderBy(F.desc("size"), "key")) - 1
+    turn = F.row_number().over(Window.orderBy(F.desc("size"), "key", "tie")) - 1
     fro = F.floor(turn / shards) % 2 == 1
     giants = rows.where(giant).withColumn("shard", F.when(fro, shards - 1 - turn % shards).otherwise(turn % shards).cast("int"))
     giants = work.keep(giants, "giants")
@@ -82,7 +89,7 @@ def place(rows: DataFrame, shards: int, work: Workspace, ranges: int = RANGES, s
     few = work.keep(few.withColumn("shard", range_of(F.col("middle"), edges)).drop("middle"), "placed")
     starts = work.keep(few.groupBy("shard").agg(F.min("at").alias("start"), F.count("*").alias("n")), "starts")  # a row a shard
     slots = few.join(F.broadcast(starts.drop("n")), "shard").withColumn("slot", F.col("at") - F.col("start")).drop("at", "start")
-    after = F.row_number().over(Window.partitionBy("shard").orderBy("key", "size")) - 1
+    after = F.row_number().over(Window.partitionBy("shard").orderBy("key", "size", "tie")) - 1
     last = giants.join(F.broadcast(starts.drop("start")), "shard", "left").withColumn("slot", F.coalesce("n", F.lit(0)) + after).drop("n")
     return slots.unionByName(last)
 
@@ -102,7 +109,7 @@ def shard_table(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_
     """
     work = Workspace(docs.sparkSession, "shards")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), text_size(F.col(text_col)).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), key_of(text, F.col(id_col)).alias("key"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), text_size(F.col(text_col)).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), key_of(text, F.col(id_col)).alias("key"), tie_of(text, F.col(id_col)).alias("tie"))
     return place(work.keep(rows, "rows"), shards, work, ranges, sample).select("doc_id", "size", "text_crc32", "shard", "slot")
 
 
@@ -110,7 +117,8 @@ def write_shards(docs: DataFrame, path: str, shards: int = 16, id_col: str = "do
     """Writes the rows of docs as Parquet below path, a folder for each shard, ordered by slot inside each file."""
     work = Workspace(docs.sparkSession, "shards")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), text_size(F.col(text_col)).alias("size"), key_of(text, F.col(id_col)).alias("key"))
+    rest = [F.col(f.name) for f in docs.schema if "map<" not in f.dataType.simpleString()]  # maps have no hash
+    rows = docs.select(F.struct(*docs.columns).alias("row"), text_size(F.col(text_col)).alias("size"), key_of(text, F.col(id_col)).alias("key"), tie_of(text, F.col(id_col), *rest).alias("tie"))
     placed = place(rows, shards, work)
     placed.select("shard", "slot", "row").repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
