@@ -2,9 +2,11 @@
 
 Listed entries are canonical URL heads: a host and the start of a path.  A URL's
 candidates are its host and parent domains, each with its path cut to the
-lengths that occur in the list.  A filter of one-word blocks passes the
-candidates that may be listed; only these are joined with the list, which
-removes the false positives.  All of it is built-in functions.
+lengths that occur in the list.  The filter's blocks are words of 64 bits, a row
+each, so that the filter grows with the list; a candidate meets the one block that its
+hash names, and passes if all its bits are set.  Only candidates that pass
+are joined with the list, which removes the false positives.  All of it is
+built-in functions.
 """
 
 from __future__ import annotations
@@ -12,15 +14,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewalk.llm.common import table
+from framewalk.llm.common import Workspace, table
 from framewalk.llm.lines import LOWER, UPPER
 
 #: Bits that an entry sets in its block.
 BITS = 5
-#: Most blocks (8 bytes each); a longer list only means more false positives, which the join removes.
-MOST_BLOCKS = 1 << 16
-#: Up to so many entries the list is broadcast for the join, beyond it is shuffled.
-BROADCAST = 100_000
+#: Entries for each block of 64 bits.
+LOAD = 4
 
 #: The rules of the query: verdict, host, path.
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -34,8 +34,14 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, "://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def canonical_rules(listed: DataFrame) -> DataFrame:
+    """(verdict, host, path) of listed(verdict, url): the host in lower case, the path / where there is none."""
+    path = path_of(F.col("url"))
+    return listed.select("verdict", host_of(F.col("url")).alias("host"), F.when(path == "", "/").otherwise(path).alias("path"))
+
+
 def _block(entry: Column, blocks: int) -> Column:
-    return F.pmod(F.xxhash64(entry), F.lit(blocks)).cast("int")
+    return F.pmod(F.xxhash64(entry), F.lit(blocks)).cast("long")
 
 
 def _mask(entry: Column) -> Column:
@@ -46,13 +52,9 @@ def _mask(entry: Column) -> Column:
     return out
 
 
-def bloom_blocks(entries: DataFrame, blocks: int) -> list[int]:
-    """The filter's words, `blocks` of them, made by a grouped bit_or over column entry."""
-    set_ = entries.groupBy(_block(F.col("entry"), blocks).alias("b")).agg(F.bit_or(_mask(F.col("entry"))).alias("w")).collect()
-    words = [0] * blocks
-    for r in set_:
-        words[r["b"]] = r["w"]
-    return words
+def bloom_blocks(entries: DataFrame, blocks: int) -> DataFrame:
+    """(b, w): the filter's words that have bits set, made by a grouped bit_or over column entry."""
+    return entries.groupBy(_block(F.col("entry"), blocks).alias("b")).agg(F.bit_or(_mask(F.col("entry"))).alias("w"))
 
 
 def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
@@ -62,26 +64,28 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     the URL's path starts with its path.  The rule with the longest host and path
     wins, then the one with the longer host, then "block" over "allow" if an entry
     is listed with both.  A null URL or one without "://" has an empty host and
-    path, fits no rule and gets the default, as does an empty host.  Rules with a null are ignored.
+    path, fits no rule and gets the default, as does an empty host.  Rules with a null are ignored;
+    A-Z in their hosts count as lower case.
+
+    The filter (two numbers a block) and the list (three an entry) are broadcast while they are
+    small enough, else shuffled; the same rows pass either way.
     """
-    rules = rules.where("verdict is not null and host is not null and path is not null and host <> ''")
-    rules = rules.groupBy(F.concat("host", "path").alias("entry")).agg(F.max("verdict").alias("verdict"), F.max(F.length("host")).alias("hosts"))
-    size = rules.count()
-    blocks = 64
-    while blocks * 4 < size and blocks < MOST_BLOCKS:  # 16 bits an entry
-        blocks *= 2
-    bloom = F.lit(bloom_blocks(rules, blocks)).cast("array<bigint>")
+    work = Workspace(pages.sparkSession, "urls")
+    rules = rules.where("verdict is not null and host is not null and path is not null and host <> ''").withColumn("host", F.translate("host", UPPER, LOWER))
+    rules = work.keep(rules.groupBy(F.concat("host", "path").alias("entry")).agg(F.max("verdict").alias("verdict"), F.max(F.length("host")).alias("hosts")), "rules")
+    blocks = max(64, -(-rules.count() // LOAD))
     lengths = sorted(r[0] for r in rules.select(F.length("entry") - F.col("hosts")).distinct().collect())
     labels = F.split("host", r"\.", -1)
     parents = F.when(F.col("host") != "", F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))).otherwise(F.array().cast("array<string>"))
     heads = F.transform(F.filter(F.lit(lengths).cast("array<int>"), lambda n: n <= F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))
     candidates = F.flatten(F.transform(parents, lambda h: F.transform(heads, lambda p: F.concat(h, p))))
-    may_be = F.filter(candidates, lambda c: F.get(bloom, _block(c, blocks)).bitwiseAND(_mask(c)) == _mask(c))
     parts = pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
-    rows = parts.withColumn("row", F.monotonically_increasing_id()).withColumn("entry", F.explode_outer(may_be))
-    joined = rows.join(F.broadcast(rules) if size <= BROADCAST else rules.hint("shuffle_hash"), "entry", "left")
-    best = F.max(F.when(F.col("verdict").isNotNull(), F.struct(F.length("entry").alias("n"), "hosts", "entry", "verdict")))
-    judged = joined.groupBy("row").agg(F.first("page_id").alias("page_id"), F.first("host").alias("host"), F.first("path").alias("path"), best.alias("best"))
+    rows = work.keep(parts.withColumn("row", F.monotonically_increasing_id()), "rows")
+    asked = rows.select("row", F.explode(candidates).alias("entry")).select("row", "entry", _block(F.col("entry"), blocks).alias("b"), _mask(F.col("entry")).alias("mask"))
+    passed = asked.join(work.side(bloom_blocks(rules, blocks), "bloom", F.lit(2)), "b").where(F.col("w").bitwiseAND(F.col("mask")) == F.col("mask")).select("row", "entry")
+    found = passed.join(work.side(rules, "list", F.lit(3)), "entry")
+    best = found.groupBy("row").agg(F.max(F.struct(F.length("entry").alias("n"), "hosts", "entry", "verdict")).alias("best"))
+    judged = rows.join(best, "row", "left")
     return judged.select("page_id", "host", "path", F.col("best.entry").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
 
 
