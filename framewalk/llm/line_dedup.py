@@ -1,6 +1,6 @@
 """Line dedup by distinct-site spread.
 
-Each normalised line's hash gets a HyperLogLog sketch of its sites; sketches
+Each normalised line's hash gets a HyperLogLog sketch of its sites, task by task; sketches
 merge in the aggregation.  Lines estimated well above the threshold are
 boilerplate, lines well below are not, and lines near it get an exact distinct
 count.  Of each boilerplate line its first occurrence stays, all others go.
@@ -24,12 +24,17 @@ def _text_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def spread_lines(lines: DataFrame, min_sites: int, lg_k: int = LG_K) -> DataFrame:
-    """Hashes h of lines(h, site) seen at min_sites sites or more.  A null site is no site."""
+def spread_lines(lines: DataFrame, min_sites: int, work: Workspace, lg_k: int = LG_K) -> DataFrame:
+    """Hashes h of lines(h, site) seen at min_sites sites or more.  A null site is no site.
+
+    Tasks sketch the lines that they read, and the sketches are merged after the shuffle: a line's rows are never dealt out
+    by its hash.  Only lines near the threshold are read again, for the distinct (line, site).
+    """
     error = 3 * 1.04 / 2 ** (lg_k / 2)
     low, high = min_sites * (1 - error) - 1, min_sites * (1 + error) + 1
     estimated = lines.groupBy("h").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(lg_k))).alias("sites")).where(F.col("sites") >= low)
-    sure, near = estimated.where(F.col("sites") > high).select("h"), estimated.where(F.col("sites") <= high).select("h")
+    estimated = work.keep(estimated, "estimated")
+    sure, near = estimated.where(F.col("sites") > high).select("h"), work.side(estimated.where(F.col("sites") <= high).select("h"), "near")
     exact = lines.join(near, "h", "left_semi").distinct().groupBy("h").agg(F.count("site").alias("n")).where(F.col("n") >= min_sites).select("h")
     return sure.unionByName(exact)
 
@@ -43,7 +48,7 @@ def removals(docs: DataFrame, id_col: str, text_col: str, site_col: str, min_sit
     rows = docs.select(F.col(id_col).alias("id"), _text_key(F.col(text_col)).alias("key"), F.col(site_col).alias("site"), line)
     rows = rows.where("line <> ''").select("id", "key", "site", "pos", F.xxhash64("line").alias("h"))
     rows = work.keep(rows, "lines")
-    spread = work.side(spread_lines(rows.select("h", "site").distinct(), min_sites, lg_k), "spread")
+    spread = work.side(spread_lines(rows.select("h", "site"), min_sites, work, lg_k), "spread")
     found = work.keep(rows.join(spread, "h", "left_semi"), "found")
     first = work.side(found.groupBy("h").agg(F.min(F.struct("id", "key", "pos")).alias("first")), "first", F.lit(4))
     here = F.struct("id", "key", "pos")
@@ -63,6 +68,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     work = Workspace(docs.sparkSession, "linededup")
     gone = removals(docs, id_col, text_col, site_col, min_sites, lg_k, work)
     gone = work.side(gone, "gone", 2 + F.size("gone"))
+    work.drop("lines", "estimated", "near", "spread", "found", "first")
     rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("own_id"), _text_key(F.col(text_col)).alias("own_key"))
     joined = rows.join(gone, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_key") == F.col("key")), "left")
     was = F.col(f"row.`{text_col}`")
