@@ -2,7 +2,7 @@
 
 Normalised lines are hashed and counted over the distinct documents of a host.
 Lines above the limit are taken away; a document that is left with too few of
-its words is rejected.
+its words is rejected.  Copies of a text are read once and weigh by their number.
 """
 
 from __future__ import annotations
@@ -57,21 +57,37 @@ def _key(text_col: str):
 
 
 def counted_lines(docs: DataFrame, text_col: str, host_col: str, work: Workspace) -> DataFrame:
-    """(host, key, h, w): the hashes of a text's normalised lines and the words that it has in each; key is the text's hash."""
+    """(host, key, h, w): the hashes of a text's normalised lines and the words of the line; key is the text's hash."""
     line = F.explode(F.transform(lines_of(F.col(text_col)), normalised)).alias("line")
     rows = docs.select(F.coalesce(F.col(host_col), F.lit("")).alias("host"), _key(text_col).alias("key"), line).where("line <> ''")
     rows = rows.select("host", "key", F.xxhash64("line").alias("h"), F.size(F.split("line", " ")).cast("long").alias("w"))
     return work.keep(rows.groupBy("host", "key", "h").agg(F.sum("w").alias("w")), "lines")
 
 
-def common_lines(lines: DataFrame, min_docs: int, max_share: float, work: Workspace) -> DataFrame:
+def documents_of_texts(docs: DataFrame, id_col: str, text_col: str, host_col: str, copies: bool, work: Workspace) -> DataFrame:
+    """(host, key, docs, filled): the distinct documents with a text, and whether it has a line that is not blank.
+
+    Without copies each text counts as one document.  Rows without an id are a document each.
+    """
+    filled = F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    rows = docs.select(F.coalesce(F.col(host_col), F.lit("")).alias("host"), _key(text_col).alias("key"), F.col(id_col).alias("id"), filled.alias("filled"))
+    if not copies:
+        return work.keep(rows.groupBy("host", "key").agg(F.lit(1).cast("long").alias("docs"), F.max("filled").alias("filled")), "texts")
+    ids = rows.groupBy("host", "key", "id").agg(F.count("*").alias("n"), F.max("filled").alias("filled"))
+    each = F.when(F.col("id").isNull(), F.col("n")).otherwise(1)
+    return work.keep(ids.groupBy("host", "key").agg(F.sum(each).alias("docs"), F.max("filled").alias("filled")), "texts")
+
+
+def common_lines(lines: DataFrame, texts: DataFrame, min_docs: int, max_share: float, work: Workspace) -> DataFrame:
     """(host, h) of the lines in more than min_docs documents and more than the share max_share of the host's.
 
-    Documents are distinct by host and text: exact copies count once, so that a
-    group of copies does not make its own lines common.
+    A host's documents are those with a line that is not blank.  Most texts are of one
+    document: only the others are joined with the lines, by a size-checked broadcast.
     """
-    hosts = lines.select("host", "key").distinct().groupBy("host").agg(F.count("*").alias("docs"))
-    often = lines.groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") > min_docs).join(hosts, "host").where(F.col("n") > max_share * F.col("docs"))
+    hosts = texts.where("filled").groupBy("host").agg(F.sum("docs").alias("docs"))
+    several = work.side(texts.where("docs > 1").select("host", "key", "docs"), "several", F.lit(3))
+    weighed = lines.join(several, ["host", "key"], "left")
+    often = weighed.groupBy("host", "h").agg(F.sum(F.coalesce("docs", F.lit(1))).alias("n")).where(F.col("n") > min_docs).join(hosts, "host").where(F.col("n") > max_share * F.col("docs"))
     return work.side(often.select("host", "h", F.lit(1).alias("common")), "common", F.lit(3))
 
 
@@ -81,14 +97,16 @@ def depleted_texts(lines: DataFrame, common: DataFrame, depleted: float) -> Data
     return lost.where(F.col("lost") > depleted * F.col("all")).select("host", "key")
 
 
-def without_common_lines(docs: DataFrame, text_col: str = "text", host_col: str = "source", min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
+def without_common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, copies: bool = True) -> DataFrame:
     """All rows and columns of docs, the texts without their host's common lines; texts that have none stay as they are."""
     work = Workspace(docs.sparkSession, "rules")
-    common = common_lines(counted_lines(docs, text_col, host_col, work), min_docs, max_share, work)
+    texts = documents_of_texts(docs, id_col, text_col, host_col, copies, work)
+    common = common_lines(counted_lines(docs, text_col, host_col, work), texts, min_docs, max_share, work)
     host = F.coalesce(F.col(host_col), F.lit(""))
     line = F.posexplode(F.transform(lines_of(F.col(text_col)), lambda x: F.xxhash64(normalised(x)))).alias("pos", "h")
     found = docs.select(host.alias("host"), _key(text_col).alias("key"), line).join(common, ["host", "h"], "left_semi")
     gone = work.side(found.groupBy("host", "key").agg(F.collect_set("pos").alias("gone")), "gone", 2 + F.size("gone"))
+    work.drop("lines", "texts", "several", "common")
     rows = docs.select(F.struct("*").alias("row"), host.alias("own_host"), _key(text_col).alias("own_key"))
     joined = rows.join(gone, (F.col("own_host") == F.col("host")) & (F.col("own_key") == F.col("key")), "left")
     was = F.col(f"row.`{text_col}`")
@@ -97,16 +115,20 @@ def without_common_lines(docs: DataFrame, text_col: str = "text", host_col: str
     return joined.select(*(text.alias(c) if c == text_col else F.col(f"row.`{c}`") for c in docs.columns))
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_words: int = 50, max_repeat: int = 50, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, depleted: float = DEPLETED) -> DataFrame:
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_words: int = 50, max_repeat: int = 50, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, depleted: float = DEPLETED, copies: bool = True) -> DataFrame:
     """One row per row of docs: (doc_id, the counts, base_failed, depleted, kept).
 
     base_failed: fewer than min_words words, or more than max_repeat per cent of
     the words in repeated windows of three.  A null text counts as empty (and
-    fails), null hosts count as one host.
+    fails), null hosts count as one host.  Repeated rows (the same id and text) are one document and
+    are judged alike; copies under other ids are documents of their own, unless copies is false.
     """
     work = Workspace(docs.sparkSession, "rules")
     lines = counted_lines(docs, text_col, host_col, work)
-    gone = depleted_texts(lines, common_lines(lines, min_docs, max_share, work), depleted).withColumn("depleted", F.lit(True))
+    texts = documents_of_texts(docs, id_col, text_col, host_col, copies, work)
+    gone = depleted_texts(lines, common_lines(lines, texts, min_docs, max_share, work), depleted).withColumn("depleted", F.lit(True))
+    gone = work.side(gone, "depleted", F.lit(3))  # copies of one text are many rows of base
+    work.drop("lines", "texts", "several", "common")
     base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(host_col), F.lit("")).alias("host"), _key(text_col).alias("key"), counts()(F.col(text_col)).alias("c"))
     base = base.select("doc_id", "host", "key", "c.*").withColumn("base_failed", (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words")))
     judged = base.join(gone, ["host", "key"], "left").withColumn("depleted", F.coalesce("depleted", F.lit(False)))
@@ -130,13 +152,13 @@ repeats AS (
   SELECT doc_id, count(DISTINCT p) AS n
   FROM (SELECT g.doc_id, unnest([g.i, g.i + 1, g.i + 2]) AS p FROM grams g JOIN often o ON g.doc_id = o.doc_id AND g.g = o.g)
   GROUP BY doc_id),
-texts AS (SELECT DISTINCT host, text FROM w),
-rows_ AS (SELECT host, text, {NORMALISED_SQL.format("line")} AS line FROM (SELECT host, text, unnest(string_split(text, chr(10))) AS line FROM texts)),
-filled AS (SELECT host, text, line, len(string_split(line, ' ')) AS n FROM rows_ WHERE line <> ''),
-hosts AS (SELECT host, count(DISTINCT text) AS docs FROM filled GROUP BY host),
+rows_ AS (SELECT doc_id, host, text, {NORMALISED_SQL.format("line")} AS line FROM (SELECT doc_id, host, text, unnest(string_split(text, chr(10))) AS line FROM w)),
+every AS (SELECT doc_id, host, text, line, len(string_split(line, ' ')) AS n FROM rows_ WHERE line <> ''),
+hosts AS (SELECT host, count(DISTINCT doc_id) AS docs FROM every GROUP BY host),
 common AS (
-  SELECT f.host, f.line FROM filled f JOIN hosts h ON f.host = h.host GROUP BY f.host, f.line, h.docs
-  HAVING count(DISTINCT f.text) > {MIN_DOCS} AND count(DISTINCT f.text) > {MAX_SHARE} * h.docs),
+  SELECT f.host, f.line FROM every f JOIN hosts h ON f.host = h.host GROUP BY f.host, f.line, h.docs
+  HAVING count(DISTINCT f.doc_id) > {MIN_DOCS} AND count(DISTINCT f.doc_id) > {MAX_SHARE} * h.docs),
+filled AS (SELECT e.host, e.text, e.line, e.n FROM every e JOIN (SELECT min(doc_id) AS d FROM w GROUP BY host, text) u ON e.doc_id = u.d),
 gone AS (
   SELECT f.host, f.text FROM filled f LEFT JOIN common c ON f.host = c.host AND f.line = c.line
   GROUP BY f.host, f.text HAVING sum(CASE WHEN c.line IS NOT NULL THEN f.n ELSE 0 END) > {DEPLETED} * sum(f.n)),
