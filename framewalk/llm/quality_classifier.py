@@ -22,6 +22,8 @@ from framewalk.llm.labelled import TRAIN_ROWS, held_out, labelled_sample
 
 #: Fewest sample documents with an n-gram in the model.
 MIN_DOCS = 5
+#: Most n-grams of all sample rows together (in expectation); a sample of longer texts has fewer rows.
+TRAIN_NGRAMS = 30_000_000
 #: Share of the sample that only the curve is fitted on.
 CURVE = 0.25
 SEP = "\x1f"
@@ -84,17 +86,19 @@ def log_ratios(counts: np.ndarray, positive: np.ndarray, alpha: float = 1.0) ->
 
 
 def dual_descent(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, size: int, cost: float = 1.0, rounds: int = 12, seed: int = 0) -> np.ndarray:
-    """Weights (a bias last) of the squared-hinge model; classes weigh alike."""
+    """Weights (a bias last) of the hinge-loss model; classes weigh alike.
+
+    A row's dual variable lies between 0 and its cost; each step sets one to where its own slope is 0, or to the nearer end.
+    """
     w = np.zeros(size + 1)
     a = np.zeros(len(rows))
-    share = np.where(y > 0, (y > 0).mean(), (y < 0).mean())
-    slack = share * 2 / (2 * cost)
-    norm = np.array([v @ v + 1 for v in values]) + slack
+    most = cost / (2 * np.where(y > 0, (y > 0).mean(), (y < 0).mean()))
+    norm = np.array([v @ v + 1 for v in values])
     rng = np.random.default_rng(seed)
     for _ in range(rounds):
         for i in rng.permutation(len(rows)):
-            gradient = y[i] * (w[rows[i]] @ values[i] + w[-1]) - 1 + slack[i] * a[i]
-            moved = max(0.0, a[i] - gradient / norm[i])
+            slope = y[i] * (w[rows[i]] @ values[i] + w[-1]) - 1
+            moved = min(most[i], max(0.0, a[i] - slope / norm[i]))
             if step := (moved - a[i]) * y[i]:
                 w[rows[i]] += step * values[i]
                 w[-1] += step
@@ -119,41 +123,43 @@ def logistic_curve(margins: np.ndarray, y01: np.ndarray) -> tuple[float, float]:
 
 
 class Model:
-    """weights: n-gram -> (ratio, ratio * weight); a score is the curve's value at the margin."""
+    """The number of each n-gram, and by number its log-count ratio and that times its weight; a score is the curve's value at the margin."""
 
-    def __init__(self, weights: dict, bias: float, slope: float, offset: float):
-        self.weights, self.bias, self.slope, self.offset = weights, bias, slope, offset
+    def __init__(self, number: dict, ratio: np.ndarray, weighed: np.ndarray, bias: float, slope: float, offset: float):
+        self.number, self.ratio, self.weighed, self.bias, self.slope, self.offset = number, ratio, weighed, bias, slope, offset
 
     def score(self, text: str | None, shapes: Shapes) -> float:
-        margin = self.bias
-        known = self.weights.keys() & ngrams(text, shapes)
-        if known:
-            both = np.array([self.weights[g] for g in known])
-            margin += both[:, 1].sum() / np.sqrt((both[:, 0] ** 2).sum() or 1.0)
+        number = self.number
+        at = np.array(sorted(number[g] for g in number.keys() & ngrams(text, shapes)), np.int64)  # sorted: a sum does not depend on a set's order
+        margin = self.bias + self.weighed[at].sum() / np.sqrt((self.ratio[at] ** 2).sum() or 1.0)
         return float(1 / (1 + np.exp(-np.clip(self.slope * margin + self.offset, -30, 30))))
 
 
-def fit(docs: DataFrame, labels: DataFrame, target: str, bound: int = TRAIN_ROWS, work: Workspace | None = None) -> Model:
-    """The model, from about `bound` labelled rows.
+def fit(docs: DataFrame, labels: DataFrame, target: str, bound: int = TRAIN_ROWS, work: Workspace | None = None, most_ngrams: int = TRAIN_NGRAMS) -> Model:
+    """The model, from about `bound` labelled rows with about `most_ngrams` n-grams in all.
 
     Only the counts of n-grams in MIN_DOCS rows or more and the rows' n-gram numbers come
-    to the driver; the bounded sample bounds both.  Without rows of both classes the score is the smoothed share of label 1.
+    to the driver (4 bytes each there, 12 in the fit); the bounds of the sample bound both.  Without rows of both classes the score is
+    the smoothed share of label 1.
     """
     work = work or Workspace(docs.sparkSession, "nbsvm")
 
     def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shapes = Shapes()
         for b in batches:
-            yield pd.DataFrame({"y": b["y"], "u": b["u"], "grams": [[key(g) for g in ngrams(t, shapes)] for t in b["text"]]})
+            yield pd.DataFrame({"y": b["y"], "u": b["u"], "v": b["v"], "grams": [sorted(map(key, ngrams(t, shapes))) for t in b["text"]]})
 
-    rows = work.keep(labelled_sample(docs, labels, target, bound).mapInPandas(grams, "y int, u double, grams array<string>"), "grams")
+    sample = labelled_sample(docs, labels, target, bound).withColumn("v", F.pmod(F.xxhash64("text", F.lit("size")), F.lit(1_000_000)) / 1_000_000)
+    rows = work.keep(sample.mapInPandas(grams, "y int, u double, v double, grams array<string>"), "grams")
+    total = rows.agg(F.sum(F.size("grams"))).first()[0] or 0
+    rows = rows.where(F.col("v") < most_ngrams / max(total, most_ngrams))
     counted = rows.where(F.col("u") >= CURVE).select("y", F.explode("grams").alias("g")).groupBy("g").agg(F.count("*").alias("n"), F.sum("y").alias("p")).where(F.col("n") >= MIN_DOCS)
     vocabulary = counted.orderBy(F.desc("n"), "g").toArrow()
     keys, n, p = vocabulary["g"].to_pylist(), *(vocabulary[c].to_numpy().astype(float) for c in ("n", "p"))
     by = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
     if not keys or not by.get(0) or not by.get(1):
         share = (by.get(1, 0) + 1) / (sum(by.values()) + 2)
-        return Model({}, 0.0, 0.0, float(np.log(share / (1 - share))))
+        return Model({}, np.zeros(0), np.zeros(0), 0.0, 0.0, float(np.log(share / (1 - share))))
     number = {g: i for i, g in enumerate(keys)}
     ratio = log_ratios(n, p)
 
@@ -161,7 +167,8 @@ def fit(docs: DataFrame, labels: DataFrame, target: str, bound: int = TRAIN_ROWS
         for b in batches:
             yield pd.DataFrame({"y": b["y"], "u": b["u"], "ids": [sorted(number[g] for g in x if g in number) for x in b["grams"]]})
 
-    sample = rows.mapInPandas(numbers, "y int, u double, ids array<int>").orderBy("u", "ids").toArrow().combine_chunks()
+    sample = rows.select("y", "u", "grams").mapInPandas(numbers, "y int, u double, ids array<int>").orderBy("u", "ids").toArrow().combine_chunks()
+    work.drop("grams")
     held = sample["ids"].chunk(0)
     ends, flat = held.offsets.to_numpy(), held.values.to_numpy(zero_copy_only=False)
     ids = [flat[s:e] for s, e in zip(ends, ends[1:])]
@@ -173,7 +180,7 @@ def fit(docs: DataFrame, labels: DataFrame, target: str, bound: int = TRAIN_ROWS
     margins = np.array([w[i] @ v + w[-1] for i, v in zip(ids, values)])
     curve = ~fitting if len(set(y[~fitting])) == 2 else fitting
     slope, offset = logistic_curve(margins[curve], y[curve].astype(float))
-    return Model({gram(g): (float(ratio[i]), float(ratio[i] * w[i])) for i, g in enumerate(keys)}, float(w[-1]), slope, offset)
+    return Model({gram(g): i for g, i in number.items()}, ratio, ratio * w[:-1], float(w[-1]), slope, offset)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, target: str = "quality", threshold: float = 0.3, bound: int = TRAIN_ROWS) -> DataFrame:
