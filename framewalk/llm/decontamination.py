@@ -3,7 +3,8 @@
 Word n-grams of the test items are looked up in every document.  Where a document
 has some, however frequent, the passage around them is cut out.  Local alignment
 then scores every pair of passage and item, so that edited copies are found too;
-only a pair whose common words are too few for the score is not aligned.
+only a pair whose common words are too few for the score is not aligned.  An alignment holds
+two rows of its table at a time, so that its memory goes with the passage, whatever the item's length.
 """
 
 from __future__ import annotations
@@ -20,13 +21,15 @@ from pyspark.sql import functions as F
 
 from framewalk.llm.common import Workspace, table
 
-#: Words of a seed.
-SEED = 5
+#: Words of a seed, and the fewest words of an item that is looked for: shorter ones are in texts that have nothing to do with it.
+SEED, MIN_WORDS = 5, 5
 #: Alignment score, as a share of the item's own, from which on a document is contaminated.
 SCORE = 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Words of test items that are looked up in one pass; more items mean more passes.
 BLOCK_WORDS = 1_000_000
+#: Words of a document whose n-grams are made at a time.
+PART = 1 << 16
 
 _token = re.compile(r"\w+")
 
@@ -35,13 +38,13 @@ def words_of(text: str | None) -> list[str]:
     return _token.findall((text or "").lower())
 
 
-def seed_index(items: list[tuple[int, str | None]], n: int = SEED) -> tuple[dict[int, dict[tuple[str, ...], list[int]]], dict[int, int]]:
-    """By length, each seed's items; and the items' lengths.  An item of fewer words is one seed as a whole."""
+def seed_index(items: list[tuple[int, str | None]], n: int = SEED, least_words: int = MIN_WORDS) -> tuple[dict[int, dict[tuple[str, ...], list[int]]], dict[int, int]]:
+    """By length, each seed's items; and the items' lengths.  An item of fewer words than a seed is one seed as a whole."""
     index: dict[int, dict[tuple[str, ...], list[int]]] = defaultdict(lambda: defaultdict(list))
     lengths = {}
     for k, text in items:
         w = words_of(text)
-        if not w:
+        if len(w) < max(1, least_words):
             continue
         lengths[k] = len(w)
         size = min(n, len(w))
@@ -55,13 +58,14 @@ def passages(text: str | None, index: dict, lengths: dict[int, int]) -> Iterator
     w = words_of(text)
     found: dict[int, list[int]] = defaultdict(list)
     for size, seeds in index.items():
-        grams = list(zip(*(w[i:] for i in range(size))))
-        hits = seeds.keys() & set(grams)
-        if hits:
-            for at, g in enumerate(grams):
-                if g in hits:
-                    for item in seeds[g]:
-                        found[item].append(at)
+        for start in range(0, len(w), PART):
+            grams = list(zip(*(w[start + i : start + i + PART] for i in range(size))))
+            hits = seeds.keys() & set(grams)
+            if hits:
+                for at, g in enumerate(grams, start):
+                    if g in hits:
+                        for item in seeds[g]:
+                            found[item].append(at)
     for item, hits in found.items():
         hits.sort()
         reach = lengths[item]
@@ -73,38 +77,62 @@ def passages(text: str | None, index: dict, lengths: dict[int, int]) -> Iterator
                 start = k
 
 
-def align(passage: list[str], item: list[str]) -> tuple[float, int, int]:
-    """Smith-Waterman over words: score as a share of the item's own, and the passage's words (first, end) it covers."""
-    if not passage or not item:
-        return 0.0, 0, 0
+def _codes(passage: list[str], item: list[str]) -> tuple[np.ndarray, list[int]]:
     codes = {x: i for i, x in enumerate(dict.fromkeys(item))}
-    p = np.array([codes.get(x, -1) for x in passage])
-    steps = np.arange(len(p) + 1) * -GAP
-    rows = np.zeros((len(item) + 1, len(p) + 1), np.int32)
-    for i, x in enumerate(item):
-        above = rows[i]
+    return np.array([codes.get(x, -1) for x in passage], np.int32), [codes[x] for x in item]
+
+
+def _best_end(p: np.ndarray, item: list[int]) -> tuple[int, int, int]:
+    """(score, item words, passage words) up to the end of the best local alignment, the first of equals."""
+    steps = np.arange(len(p) + 1, dtype=np.int32) * -GAP
+    row, top, at, end = np.zeros(len(p) + 1, np.int32), 0, 0, 0
+    for i, x in enumerate(item, 1):
         best = np.zeros(len(p) + 1, np.int32)
-        np.maximum(above[1:] + GAP, above[:-1] + np.where(p == codes[x], MATCH, MISMATCH), out=best[1:])
+        np.maximum(row[1:] + GAP, row[:-1] + np.where(p == x, MATCH, MISMATCH), out=best[1:])
         np.maximum(best, 0, out=best)
-        rows[i + 1] = np.maximum.accumulate(best + steps) - steps
-    i, j = np.unravel_index(rows.argmax(), rows.shape)
-    top, end = int(rows[i, j]), int(j)
-    while i and j and rows[i, j]:
-        if rows[i, j] == rows[i - 1, j - 1] + (MATCH if p[j - 1] == codes[item[i - 1]] else MISMATCH):
-            i, j = i - 1, j - 1
-        elif rows[i, j] == rows[i - 1, j] + GAP:
-            i -= 1
-        else:
-            j -= 1
-    return top / (MATCH * len(item)), int(j), end
-
-
-def _block(docs: DataFrame, items: list[tuple[int, object, str | None]], item_type: str, n: int, least: float) -> DataFrame:
+        row = np.maximum.accumulate(best + steps) - steps
+        if (high := int(row.max())) > top:
+            top, at, end = high, i, int(row.argmax())
+    return top, at, end
+
+
+def _reach(p: np.ndarray, item: list[int], score: int) -> int:
+    """The fewest passage words in which an alignment that begins with both has the score."""
+    steps = np.arange(len(p) + 1, dtype=np.int32) * -GAP
+    row, fewest = -steps, len(p) + 1
+    for i, x in enumerate(item, 1):
+        best = np.empty(len(p) + 1, np.int32)
+        best[0] = i * GAP
+        np.maximum(row[1:] + GAP, row[:-1] + np.where(p == x, MATCH, MISMATCH), out=best[1:])
+        row = np.maximum.accumulate(best + steps) - steps
+        there = np.flatnonzero(row[:fewest] >= score)
+        fewest = int(there[0]) if there.size else fewest
+    return fewest
+
+
+def align(passage: list[str], item: list[str], least: float = 0.0) -> tuple[float, int, int]:
+    """Smith-Waterman over words: score as a share of the item's own, and the passage's words (first, end) it covers.
+
+    The end is that of the first best alignment, the start is found by aligning backwards from there.  Below the
+    share `least` the words are not looked for: (score, 0, 0).
+    """
+    if not passage or not item:
+        return 0.0, 0, 0
+    p, codes = _codes(passage, item)
+    top, at, end = _best_end(p, codes)
+    share = top / (MATCH * len(item))
+    if not top or share < least:
+        return share, 0, 0
+    back = p[max(0, end - 3 * at) : end][::-1]  # no alignment is longer: each word beyond the item's costs 1 of at most 2 * at
+    return share, end - _reach(back, codes[:at][::-1], top), end
+
+
+def _block(docs: DataFrame, items: list[tuple[int, object, str | None]], item_type: str, n: int, least: float, least_words: int) -> DataFrame:
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast([(k, text) for k, _, text in items])  # at most BLOCK_WORDS words, or one item
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index, lengths = seed_index(held.value, n)
+        index, lengths = seed_index(held.value, n, least_words)
         texts = dict(held.value)
 
         @cache
@@ -115,7 +143,7 @@ def _block(docs: DataFrame, items: list[tuple[int, object, str | None]], item_ty
             for k, low, passage in passages(text, index, lengths):
                 item, counts = item_words(k)
                 if (Counter(passage) & counts).total() / len(item) >= least:  # no alignment scores more than its words match
-                    score, start, end = align(passage, item)
+                    score, start, end = align(passage, item, least)
                     if score >= least:
                         yield k, score, low + start, low + end
 
@@ -129,12 +157,12 @@ def _block(docs: DataFrame, items: list[tuple[int, object, str | None]], item_ty
     return rows.join(F.broadcast(ids), "item").select("doc_id", "item_id", "score", "start_word", "end_word")
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", seed: int = SEED, score: float = SCORE) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", seed: int = SEED, score: float = SCORE, min_words: int = MIN_WORDS) -> DataFrame:
     """A row for each pair of document and test item that align: (doc_id, item_id, score, start_word, end_word).
 
     The words are runs of \\w in lower case; the span is the best one of the
     document, counted in its words, the end not included.  Null and empty texts
-    and items without words give no rows.  Documents that share an id are taken as one.
+    and items of fewer than min_words words give no rows.  Documents that share an id are taken as one.
     """
     Workspace(docs.sparkSession, "leaks")  # sets the session up
     item_type = benchmark.schema[item_col].dataType.simpleString()
@@ -145,7 +173,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     out = None
     for b in range(blocks):
         block = [(k, *r) for k, r in enumerate(items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect())]
-        found = _block(rows, block, item_type, seed, score)
+        found = _block(rows, block, item_type, seed, score, min_words)
         out = found if out is None else out.unionByName(found)
     best = out.groupBy("doc_id", "item_id").agg(F.max(F.struct("score", -F.col("start_word"), -F.col("end_word"))).alias("b"))
     return best.select("doc_id", "item_id", F.col("b.score").alias("score"), (-F.col("b.col2")).alias("start_word"), (-F.col("b.col3")).alias("end_word"))
