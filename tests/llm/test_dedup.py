@@ -77,7 +77,7 @@ def test_tile_links():
         assert len(u) < len(ids)
 
 
-@pytest.mark.parametrize("tile", [8192, 8])
+@pytest.mark.parametrize("tile", [simhash.TILE, 8])
 def test_near_duplicates(spark, tile):
     rng = random.Random(7)
     words = [f"w{k}" for k in range(300)]
@@ -156,7 +156,19 @@ def test_dedup_lines(spark):
 def test_spread_is_exact_near_the_threshold(spark):
     data = [(h, f"site{s}") for h in range(40) for s in range(h)]
     lines = spark.createDataFrame(data, "h long, site string")
-    assert {r["h"] for r in line_dedup.spread_lines(lines, 20).collect()} == set(range(20, 40))
+    assert {r["h"] for r in line_dedup.spread_lines(lines, 20, Workspace(spark, "test")).collect()} == set(range(20, 40))
+
+
+def test_lines_are_sketched_where_they_are_read(spark, monkeypatch):
+    """No distinct of all lines: the sketches are made before the shuffle, and only lines near the threshold are compared exactly."""
+    plans = []
+    keep = Workspace.keep
+    monkeypatch.setattr(Workspace, "keep", lambda self, frame, name: (plans.append((name, frame._jdf.queryExecution().executedPlan().toString())), keep(self, frame, name))[1])
+    data = [(k, f"line {k % 40}\nother {k}", f"s{k % 25}") for k in range(200)]
+    line_dedup.dedup_lines(spark.createDataFrame(data, "doc_id long, text string, source string")).count()
+    plan = dict(plans)["estimated"]
+    above, below = plan.split("Exchange hashpartitioning")  # one shuffle, of sketches
+    assert "partial_hll_sketch_agg" in below and "keys=[h#" in below
 
 
 def test_null_ids_and_repeats(spark):

@@ -92,8 +92,86 @@ def test_every_frequent_ngram_is_kept(spark):
     words = " ".join(f"w{k}" for k in range(35_000))
     docs = spark.createDataFrame([(k, f"{words} tail{k}") for k in range(30)], "doc_id long, text string")
     labels = spark.createDataFrame([(k, k % 2) for k in range(30)], "doc_id long, quality int")
-    weights = quality_classifier.fit(docs, labels, "quality").weights
-    assert {f"w{k}" for k in range(35_000)} | {(f"w{k}", f"w{k + 1}") for k in range(34_999)} <= weights.keys()
+    number = quality_classifier.fit(docs, labels, "quality").number
+    assert {f"w{k}" for k in range(35_000)} | {(f"w{k}", f"w{k + 1}") for k in range(34_999)} <= number.keys()
+    few = quality_classifier.fit(docs, labels, "quality", most_ngrams=1)  # very long texts: fewer rows, here none
+    assert not few.number
+
+
+def test_hinge_loss_optimum():
+    """At the end no row's dual variable could move: 0 beyond the margin, its cost inside, between them on it."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(120, 4))
+    y = np.where(x[:, 0] - x[:, 1] + rng.normal(size=120) > 0.4, 1.0, -1.0)
+
+    def loss(w):
+        share = np.where(y > 0, (y > 0).mean(), (y < 0).mean())
+        return w @ w / 2 + (np.maximum(0, 1 - y * (x @ w[:4] + w[4])) / (2 * share)).sum()
+
+    w = quality_classifier.dual_descent([np.arange(4)] * 120, list(x), y, 4, rounds=400)
+    assert all(loss(w) <= loss(w + rng.normal(size=5) * s) * 1.001 for s in (1e-3, 1e-2, 0.1, 1) for _ in range(50))
+
+
+def test_log_ratios():
+    n, p = np.array([10.0, 10, 4]), np.array([9.0, 1, 2])
+    a, b = p + 1, n - p + 1
+    assert np.allclose(quality_classifier.log_ratios(n, p), np.log(a / a.sum()) - np.log(b / b.sum()))
+
+
+def test_ngrams():
+    grams = quality_classifier.ngrams("The the 12 cats!", quality_classifier.Shapes())
+    assert grams == {"The", "the", "12", "cats", "!", ("The", "the"), ("the", "12"), ("12", "cats"), ("cats", "!"), ("Xx", "x", "0"), ("x", "0", "x"), ("0", "x", "!")}
+    assert quality_classifier.ngrams(None, quality_classifier.Shapes()) == {("", "empty", "")}
+    assert all(quality_classifier.gram(quality_classifier.key(g)) == g for g in grams)
+
+
+def test_scores_do_not_depend_on_the_order_of_sets():
+    """The same in processes that hash strings in another way."""
+    import os
+    import subprocess
+    import sys
+
+    code = (
+        "import numpy as np; from framewalk.llm import quality_classifier as q; rng = np.random.default_rng(0);"
+        "text = ' '.join('a%d a%d' % (k, k) for k in range(40)) + ' ' + ' '.join('b%d' % (k % 37) for k in range(90)); s = q.Shapes(); g = sorted(q.ngrams(text, s), key=repr);"
+        "m = q.Model({x: i for i, x in enumerate(g)}, rng.normal(size=len(g)), rng.normal(size=len(g)), .1, 1., .2); print(repr(m.score(text, s)))"
+    )
+    root = os.path.dirname(os.path.abspath(corpus_pipeline.__file__))
+    said = {subprocess.run([sys.executable, "-c", code], cwd=root, env=os.environ | {"PYTHONHASHSEED": str(k)}, capture_output=True, text=True, timeout=120).stdout for k in range(5)}
+    assert len(said) == 1 and float(said.pop()) > 0
+
+
+def test_toxic_features():
+    read = toxicity.Reader(frozenset({"idiot", "stup-"}))
+    f = dict(zip(toxicity.FEATURES, read.features("You are an IDIOT, so stupid! 1d10t i-d-iot? ok ok 7")))
+    n = 11
+    assert f["lexicon"] == 1 / n and f["stems"] == 1 / n and f["second"] == 1 / n
+    assert f["obfuscated"] == 2 / n and f["obfuscated_hits"] == 2 / n  # both read idiot
+    assert f["second_near"] == 1 / n and f["capital_words"] == 1 / n and f["exclaims"] == 1 / n and f["questions"] == 1 / n
+    assert f["log_hits"] == np.log1p(4) and f["densest"] == 4
+    assert read.features(None) == read.features(" \n") == [0.0] * len(toxicity.FEATURES)
+    long = read.features("you idiot " * 200_000)
+    assert abs(long[toxicity.FEATURES.index("lexicon")] - 0.5) < 1e-9
+
+
+def test_lexicon(spark):
+    """Entries much more frequent in toxic texts, of each half and of both, however many they are; frequent and rare words are not."""
+    rows_ = [(f"the vile{k % 2} word and thing{k}", 1, k % 2) for k in range(40)] + [(f"the kind word and thing{k}", 0, k % 2) for k in range(40)]
+    sample = spark.createDataFrame(rows_, "text string, y int, half int")
+    first, second, both = toxicity.learn_lexicons(sample, Workspace(spark, "test"))
+    assert "vile0" in first and "vile1" not in first and "vile1" in second and {"vile0", "vile1", "vile-"} <= both
+    assert not {"the", "word", "kind", "thing1"} & both
+    many = [(" ".join(f"bad{j}" for j in range(6000)) if k % 2 else "good text", k % 2, k // 2 % 2) for k in range(60)]
+    assert len(toxicity.learn_lexicons(spark.createDataFrame(many, "text string, y int, half int"), Workspace(spark, "test"))[2] - {"bad0"}) >= 5999
+
+
+def test_isolated_toxic_labels(spark):
+    """Held-out labels, languages, sources and ids do not enter a score."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    turned = labels.selectExpr("doc_id", "case when crc32(cast(cast(doc_id as string) as binary)) % 5 = 0 then 1 - toxic else toxic end as toxic")
+    made = rows(toxicity.toxicity_scores(docs, labels))
+    assert made == rows(toxicity.toxicity_scores(docs.withColumns({"lang": docs["doc_id"].cast("string"), "source": docs["text"]}), turned))
 
 
 def test_pipeline(spark, tmp_path):
