@@ -23,8 +23,9 @@ from framewalk.llm.common import Workspace, table
 # Elements by their part in a page.
 BREAKS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav noscript ol optgroup option p pre search section select summary table tbody td template textarea tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-NEVER = frozenset("nav footer aside form menu dialog template noscript button select textarea option svg math object canvas head search".split())
+NEVER = frozenset("nav footer aside menu dialog template noscript button select textarea option svg math object canvas head title search".split())
 ALWAYS = frozenset("article main".split())
+HEAD_ONLY = frozenset("title noscript template".split())
 CLOSED_BY_BLOCK = frozenset("p h1 h2 h3 h4 h5 h6".split())
 CLOSED_BY_SAME = {"li": "li", "dd": "dd dt", "dt": "dd dt", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}
 
@@ -33,82 +34,143 @@ BAD_WORDS = frozenset("ad ads adv advert adverts advertisement advertising spons
 HEADS = frozenset("header heading hd head".split())
 GOOD_WORDS = frozenset("content article post entry story body main maintext text".split())
 READERS = frozenset("comment comments commentlist disqus reply replies respond responses discussion".split())
-LAYOUT = frozenset("with without has no and page layout wrapper wrap outer".split())
-
-RAW = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(script|style)\b[^>]*+>.*?(?:</\1\s*>|\Z)|<(title|textarea|iframe|xmp|noembed|noframes)\b[^>]*+>.*?</\2\s*>", re.S | re.I)
-TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+LAYOUT = frozenset("with without has no none and page layout wrapper wrap outer".split())
+
+RAW = re.compile(r"<!--|<!\[CDATA\[|<(script|style|title|textarea|iframe|xmp|noembed|noframes)\b", re.I)
+SHUT = {tag: re.compile(rf"</{tag}\b[^>]*>", re.I) for tag in "script style title textarea iframe xmp noembed noframes".split()}
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>", re.S)
+ODD_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 RIGHTS = re.compile(r"©|\bcopyright\b|all rights reserved", re.I)
 
-#: Log odds that a block's place gives, by what contains it; and the strength of a link between neighbours.
-BAD, GOOD, HINT = -7.0, 3.0, 1.0
-NEXT, SAME = 0.8, 0.6
-#: A container that is bad by its class alone, yet holds more than this share of a page's text, is not.
+#: Characters in which a tag with quoted values must end; one that does not ends at its first ">", and the next
+#: is given half as many, down to the least.
+LONGEST_TAG, LEAST_TAG = 1 << 14, 1 << 8
+#: Log odds that a block's place gives: in readers' comments or out of sight; in an element that is no content; in one that only its class
+#: (or being a form) makes such; in an article; in what its class calls content.
+READER, ELEMENT, CLASS, GOOD, HINT = -5.0, -4.5, -3.5, 2.5, 1.0
+#: Strength of the link between neighbours of one container, halved for each step between their containers; between a block and the one before it in its container.
+NEXT, SAME = 0.8, 0.7
+#: What only its class makes bad, a form, or an element that is never closed, yet holds more than this share of a page's text, is not bad.
 HOLDS = 0.7
 
 
 class Block:
-    __slots__ = ("text", "links", "tag", "path", "place", "by_class")
-
-    def __init__(self, text: str, links: float, tag: str, path: tuple[int, ...], place: float, by_class: int):
-        self.text, self.links, self.tag, self.path, self.place, self.by_class = text, links, tag, path, place, by_class
+    __slots__ = ("text", "links", "tag", "path", "good", "bad")
+
+    def __init__(self, text: str, links: float, tag: str, path: tuple[int, ...], good: float, bad: int):
+        self.text, self.links, self.tag, self.path, self.good, self.bad = text, links, tag, path, good, bad
+
+
+class Bad:
+    """A container that is no content by itself, inside another such one (by its place in the list)."""
+
+    __slots__ = ("inside", "odds", "soft", "held")
+
+    def __init__(self, inside: int, odds: float, soft: bool):
+        self.inside, self.odds, self.soft, self.held = inside, odds, soft, 0
+
+
+def without_raw(page: str) -> str:
+    """A page without comments and the elements whose content is not markup; each search goes on where the last one ended."""
+    out, at, unclosed = [], 0, set()
+    while m := RAW.search(page, at):
+        tag = (m[1] or "").lower()
+        end = -1
+        if tag:
+            start = page.find(">", m.end())
+            if start >= 0 and tag not in unclosed:
+                found = SHUT[tag].search(page, start)
+                end = found.end() if found else -1
+        else:
+            mark = "-->" if m[0] == "<!--" else "]]>"
+            found_at = page.find(mark, m.end() - (2 if mark == "-->" else 0))
+            end = found_at + 3 if found_at >= 0 else -1
+        if end < 0 and tag not in ("", "script", "style"):  # read as any other element
+            unclosed.add(tag)
+            out.append(page[at : m.end()])
+            at = m.end()
+            continue
+        out += (page[at : m.start()], " ")
+        if end < 0:
+            return "".join(out)
+        at = end
+    out.append(page[at:])
+    return "".join(out)
 
 
-def place_of(tag: str, attributes: str, place: float, inside: bool) -> tuple[float, bool]:
-    """What a container adds: its place, given its parent's, and whether only its class makes it bad."""
-    if place <= BAD or tag in NEVER:
-        return BAD, False
+def evidence(tag: str, attributes: str, inside: bool) -> tuple[float, bool, float]:
+    """What a container tells of the blocks in it: (bad odds or 0, whether only softly so, good odds or 0)."""
     words: set[str] = set()
     bad: set[str] = set()
     if attributes:
         for name, value in ATTRIBUTE.findall(attributes):
             name, value = name.lower(), value.strip("\"'")
-            if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                return BAD, False
+            if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and UNSEEN.search(value):
+                return READER, False, 0.0
             if name in ("class", "id", "role"):
                 for token in value.split():
                     own = {w.lower() for w in WORD.findall(token)}
                     words |= own
                     if not own & LAYOUT:  # "content-with-sidebar" holds more than a sidebar
                         bad |= own & BAD_WORDS
+    if tag in NEVER:
+        return ELEMENT, False, 0.0
     if tag not in ("html", "body", "main"):
-        if bad:
-            return BAD, not (tag in ALWAYS or bad & READERS)
+        if bad & READERS:
+            return READER, False, 0.0
+        if bad or tag == "form":
+            return CLASS, True, GOOD if tag in ALWAYS else 0.0
         if (tag == "header" or words & HEADS) and not (inside or words & GOOD_WORDS):
-            return BAD, tag != "header"
-    if tag in ALWAYS:
-        return GOOD, False
-    return max(place, HINT) if words & GOOD_WORDS else place, False
+            return (ELEMENT, False, 0.0) if tag == "header" else (CLASS, True, 0.0)
+    return 0.0, False, GOOD if tag in ALWAYS else HINT if words & GOOD_WORDS else 0.0
 
 
-def blocks_of(page: str) -> list[Block]:
-    """The blocks of text of a page, in order."""
-    page = RAW.sub(" ", page)
+def blocks_of(page: str) -> tuple[list[Block], list[Bad]]:
+    """The blocks of text of a page, in order, and the containers that are no content by themselves (the first one is none)."""
+    page = without_raw(page)
     out: list[Block] = []
-    stack: list[tuple[str, int, float, bool, int]] = [("", 0, 0.0, False, 0)]  # tag, number, place, inside an article, its bad class
+    bads = [Bad(0, 0.0, False)]
+    stack: list[tuple[str, int, float, bool, int]] = [("", 0, 0.0, False, 0)]  # tag, number, good odds, inside an article, bad container
     text: list[str] = []
     size = [0, 0]  # characters: all, linked
-    link = made = at = 0
-    skipped: list[str] = []  # open inline elements that are bad by their class, up to the next block
+    link = made = at = look = 0
+    reach = LONGEST_TAG
+    skipped: list[str] = []  # open inline elements that are bad by themselves, up to the next block
 
     def flush() -> None:
         if text:
             words = " ".join("".join(text).split())
             if words:
                 top = stack[-1]
+                bads[top[4]].held += len(words)
                 out.append(Block(words, size[1] / max(1, size[0]), top[0], tuple(x[1] for x in stack[-4:]), top[2], top[4]))
             text.clear()
             size[:] = 0, 0
 
-    for m in TAG.finditer(page):
-        if m.start() > at and not skipped:
-            piece = page[at : m.start()]
+    def leave(k: int, shut: bool) -> None:
+        """Ends the containers from the k-th on; one that has no end of its own is not believed as firmly."""
+        for j in range(k + shut, len(stack)):
+            if stack[j][0] in NEVER and stack[j][4] and stack[j][4] != stack[j - 1][4]:
+                bads[stack[j][4]].soft = True
+        del stack[k:]
+
+    while (start := page.find("<", look)) >= 0:
+        m = TAG.match(page, start, start + reach)
+        reach = LONGEST_TAG if m else max(LEAST_TAG, reach // 2)
+        m = m or ODD_TAG.match(page, start)
+        look = m.end() if m else start + 1
+        if not m:
+            continue
+        if start > at and not skipped:
+            piece = page[at:start]
             text.append(entities.unescape(piece) if "&" in piece else piece)
             size[0] += len(piece)
             size[1] += len(piece) if link else 0
-        at = m.end()
-        shut, tag, attributes = m.group(1, 2, 3) if m[2] else m.group(4, 5, 6)
+        at = look
+        shut, tag, attributes = m.group(1, 2, 3)
         if not tag:
             continue
         tag = tag.lower()
@@ -118,7 +180,7 @@ def blocks_of(page: str) -> list[Block]:
                     del skipped[len(skipped) - 1 - skipped[::-1].index(tag) :]
                 elif not shut and tag == skipped[0]:
                     skipped.append(tag)
-            elif not shut and attributes and tag not in VOID and place_of(tag, attributes, 0.0, True)[0] <= BAD:
+            elif not shut and attributes and tag not in VOID and evidence(tag, attributes, True)[0] < 0:
                 skipped.append(tag)
             if tag == "a":
                 link = 0 if shut else 1
@@ -130,11 +192,15 @@ def blocks_of(page: str) -> list[Block]:
         if shut:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] == tag:
-                    del stack[k:]
+                    leave(k, True)
                     break
             continue
         if tag in VOID:
             continue
+        if tag == "body":
+            leave(1, False)
+        while stack[-1][0] in ("head", "title") and tag not in HEAD_ONLY:  # neither needs an end tag
+            stack.pop()
         if stack[-1][0] in CLOSED_BY_BLOCK:
             stack.pop()
         same = CLOSED_BY_SAME.get(tag)
@@ -142,17 +208,31 @@ def blocks_of(page: str) -> list[Block]:
             stack.pop()
         above = stack[-1]
         made += 1
-        place, by_class = place_of(tag, attributes, above[2], above[3])
-        stack.append((tag, made, place, above[3] or tag in ALWAYS, above[4] or (made if by_class and above[2] > BAD else 0)))
+        bad, soft, good = evidence(tag, attributes, above[3])
+        if bad:
+            bads.append(Bad(above[4], bad, soft))
+        stack.append((tag, made, max(above[2], good), above[3] or tag in ALWAYS, len(bads) - 1 if bad else above[4]))
     if at < len(page) and not skipped:
         text.append(entities.unescape(page[at:]))
         size[0] += len(page) - at
     flush()
-    return out
+    leave(1, False)
+    return out, bads
+
+
+def places_of(blocks: list[Block], bads: list[Bad]) -> list[float]:
+    """The log odds that each block's place gives."""
+    for k in range(len(bads) - 1, 0, -1):  # what is inside comes later
+        bads[bads[k].inside].held += bads[k].held
+    total = bads[0].held
+    odds = [0.0]
+    for b in bads[1:]:
+        odds.append(min(odds[b.inside], 0.0 if b.soft and b.held > HOLDS * total else b.odds))
+    return [odds[b.bad] or b.good for b in blocks]
 
 
 def log_odds(b: Block, place: float) -> float:
-    """The classifier: log odds that the block is content."""
+    """The classifier: log odds that the block is content, by its own text and its place."""
     words = b.text.count(" ") + 1
     out = place - 0.6 + min(2.5, 0.9 * math.log(words)) - 4.0 * b.links
     if b.text[-1] in ".!?…:;\"”»":
@@ -235,8 +315,8 @@ def smoothness(blocks: list[Block]) -> list[tuple[int, int, float]]:
         path = b.path
         if k:
             before = blocks[k - 1].path
-            shared = len(set(path) & set(before))
-            out.append((k - 1, k, NEXT / (1 + len(path) + len(before) - 2 * shared)))
+            steps = max(len(path), len(before)) - len(set(path) & set(before))
+            out.append((k - 1, k, NEXT / 2 ** max(0, steps - 1)))
         home = path[-2] if len(path) > 1 else 0
         j = last.get(home)
         if j is not None:
@@ -245,20 +325,20 @@ def smoothness(blocks: list[Block]) -> list[tuple[int, int, float]]:
     return out
 
 
+def labels_of(blocks: list[Block], bads: list[Bad]) -> tuple[list[float], list[bool]]:
+    """The classifier's log odds of each block, and which blocks are content by the minimum cut."""
+    odds = [log_odds(b, place) for b, place in zip(blocks, places_of(blocks, bads))]
+    if all(x > 0 for x in odds):
+        return odds, [True] * len(odds)
+    return odds, min_cut(odds, smoothness(blocks))
+
+
 def main_text(page: str | None) -> str:
     """The content blocks of a page, one a line."""
     if not page:
         return ""
-    blocks = blocks_of(page)
-    held: dict[int, int] = {}
-    for b in blocks:
-        held[b.by_class] = held.get(b.by_class, 0) + len(b.text)
-    wide = {c for c, n in held.items() if c and n > HOLDS * sum(held.values())}
-    odds = [log_odds(b, 0.0 if b.by_class in wide else b.place) for b in blocks]
-    if all(x > 0 for x in odds):
-        return "\n".join(b.text for b in blocks)
-    kept = min_cut(odds, smoothness(blocks))
-    return "\n".join(b.text for b, k in zip(blocks, kept) if k)
+    blocks, bads = blocks_of(page)
+    return "\n".join(b.text for b, kept in zip(blocks, labels_of(blocks, bads)[1]) if kept)
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
