@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewalk.llm import decontamination, line_dedup, sentencepiece_bpe, simhash, toxicity
-from framewalk.llm.common import Workspace, table
+from framewalk.llm.common import Workspace, release, table
 
 MODEL = "piece_bpe_32k.model"
 
@@ -58,8 +58,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, each written to the shared folder and read again by the next."""
+    """All stages, each written to the shared folder and read again by the next; tables that none reads any more are removed."""
     docs, work = table(spark, sf_dir, "documents"), Workspace(spark, "pipeline")
+    before = list(Workspace.made)
     for k, (_, stage) in enumerate(STAGES):
         docs = work.keep(stage(spark, docs, sf_dir), str(k))
+        release(*before)
+        if k:
+            work.drop(str(k - 1))
     return docs
