@@ -63,6 +63,40 @@ def cart2box(pos: Vector, matrix: list[Vector]) -> list[Column]:
     return [x, y, z]
 
 
+ANGLES = ("alpha", "beta", "gamma")
+
+
+def box_columns(names: list[str]) -> list[str]:
+    """Those of a box table's columns that describe its boxes: lx, ly, lz, and the angles if there are any."""
+    return ["lx", "ly", "lz", *(ANGLES if all(a in names for a in ANGLES) else ())]
+
+
+def box_matrix(box: list[str], prefix: str = "") -> list[Vector]:
+    """The matrix of a box given by the columns of box_columns."""
+    lengths = tuple(F.col(f"{prefix}{c}").cast("double") for c in box[:3])
+    if len(box) == 3:
+        zero = F.lit(0.0)
+        return [(lengths[0], zero, zero), (zero, lengths[1], zero), (zero, zero, lengths[2])]
+    return triclinic_vectors(lengths, tuple(F.col(f"{prefix}{c}").cast("double") for c in box[3:]))
+
+
+def min_image(d: Vector, box: list[str] | None, prefix: str = "") -> list[Column]:
+    """A difference brought to its minimum image by a box's columns; as it is without a box."""
+    if box is None:
+        return list(d)
+    if len(box) == 3:
+        return [mic_ortho(x, F.col(f"{prefix}{c}")) for x, c in zip(d, box)]
+    zero = F.lit(0.0)
+    return vdist(d, (zero, zero, zero), box_matrix(box, prefix))
+
+
+def wrap_into(pos: Vector, box: list[str]) -> list[Column]:
+    """A position shifted into a box given by its columns."""
+    if len(box) == 3:
+        return [wrap_ortho(x, F.col(c)) for x, c in zip(pos, box)]
+    return wrap_pos(pos, box_matrix(box))
+
+
 def wrap_ortho(x: Column, length: Column) -> Column:
     return x - length * F.floor(x / length)
 

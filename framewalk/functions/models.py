@@ -89,15 +89,27 @@ def ekin_dist(ekin, kt, d: int = 3) -> Column:
     return F.pow(k, F.lit(-d / 2)) / math.gamma(d / 2) * F.pow(e, F.lit(d / 2 - 1)) * F.exp(-e / k)
 
 
-def kww_mean(tau, beta) -> Column:
-    """tau / beta * Gamma(1 / beta), the mean of a stretched exponential; the gamma function by Stirling's series shifted by 7."""
-    z = 1 / _c(beta) + 7
+def gamma(x) -> Column:
+    """The gamma function for x > 0, by Stirling's series shifted by 7."""
+    x = _c(x)
+    z = x + 7
     series = 1 / (12 * z) - 1 / (360 * F.pow(z, F.lit(3.0))) + 1 / (1260 * F.pow(z, F.lit(5.0)))
     shifted = F.exp((z - 0.5) * F.log(z) - z + 0.5 * math.log(2 * math.pi) + series)
     down = F.lit(1.0)
     for k in range(7):
-        down = down * (1 / _c(beta) + k)
-    return _c(tau) / _c(beta) * shifted / down
+        down = down * (x + k)
+    return shifted / down
+
+
+def kww_mean(tau, beta) -> Column:
+    """tau / beta * Gamma(1 / beta), the mean of a stretched exponential."""
+    return _c(tau) / _c(beta) * gamma(1 / _c(beta))
+
+
+def burr12_mean(tau, beta, delta) -> Column:
+    """tau * Gamma(delta - 1 / beta) * Gamma(1 + 1 / beta) / Gamma(delta), null unless beta * delta > 1."""
+    shape = 1 / _c(beta)
+    return F.when(_c(beta) * _c(delta) > 1, _c(tau) * gamma(_c(delta) - shape) * gamma(1 + shape) / gamma(_c(delta)))
 
 
 def skewness(mu2, mu3) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,16 +91,23 @@ def subvolume_charge(positions: DataFrame, boxes: DataFrame, cube_lengths: list[
 def nearest_site(positions: DataFrame, sites: DataFrame, lengths: tuple[float, float], z: tuple[float, float] | None = None, fill: int = -1) -> DataFrame:
     """(cmp, frame, state): the number of the nearest site in the plane, by the minimum image; fill outside the z window.
 
-    sites has (site, x, y) and is a lattice of a few hundred points, so it is broadcast.
+    sites has (site, x, y).  The plane is cut into cells that hold about one site each; a position is compared with the
+    sites of the nine cells around it, joined on the cell.  What has no site within a cell's width there (in a gap of the
+    lattice) is compared with all sites, in rows of their own: ties go to the lowest number.
     """
-    d2 = F.lit(0.0)
-    for a, length in zip("xy", lengths):
-        d = F.col(a) - F.col(f"_{a}")
-        d = d - F.floor(d / length + 0.5) * length
-        d2 = d2 + d * d
-    inside = F.lit(True) if z is None else (F.col("z") >= z[0]) & (F.col("z") < z[1])
-    points = F.broadcast(sites.agg(F.collect_list(F.struct("site", F.col("x").alias("_x"), F.col("y").alias("_y"))).alias("_sites")))
-    rows = positions.join(points)
+    n_sites = max(1, sites.count())
+    edge = math.sqrt(lengths[0] * lengths[1] / n_sites)
+    counts = [max(1, int(length / edge)) for length in lengths]
+    near = min(length / n for length, n in zip(lengths, counts))
+
+    def cell(x: Column, length: float, n: int) -> Column:
+        frac = x / length
+        return F.least(F.lit(n - 1), F.floor((frac - F.floor(frac)) * n)).cast("int")
+
+    around = [F.array_distinct(F.array(*(F.pmod(cell(F.col(a), length, n) + k, F.lit(n)) for k in (-1, 0, 1)))) for a, length, n in zip("xy", lengths, counts)]
+    spread = sites.select("site", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    point = F.struct("site", F.col("x").alias("_x"), F.col("y").alias("_y"))
+    by_cell = spread.withColumn("cx", F.explode(around[0])).withColumn("cy", F.explode(around[1])).groupBy("cx", "cy").agg(F.collect_list(point).alias("_sites"))
 
     def distance(s: Column) -> Column:
         out = F.lit(0.0)
@@ -108,8 +117,18 @@ def nearest_site(positions: DataFrame, sites: DataFrame, lengths: tuple[float, f
             out = out + d * d
         return F.struct(out.alias("d"), s["site"].alias("site"))
 
-    best = F.array_min(F.transform("_sites", distance))["site"]
-    return rows.select("cmp", "frame", F.when(inside, best).otherwise(F.lit(fill)).alias("state"))
+    inside = F.lit(True) if z is None else (F.col("z") >= z[0]) & (F.col("z") < z[1])
+    asked = positions.select("cmp", "frame", "x", "y", inside.alias("_in"), *(cell(F.col(a), length, n).alias(f"c{a}") for a, length, n in zip("xy", lengths, counts)))
+    best = asked.join(by_cell, ["cx", "cy"], "left").select("cmp", "frame", "x", "y", "_in", F.array_min(F.transform("_sites", distance)).alias("_b"))
+    sure = ~F.col("_in") | (F.col("_b.d") <= near * near)
+    sure = F.coalesce(sure, F.lit(False))
+    done = best.where(sure).select("cmp", "frame", F.when(F.col("_in"), F.col("_b.site")).otherwise(F.lit(fill)).alias("state"))
+    every = spread.groupBy(F.pmod(F.xxhash64("site"), F.lit(-(-n_sites // 1024))).alias("_k")).agg(F.collect_list(point).alias("_sites"))  # at most about 1,024 sites a row
+    salts = 64  # so that the rest is dealt out over tasks, each with all sites
+    parts = every.select(F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_s"), "_sites")
+    rest = best.where(~sure).select("cmp", "frame", "x", "y", F.pmod(F.xxhash64("cmp", "frame"), F.lit(salts)).cast("int").alias("_s")).join(parts, "_s")
+    rest = rest.select("cmp", "frame", F.array_min(F.transform("_sites", distance)).alias("_b")).groupBy("cmp", "frame").agg(F.min("_b").alias("_b")).select("cmp", "frame", F.col("_b.site").alias("state"))
+    return done.unionByName(rest)
 
 
 def hexagon_faces(vertices: list[tuple[float, float]], r0: float, lengths: tuple[float, float]) -> list[tuple[float, float]]:
@@ -122,6 +141,49 @@ def hexagon_faces(vertices: list[tuple[float, float]], r0: float, lengths: tuple
     return [p for p in moved if not any(near(p, v) for v in vertices)]
 
 
+def hexagon_axes(vertices: list[tuple[float, float]], r0: float, lengths: tuple[float, float], neighbours: int = 1, tol: float = 1e-3) -> list[tuple[float, float, float]]:
+    """(x0, y0, angle in degrees to x): the lines through the faces of such a lattice, towards nearest or second-nearest faces.
+
+    Lines that are the same under the periodic images of the box appear once.
+    """
+    if neighbours not in (1, 2):
+        raise ValueError("neighbours is 1 or 2")
+    faces = sorted(hexagon_faces(vertices, r0, lengths))
+    same = lambda a, b, length: abs(a - b - length * round((a - b) / length)) < tol
+    out: list[tuple[float, float, float]] = []
+    for angle in (30.0, 90.0, 150.0) if neighbours == 1 else (0.0, 60.0, 120.0):
+        slope = math.tan(math.radians(angle))
+        seen: list[float] = []
+        for x, y in faces:
+            at, length = (x, lengths[0]) if angle == 90 else (y - slope * x, lengths[1])  # where the line meets the x axis, or the y axis
+            if not any(same(at, other, length) for other in seen):
+                seen.append(at)
+                out.append((x, y, angle))
+    return out
+
+
+def hexagonal_distribution(positions: DataFrame, axes: list[tuple[float, float, float]], lengths: tuple[float, float], width: float, edges: list[float]) -> DataFrame:
+    """(angle, bin, lo, hi, n): distances along the axes of hexagon_axes from their faces, of the positions within width / 2 of an axis.
+
+    Distances to an axis and along it are those to the nearest image; an axis is as long as the box is in its direction.
+    """
+    found = []
+    for x0, y0, angle in axes:
+        phi = math.radians(angle)
+        if angle == 90:
+            off = F.col("x") - x0
+            off = off - F.floor(off / lengths[0] + 0.5) * lengths[0]
+            along, period = F.col("y") - y0, lengths[1]
+        else:
+            off = F.col("y") - y0 - math.tan(phi) * (F.col("x") - x0)
+            off = (off - F.floor(off / lengths[1] + 0.5) * lengths[1]) * math.cos(phi)
+            along, period = (F.col("x") - x0 + off * math.sin(phi)) / math.cos(phi), lengths[0] / abs(math.cos(phi))
+        along = F.abs(along - F.floor(along / period + 0.5) * period)
+        found.append(F.struct(F.lit(angle).alias("angle"), off.alias("off"), along.alias("s")))
+    rows = positions.select(F.explode(F.array(*found)).alias("k")).where(F.abs(F.col("k.off")) < width / 2).select("k.angle", "k.s")
+    return histogram(rows, F.col("s"), edges, ["angle"])
+
+
 def axial_distribution(positions: DataFrame, axes: list[tuple[float, float, float, float]], width: float, edges: list[float]) -> DataFrame:
     """histogram of positions along axes, of those within width / 2 of one; an axis is (x0, y0, ux, uy), u of length 1.
 

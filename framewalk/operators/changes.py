@@ -79,11 +79,19 @@ def locate_changes(df: DataFrame, by: list[str], order: str, value: str, discard
     return made.select(*df.columns, *named, "_k.before", "_k.after")
 
 
+def either_end(found: DataFrame, ends: dict[str, str]) -> DataFrame:
+    """The rows of found in which one of several booleans holds, a row for each that does; pin tells which (ends: its value -> the column)."""
+    kinds = F.filter(F.array(*(F.when(F.col(c), F.lit(name)) for name, c in ends.items())), lambda x: x.isNotNull())
+    return found.withColumn("pin", F.explode(kinds))
+
+
 def change_positions(df: DataFrame, by: list[str], order: str, value: str, pin: str = "after", **options) -> DataFrame:
-    """The rows of locate_changes that are `before` or `after` a change."""
-    if pin not in ("before", "after"):
+    """The rows of locate_changes that are `before` or `after` a change; with pin "both" each has a column pin that tells which."""
+    if pin not in ("before", "after", "both"):
         raise ValueError(f"unknown pin {pin!r}")
-    return locate_changes(df, by, order, value, **options).where(F.col(pin)).drop("before", "after")
+    found = locate_changes(df, by, order, value, **options)
+    found = either_end(found, {"before": "before", "after": "after"}) if pin == "both" else found.where(F.col(pin))
+    return found.drop("before", "after")
 
 
 def first_items(df: DataFrame, by: list[str], order: str, value: str, wrap: bool = False, prepend_first: bool = True) -> DataFrame:

@@ -10,6 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from framewalk.functions import geometry
+from framewalk.operators.lags import lag_pairs
+
 AXES = ("x", "y", "z")
 
 
@@ -17,39 +20,52 @@ def min_image(d: Column, length: Column) -> Column:
     return d - F.floor(d / length + 0.5) * length
 
 
-def contact_pairs(ref: DataFrame, sel: DataFrame, cutoff: float, boxes: DataFrame | None = None) -> DataFrame:
+def _heights(box: list[str]) -> list[Column]:
+    """The distances of a box's opposite faces: volume by the area of a face."""
+    if len(box) == 3:
+        return [F.col(c) for c in box]
+    a, b, c = geometry.box_matrix(box)
+    cross = lambda u, v: (u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0])
+    volume = a[0] * b[1] * c[2]
+    return [volume / geometry.norm(cross(u, v)) for u, v in ((b, c), (c, a), (a, b))]
+
+
+def contact_pairs(ref: DataFrame, sel: DataFrame, cutoff: float, boxes: DataFrame | None = None, spread: str = "ref") -> DataFrame:
     """(frame, ref, sel, dist) of all pairs at most cutoff apart.
 
-    ref has (frame, ref, x, y, z), sel (frame, sel, x, y, z), boxes (frame, lx, ly, lz) of
-    orthorhombic boxes, or is None without periodic boundaries.  Space is cut into cells no
-    smaller than the cutoff; each particle of sel is met by those of ref in the cells
+    ref has (frame, ref, x, y, z), sel (frame, sel, x, y, z), boxes (frame, lx, ly, lz[, alpha, beta, gamma]), or is
+    None without periodic boundaries.  Space is cut into cells (along the box vectors) no
+    smaller than the cutoff; each particle of one set is met by those of the other in the cells
     around it, as an equi-join on frame and cell.  Cells that coincide because a box has
     fewer than three of them are entered once.  The work is in proportion to the pairs of neighbouring cells.
+    spread is the set whose particles are put into up to 27 cells each: the smaller one.
     """
+    if spread not in ("ref", "sel"):
+        raise ValueError(f"unknown spread {spread!r}")
+    box = geometry.box_columns(boxes.columns) if boxes is not None else None
     if boxes is not None:
-        ref, sel = (p.join(boxes.select("frame", "lx", "ly", "lz"), "frame") for p in (ref, sel))
+        ref, sel = (p.join(boxes.select("frame", *box), "frame") for p in (ref, sel))
+    xyz = tuple(F.col(a).cast("double") for a in AXES)
     cells, steps = {}, {}
-    for a in AXES:
-        x = F.col(a).cast("double")
-        if boxes is None:
+    if box is None:
+        for a, x in zip(AXES, xyz):
             cells[a] = F.floor(x / cutoff)
             steps[a] = F.array(*(cells[a] + k for k in (-1, 0, 1)))
-        else:
-            n = F.greatest(F.lit(1), F.floor(F.col(f"l{a}") / cutoff))
-            frac = x / F.col(f"l{a}")
+    else:
+        parts = [x / F.col(c) for x, c in zip(xyz, box)] if len(box) == 3 else geometry.cart2box(xyz, geometry.box_matrix(box))
+        for a, frac, height in zip(AXES, parts, _heights(box)):
+            n = F.greatest(F.lit(1), F.floor(height / cutoff))
             cells[a] = F.least(n - 1, F.floor((frac - F.floor(frac)) * n))
             steps[a] = F.array_distinct(F.array(*(F.pmod(cells[a] + k, n) for k in (-1, 0, 1))))
-    box = [f"l{a}" for a in AXES] if boxes is not None else []
-    left = ref.select("frame", "ref", *(F.col(a).alias(f"r{a}") for a in AXES), *box, *(steps[a].alias(f"s{a}") for a in AXES))
+    one, many = (ref, sel) if spread == "ref" else (sel, ref)
+    other = "sel" if spread == "ref" else "ref"
+    left = one.select("frame", spread, *(F.col(a).cast("double").alias(f"r{a}") for a in AXES), *(box or []), *(steps[a].alias(f"s{a}") for a in AXES))
     for a in AXES:
         left = left.withColumn(f"c{a}", F.explode(f"s{a}")).drop(f"s{a}")
-    right = sel.select("frame", "sel", *AXES, *(cells[a].alias(f"c{a}") for a in AXES))
+    right = many.select("frame", other, *(x.alias(a) for a, x in zip(AXES, xyz)), *(cells[a].alias(f"c{a}") for a in AXES))
     pairs = left.join(right, ["frame", "cx", "cy", "cz"])
-    squared = F.lit(0.0)
-    for a in AXES:
-        d = F.col(a).cast("double") - F.col(f"r{a}")
-        d = min_image(d, F.col(f"l{a}")) if boxes is not None else d
-        squared = squared + d * d
+    d = geometry.min_image([F.col(a) - F.col(f"r{a}") for a in AXES], box)
+    squared = sum((x * x for x in d), F.lit(0.0))
     return pairs.withColumn("dist", F.sqrt(squared)).where(F.col("dist") <= cutoff).select("frame", "ref", "sel", "dist")
 
 
@@ -154,14 +170,12 @@ def unbound(contacts: DataFrame, compounds: DataFrame, side: str = "ref") -> Dat
 def autocorrelation(members: DataFrame, keys: list[str], n_frames: int, restart: int = 1, max_lag: int | None = None) -> DataFrame:
     """(lag, n_both, n_start, acf): the share of members (frame, keys) at t0 that are members at t0 + lag too.
 
-    Starts are the frames 0, restart, ... but the last; pairs are made by an equi-join on keys.
+    Starts are the frames 0, restart, ... but the last; pairs are made by an equi-join on keys and buckets of frames.
     """
     most = min(n_frames - 1, max_lag or n_frames - 1)
     rows = members.select("frame", *keys).distinct()
     starts = rows.where((F.col("frame") % restart == 0) & (F.col("frame") < n_frames - 1))
-    later = rows.withColumnRenamed("frame", "frame2")
-    lag = F.col("frame2") - F.col("frame")
-    both = starts.join(later, keys).where((lag >= 1) & (lag <= most)).groupBy(lag.cast("int").alias("lag")).agg(F.count("*").alias("n_both"))
+    both = lag_pairs(starts.withColumnRenamed("frame", "f0"), rows, keys, most, min_lag=1).groupBy("lag").agg(F.count("*").alias("n_both"))
     per_reach = starts.groupBy(F.least(F.lit(n_frames - 1) - F.col("frame"), F.lit(most)).alias("reach")).agg(F.count("*").alias("n"))
     total = per_reach.select(F.explode(F.sequence(F.lit(1), F.col("reach").cast("int"))).alias("lag"), "n").groupBy("lag").agg(F.sum("n").alias("n_start"))
     grid = members.sparkSession.range(most + 1).select(F.col("id").cast("int").alias("lag"))
@@ -169,16 +183,28 @@ def autocorrelation(members: DataFrame, keys: list[str], n_frames: int, restart:
     return joined.withColumn("acf", F.when(F.col("lag") == 0, F.lit(1.0)).otherwise(F.try_divide(F.col("n_both").cast("double"), F.col("n_start"))))
 
 
-def attach_detach(contacts: DataFrame, keys: tuple[str, ...] = ("ref",)) -> DataFrame:
-    """(frame, ref, n_attached, n_detached) against the frame before, from frame 1 on; frames without change do not appear.
+def attach_detach(contacts: DataFrame, n_frames: int) -> DataFrame:
+    """(frame, ref, n_attached, n_detached) against the frame before, for frames 1 .. n_frames - 1; frames without change do not appear.
 
     A pair's contact at a frame without one in the frame before is an attachment, one without
     another in the next frame is a detachment at the next frame: two lookups on one window by pair.
     """
     w = Window.partitionBy("ref", "sel").orderBy("frame")
     rows = contacts.select("frame", "ref", "sel").distinct()
-    last = rows.agg(F.max("frame")).first()[0]
     marked = rows.withColumns({"gone": F.coalesce(F.lead("frame").over(w) != F.col("frame") + 1, F.lit(True)), "new": F.coalesce(F.lag("frame").over(w) != F.col("frame") - 1, F.lit(True))})
     new = marked.where("new and frame > 0").select("frame", "ref", F.lit(1).alias("a"), F.lit(0).alias("d"))
-    gone = marked.where(F.col("gone") & (F.col("frame") < F.lit(last))).select((F.col("frame") + 1).alias("frame"), "ref", F.lit(0).alias("a"), F.lit(1).alias("d"))
+    gone = marked.where(F.col("gone") & (F.col("frame") < n_frames - 1)).select((F.col("frame") + 1).alias("frame"), "ref", F.lit(0).alias("a"), F.lit(1).alias("d"))
     return new.unionByName(gone).groupBy("frame", "ref").agg(F.sum("a").alias("n_attached"), F.sum("d").alias("n_detached"))
+
+
+def check_contacts(contacts: DataFrame, n_frames: int | None = None, n_refs: int | None = None, n_sels: int | None = None) -> DataFrame:
+    """One row: contacts, repeated ones, those with a null, and those outside of the frames and numbers from 0 that are given.
+
+    What holds for a sequence of equal contact matrices, said of its long form.
+    """
+    null = F.col("frame").isNull() | F.col("ref").isNull() | F.col("sel").isNull()
+    outside = F.lit(False)
+    for c, n in (("frame", n_frames), ("ref", n_refs), ("sel", n_sels)):
+        outside = outside | (F.col(c) < 0) | ((F.col(c) >= n) if n is not None else F.lit(False))
+    each = contacts.groupBy("frame", "ref", "sel").agg(F.count("*").alias("k"))
+    return each.agg(F.coalesce(F.sum("k"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.col("k") - 1), F.lit(0)).alias("repeated"), F.coalesce(F.sum(F.when(null, F.col("k"))), F.lit(0)).alias("nulls"), F.coalesce(F.sum(F.when(outside, F.col("k"))), F.lit(0)).alias("outside"))

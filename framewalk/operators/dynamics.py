@@ -2,21 +2,38 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from framewalk.functions.geometry import mic_ortho, wrap_ortho
+from framewalk.functions import geometry
+from framewalk.functions.geometry import box_columns, box_matrix, min_image, wrap_into
 from framewalk.operators.contacts import AXES
+from framewalk.operators.lags import lag_pairs
 from framewalk.session import importable
 
 
-def centers(positions: DataFrame, keys: list[str], weight: Column | None = None) -> DataFrame:
-    """(keys, x, y, z): centres of groups of positions, weighted (mass, charge) or of geometry; null where the weights sum to 0."""
+
+def _xyz(prefix: str = ""):
+    return tuple(F.col(f"{prefix}{a}") for a in AXES)
+
+
+def centers(positions: DataFrame, keys: list[str], weight: Column | None = None, boxes: DataFrame | None = None, whole: str | None = None, wrapped: bool = False) -> DataFrame:
+    """(keys, x, y, z): centres of groups of positions, weighted (mass, charge) or of geometry; null where the weights sum to 0.
+
+    With boxes (by frame, which is one of the keys then): whole, a column that orders the particles of a group, makes each
+    group whole first (each particle at its image nearest to the group's first); wrapped brings the centres into the box.
+    """
+    rows = positions if weight is None else positions.withColumn("_w", weight.cast("double"))
+    if whole is not None:
+        extra = [c for c in rows.columns if c not in ("frame", *AXES)]
+        rows = make_whole(rows, boxes, [k for k in keys if k != "frame"], whole).select("frame", *extra, *AXES)
     if weight is None:
-        return positions.groupBy(*keys).agg(*(F.avg(a).alias(a) for a in AXES))
-    rows = positions.withColumn("_w", weight.cast("double"))
-    return rows.groupBy(*keys).agg(*(F.try_divide(F.sum(F.col("_w") * F.col(a)), F.sum("_w")).alias(a) for a in AXES))
+        made = rows.groupBy(*keys).agg(*(F.avg(a).alias(a) for a in AXES))
+    else:
+        made = rows.groupBy(*keys).agg(*(F.try_divide(F.sum(F.col("_w") * F.col(a)), F.sum("_w")).alias(a) for a in AXES))
+    return wrap(made, boxes).select(*keys, *AXES) if wrapped else made
 
 
 def compound_attribute(atoms: DataFrame, keys: list[str], attribute: str, weight: str | None = None) -> DataFrame:
@@ -35,29 +52,67 @@ def atoms_per_compound(atoms: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def with_boxes(positions: DataFrame, boxes: DataFrame) -> DataFrame:
-    return positions.join(boxes.select("frame", "lx", "ly", "lz"), "frame")
+    return positions.join(boxes.select("frame", *box_columns(boxes.columns)), "frame")
 
 
 def wrap(positions: DataFrame, boxes: DataFrame) -> DataFrame:
-    """Positions shifted into orthorhombic boxes."""
+    """Positions shifted into their boxes; boxes has (frame, lx, ly, lz[, alpha, beta, gamma])."""
+    box = box_columns(boxes.columns)
     rows = with_boxes(positions, boxes)
-    return rows.withColumns({a: wrap_ortho(F.col(a), F.col(f"l{a}")) for a in AXES}).drop("lx", "ly", "lz")
+    return rows.withColumns(dict(zip(AXES, wrap_into(_xyz(), box)))).drop(*box)
 
 
 def wrap_compounds(positions: DataFrame, boxes: DataFrame, compound: str, weight: str | None = None) -> DataFrame:
     """Positions moved so that the centre of each compound lies in the box, the compound being kept as it is."""
     w = Window.partitionBy("frame", compound)
+    box = box_columns(boxes.columns)
     rows = with_boxes(positions, boxes)
     mean = lambda a: F.avg(a).over(w) if weight is None else F.try_divide(F.sum(F.col(weight) * F.col(a)).over(w), F.sum(weight).over(w))
     rows = rows.withColumns({f"_{a}": mean(a) for a in AXES})
-    return rows.withColumns({a: F.col(a) - F.col(f"l{a}") * F.floor(F.col(f"_{a}") / F.col(f"l{a}")) for a in AXES}).drop("lx", "ly", "lz", "_x", "_y", "_z")
+    moved = [x + (c - was) for x, c, was in zip(_xyz(), wrap_into(_xyz("_"), box), _xyz("_"))]
+    return rows.withColumns(dict(zip(AXES, moved))).drop(*box, "_x", "_y", "_z")
+
 
+def make_whole(positions: DataFrame, boxes: DataFrame, compound: str | list[str], order: str, reference: str = "first", weight: str | None = None) -> DataFrame:
+    """Compounds smaller than half a box made whole: each atom goes to the image nearest to the compound's first.
 
-def make_whole(positions: DataFrame, boxes: DataFrame, compound: str, order: str) -> DataFrame:
-    """Compounds smaller than half a box made whole: each atom goes to the image nearest to the compound's first."""
-    w = Window.partitionBy("frame", compound).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    reference "cog" or "com" (with weight, the masses) also brings the whole compound's centre into the box.
+    """
+    if reference not in ("first", "cog", "com") or (reference == "com") != (weight is not None):
+        raise ValueError("reference is first, cog, or com with a weight")
+    keys = [compound] if isinstance(compound, str) else compound
+    box = box_columns(boxes.columns)
+    group = Window.partitionBy("frame", *keys)
+    w = group.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     rows = with_boxes(positions, boxes).withColumns({f"_{a}": F.first(a).over(w) for a in AXES})
-    return rows.withColumns({a: F.col(f"_{a}") + mic_ortho(F.col(a) - F.col(f"_{a}"), F.col(f"l{a}")) for a in AXES}).drop("lx", "ly", "lz", "_x", "_y", "_z")
+    near = min_image([x - x0 for x, x0 in zip(_xyz(), _xyz("_"))], box)
+    rows = rows.withColumns({a: F.col(f"_{a}") + d for a, d in zip(AXES, near)})
+    if reference != "first":
+        mean = lambda a: F.avg(a).over(group) if weight is None else F.try_divide(F.sum(F.col(weight) * F.col(a)).over(group), F.sum(weight).over(group))
+        rows = rows.withColumns({f"_{a}": mean(a) for a in AXES})
+        rows = rows.withColumns({a: x + (c - was) for a, x, c, was in zip(AXES, _xyz(), wrap_into(_xyz("_"), box), _xyz("_"))})
+    return rows.drop(*box, "_x", "_y", "_z")
+
+
+def matrices(rows: pd.DataFrame, box: list[str]) -> np.ndarray:
+    """The box matrices of rows that have a box's columns, one each."""
+    out = np.zeros((len(rows), 3, 3))
+    lengths = rows[box[:3]].to_numpy(float)
+    if len(box) == 3:
+        out[:, range(3), range(3)] = lengths
+        return out
+    a, b, g = np.cos(np.radians(rows[box[3:]].to_numpy(float))).T
+    sine = np.sqrt(1 - g * g)
+    y = (a - b * g) / sine
+    out[:, 0, 0] = lengths[:, 0]
+    out[:, 1, 0], out[:, 1, 1] = lengths[:, 1] * g, lengths[:, 1] * sine
+    out[:, 2, 0], out[:, 2, 1], out[:, 2, 2] = lengths[:, 2] * b, lengths[:, 2] * y, lengths[:, 2] * np.sqrt(1 - b * b - y * y)
+    return out
+
+
+def images(d: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+    """The numbers of box vectors by which a difference is off its minimum image."""
+    return np.floor(d @ np.linalg.inv(matrix) + 0.5)
 
 
 def make_whole_by_bonds(positions: DataFrame, boxes: DataFrame, compound: str, atom: str, bonds: DataFrame) -> DataFrame:
@@ -69,7 +124,7 @@ def make_whole_by_bonds(positions: DataFrame, boxes: DataFrame, compound: str, a
     chosen = with_boxes(positions, boxes)
     of = positions.select(F.col(atom).alias("a"), compound).distinct()
     links = bonds.join(of, "a").groupBy(compound).agg(F.collect_list(F.struct("a", "b")).alias("_bonds"))
-    schema = positions.schema
+    schema, box = positions.schema, box_columns(boxes.columns)
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(atom)
@@ -79,7 +134,7 @@ def make_whole_by_bonds(positions: DataFrame, boxes: DataFrame, compound: str, a
             if bond["a"] in at and bond["b"] in at:
                 near[at[bond["a"]]].append(at[bond["b"]])
                 near[at[bond["b"]]].append(at[bond["a"]])
-        xyz, box = rows[list(AXES)].to_numpy(float), rows[["lx", "ly", "lz"]].iloc[0].to_numpy(float)
+        xyz, cell = rows[list(AXES)].to_numpy(float), matrices(rows.iloc[:1], box)[0]
         seen: set[int] = set()
         for start in range(len(xyz)):
             todo = [start] if start not in seen else []
@@ -89,7 +144,7 @@ def make_whole_by_bonds(positions: DataFrame, boxes: DataFrame, compound: str, a
                 for j in near[i]:
                     if j not in seen:
                         d = xyz[j] - xyz[i]
-                        xyz[j] = xyz[i] + d - box * ((d / box + 0.5) // 1)
+                        xyz[j] = xyz[i] + d - images(d, cell) @ cell
                         seen.add(j)
                         todo.append(j)
         rows[list(AXES)] = xyz
@@ -103,8 +158,9 @@ def unwrap(positions: DataFrame, boxes: DataFrame, key: str, method: str = "scal
 
     scaling, displacement, in-house: the steps do not depend on the result, so that they are running
     sums over a window by particle.  heuristic, hybrid: the result of a frame enters the next, so that each
-    particle is a group.
+    particle is a group.  Boxes may be skewed: steps are counted in box vectors then.
     """
+    box = box_columns(boxes.columns)
     rows = with_boxes(positions.select("frame", key, *AXES), boxes)
     w = Window.partitionBy(key).orderBy("frame")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
@@ -113,52 +169,57 @@ def unwrap(positions: DataFrame, boxes: DataFrame, key: str, method: str = "scal
 
         def one(r: pd.DataFrame) -> pd.DataFrame:
             r = r.sort_values("frame")
-            xyz, box = r[list(AXES)].to_numpy(float), r[["lx", "ly", "lz"]].to_numpy(float)
+            xyz, cells = r[list(AXES)].to_numpy(float), matrices(r, box)
             out = xyz.copy()
+            if method == "hybrid":
+                d = np.diff(xyz, axis=0)
+                d = d - np.einsum("ti,tij->tj", np.floor(np.einsum("ti,tij->tj", d, np.linalg.inv(cells[1:])) + 0.5), cells[1:]) if len(d) else d
             for t in range(1, len(out)):
                 if method == "heuristic":
-                    out[t] = xyz[t] - box[t] * (((xyz[t] - out[t - 1]) / box[t] + 0.5) // 1)
+                    out[t] = xyz[t] - images(xyz[t] - out[t - 1], cells[t]) @ cells[t]
                 else:
-                    d = xyz[t] - xyz[t - 1]
-                    d = d - box[t] * ((d / box[t] + 0.5) // 1)
-                    out[t] = out[t - 1] + d - (((xyz[t - 1] - out[t - 1]) / box[t - 1] + 0.5) // 1) * (box[t] - box[t - 1])
+                    out[t] = out[t - 1] + d[t - 1] - images(xyz[t - 1] - out[t - 1], cells[t - 1]) @ (cells[t] - cells[t - 1])
             r[list(AXES)] = out
             return r[["frame", key, *AXES]]
 
         return rows.groupBy(key).applyInPandas(one, rows.select("frame", key, *AXES).schema)
-    out = {}
-    for a in AXES:
-        x, length = F.col(a), F.col(f"l{a}")
-        x0, l0 = F.lag(a).over(w), F.lag(f"l{a}").over(w)
-        if method == "scaling":
-            step = -F.floor(x / length - x0 / l0 + 0.5)
-        elif method == "displacement":
-            step = mic_ortho(x - x0, length)
-        elif method == "in-house":
-            step = x - length * x0 / l0 - length * F.floor(x / length - x0 / l0 + 0.5)
-        else:
-            raise ValueError(f"unknown method {method!r}")
-        out[f"_{a}"] = F.coalesce(step, F.lit(0.0))
-    rows = rows.withColumns(out)
+    if method not in ("scaling", "displacement", "in-house"):
+        raise ValueError(f"unknown method {method!r}")
     first = Window.partitionBy(key).orderBy("frame").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    sums = {a: F.sum(f"_{a}").over(upto) for a in AXES}
-    done = {a: F.col(a) + F.col(f"l{a}") * sums[a] if method == "scaling" else F.first(a).over(first) + sums[a] for a in AXES}
-    return rows.select("frame", key, *(done[a].alias(a) for a in AXES))
+    matrix = box_matrix(box)
+    if method == "displacement":
+        rows = rows.withColumns({f"_{a}": F.col(a) - F.lag(a).over(w) for a in AXES})
+        steps = min_image(_xyz("_"), box)
+    else:
+        rows = rows.withColumns({f"_s{a}": c for a, c in zip(AXES, geometry.cart2box(_xyz(), matrix))})
+        rows = rows.withColumns({f"_{a}": F.col(f"_s{a}") - F.lag(f"_s{a}").over(w) for a in AXES})
+        crossed = [F.floor(F.col(f"_{a}") + 0.5) for a in AXES]
+        steps = [-c for c in crossed] if method == "scaling" else geometry.box2cart(tuple(F.col(f"_{a}") - c for a, c in zip(AXES, crossed)), matrix)
+    rows = rows.withColumns({f"_d{a}": F.coalesce(c, F.lit(0.0)) for a, c in zip(AXES, steps)})
+    sums = tuple(F.sum(f"_d{a}").over(upto) for a in AXES)
+    if method == "scaling":
+        done = [x + m for x, m in zip(_xyz(), geometry.box2cart(sums, matrix))]
+    else:
+        done = [F.first(a).over(first) + x for a, x in zip(AXES, sums)]
+    return rows.select("frame", key, *(x.alias(a) for a, x in zip(AXES, done)))
+
+
+def _longest(n_frames: int, max_lag: int | None) -> int:
+    return n_frames - 1 if max_lag is None else min(n_frames - 1, max_lag)
 
 
 def msd(positions: DataFrame, key: str, n_frames: int, restart: int = 1, max_lag: int | None = None, block: Column | None = None) -> DataFrame:
     """([block,] lag, n, msd_x, msd_y, msd_z, msd): mean square displacement by lag, over particles and starts 0, restart, ...
 
-    block splits the frames (numbered from 0 in each block by the caller).  max_lag bounds the self-join by particle,
-    whose size is that of the particles times starts times lags.
+    block splits the frames (numbered from 0 in each block by the caller).  Starts meet the frames of their particle's
+    next buckets (see lags), so that max_lag bounds the pairs: particles times starts times about 2 * max_lag.
     """
     keys = ["block"] if block is not None else []
     rows = positions.select("frame", key, *AXES, *([block.alias("block")] if keys else []))
     starts = rows.where(F.col("frame") % restart == 0).select(*keys, key, F.col("frame").alias("f0"), *(F.col(a).alias(f"{a}0") for a in AXES))
-    lag = F.col("frame") - F.col("f0")
-    pairs = starts.join(rows, [*keys, key]).where((lag >= 0) & (lag <= min(n_frames - 1, max_lag or n_frames - 1)))
+    pairs = lag_pairs(starts, rows, [*keys, key], _longest(n_frames, max_lag))
     square = {a: (F.col(a) - F.col(f"{a}0")) * (F.col(a) - F.col(f"{a}0")) for a in AXES}
-    made = pairs.groupBy(*keys, lag.cast("int").alias("lag")).agg(F.count("*").alias("n"), *(F.avg(square[a]).alias(f"msd_{a}") for a in AXES))
+    made = pairs.groupBy(*keys, "lag").agg(F.count("*").alias("n"), *(F.avg(square[a]).alias(f"msd_{a}") for a in AXES))
     return made.withColumn("msd", F.col("msd_x") + F.col("msd_y") + F.col("msd_z"))
 
 
@@ -166,10 +227,9 @@ def msd_by_layer(positions: DataFrame, key: str, layers: DataFrame, n_frames: in
     """(layer, lag, n, md_*, msd_*): displacements by lag and the particle's layer at the start; layers is (frame, key, layer)."""
     starts = positions.where((F.col("frame") % restart == 0) & (F.col("frame") < n_frames - 1)).join(layers.select("frame", key, "layer"), ["frame", key])
     starts = starts.select(key, "layer", F.col("frame").alias("f0"), *(F.col(a).alias(f"{a}0") for a in AXES))
-    lag = F.col("frame") - F.col("f0")
-    pairs = starts.join(positions.select("frame", key, *AXES), key).where((lag >= 0) & (lag <= min(n_frames - 1, max_lag or n_frames - 1)))
+    pairs = lag_pairs(starts, positions.select("frame", key, *AXES), [key], _longest(n_frames, max_lag))
     d = {a: F.col(a) - F.col(f"{a}0") for a in AXES}
-    return pairs.groupBy("layer", lag.cast("int").alias("lag")).agg(F.count("*").alias("n"), *(F.avg(d[a]).alias(f"md_{a}") for a in AXES), *(F.avg(d[a] * d[a]).alias(f"msd_{a}") for a in AXES))
+    return pairs.groupBy("layer", "lag").agg(F.count("*").alias("n"), *(F.avg(d[a]).alias(f"md_{a}") for a in AXES), *(F.avg(d[a] * d[a]).alias(f"msd_{a}") for a in AXES))
 
 
 def block_average(blocks: DataFrame, keys: list[str], value: str, ddof: int = 0) -> DataFrame:
@@ -202,7 +262,7 @@ def rmsd(ref: DataFrame, sel: DataFrame, keys: list[str], particle: str, weight:
     d = {a: F.col(f"b{a}") - F.col(f"a{a}") for a in AXES}
     if boxes is not None:
         pairs = with_boxes(pairs, boxes)
-        d = {a: mic_ortho(d[a], F.col(f"l{a}")) for a in AXES}
+        d = dict(zip(AXES, min_image([d[a] for a in AXES], box_columns(boxes.columns))))
     w = F.col("_w") if weight else F.lit(1.0)
     made = pairs.groupBy(*keys).agg(F.count("*").alias("n"), *((F.try_divide(F.sum(w * d[a] * d[a]), F.sum(w)) / (F.count("*") if weight else 1)).alias(f"msd_{a}") for a in AXES))
     return made.withColumn("rmsd", F.sqrt(F.col("msd_x") + F.col("msd_y") + F.col("msd_z")))

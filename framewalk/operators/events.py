@@ -11,7 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from framewalk.operators.contacts import AXES, min_image
+from framewalk.functions.geometry import box_columns, min_image
+from framewalk.operators.contacts import AXES
 from framewalk.session import importable
 
 
@@ -108,7 +109,7 @@ def stationary_distribution(matrix: DataFrame) -> list[tuple[int, float]]:
     return list(zip(bins, (v / v.sum()).tolist()))
 
 
-def next_event(events: DataFrame, columns: list[str]) -> DataFrame:
+def with_previous_event(events: DataFrame, columns: list[str]) -> DataFrame:
     """events with the columns of the compound's event before, as prev_*."""
     w = Window.partitionBy("ref").orderBy("t0")
     return events.withColumns({f"prev_{c}": F.lag(c).over(w) for c in columns})
@@ -121,6 +122,11 @@ def displacement_by_bin(events: DataFrame, bin_: Column, value: Column) -> DataF
     return rows.groupBy("bin").agg(F.count("d").alias("n"), F.avg("d").alias("mean"), F.var_pop("d").alias("var"), (F.stddev_pop("d") / F.sqrt(F.count("d"))).alias("se"), square.alias("msd"), (F.try_divide(fourth, 3 * square * square) - 1).alias("ngp"))
 
 
+def displacements_of_two_axes(events: DataFrame, bin_: Column, a: Column, b: Column) -> DataFrame:
+    """(bin, n, corr, slope): how the displacements along two axes go together, and the slope of b over a."""
+    return events.groupBy(bin_.alias("bin")).agg(F.count("*").alias("n"), F.corr(a, b).alias("corr"), F.regr_slope(b, a).alias("slope"))
+
+
 def occupancy_by_bin(events: DataFrame, bin_: Column) -> DataFrame:
     """(bin, weight, share): time spent by bin if positions change only at renewals."""
     cells = events.groupBy(bin_.alias("bin")).agg(F.sum("trenew").alias("weight"))
@@ -220,7 +226,7 @@ def partners_at_block_transitions(contacts: DataFrame, moves: DataFrame, lag: in
     )
 
 
-def msd_at_coordination_change(contacts: DataFrame, positions: DataFrame, changes: DataFrame, n_frames: int) -> DataFrame:
+def msd_at_coordination_change(positions: DataFrame, changes: DataFrame) -> DataFrame:
     """(dt, n, msd): square displacement of compounds between consecutive coordination changes, by their distance in frames.
 
     changes has (frame, ref): the frames at which a compound's partners change (see attach_detach); the
@@ -259,10 +265,8 @@ def topological_map(positions: DataFrame, center: DataFrame, cutoff: float, boxe
 
     positions has (frame, atom, levels, x, y, z), center one row a frame (frame, x, y, z).
     """
-    rows = positions.join(center.select("frame", *(F.col(a).alias(f"c{a}") for a in AXES)), "frame").join(boxes.select("frame", "lx", "ly", "lz"), "frame")
-    squared = F.lit(0.0)
-    for a in AXES:
-        d = min_image(F.col(a) - F.col(f"c{a}"), F.col(f"l{a}"))
-        squared = squared + d * d
+    box = box_columns(boxes.columns)
+    rows = positions.join(center.select("frame", *(F.col(a).alias(f"c{a}") for a in AXES)), "frame").join(boxes.select("frame", *box), "frame")
+    squared = sum((d * d for d in min_image([F.col(a) - F.col(f"c{a}") for a in AXES], box)), F.lit(0.0))
     near = rows.where(squared <= cutoff * cutoff)
     return near.groupBy("frame").agg(F.count("*").alias("n_atoms"), *(F.array_sort(F.collect_set(k)).alias(k) for k in levels))

@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 from framewalk.session import importable
 
 
-def fill_gaps(states: np.ndarray, intermittency: int) -> np.ndarray:
+def fill_gaps(states: np.ndarray, intermittency: int, upto: int | None = None) -> np.ndarray:
     """Sets what lies between equal values at most intermittency frames apart to that value.
 
-    Frames are taken in order, and each value reaches to its last re-occurrence in its
+    Frames (the first upto of them) are taken in order, and each value reaches to its last re-occurrence in its
     window; what is set counts as such for the later frames.
     """
     out = states.copy()
-    for i in range(len(out) - 2):
+    for i in range(len(out) - 2 if upto is None else min(upto, len(out) - 2)):
         same = np.flatnonzero(out[i + 2 : i + intermittency + 2] == out[i])
         if same.size:
             out[i + 1 : i + 2 + same[-1]] = out[i]

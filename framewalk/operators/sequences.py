@@ -100,9 +100,15 @@ def linear_region(series: DataFrame, window_length: int, tol: float = 0.1, delta
 
 
 def number_names(atoms: DataFrame, by: list[str], order: str, name: str) -> DataFrame:
-    """atoms with names numbered from 1 in each group of by, in order (all as one group if by is empty)."""
-    w = Window.partitionBy(*by).orderBy(order)
-    return atoms.withColumn(name, F.concat(F.regexp_replace(name, "[0-9]", ""), F.row_number().over(w).cast("string")))
+    """atoms with names numbered from 1 in each group of by, in order.
+
+    Without by all are one group, numbered in ranges (see sequenize) so that no task numbers them all; order is unique then.
+    """
+    if by:
+        rows = atoms.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(order)))
+    else:
+        rows = sequenize(atoms, order, 1, 1, "_n")
+    return rows.withColumn(name, F.concat(F.regexp_replace(name, "[0-9]", ""), F.col("_n").cast("string"))).drop("_n")
 
 
 def sort_by_names(atoms: DataFrame, name: str, wanted: list[str], order: str) -> DataFrame:

@@ -11,8 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framewalk.operators import changes
-
-PIN = {"start": "before", "end": "after"}
+from framewalk.operators.lags import lag_pairs
 
 
 def _flags(discard_neg_start: bool, discard_all_neg: bool) -> None:
@@ -51,8 +50,15 @@ def locate_trans(dtrj: DataFrame, discard_neg: str | None = None, trans_type=Non
 
 
 def trans_ix(dtrj: DataFrame, pin: str = "end", **options) -> DataFrame:
-    """The (cmp, frame, state) rows at which transitions start or end."""
-    return locate_trans(dtrj, **options).where(F.col(f"trans_{pin}")).drop("trans_start", "trans_end")
+    """The (cmp, frame, state) rows at which transitions start or end; with pin "both" each has a column pin that tells which."""
+    if pin not in ("start", "end", "both"):
+        raise ValueError(f"unknown pin {pin!r}")
+    found = locate_trans(dtrj, **options)
+    if pin == "both":
+        found = changes.either_end(found, {"start": "trans_start", "end": "trans_end"})
+    else:
+        found = found.where(F.col(f"trans_{pin}"))
+    return found.drop("trans_start", "trans_end")
 
 
 def _state_range(dtrj: DataFrame, min_state: int | None, max_state: int | None) -> tuple[int, int]:
@@ -115,12 +121,20 @@ def lifetimes(dtrj: DataFrame, uncensored: bool = False, discard_neg_start: bool
     return found.select("cmp", "state", "t0", F.col("len").alias("lifetime"))
 
 
-def lifetimes_per_state(dtrj: DataFrame, ddof: int = 0, **options) -> DataFrame:
-    """(state, n, avg, std, lifetimes): the last is the list of lifetimes, by compound and start."""
+def lifetime_counts(dtrj: DataFrame, **options) -> DataFrame:
+    """(state, lifetime, n): how often each lifetime occurs; as many rows as there are different ones."""
+    return lifetimes(dtrj, **options).groupBy("state", "lifetime").agg(F.count("*").alias("n"))
+
+
+def lifetimes_per_state(dtrj: DataFrame, ddof: int = 0, lists: bool = False, **options) -> DataFrame:
+    """(state, n, avg, std, total[, lifetimes]): the lifetimes of each state.
+
+    lists adds them as an array, by compound and start: one row then holds all of a state's.
+    """
     each = lifetimes(dtrj, **options)
     std = F.stddev_samp("lifetime") if ddof == 1 else F.stddev_pop("lifetime")
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("cmp", "t0", "lifetime"))), lambda x: x["lifetime"])
-    return each.groupBy("state").agg(F.count("*").alias("n"), F.avg("lifetime").alias("avg"), std.alias("std"), ordered.alias("lifetimes"))
+    return each.groupBy("state").agg(F.count("*").alias("n"), F.avg("lifetime").alias("avg"), std.alias("std"), F.sum("lifetime").alias("total"), *([ordered.alias("lifetimes")] if lists else []))
 
 
 def _rate(found: DataFrame, *keys: str) -> DataFrame:
@@ -194,7 +208,7 @@ def survival_of(counts: DataFrame, keys: list[str]) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
     d, n = F.col("n_leaves").cast("double"), F.col("n_risk").cast("double")
     steps = counts.withColumns({"h": F.try_divide(d, n), "g": F.coalesce(F.try_divide(d, n * (n - d)), F.lit(0.0)), "none": (F.col("n_risk") == 0).cast("int")})
-    over = steps.withColumns({"s": F.aggregate(F.collect_list(F.coalesce(1 - F.col("h"), F.lit(1.0))).over(w), F.lit(1.0), lambda a, x: a * x), "v": F.sum("g").over(w), "ended": F.max("none").over(w)})
+    over = steps.withColumns({"s": F.product(F.coalesce(1 - F.col("h"), F.lit(1.0))).over(w), "v": F.sum("g").over(w), "ended": F.max("none").over(w)})
     ended = F.col("ended") == 1
     return over.select(*keys, "t", "n_leaves", "n_risk", F.when(~ended, F.col("s")).alias("sf"), F.when(~ended, F.col("s") * F.col("s") * F.col("v")).alias("sf_var"))
 
@@ -213,8 +227,8 @@ def remain_prob(dtrj: DataFrame, dtrj2: DataFrame | None = None, restart: int =
     null without valid pairs.
 
     Continuous pairs that hold and all valid ones follow from run ends alone and need
-    no self-join.  Otherwise equal pairs are found by joining on (cmp, state), so that
-    only pairs in the same state are made.
+    no self-join.  Otherwise equal pairs are found by joining on (cmp, state) and buckets of
+    frames, so that only pairs in the same state and about max_lag apart are made.
     """
     _flags(discard_neg_start, discard_all_neg)
     n = n_frames or n_frames_of(dtrj)
@@ -238,10 +252,9 @@ def remain_prob(dtrj: DataFrame, dtrj2: DataFrame | None = None, restart: int =
         same = starts.groupBy(*keys, holds.alias("holds")).agg(F.count("*").alias("n")).where("holds >= 1")
         same = same.select(*keys, F.explode(F.sequence(F.lit(1), F.col("holds"))).alias("lag"), "n").groupBy(*keys, "lag").agg(F.sum("n").alias("n_same"))
     else:
-        later = dtrj.select("cmp", "state", F.col("frame").alias("frame2"))
-        lag = F.col("frame2") - F.col("frame")
-        pairs = starts.withColumn("reach", F.least(reach, F.lit(most))).join(later, ["cmp", "state"]).where((lag > 0) & (lag <= F.col("reach")))
-        same = pairs.groupBy(*keys, lag.alias("lag")).agg(F.count("*").alias("n_same"))
+        first = starts.select(*keys, "cmp", "state", F.col("frame").alias("f0"), F.least(reach, F.lit(most)).alias("reach"))
+        pairs = lag_pairs(first, dtrj.select("cmp", "state", "frame"), ["cmp", "state"], most, min_lag=1).where(F.col("lag") <= F.col("reach"))
+        same = pairs.groupBy(*keys, "lag").agg(F.count("*").alias("n_same"))
     spark = dtrj.sparkSession
     lags = spark.range(most + 1).select(F.col("id").cast("int").alias("lag"))
     grid = dtrj2.select(F.col("state").alias("state2")).distinct().select("state2", F.explode(F.sequence(F.lit(0), F.lit(most))).alias("lag")) if keys else lags
@@ -309,6 +322,36 @@ def lifetime_moments(dtrj: DataFrame, dtrj2: DataFrame | None = None, threshold:
     return counted.join(moments, "state", "full")
 
 
+def lifetime_methods(dtrj: DataFrame, threshold: float = 0.01, **options) -> DataFrame:
+    """(state, method, n, mean, std): the mean lifetime of each state by every estimator, one row each.
+
+    Methods: count (all runs), count_uncensored (without each compound's first and last), rate (frames by transitions),
+    integral (of the survival function, null unless it falls to the threshold), and weibull and burr12, the means of
+    curves fitted to it; n is the number of runs, transitions or points.
+    """
+    from framewalk.functions.models import burr12_mean, kww_mean
+    from framewalk.operators.fits import fit_model, fit_window
+    from framewalk.operators.stats import moments_of_survival
+
+    none = F.lit(None).cast("double")
+    counted = [lifetimes(dtrj, uncensored=u).groupBy("state").agg(F.lit(name).alias("method"), F.count("*").alias("n"), F.avg("lifetime").alias("mean"), F.stddev_samp("lifetime").alias("std")) for name, u in (("count", False), ("count_uncensored", True))]
+    rate = trans_rate_per_state(dtrj).select("state", F.lit("rate").alias("method"), F.col("n_trans").alias("n"), F.try_divide(F.lit(1.0), "rate").alias("mean"), none.alias("std"))
+    curve = kaplan_meier(dtrj, dtrj, **options).select(F.col("state2").alias("state"), "t", "sf")
+    moments = moments_of_survival(curve, ["state"], "t", "sf", 2, threshold)
+    points = curve.where("sf is not null").groupBy("state").agg(F.count("*").alias("n"))
+    spread = F.sqrt(F.greatest(F.lit(0.0), F.col("m2") - F.col("m1") * F.col("m1")))
+    integral = moments.join(points, "state").select("state", F.lit("integral").alias("method"), "n", F.col("m1").alias("mean"), spread.alias("std"))
+    window = fit_window(curve.where("sf is not null"), ["state"], "t", "sf", stop=threshold)
+    fitted = [
+        fit_model(window, model, ["state"], "t", "sf").select("state", F.lit(model).alias("method"), "n", mean.alias("mean"), none.alias("std"))
+        for model, mean in (("weibull", kww_mean("tau", "beta")), ("burr12", burr12_mean("tau", "beta", "delta")))
+    ]
+    out = counted[0]
+    for part in (counted[1], rate, integral, *fitted):
+        out = out.unionByName(part)
+    return out
+
+
 def trans_info(dtrj: DataFrame) -> DataFrame:
     """One row: compounds that stay in one state, are always or never negative; negative frames; transitions, by the signs of their states."""
     here, there = F.col("state") >= 0, F.col("next_state") >= 0

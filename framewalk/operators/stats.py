@@ -7,22 +7,23 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from framewalk.operators.lags import lag_pairs
+
 
 def acf(series: DataFrame, dt: int | None = 1, dtau: int = 1, tau_max: int | None = None, center: bool = True, unbiased: bool = False) -> DataFrame:
     """(id, lag, acf): autocorrelation of each series, 1 at lag 0.
 
     Starts are every dt-th t; dt None takes every lag-th, so that samples do not overlap.  unbiased divides each sum
-    by its number of terms.  The series is joined with itself on id; tau_max (exclusive) bounds the lags.
+    by its number of terms.  The series is joined with itself on id and buckets of t; tau_max (exclusive) bounds the lags
+    and with them the pairs.
     """
     w = Window.partitionBy("id")
     x = F.col("x").cast("double")
     rows = series.select("id", "t", (x - F.avg(x).over(w) if center else x).alias("x"))
-    lag = F.col("t2") - F.col("t")
-    pairs = rows.join(rows.select("id", F.col("t").alias("t2"), F.col("x").alias("x2")), "id").where((lag >= 0) & (lag % dtau == 0))
-    if tau_max is not None:
-        pairs = pairs.where(lag < tau_max)
-    step = F.greatest(F.lit(1), lag) if dt is None else F.lit(dt)
-    made = pairs.where(F.col("t") % step == 0).groupBy("id", lag.cast("int").alias("lag")).agg(F.sum(F.col("x") * F.col("x2")).alias("s"), F.count("*").alias("n"))
+    longest = tau_max - 1 if tau_max is not None else rows.agg(F.max("t")).first()[0] or 0
+    pairs = lag_pairs(rows, rows.select("id", F.col("t").alias("t2"), F.col("x").alias("x2")), ["id"], longest, "t", "t2").where(F.col("lag") % dtau == 0)
+    step = F.greatest(F.lit(1), F.col("lag")) if dt is None else F.lit(dt)
+    made = pairs.where(F.col("t") % step == 0).groupBy("id", "lag").agg(F.sum(F.col("x") * F.col("x2")).alias("s"), F.count("*").alias("n"))
     value = F.col("s") / F.col("n") if unbiased else F.col("s")
     zero = F.max(F.when(F.col("lag") == 0, value)).over(w)
     return made.select("id", "lag", F.try_divide(value, zero).alias("acf"))
@@ -60,14 +61,33 @@ def ngp(x: Column, d: int = 1, is_squared: bool = False) -> Column:
     return F.try_divide(F.avg(squared * squared), (1 + 2 / d) * mean * mean) - 1
 
 
-def var_weighted(x: Column, w: Column) -> Column:
-    """Population variance with weights, as an aggregate."""
-    mean = F.try_divide(F.sum(w * x), F.sum(w))
-    return F.greatest(F.lit(0.0), F.try_divide(F.sum(w * x * x), F.sum(w)) - mean * mean)
+def ngp_by(df: DataFrame, keys: list[str], x: str, d: int = 1, is_squared: bool = False, center: bool = False) -> DataFrame:
+    """(keys, ngp); center takes the mean of each group's values away first."""
+    if center and is_squared:
+        raise ValueError("squared distances cannot be centred")
+    rows = with_means(df, keys, F.col(x)) if center else df.withColumn("_m", F.lit(0.0))
+    return rows.groupBy(*keys).agg(ngp(F.col(x) - F.col("_m"), d, is_squared).alias("ngp"))
+
+
+def with_means(df: DataFrame, keys: list[str], x: Column, w: Column | None = None) -> DataFrame:
+    """df with _m, the (weighted) mean of its group: a small table, joined back, so that no group meets in a task."""
+    mean = F.avg(x) if w is None else F.try_divide(F.sum(w * x), F.sum(w))
+    one = F.lit(1).alias("_k")
+    means = df.groupBy(*(keys or [one])).agg(mean.cast("double").alias("_m"))
+    if not keys:
+        return df.withColumn("_k", F.lit(1)).join(F.broadcast(means), "_k").drop("_k")  # one row
+    return df.join(means, keys)
 
 
-def std_weighted(x: Column, w: Column) -> Column:
-    return F.sqrt(var_weighted(x, w))
+def weighted_moments(df: DataFrame, keys: list[str], x: str, w: str) -> DataFrame:
+    """(keys, mean, var, std) with weights, var and std being those of the population.
+
+    Squares are taken of differences to the mean: those of large values that differ little do not cancel.
+    """
+    d = F.col(x) - F.col("_m")
+    rows = with_means(df.where(F.col(x).isNotNull() & F.col(w).isNotNull()), keys, F.col(x), F.col(w))
+    made = rows.groupBy(*keys).agg(F.first("_m").alias("mean"), F.try_divide(F.sum(F.col(w) * d * d), F.sum(w)).alias("var"))
+    return made.withColumn("std", F.sqrt("var"))
 
 
 def cumav(series: DataFrame) -> DataFrame:
@@ -82,14 +102,15 @@ def movav(series: DataFrame, wlen: int) -> DataFrame:
     return series.select("id", "t", F.avg("x").over(w).alias("x"), F.count("*").over(w).alias("_n")).where(F.col("_n") == wlen).drop("_n")
 
 
-def describe(df: DataFrame, keys: list[str], x: str) -> DataFrame:
+def describe(df: DataFrame, keys: list[str], x: str, exact: bool = True) -> DataFrame:
     """(keys, n, mean, se, std, cv, skew, kurt, median, min, max, m1 .. m4): sample characteristics.
 
     std has one degree of freedom less; skewness and kurtosis are corrected for bias; m are raw moments.
+    The exact median holds every different value of a group; without exact it is within 1 / 10,000 of its rank.
     """
     v, n = F.col(x).cast("double"), F.count(x)
     raw = {k: F.avg(F.pow(v, F.lit(float(k)))) for k in (1, 2, 3, 4)}
-    made = df.groupBy(*keys).agg(n.alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.skewness(v).alias("g1"), F.kurtosis(v).alias("g2"), F.percentile(v, 0.5).alias("median"), F.min(v).alias("min"), F.max(v).alias("max"), *(m.alias(f"m{k}") for k, m in raw.items()))
+    made = df.groupBy(*keys).agg(n.alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.skewness(v).alias("g1"), F.kurtosis(v).alias("g2"), (F.percentile(v, 0.5) if exact else F.percentile_approx(v, 0.5)).alias("median"), F.min(v).alias("min"), F.max(v).alias("max"), *(m.alias(f"m{k}") for k, m in raw.items()))
     c = F.col("n").cast("double")
     skew = F.when(F.col("n") > 2, F.col("g1") * F.sqrt(c * (c - 1)) / (c - 2))
     kurt = F.when(F.col("n") > 3, ((c + 1) * F.col("g2") + 6) * (c - 1) / ((c - 2) * (c - 3)))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from framewalk.functions import geometry
 from framewalk.operators import binning, contacts, dynamics, events, fits, repair, states
-from framewalk.plans.tables import BOX, CONTACTS_SQL, CUTOFF, EVENTS_SQL, N_DAYS, boxes, boxes_of, dtrj, particles, positions, table
+from framewalk.plans.tables import BOX, CONTACTS_SQL, CUTOFF, EVENTS_SQL, N_DAYS_SQL, boxes, boxes_of, dtrj, n_days, particles, positions, table
 from framewalk.plans.tables import events as user_events
 
 QUERIES: dict = {}
@@ -233,7 +233,7 @@ def contacts_per_frame(spark, sf_dir):
     return contacts.n_contacts(_user_counts(spark, sf_dir)[0])
 
 
-@query(f"WITH {_USERS}, p AS (SELECT ref, sel FROM cc WHERE frame < 30 GROUP BY ref, sel HAVING count(DISTINCT frame) = 2) SELECT count(*) AS n FROM p")
+@query(f"WITH {_USERS}, p AS (SELECT ref, sel FROM cc GROUP BY ref, sel HAVING count(DISTINCT frame) = 2) SELECT count(*) AS n FROM p")
 def contacts_in_common(spark, sf_dir):
     return contacts.n_common_contacts(_user_counts(spark, sf_dir)[0], 2)
 
@@ -257,23 +257,23 @@ def unbound_compounds(spark, sf_dir):
 
 def _acf_sql(rows: str) -> str:
     return f"""
-WITH {_USERS}, m AS ({rows}), g AS (SELECT CAST(v AS INTEGER) AS lag FROM range(0, {N_DAYS}) AS r(v)),
+WITH {_USERS}, m AS ({rows}), g AS (SELECT CAST(v AS INTEGER) AS lag FROM (SELECT unnest(range(0, {N_DAYS_SQL})) AS v)),
 b AS (SELECT b.frame - a.frame AS lag, count(*) AS n FROM m a JOIN m b ON a.k = b.k AND b.frame > a.frame GROUP BY ALL),
-s AS (SELECT g.lag, count(*) AS n FROM g JOIN m ON m.frame + g.lag <= {N_DAYS} - 1 AND m.frame < {N_DAYS} - 1 WHERE g.lag > 0 GROUP BY g.lag)
+s AS (SELECT g.lag, count(*) AS n FROM g JOIN m ON m.frame + g.lag <= {N_DAYS_SQL} - 1 AND m.frame < {N_DAYS_SQL} - 1 WHERE g.lag > 0 GROUP BY g.lag)
 SELECT g.lag, coalesce(b.n, 0) AS n_both, coalesce(s.n, 0) AS n_start, CASE WHEN g.lag = 0 THEN 1.0 ELSE round(coalesce(b.n, 0) / nullif(s.n, 0), 6) + 0.0 END AS acf
 FROM g LEFT JOIN b ON g.lag = b.lag LEFT JOIN s ON g.lag = s.lag"""
 
 
 @query(_acf_sql("SELECT frame, struct_pack(r := ref, s := sel) AS k FROM cc"))
 def autocorr_bound(spark, sf_dir):
-    made = contacts.autocorrelation(_user_counts(spark, sf_dir)[0], ["ref", "sel"], N_DAYS)
+    made = contacts.autocorrelation(_user_counts(spark, sf_dir)[0], ["ref", "sel"], n_days(spark, sf_dir))
     return made.withColumn("acf", _round(F.col("acf")))
 
 
 @query(_acf_sql("SELECT r.frame, r.ref AS k FROM rf r WHERE NOT EXISTS (SELECT 1 FROM cc c WHERE c.frame = r.frame AND c.ref = r.ref)"))
 def autocorr_unbound(spark, sf_dir):
     counts, refs, _ = _user_counts(spark, sf_dir)
-    made = contacts.autocorrelation(contacts.unbound(counts, refs), ["ref"], N_DAYS)
+    made = contacts.autocorrelation(contacts.unbound(counts, refs), ["ref"], n_days(spark, sf_dir))
     return made.withColumn("acf", _round(F.col("acf")))
 
 
@@ -282,13 +282,13 @@ _CHANGES = f"""
 u AS (
   SELECT frame, ref, 1 AS a, 0 AS d FROM cc c WHERE frame > 0 AND NOT EXISTS (SELECT 1 FROM cc o WHERE o.ref = c.ref AND o.sel = c.sel AND o.frame = c.frame - 1)
   UNION ALL
-  SELECT frame + 1, ref, 0, 1 FROM cc c WHERE frame < (SELECT max(frame) FROM cc) AND NOT EXISTS (SELECT 1 FROM cc o WHERE o.ref = c.ref AND o.sel = c.sel AND o.frame = c.frame + 1)),
+  SELECT frame + 1, ref, 0, 1 FROM cc c WHERE frame < {N_DAYS_SQL} - 1 AND NOT EXISTS (SELECT 1 FROM cc o WHERE o.ref = c.ref AND o.sel = c.sel AND o.frame = c.frame + 1)),
 ad AS (SELECT frame, ref, CAST(sum(a) AS BIGINT) AS n_attached, CAST(sum(d) AS BIGINT) AS n_detached FROM u GROUP BY ALL)"""
 
 
 @query(f"WITH {_CHANGES} SELECT * FROM ad")
 def attach_detach(spark, sf_dir):
-    return contacts.attach_detach(_user_counts(spark, sf_dir)[0])
+    return contacts.attach_detach(_user_counts(spark, sf_dir)[0], n_days(spark, sf_dir))
 
 
 def _day_positions(spark, sf_dir):
@@ -306,8 +306,8 @@ s AS (SELECT m.frame - lag(m.frame) OVER w AS dt, (x - lag(x) OVER w) ** 2 + (y
       FROM m JOIN dp ON m.frame = dp.frame AND m.ref = dp.ref WINDOW w AS (PARTITION BY m.ref ORDER BY m.frame))
 SELECT dt, count(*) AS n, round(avg(d2) + 1e-8, 4) + 0.0 AS msd FROM s WHERE dt IS NOT NULL GROUP BY dt""")
 def msd_at_coordination_change(spark, sf_dir):
-    changes = contacts.attach_detach(_user_counts(spark, sf_dir)[0])
-    made = events.msd_at_coordination_change(changes, _day_positions(spark, sf_dir), changes, N_DAYS)
+    changes = contacts.attach_detach(_user_counts(spark, sf_dir)[0], n_days(spark, sf_dir))
+    made = events.msd_at_coordination_change(_day_positions(spark, sf_dir), changes)
     return made.withColumn("msd", _tie(F.col("msd"), 4))
 
 
@@ -339,33 +339,33 @@ def bound_intervals(spark, sf_dir):
     return events.bound_intervals(_user_counts(spark, sf_dir)[0])
 
 
-@query(f"{_RENEWALS} SELECT n.ref, n.sel, CAST(n.t0 AS INTEGER) AS t0, CAST(n.stop - n.t0 AS INTEGER) AS trenew FROM op o JOIN nx n ON n.ref = o.ref AND n.t0 = o.t0 WHERE n.t0 > 0 AND n.stop < {N_DAYS}")
+@query(f"{_RENEWALS} SELECT n.ref, n.sel, CAST(n.t0 AS INTEGER) AS t0, CAST(n.stop - n.t0 AS INTEGER) AS trenew FROM op o JOIN nx n ON n.ref = o.ref AND n.t0 = o.t0 WHERE n.t0 > 0 AND n.stop < {N_DAYS_SQL}")
 def renewal_events(spark, sf_dir):
-    return events.renewal_events(_user_counts(spark, sf_dir)[0], N_DAYS)
+    return events.renewal_events(_user_counts(spark, sf_dir)[0], n_days(spark, sf_dir))
 
 
 @query(f"""{_RENEWALS}, iv AS (SELECT n.* FROM op o JOIN nx n ON n.ref = o.ref AND n.t0 = o.t0),
-u AS (SELECT DISTINCT ref FROM rf), d AS (SELECT CAST(v AS INTEGER) AS frame FROM range(0, {N_DAYS}) AS r(v))
+u AS (SELECT DISTINCT ref FROM rf), d AS (SELECT CAST(v AS INTEGER) AS frame FROM (SELECT unnest(range(0, {N_DAYS_SQL})) AS v))
 SELECT u.ref AS cmp, d.frame, coalesce(iv.sel, -1) AS state FROM u CROSS JOIN d LEFT JOIN iv ON iv.ref = u.ref AND iv.t0 <= d.frame AND iv.stop > d.frame""")
 def coordination_sequence(spark, sf_dir):
     counts, refs, _ = _user_counts(spark, sf_dir)
-    return events.coordination_sequence(counts, refs, N_DAYS)
+    return events.coordination_sequence(counts, refs, n_days(spark, sf_dir))
 
 
 @query(f"""{_RENEWALS},
-ev AS (SELECT n.t0 % 4 AS bin0, n.stop % 4 AS bin1, n.stop - n.t0 AS trenew FROM op o JOIN nx n ON n.ref = o.ref AND n.t0 = o.t0 WHERE n.t0 > 0 AND n.stop < {N_DAYS}),
+ev AS (SELECT n.t0 % 4 AS bin0, n.stop % 4 AS bin1, n.stop - n.t0 AS trenew FROM op o JOIN nx n ON n.ref = o.ref AND n.t0 = o.t0 WHERE n.t0 > 0 AND n.stop < {N_DAYS_SQL}),
 c AS (SELECT CAST(bin0 AS INTEGER) AS bin0, CAST(bin1 AS INTEGER) AS bin1, count(*) AS n, round(avg(trenew), 6) + 0.0 AS mean_trenew FROM ev GROUP BY ALL)
 SELECT *, round(n / sum(n) OVER (PARTITION BY bin0), 6) + 0.0 AS prob FROM c WHERE bin1 IN (SELECT bin0 FROM c)""")
 def transition_matrix(spark, sf_dir):
-    found = events.renewal_events(_user_counts(spark, sf_dir)[0], N_DAYS)
+    found = events.renewal_events(_user_counts(spark, sf_dir)[0], n_days(spark, sf_dir))
     made = events.transition_matrix(found, F.col("t0") % 4, (F.col("t0") + F.col("trenew")) % 4)
     return made.select("bin0", "bin1", "n", _round(F.col("mean_trenew")).alias("mean_trenew"), _round(F.col("prob")).alias("prob"))
 
 
-@query(f"""{_RENEWALS}, ev AS (SELECT n.sel % 5 AS bin, n.stop - n.t0 AS trenew FROM op o JOIN nx n ON n.ref = o.ref AND n.t0 = o.t0 WHERE n.t0 > 0 AND n.stop < {N_DAYS})
+@query(f"""{_RENEWALS}, ev AS (SELECT n.sel % 5 AS bin, n.stop - n.t0 AS trenew FROM op o JOIN nx n ON n.ref = o.ref AND n.t0 = o.t0 WHERE n.t0 > 0 AND n.stop < {N_DAYS_SQL})
 SELECT bin, CAST(sum(trenew) AS BIGINT) AS weight, round(sum(trenew) / (SELECT sum(trenew) FROM ev), 6) + 0.0 AS share FROM ev GROUP BY bin""")
 def occupancy_by_bin(spark, sf_dir):
-    found = events.renewal_events(_user_counts(spark, sf_dir)[0], N_DAYS)
+    found = events.renewal_events(_user_counts(spark, sf_dir)[0], n_days(spark, sf_dir))
     return events.occupancy_by_bin(found, F.col("sel") % 5).withColumn("share", _round(F.col("share")))
 
 
@@ -392,10 +392,10 @@ def contact_hists_at_moves(spark, sf_dir):
     return events.contact_hists_at_moves(counts, refs, _user_states(spark, sf_dir))
 
 
-@query(f"""{_RENEWALS}, ev AS (SELECT n.sel % 5 AS bin FROM op o JOIN nx n ON n.ref = o.ref AND n.t0 = o.t0 WHERE n.t0 > 0 AND n.stop < {N_DAYS})
+@query(f"""{_RENEWALS}, ev AS (SELECT n.sel % 5 AS bin FROM op o JOIN nx n ON n.ref = o.ref AND n.t0 = o.t0 WHERE n.t0 > 0 AND n.stop < {N_DAYS_SQL})
 SELECT bin, count(*) AS n, round(sqrt(count(*)), 6) + 0.0 AS error FROM ev GROUP BY bin""")
 def events_by_bin(spark, sf_dir):
-    found = events.renewal_events(_user_counts(spark, sf_dir)[0], N_DAYS)
+    found = events.renewal_events(_user_counts(spark, sf_dir)[0], n_days(spark, sf_dir))
     return events.events_by_bin(found, F.col("sel") % 5).withColumn("error", _round(F.col("error")))
 
 
@@ -414,11 +414,13 @@ def topological_map(spark, sf_dir):
 @query(f"""
 WITH {CONTACTS_SQL},
 a AS (SELECT frame, user_id, arg_min(x, event_id) AS x, arg_min(y, event_id) AS y, arg_min(z, event_id) AS z, arg_max(x, event_id) AS u, arg_max(y, event_id) AS v, arg_max(z, event_id) AS w FROM pt GROUP BY ALL)
-SELECT frame, count(*) AS n, round(sqrt(avg((u - x) ** 2) + avg((v - y) ** 2) + avg((w - z) ** 2)) + 1e-9, 6) + 0.0 AS rmsd FROM a GROUP BY frame""")
+SELECT frame, count(*) AS n, round(avg((u - x) ** 2) + 1e-8, 5) + 0.0 AS msd_x, round(avg((v - y) ** 2) + 1e-8, 5) + 0.0 AS msd_y, round(avg((w - z) ** 2) + 1e-8, 5) + 0.0 AS msd_z,
+       round(sqrt(avg((u - x) ** 2) + avg((v - y) ** 2) + avg((w - z) ** 2)) + 1e-9, 6) + 0.0 AS rmsd FROM a GROUP BY frame""")
 def rmsd_two_sets(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select(F.datediff("ts", F.lit("2024-01-01").cast("date")).alias("frame"), "event_id", "user_id", F.col("value").alias("x"), ((F.hour("ts") * 60 + F.minute("ts")) / 10).alias("y"), F.get_json_object("props", "$.k").cast("double").alias("z"))
     ends = [rows.groupBy("frame", "user_id").agg(best(F.struct("x", "y", "z"), "event_id").alias("p")).select("frame", "user_id", "p.*") for best in (F.min_by, F.max_by)]
-    return dynamics.rmsd(*ends, ["frame"], "user_id").select("frame", "n", F.round(F.col("rmsd") + 1e-9, 6).alias("rmsd"))
+    made = dynamics.rmsd(*ends, ["frame"], "user_id")
+    return made.select("frame", "n", *(_tie(F.col(c), 5).alias(c) for c in ("msd_x", "msd_y", "msd_z")), F.round(F.col("rmsd") + 1e-9, 6).alias("rmsd"))
 
 
 @query(f"""
@@ -485,11 +487,6 @@ def partners_at_block_transitions(spark, sf_dir):
     return made.withColumns({c: _tie5(F.col(c)) for c in made.columns if made.schema[c].dataType.typeName() == "double"})
 
 
-@query()
-def contact_intermittency(spark, sf_dir):
-    return repair.correct_contact_intermittency(_user_counts(spark, sf_dir)[0], 2, N_DAYS)
-
-
 # ---- displacements
 
 
@@ -523,12 +520,13 @@ def msd_by_layer(spark, sf_dir):
     return made.withColumns({c: _tie(F.col(c), 4) for c in made.columns if c.startswith("m")})
 
 
-@query(f"""WITH {EVENTS_SQL}, {_MSD.format(g='', r=5)}, m AS (SELECT lag, avg(dx2) + avg(dy2) + avg(dz2) AS msd FROM p WHERE lag >= 1 AND lag <= 20 GROUP BY lag)
-SELECT round(sum(lag * msd) / sum(lag * lag) / 6, 5) + 0.0 AS "D", count(*) AS n FROM m""")
+@query(f"""WITH {EVENTS_SQL}, {_MSD.format(g='', r=5)}, m AS (SELECT lag, avg(dx2) + avg(dy2) + avg(dz2) AS msd FROM p WHERE lag >= 1 AND lag <= 20 GROUP BY lag),
+s AS (SELECT sum(lag * msd) / sum(lag * lag) AS s FROM m)
+SELECT round(any_value(s) / 6, 5) + 0.0 AS "D", round(sqrt(sum((msd - s * lag) ** 2) / ((count(*) - 1) * sum(lag * lag))) / 6, 5) + 0.0 AS "D_sd", count(*) AS n FROM m, s""")
 def fit_einstein(spark, sf_dir):
     rows = positions(spark, sf_dir)
     made = fits.fit_einstein(dynamics.msd(rows, "cmp", states.n_frames_of(rows), restart=5), [], "lag", "msd", 3, 1, 20)
-    return made.select(_round(F.col("D"), 5).alias("D"), "n")
+    return made.select(_round(F.col("D"), 5).alias("D"), _round(F.col("D_sd"), 5).alias("D_sd"), "n")
 
 
 @query(f"""
@@ -543,14 +541,6 @@ def unwrap_scaling(spark, sf_dir):
     return made.select("cmp", "frame", *(_round(F.col(a), 4).alias(a) for a in "xyz"))
 
 
-@query()
-def unwrap_hybrid(spark, sf_dir):
-    rows = positions(spark, sf_dir)
-    n = states.n_frames_of(rows)
-    small = boxes(spark, n).select("frame", F.lit(60.0).alias("lx"), F.lit(14.4).alias("ly"), F.lit(10.0).alias("lz"))
-    return dynamics.unwrap(dynamics.wrap(rows, small), small, "cmp", "hybrid")
-
-
 @query(f"""
 WITH {EVENTS_SQL}, r AS (SELECT cmp, x AS rx, y AS ry, z AS rz FROM ev WHERE frame = 0),
 d AS (SELECT frame, x - rx AS dx, y - ry AS dy, z - rz AS dz, r.cmp % 7 + 1 AS w FROM ev JOIN r ON ev.cmp = r.cmp)

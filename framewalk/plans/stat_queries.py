@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from framewalk.functions import arrays, models, text
-from framewalk.operators import binning, dynamics, fits, sequences, stats
+from framewalk.operators import binning, changes, dynamics, fits, sequences, stats
 from framewalk.plans.tables import EVENTS_SQL, events, series, table
 from framewalk.sources import files, slicing
 
@@ -86,17 +86,23 @@ WITH v AS (SELECT label, unnest(embedding)::DOUBLE AS x FROM embeddings)
 SELECT label, round(avg(x ** 4) / (3 * avg(x * x) ** 2) - 1 + 1e-9, 6) + 0.0 AS ngp FROM v GROUP BY label""")
 def ngp(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").select("label", F.explode(F.col("embedding").cast("array<double>")).alias("x"))
-    return rows.groupBy("label").agg(_round(stats.ngp(F.col("x"))).alias("ngp"))
+    return stats.ngp_by(rows, ["label"], "x").withColumn("ngp", _round(F.col("ngp")))
 
 
 @query("""
-SELECT l_returnflag, round(sum(l_quantity * l_discount) / sum(l_quantity) + 1e-9, 6) + 0.0 AS mean,
-       round(sum(l_quantity * l_discount * l_discount) / sum(l_quantity) - (sum(l_quantity * l_discount) / sum(l_quantity)) ** 2 + 1e-9, 6) + 0.0 AS var,
-       round(sqrt(sum(l_quantity * l_discount * l_discount) / sum(l_quantity) - (sum(l_quantity * l_discount) / sum(l_quantity)) ** 2) + 1e-9, 6) + 0.0 AS std
-FROM lineitem GROUP BY l_returnflag""")
+WITH m AS (SELECT l_returnflag AS k, avg(l_quantity) AS m FROM lineitem GROUP BY ALL)
+SELECT l_returnflag, round(avg((l_quantity - m) ** 4) / (5 / 3.0::DOUBLE * avg((l_quantity - m) ** 2) ** 2) - 1 + 1e-9, 6) + 0.0 AS ngp FROM lineitem JOIN m ON l_returnflag = k GROUP BY l_returnflag""")
+def ngp_centered(spark, sf_dir):
+    return stats.ngp_by(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_quantity", 3, center=True).withColumn("ngp", _round(F.col("ngp")))
+
+
+@query("""
+WITH m AS (SELECT l_returnflag AS k, sum(l_quantity * l_discount) / sum(l_quantity) AS m FROM lineitem GROUP BY ALL),
+v AS (SELECT l_returnflag, any_value(m) AS m, sum(l_quantity * (l_discount - m) ** 2) / sum(l_quantity) AS v FROM lineitem JOIN m ON l_returnflag = k GROUP BY ALL)
+SELECT l_returnflag, round(m + 1e-9, 6) + 0.0 AS mean, round(v + 1e-9, 6) + 0.0 AS var, round(sqrt(v) + 1e-9, 6) + 0.0 AS std FROM v""")
 def var_weighted(spark, sf_dir):
-    x, w = F.col("l_discount"), F.col("l_quantity")
-    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(_round(F.sum(w * x) / F.sum(w)).alias("mean"), _round(stats.var_weighted(x, w)).alias("var"), _round(stats.std_weighted(x, w)).alias("std"))
+    made = stats.weighted_moments(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_discount", "l_quantity")
+    return made.withColumns({c: _round(F.col(c)) for c in ("mean", "var", "std")})
 
 
 @query(f"""
@@ -158,9 +164,14 @@ def fit_power_law(spark, sf_dir):
     return made.select("state", (F.round("a", 5) + 0.0).alias("a"), (F.round("b", 5) + 0.0).alias("b"))
 
 
-@query()
+@query(f"""
+WITH {EVENTS_SQL}, c AS (SELECT cmp AS id, frame AS t, n, x - avg(x) OVER (PARTITION BY cmp) AS c FROM ev),
+k AS (SELECT id, n, unnest(range(0, n // 2 + 1)) AS k FROM (SELECT DISTINCT id, n FROM c))
+SELECT k.id, round(any_value(k.k::DOUBLE / k.n), 6) + 0.0 AS frequency, round(sqrt(sum(c * cos(2 * pi() * k.k * t / k.n)) ** 2 + sum(c * sin(2 * pi() * k.k * t / k.n)) ** 2) + 1e-7, 5) + 0.0 AS amplitude
+FROM k JOIN c ON k.id = c.id GROUP BY k.id, k.k""")
 def spectrum(spark, sf_dir):
-    return fits.spectrum(series(spark, sf_dir))
+    made = fits.spectrum(series(spark, sf_dir))
+    return made.select("id", (F.round("frequency", 6) + 0.0).alias("frequency"), (F.round(F.col("amplitude") + 1e-7, 5) + 0.0).alias("amplitude"))
 
 
 @query()
@@ -177,20 +188,25 @@ WITH b AS (SELECT label, unnest(embedding)::DOUBLE AS x FROM embeddings),
 m AS (SELECT label, count(*)::DOUBLE AS n, avg(x) AS c FROM b GROUP BY label),
 g AS (SELECT b.label, any_value(m.n) AS n, avg((x - c) ** 3) / avg((x - c) ** 2) ** 1.5 AS g, avg((x - c) ** 4) / avg((x - c) ** 2) ** 2 AS b FROM b JOIN m ON b.label = m.label GROUP BY b.label),
 s AS (SELECT *, g * sqrt((n + 1) * (n + 3) / (6 * (n - 2))) AS y, 3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9)) AS beta FROM g),
-w AS (SELECT *, sqrt(2 * (beta - 1)) - 1 AS w2 FROM s)
-SELECT label, CAST(n AS BIGINT) AS n, round(asinh(y / sqrt(2 / (w2 - 1))) / sqrt(0.5 * ln(w2)), 5) + 0.0 AS z_skew FROM w""")
+w AS (SELECT *, sqrt(2 * (beta - 1)) - 1 AS w2 FROM s),
+zs AS (SELECT *, asinh(y / sqrt(2 / (w2 - 1))) / sqrt(0.5 * ln(w2)) AS zs, (b - 3 * (n - 1) / (n + 1)) / sqrt(24 * n * (n - 2) * (n - 3) / ((n + 1) ** 2 * (n + 3) * (n + 5))) AS q,
+       6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3))) AS t FROM w),
+za AS (SELECT *, 6 + 8 / t * (2 / t + sqrt(1 + 4 / (t * t))) AS a FROM zs), zr AS (SELECT *, (1 - 2 / a) / (1 + q * sqrt(2 / (a - 4))) AS r FROM za),
+z AS (SELECT label, n, zs, (1 - 2 / (9 * a) - sign(r) * abs(r) ** (1 / 3.0::DOUBLE)) / sqrt(2 / (9 * a)) AS zk FROM zr)
+SELECT label, CAST(n AS BIGINT) AS n, round(zs, 5) + 0.0 AS z_skew, round(zk, 5) + 0.0 AS z_kurt, round(zs * zs + zk * zk, 5) + 0.0 AS k2, round(exp(-(zs * zs + zk * zk) / 2), 6) + 0.0 AS p FROM z""")
 def normal_test(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").select("label", F.explode(F.col("embedding").cast("array<double>")).alias("x"))
     made = stats.normal_test(rows, ["label"], "x")
-    return made.select("label", "n", (F.round("z_skew", 5) + F.lit(0.0)).alias("z_skew"))
+    return made.select("label", "n", *((F.round(c, p) + F.lit(0.0)).alias(c) for c, p in (("z_skew", 5), ("z_kurt", 5), ("k2", 5), ("p", 6))))
 
 
 @query("""
-WITH w AS (SELECT p_type, min(p_retailprice) AS m, stddev_pop(p_retailprice) * cbrt(24 * sqrt(pi()) / count(*)) AS w, count(*) AS n FROM part GROUP BY p_type)
-SELECT p.p_type, CAST(floor((p_retailprice - m) / w.w) AS INTEGER) AS bin, count(*) AS n, round(count(*) / (any_value(w.n) * any_value(w.w)) + 1e-9, 6) + 0.0 AS density FROM part p JOIN w ON p.p_type = w.p_type GROUP BY ALL""")
+WITH w AS (SELECT p_type, min(p_retailprice) AS m, stddev_pop(p_retailprice) * cbrt(24 * sqrt(pi()) / count(*)) AS w, count(*) AS n FROM part GROUP BY p_type),
+b AS (SELECT p.p_type, CAST(floor((p_retailprice - m) / w.w) AS INTEGER) AS bin, m, w.w AS w, w.n AS all_ FROM part p JOIN w ON p.p_type = w.p_type)
+SELECT p_type, bin, round(any_value(m) + bin * any_value(w) + 1e-9, 6) + 0.0 AS lo, round(any_value(m) + bin * any_value(w) + any_value(w) + 1e-9, 6) + 0.0 AS hi, count(*) AS n, round(count(*) / (any_value(all_) * any_value(w)) + 1e-9, 6) + 0.0 AS density FROM b GROUP BY p_type, bin""")
 def auto_histogram(spark, sf_dir):
     made = stats.auto_histogram(table(spark, sf_dir, "part"), ["p_type"], "p_retailprice")
-    return made.select("p_type", "bin", "n", _round(F.col("density")).alias("density"))
+    return made.select("p_type", "bin", _round(F.col("lo")).alias("lo"), _round(F.col("hi")).alias("hi"), "n", _round(F.col("density")).alias("density"))
 
 
 # ---- sequences
@@ -290,10 +306,13 @@ def find_linear_region(spark, sf_dir):
 # ---- arrays
 
 
-@query("SELECT vec_id, CAST(list_position(embedding, list_min(embedding)) - 1 AS INTEGER) AS first_min, len(embedding) AS n FROM embeddings")
+@query("""
+WITH l AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding) AS x, len(embedding) AS n FROM embeddings)
+SELECT vec_id, CAST(arg_min(i, struct_pack(x := x, i := i)) AS INTEGER) AS first_min, CAST(arg_min(i, struct_pack(d := abs(x - 0.25::FLOAT), i := i)) AS INTEGER) AS at, round(arg_min(x, struct_pack(d := abs(x - 0.25::FLOAT), i := i)), 5)::DOUBLE AS value, any_value(n) AS n FROM l GROUP BY vec_id""")
 def find_nearest(spark, sf_dir):
-    rows = table(spark, sf_dir, "embeddings")
-    return rows.select("vec_id", arrays.find_nearest(F.col("embedding"), F.array_min("embedding"), True).cast("int").alias("first_min"), F.size("embedding").cast("long").alias("n"))
+    rows, quarter = table(spark, sf_dir, "embeddings"), F.lit(0.25).cast("float")
+    a = F.col("embedding")
+    return rows.select("vec_id", arrays.find_nearest(a, F.array_min(a), True).cast("int").alias("first_min"), arrays.find_nearest(a, quarter, True).cast("int").alias("at"), F.round(arrays.find_nearest(a, quarter), 5).cast("double").alias("value"), F.size(a).cast("long").alias("n"))
 
 
 _LIST = "SELECT cmp, list(state ORDER BY frame) AS a FROM ev GROUP BY cmp"
@@ -367,14 +386,18 @@ def select_atoms(spark, sf_dir):
 # ---- models
 
 
-@query("""
-SELECT p_partkey, round(0.5 * (p_size + l.q) + p_retailprice / 1000 + 1e-9, 6) + 0.0 AS r0, round(-4 * (p_size / 10.0::DOUBLE) + 1e-9, 6) + 0.0 AS r4, CAST(p_size AS DOUBLE) AS f0
-FROM part, (SELECT 0.7::DOUBLE AS q) l""")
+_FOURIER = ("p_size::DOUBLE", "(p_retailprice / 1000)", "0.7::DOUBLE", "(p_size / 10.0::DOUBLE)")
+
+
+@query(f"""
+WITH f AS (SELECT p_partkey, {", ".join(f"{c} AS c{k}" for k, c in enumerate(_FOURIER))} FROM part)
+SELECT p_partkey, round(c1 + 0.5 * (c0 + c2) + 1e-9, 6) + 0.0 AS r0, round(0.5 * (3 * c2 - c0) + 1e-9, 6) + 0.0 AS r1, round(4 * c3 - c1 + 1e-9, 6) + 0.0 AS r2, round(-2 * c2 + 1e-9, 6) + 0.0 AS r3, round(-4 * c3 + 1e-9, 6) + 0.0 AS r4,
+       0.0::DOUBLE AS r5, {", ".join(f"round(c{k} + 1e-9, 6) + 0.0 AS f{k}" for k in range(4))} FROM f""")
 def fourier_to_rb(spark, sf_dir):
     c = [F.col("p_size").cast("double"), F.col("p_retailprice") / 1000, F.lit(0.7), F.col("p_size") / 10]
     rb = models.fourier_to_rb(c)
     back = models.rb_to_fourier(rb)
-    return table(spark, sf_dir, "part").select("p_partkey", _round(rb[0]).alias("r0"), _round(rb[4]).alias("r4"), F.round(back[0], 6).alias("f0"))
+    return table(spark, sf_dir, "part").select("p_partkey", *(_round(x).alias(f"r{k}") if k < 5 else x.alias("r5") for k, x in enumerate(rb)), *(_round(x).alias(f"f{k}") for k, x in enumerate(back)))
 
 
 @query(f"""
@@ -389,3 +412,55 @@ def model_functions(spark, sf_dir):
         "event_id", _round(models.kww("frame", 4.0, 0.7)).alias("kww"), _round(models.burr12_sf("frame", 4.0, 1.3, 1.5)).alias("burr"), _round(models.gaussian("z", 50.0, 20.0)).alias("gauss"),
         _round(models.exp_decay("frame", 0.1)).alias("decay"), _round(models.mb_dist(z / 30, 1.5)).alias("mb"), _round(models.msd("frame", 0.3)).alias("msd"), _round(models.ekin_dist(F.col("frame") / 10, 1.0)).alias("ekin"),
     )
+
+
+@query(f"""
+WITH {EVENTS_SQL}
+SELECT event_id, round(0.3 * frame - 2 + 1e-9, 6) + 0.0 AS line, round((z + 2) / 0.3::DOUBLE + 1e-9, 5) + 0.0 AS line_inv, round(-0.1 * frame + 1e-9, 6) + 0.0 AS decay_log, round(1 / (1 + (frame / 4.0::DOUBLE) ** 1.3) ** (2 / 1.3::DOUBLE) + 1e-9, 6) + 0.0 AS burr_alt,
+       round(0.2 * exp(-0.2::DOUBLE * frame) + 1e-9, 6) + 0.0 AS exp_dist, round(ln(0.2::DOUBLE) - 0.2 * frame + 1e-9, 6) + 0.0 AS exp_dist_log, round(0.5 * frame ** 0.6::DOUBLE + 1e-9, 6) + 0.0 AS sub_diffusive, round(1.5 * (frame + 1.0::DOUBLE) ** 0.5 + 1e-9, 6) + 0.0 AS power
+FROM ev""")
+def more_model_functions(spark, sf_dir):
+    made = {
+        "line": models.line("frame", 0.3, -2.0), "line_inv": models.line_inv("z", 0.3, -2.0), "decay_log": models.exp_decay_log("frame", 0.1), "burr_alt": models.burr12_sf_alt("frame", 4.0, 1.3, 2.0),
+        "exp_dist": models.exp_dist("frame", 0.2), "exp_dist_log": models.exp_dist_log("frame", 0.2), "sub_diffusive": models.msd_non_diffusive("frame", 0.5, 0.6), "power": models.power_law(F.col("frame") + 1, 1.5, 0.5),
+    }
+    return events(spark, sf_dir).select("event_id", *(_round(c, 5 if n == "line_inv" else 6).alias(n) for n, c in made.items()))
+
+
+@query("WITH t AS (SELECT (p_partkey % 9 + 2) / 5.0::DOUBLE AS b, p_partkey, p_size FROM part) SELECT p_partkey, round((p_size + 1) / b * gamma(1 / b), 5) + 0.0 AS kww, CASE WHEN 3 * b > 1 THEN round((p_size + 1) * gamma(3 - 1 / b) * gamma(1 + 1 / b) / gamma(3.0::DOUBLE), 5) + 0.0 END AS burr FROM t")
+def model_means(spark, sf_dir):
+    tau, beta = F.col("p_size") + 1.0, (F.col("p_partkey") % 9 + 2) / 5
+    return table(spark, sf_dir, "part").select("p_partkey", (F.round(models.kww_mean(tau, beta), 5) + 0.0).alias("kww"), (F.round(models.burr12_mean(tau, beta, 3.0), 5) + 0.0).alias("burr"))
+
+
+@query(f"""
+WITH {EVENTS_SQL}, t AS (SELECT cmp, frame, state2, lag(state2) OVER w AS p, lead(state2) OVER w AS nx FROM ev WINDOW w AS (PARTITION BY cmp ORDER BY frame))
+SELECT cmp, frame, state2, 'before' AS pin FROM t WHERE nx - state2 = 1 UNION ALL SELECT cmp, frame, state2, 'after' FROM t WHERE state2 - p = 1""")
+def item_change_positions(spark, sf_dir):
+    rows = events(spark, sf_dir).select("cmp", "frame", "state2")
+    return changes.change_positions(rows, ["cmp"], "frame", "state2", "both", change_type=1)
+
+
+@query(f"""
+WITH {EVENTS_SQL}, t AS (SELECT cmp, frame, state2, lag(state2) OVER (PARTITION BY cmp ORDER BY frame) AS p FROM ev)
+SELECT cmp, frame, state2 FROM t WHERE p IS NULL OR state2 <> p""")
+def first_items(spark, sf_dir):
+    return changes.first_items(events(spark, sf_dir).select("cmp", "frame", "state2"), ["cmp"], "frame", "state2")
+
+
+@query(f"""WITH {EVENTS_SQL}, l AS ({_LIST}), m AS (SELECT cmp, a, list_filter(a, lambda x: x >= 1) AS b FROM l)
+SELECT cmp, greatest(len(a), len(b)) AS na, greatest(len(a), len(b)) AS nb, CAST(list_sum(a) AS BIGINT) AS sa, CAST(coalesce(list_sum(b), 0) + 9 * (len(a) - len(b)) AS BIGINT) AS sb FROM m""")
+def match_shape(spark, sf_dir):
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda x, y: x + y)
+    a, b = arrays.match_shape(F.col("a"), F.filter("a", lambda x: x >= 1), 9)
+    return _lists(spark, sf_dir).select("cmp", F.size(a).cast("long").alias("na"), F.size(b).cast("long").alias("nb"), total(a).alias("sa"), total(b).alias("sb"))
+
+
+@query("SELECT p_partkey, regexp_replace(p_brand, '[0-9]', '', 'g') AS plain, p_type || CAST(p_size AS VARCHAR) AS numbered FROM part")
+def unnumber_names(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", text.unnumbered(F.col("p_brand")).alias("plain"), text.numbered(F.col("p_type"), F.col("p_size")).alias("numbered"))
+
+
+@query("SELECT p_partkey, regexp_replace(p_brand, '[0-9]', '', 'g') || CAST(row_number() OVER (ORDER BY p_partkey) AS VARCHAR) AS p_brand FROM part")
+def number_all_names(spark, sf_dir):
+    return sequences.number_names(table(spark, sf_dir, "part"), [], "p_partkey", "p_brand").select("p_partkey", "p_brand")

@@ -103,8 +103,18 @@ def lifetimes(spark, sf_dir):
 
 @query(f"WITH {EVENTS_SQL}, {RUNS_SQL} SELECT CAST(state AS INTEGER) AS state, count(*) AS n, round(avg(len), 6) + 0.0 AS avg, round(stddev_pop(len), 6) + 0.0 AS std, CAST(sum(len) AS BIGINT) AS total FROM runs GROUP BY state")
 def lifetimes_per_state(spark, sf_dir):
-    made = states.lifetimes_per_state(dtrj(spark, sf_dir))
-    return _rounded(made, "avg", "std").withColumn("total", F.aggregate("lifetimes", F.lit(0).cast("long"), lambda a, x: a + x)).drop("lifetimes")
+    return _rounded(states.lifetimes_per_state(dtrj(spark, sf_dir)), "avg", "std")
+
+
+@query(f"WITH {EVENTS_SQL}, {RUNS_SQL} SELECT CAST(state AS INTEGER) AS state, string_agg(CAST(len AS VARCHAR), ',' ORDER BY cmp, t0) AS lifetimes FROM runs GROUP BY state")
+def lifetimes_listed(spark, sf_dir):
+    made = states.lifetimes_per_state(dtrj(spark, sf_dir), lists=True)
+    return made.select("state", F.array_join(F.col("lifetimes").cast("array<string>"), ",").alias("lifetimes"))
+
+
+@query(f"WITH {EVENTS_SQL}, {RUNS_SQL} SELECT CAST(state AS INTEGER) AS state, CAST(len AS BIGINT) AS lifetime, count(*) AS n FROM runs WHERE state >= 0 GROUP BY ALL")
+def lifetime_counts(spark, sf_dir):
+    return states.lifetime_counts(dtrj(spark, sf_dir), discard_neg_start=True)
 
 
 def _rate_sql(key: str, where: str) -> str:
@@ -220,6 +230,13 @@ def trans_ix(spark, sf_dir):
     return states.trans_ix(dtrj(spark, sf_dir), "end", trans_type="higher", discard_neg="both")
 
 
+@query(f"""
+WITH {EVENTS_SQL}, t AS (SELECT *, lag(state) OVER w AS p, lead(state) OVER w AS nx FROM ev WINDOW w AS (PARTITION BY cmp ORDER BY frame))
+SELECT cmp, frame, state, 'start' AS pin FROM t WHERE nx <> state UNION ALL SELECT cmp, frame, state, 'end' FROM t WHERE p <> state""")
+def trans_ix_both(spark, sf_dir):
+    return states.trans_ix(dtrj(spark, sf_dir), "both")
+
+
 _ENDS = f"""
 {EVENTS_SQL},
 t AS (
@@ -262,11 +279,11 @@ def trans_info(spark, sf_dir):
 
 
 @query(f"""
-WITH {_ENDS}, d AS (SELECT cmp, frame, (state - p) - floor((state - p) / 4.0 + 0.5) * 4.0 AS d FROM t)
-SELECT cmp, frame, d > 0 AS after FROM d""")
+WITH {_ENDS}, d AS (SELECT cmp, frame, (state - p) - floor((state - p) / 4.0 + 0.5) * 4.0 AS d, (n - state) - floor((n - state) / 4.0 + 0.5) * 4.0 AS e FROM t)
+SELECT cmp, frame, d > 0 AS after, e > 0 AS before FROM d""")
 def locate_item_change_mic(spark, sf_dir):
     found = changes.locate_changes(dtrj(spark, sf_dir), ["cmp"], "frame", "state", change_type="higher", wrap=True, mic=True, amin=-1, amax=3)
-    return found.select("cmp", "frame", "after")
+    return found.select("cmp", "frame", "before", "after")
 
 
 @query(f"""
@@ -294,11 +311,6 @@ def replace_short_sequences_global(spark, sf_dir):
     return repair.replace_short_sequences_global(values, 3, -7)
 
 
-@query()
-def correct_intermittency(spark, sf_dir):
-    return repair.correct_intermittency(dtrj(spark, sf_dir), 2)
-
-
 @query(f"""
 WITH {EVENTS_SQL}, e AS (SELECT cmp, count(*) AS n, count(DISTINCT frame) AS d, min(frame) AS a, max(frame) AS b FROM ev GROUP BY cmp)
 SELECT count(*) AS n_cmps, max(b) + 1 AS n_frames, bool_and(n = d AND a = 0 AND n = b + 1) AS dense, CAST(0 AS BIGINT) AS n_fractions, CAST(0 AS BIGINT) AS n_nulls FROM e""")
@@ -309,10 +321,11 @@ def check_dtrj(spark, sf_dir):
 _CURVE = f"SELECT CAST(t AS DOUBLE) AS t, sf FROM ({_survival_sql('', '')}) WHERE sf > 0 AND sf <= 1"
 
 
-@query(f"SELECT round(greatest(0.0, -sum(t * ln(sf)) / sum(t * t)), 5) AS k, count(*) AS n FROM ({_CURVE})")
+@query(f"""WITH c AS ({_CURVE}), k AS (SELECT greatest(0.0, -sum(t * ln(sf)) / sum(t * t)) AS k FROM c)
+SELECT round(any_value(k), 5) AS k, round(sqrt(sum((ln(sf) + k * t) ** 2) / ((count(*) - 1) * sum(t * t))), 5) AS k_sd, count(*) AS n FROM c, k""")
 def fit_exp_decay(spark, sf_dir):
     made = fits.fit_exp_decay(_km(spark, sf_dir), [], "t", "sf")
-    return made.select(F.round("k", 5).alias("k"), "n")
+    return made.select(F.round("k", 5).alias("k"), F.round("k_sd", 5).alias("k_sd"), "n")
 
 
 @query()
@@ -327,18 +340,6 @@ def fit_burr12(spark, sf_dir):
     return fits.fit_model(fits.fit_window(curve, ["state2"], "lag", "prob"), "burr12", ["state2"], "lag", "prob")
 
 
-@query(f"""
-WITH {EVENTS_SQL}, b AS (SELECT cmp, CAST(frame // 15 AS INTEGER) AS block, frame % 15 AS frame, state FROM ev WHERE frame < 45),
-l AS (SELECT *, max(frame) OVER (PARTITION BY cmp, block) + 1 AS n FROM b),
-p AS (SELECT a.block, c.frame - a.frame AS lag, count(*) AS v, count(CASE WHEN a.state = c.state THEN 1 END) AS s FROM l a JOIN l c ON a.cmp = c.cmp AND a.block = c.block AND c.frame > a.frame WHERE a.frame < a.n - 1 GROUP BY ALL),
-q AS (SELECT block, lag, s / v AS prob FROM p UNION ALL SELECT DISTINCT block, 0, 1.0 FROM b)
-SELECT CAST(lag AS INTEGER) AS lag, round(avg(prob), 6) + 0.0 AS mean, round(stddev_pop(prob) / sqrt(count(*)), 6) + 0.0 AS sd FROM q GROUP BY lag""")
-def remain_prob_in_blocks(spark, sf_dir):
-    # a dense matrix: the first 45 frames only, which every compound of the given tables has; remain_prob_in_all_blocks takes all frames
-    made = states.remain_prob_in_blocks(dtrj(spark, sf_dir), 3, 45)
-    return _rounded(made, "mean", "sd")
-
-
 @query(f"""
 WITH {EVENTS_SQL}, z AS (SELECT (max(frame) + 1) // 3 AS size FROM ev),
 b AS (SELECT cmp, CAST(frame // size AS INTEGER) AS block, frame % size AS frame, state FROM ev, z WHERE frame < 3 * size),
@@ -346,7 +347,7 @@ l AS (SELECT *, max(frame) OVER (PARTITION BY cmp, block) + 1 AS n FROM b),
 p AS (SELECT a.block, c.frame - a.frame AS lag, count(*) AS v, count(CASE WHEN a.state = c.state THEN 1 END) AS s FROM l a JOIN l c ON a.cmp = c.cmp AND a.block = c.block AND c.frame > a.frame WHERE a.frame < a.n - 1 GROUP BY ALL),
 q AS (SELECT block, lag, s / v AS prob FROM p UNION ALL SELECT DISTINCT block, 0, 1.0 FROM b)
 SELECT CAST(lag AS INTEGER) AS lag, round(avg(prob), 6) + 0.0 AS mean, round(stddev_pop(prob) / sqrt(count(*)), 6) + 0.0 AS sd FROM q GROUP BY lag""")
-def remain_prob_in_all_blocks(spark, sf_dir):
+def remain_prob_in_blocks(spark, sf_dir):
     # three blocks of the longest sequence; only its frames that three does not divide are left out
     rows = dtrj(spark, sf_dir)
     made = states.remain_prob_in_blocks(rows, 3, states.n_frames_of(rows))
@@ -354,8 +355,11 @@ def remain_prob_in_all_blocks(spark, sf_dir):
 
 
 @query(f"""
-WITH {EVENTS_SQL}, {RUNS_SQL}
-SELECT CAST(state AS INTEGER) AS state, round(avg(len), 6) + 0.0 AS count_mean, round(stddev_samp(len), 6) + 0.0 AS count_std FROM runs WHERE NOT is_first AND NOT is_last GROUP BY state""")
+WITH c AS (SELECT state2, t, sf, lag(t) OVER w AS t0, lag(sf) OVER w AS sf0 FROM ({_survival_sql("", "", "state2").replace("least(3, floor(value / 25))", "(CASE event_type WHEN 'click' THEN 0 WHEN 'purchase' THEN 1 WHEN 'signup' THEN 2 WHEN 'view' THEN 3 ELSE -1 END)").replace("round(p, 6) + 0.0", "p")}) WHERE sf IS NOT NULL WINDOW w AS (PARTITION BY state2 ORDER BY t)),
+i AS (SELECT state2, CASE WHEN min(sf) <= 0.9 THEN sum((t - t0) * (sf + sf0) / 2) END AS m FROM c GROUP BY state2),
+{EVENTS_SQL.lstrip()}, {RUNS_SQL},
+k AS (SELECT CAST(state AS INTEGER) AS state, avg(len) AS a, stddev_samp(len) AS s FROM runs WHERE NOT is_first AND NOT is_last GROUP BY state)
+SELECT coalesce(k.state, i.state2) AS state, round(a, 6) + 0.0 AS count_mean, round(s, 6) + 0.0 AS count_std, round(m, 6) + 0.0 AS integral_mean FROM k FULL JOIN i ON k.state = i.state2""")
 def lifetime_moments(spark, sf_dir):
-    made = states.lifetime_moments(dtrj(spark, sf_dir))
-    return _rounded(made, "count_mean", "count_std").select("state", "count_mean", "count_std")
+    made = states.lifetime_moments(dtrj(spark, sf_dir), threshold=0.9)
+    return _rounded(made, "count_mean", "count_std", "integral_mean").select("state", "count_mean", "count_std", "integral_mean")

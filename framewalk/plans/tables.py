@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 #: Box of the positions made of events.
 BOX = (600.0, 144.0, 100.0)
-#: Frames of the contact tables: days from the first one.
-N_DAYS = 30
+#: Frames of the contact tables, in SQL: days from the first one up to the last that has an event.
+N_DAYS_SQL = "(SELECT max(frame) + 1 FROM pt)"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +62,12 @@ def boxes(spark: SparkSession, n: int) -> DataFrame:
     return spark.range(n).select(F.col("id").cast("int").alias("frame"), *(F.lit(v).alias(f"l{a}") for a, v in zip("xyz", BOX)))
 
 
+def n_days(spark: SparkSession, sf_dir: str) -> int:
+    """Frames of the contact tables."""
+    frame = F.datediff("ts", F.lit("2024-01-01").cast("date"))
+    return (table(spark, sf_dir, "events").agg(F.max(frame)).first()[0] or 0) + 1
+
+
 def boxes_of(*particles: DataFrame) -> DataFrame:
     """A box for every frame that one of the tables has."""
     frames = particles[0].select("frame")

@@ -1,8 +1,10 @@
-"""Session set-up: the workers' import path."""
+"""Session set-up: the workers' import path, and the folder that all executors share."""
 
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -14,3 +16,13 @@ def importable(spark: SparkSession) -> None:
     path = spark.sparkContext.environment.get("PYTHONPATH", "")
     if ROOT not in path.split(os.pathsep):
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, path]))
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path for new files below spark.checkpoint.dir; where that is unset, below a temporary folder, in local mode only."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = "file://" + tempfile.mkdtemp(prefix="spark-framewalk-", dir="/tmp")
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"

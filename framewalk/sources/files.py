@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from framewalk.functions.geometry import box_columns, box_matrix
 from framewalk.session import importable
 
 #: Rows that a reader of arrays returns at a time.
@@ -74,17 +75,18 @@ def read_columns(spark: SparkSession, path: str, names: list[str], comment: str
 
 
 def read_matrix(spark: SparkSession, path: str, comment: str = "#") -> DataFrame:
-    """(var1, var2, z) of a text matrix whose first row and column hold the two variables.
+    """(var1, var2, z) of text matrices whose first row and column hold the two variables.
 
-    The first row is looked up by itself (it is one line), all others are read in parallel.
+    The first row of each file is known by its place, the start of the file's first block, and is joined with
+    the others, which are read in parallel.
     """
-    lines = spark.read.text(path).select(F.trim("value").alias("v")).where((F.col("v") != "") & ~F.col("v").startswith(comment))
-    head = [float(x) for x in lines.first()["v"].split()]
-    cells = F.split("v", r"\s+").cast("array<double>")
-    rows = lines.select(F.get(cells, 0).alias("var1"), F.posexplode(F.slice(cells, 2, 1_000_000)).alias("k", "z"))
-    rows = rows.where(~F.array_contains(F.lit([]).cast("array<double>"), F.col("z")))
-    first = F.lit(head[1:]).cast("array<double>")
-    return rows.select("var1", F.get(first, "k").alias("var2"), "z").where(~((F.col("var1") == head[0]) & (F.col("z") == F.col("var2"))))
+    lines = spark.read.text(path).select(F.trim("value").alias("v"), F.monotonically_increasing_id().alias("id"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    lines = lines.where((F.col("v") != "") & ~F.col("v").startswith(comment))
+    heads = lines.where("block = 0").groupBy("file").agg(F.min(F.struct("id", "v")).alias("h"))
+    numbers = lambda c: F.transform(F.split(c, r"\s+"), lambda x: x.try_cast("double"))
+    rows = lines.join(heads.select("file", F.col("h.id").alias("first"), numbers(F.col("h.v")).alias("head")), "file").where((F.col("block") != 0) | (F.col("id") > F.col("first")))
+    cells = rows.select("head", numbers(F.col("v")).alias("c")).select("head", F.get("c", 0).alias("var1"), F.posexplode(F.slice("c", F.lit(2), F.greatest(F.lit(0), F.size("c") - 1))).alias("k", "z"))
+    return cells.select("var1", F.get("head", F.col("k") + 1).alias("var2"), "z")
 
 
 def write_matrix(matrix: DataFrame, path: str, var1: str, var2: str, z: str, values: list[float] | None = None, block: str | None = None) -> None:
@@ -99,8 +101,18 @@ def write_columns(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").option("sep", " ").option("header", True).csv(path)
 
 
+def _cell(box: list[float]) -> list[float]:
+    """lx, ly, lz, alpha, beta, gamma of a box line: three numbers, or nine, the diagonal of the box's vectors and then what tilts them."""
+    if len(box) < 9:
+        return [*box[:3], 90.0, 90.0, 90.0]
+    a, b, c = np.array([[box[0], box[3], box[4]], [box[5], box[1], box[6]], [box[7], box[8], box[2]]])
+    lengths = [float(np.linalg.norm(v)) for v in (a, b, c)]
+    angle = lambda u, v: float(np.degrees(np.arccos(np.clip(u @ v / np.linalg.norm(u) / np.linalg.norm(v), -1, 1))))
+    return [*lengths, angle(b, c), angle(a, c), angle(a, b)]
+
+
 def read_gro(spark: SparkSession, path: str) -> DataFrame:
-    """(path, frame, atom_ix, resid, resname, name, x, y, z, lx, ly, lz) of .gro files of one or more frames; nm.
+    """(path, frame, atom_ix, resid, resname, name, x, y, z, lx, ly, lz, alpha, beta, gamma) of .gro files of one or more frames; nm.
 
     Each file is cut into frames by one pass over its lines in a task; write trajectories as many files, or as Parquet.
     """
@@ -113,14 +125,15 @@ def read_gro(spark: SparkSession, path: str) -> DataFrame:
                 while at + 1 < len(lines) and lines[at + 1].strip():
                     n = int(lines[at + 1])
                     body = lines[at + 2 : at + 2 + n]
-                    box = [float(v) for v in lines[at + 2 + n].split()[:3]]
+                    box = _cell([float(v) for v in lines[at + 2 + n].split()])
                     yield pd.DataFrame({
                         "path": name, "frame": frame, "atom_ix": range(n), "resid": [int(r[:5]) for r in body], "resname": [r[5:10].strip() for r in body], "name": [r[10:15].strip() for r in body],
-                        "x": [float(r[20:28]) for r in body], "y": [float(r[28:36]) for r in body], "z": [float(r[36:44]) for r in body], "lx": box[0], "ly": box[1], "lz": box[2],
+                        "x": [float(r[20:28]) for r in body], "y": [float(r[28:36]) for r in body], "z": [float(r[36:44]) for r in body],
+                        **dict(zip(("lx", "ly", "lz", "alpha", "beta", "gamma"), box)),
                     })
                     at, frame = at + 3 + n, frame + 1
 
-    schema = "path string, frame int, atom_ix long, resid int, resname string, name string, x double, y double, z double, lx double, ly double, lz double"
+    schema = "path string, frame int, atom_ix long, resid int, resname string, name string, x double, y double, z double, lx double, ly double, lz double, alpha double, beta double, gamma double"
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(load, schema)
 
 
@@ -142,19 +155,43 @@ def read_xyz(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_gro(atoms: DataFrame, path: str) -> None:
-    """Frames as text in .gro form: a folder for each frame, its lines in order; atoms has the columns of read_gro."""
+    """Frames as text in .gro form: a folder for each frame, its lines in order; atoms has the columns of read_gro (angles may be missing)."""
     line = F.format_string("%5d%-5s%5s%5d%8.3f%8.3f%8.3f", F.col("resid") % 100_000, "resname", "name", ((F.col("atom_ix") + 1) % 100_000).cast("int"), "x", "y", "z")
     body = atoms.select("frame", F.col("atom_ix").alias("k"), line.alias("value"))
-    ends = atoms.groupBy("frame").agg(F.count("*").alias("n"), F.first("lx").alias("lx"), F.first("ly").alias("ly"), F.first("lz").alias("lz"), F.max("atom_ix").alias("top"))
-    extra = F.explode(F.array(F.struct(F.lit(-2).cast("long").alias("k"), F.format_string("frame %d", "frame").alias("value")), F.struct(F.lit(-1).cast("long").alias("k"), F.format_string("%5d", "n").alias("value")), F.struct((F.col("top") + 1).alias("k"), F.format_string("%10.5f%10.5f%10.5f", "lx", "ly", "lz").alias("value"))))
+    box = box_columns(atoms.columns)
+    ends = atoms.groupBy("frame").agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in box), F.max("atom_ix").alias("top"))
+    a, b, c = box_matrix(box)
+    straight = F.format_string("%10.5f%10.5f%10.5f", a[0], b[1], c[2])
+    if len(box) == 6:
+        tilted = F.concat(straight, F.format_string("%10.5f" * 6, F.lit(0.0), F.lit(0.0), b[0], F.lit(0.0), c[0], c[1]))
+        straight = F.when((F.col("alpha") == 90) & (F.col("beta") == 90) & (F.col("gamma") == 90), straight).otherwise(tilted)
+    extra = F.explode(F.array(F.struct(F.lit(-2).cast("long").alias("k"), F.format_string("frame %d", "frame").alias("value")), F.struct(F.lit(-1).cast("long").alias("k"), F.format_string("%5d", "n").alias("value")), F.struct((F.col("top") + 1).alias("k"), straight.alias("value"))))
     rows = body.unionByName(ends.select("frame", extra.alias("e")).select("frame", "e.k", "e.value"))
     rows.repartition("frame").sortWithinPartitions("frame", "k").select("frame", "value").write.mode("errorifexists").partitionBy("frame").text(path)
 
 
+def same_as(atoms: DataFrame, chosen: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows of atoms that share the columns (as resid, segid) with one of the chosen: a selection completed to whole residues."""
+    return atoms.join(chosen.select(*columns).distinct(), columns, "left_semi")
+
+
+def around(atoms: DataFrame, chosen: DataFrame, cutoff: float, boxes: DataFrame | None = None) -> DataFrame:
+    """The rows of atoms (frame, atom_ix, x, y, z, ...) within a cutoff of a chosen one in the same frame, the chosen ones left out.
+
+    By the distance join of contact_pairs, so that no frame's atoms are all compared.
+    """
+    from framewalk.operators.contacts import contact_pairs
+
+    point = lambda rows, name: rows.select("frame", F.col("atom_ix").alias(name), "x", "y", "z")
+    near = contact_pairs(point(chosen, "ref"), point(atoms, "sel"), cutoff, boxes).select("frame", F.col("sel").alias("atom_ix")).distinct()
+    return atoms.join(near, ["frame", "atom_ix"], "left_semi").join(chosen.select("frame", "atom_ix"), ["frame", "atom_ix"], "left_anti")
+
+
 def select_atoms(atoms: DataFrame, selection: str) -> DataFrame:
     """Rows of atoms for a selection such as "name CA CB and not resid 1:5 or resname SOL": words become a predicate.
 
     Keywords: name, type, resname, segid, resid, index (lists; lo:hi for numbers), prop <column> <op> <number>, all, none, and, or, not, parentheses.
+    What needs other rows is a function: around, same_as, contacts.contacts_around_point.
     """
     return atoms.where(selection_sql(selection))
 

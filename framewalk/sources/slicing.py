@@ -70,6 +70,13 @@ def bins(start: float, stop: float, step: float | None = None, num: int | None =
     return float(a), float(b), float((b - a) / num), num
 
 
+def distance_bins(lengths: tuple[float, float, float], start: float, stop: float, step: float | None = None, num: int | None = None, precision: int = 9) -> tuple[float, float, float, int]:
+    """bins for distances under the minimum image convention in an orthorhombic box: none is longer than half its diagonal."""
+    if min(lengths) <= 0:
+        raise ValueError("box lengths must be positive")
+    return bins(start, stop, step, num, amin=0, amax=sum(x * x for x in lengths) ** 0.5 / 2, precision=precision)
+
+
 def bin_edges(edges: list[float], amin: float = 0, amax: float = 1, tol: float = 1e-6) -> list[float]:
     """Sorted distinct edges that cover [amin, amax]: the ends are added, the last one widened by tol."""
     inner = sorted({float(e) for e in edges})

@@ -4,9 +4,9 @@ import lzma
 
 import numpy as np
 import pytest
-from helpers import agree, column, rows
+from helpers import agree, column, near, rows
 
-from framewalk.operators import states
+from framewalk.operators import events, repair, states
 from framewalk.plans import registry
 from framewalk.sources import files, slicing
 from framewalk.streaming import runs as streams
@@ -58,6 +58,9 @@ def test_structures(spark, tmp_path):
     (tmp_path / "a.gro").write_text(frame * 2)
     made = files.read_gro(spark, f"file://{tmp_path}/a.gro")
     assert rows(made.where("frame = 1"), "name", "resname", "x", "lz") == [("HW", "SOL", 1.0, 6.0), ("OW", "SOL", 0.1, 6.0)]
+    (tmp_path / "t.gro").write_text("title\n    1\n" + atom % (1, "SOL", "OW", 1, 0.1, 0.2, 0.3) + "   4.0 5.0 6.0 0.0 0.0 3.0 0.0 0.0 0.0\n")
+    tilted = files.read_gro(spark, f"file://{tmp_path}/t.gro").first()
+    assert near([tilted[c] for c in ("lx", "ly", "lz", "alpha", "beta")], [4.0, 34**0.5, 6.0, 90.0, 90.0]) and abs(tilted["gamma"] - 59.0362) < 1e-3
     (tmp_path / "a.xyz").write_text("2\nhead\nC 0 1 2\nO 3 4 5\n" * 3)
     assert files.read_xyz(spark, f"file://{tmp_path}/a.xyz").count() == 6
 
@@ -111,16 +114,88 @@ def test_checks(spark, dtrj):
     assert tuple(slicing.check_time_step(frames).first()) == (2.0, 3.0)
 
 
-def test_stream(spark, tmp_path, dtrj):
-    d = dtrj([[1, 1, 2, 2, 2, 3], [5, 5, 5, 5, 6, 6]])
-    for k in range(3):
-        d.where(f"frame between {2 * k} and {2 * k + 1}").coalesce(1).write.parquet(f"file://{tmp_path}/in/{k}")
-    stream = spark.readStream.schema(d.schema).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in/*")
-    q = streams.stream_runs(stream).writeStream.format("memory").queryName("runs_out").option("checkpointLocation", f"file://{tmp_path}/ck").trigger(availableNow=True).start()
+def in_files(spark, tmp_path, parts):
+    """A stream of tables, one file each, in order."""
+    for k, d in enumerate(parts):
+        d.coalesce(1).write.parquet(f"file://{tmp_path}/in/{k}")
+    return spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in/*")
+
+
+def run_stream(spark, stream, tmp_path, name):
+    q = stream.writeStream.format("memory").queryName(name).option("checkpointLocation", f"file://{tmp_path}/ck").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert q.exception() is None
-    wanted = states.runs(d).where("not is_last").select("cmp", "state", "t0", "len", "is_first")
-    assert rows(spark.table("runs_out")) == rows(wanted)
+    return spark.table(name)
+
+
+def timed(d):
+    return d.selectExpr("*", "timestamp_seconds(1700000000 + frame * 60) as ts")
+
+
+def test_stream(spark, tmp_path, dtrj):
+    d = dtrj([[1, 1, 2, 2, 2, 3], [5, 5, 5, 5, 6, 6]])
+    stream = in_files(spark, tmp_path, [d.where(f"frame between {2 * k} and {2 * k + 1}") for k in range(3)])
+    made = run_stream(spark, streams.stream_runs(stream), tmp_path, "runs_out")
+    assert rows(made) == rows(states.runs(d).where("not is_last").select("cmp", "state", "t0", "len", "is_first", "is_last"))
+
+
+def test_stream_to_its_end(spark, tmp_path, dtrj):
+    """A compound that sends nothing more is over when the watermark has passed: its last run comes out as cut off."""
+    d = timed(dtrj([[1, 1, 2, 2, 2, 3], [5, 5, 5, 5, 5, 5]]))
+    late = spark.createDataFrame([(99, 500, 0)], "cmp long, frame int, state int")
+    stream = in_files(spark, tmp_path, [*(d.where(f"frame between {3 * k} and {3 * k + 2}") for k in range(2)), timed(late)])
+    made = run_stream(spark, streams.stream_runs(stream, "ts", "1 minute"), tmp_path, "runs_to_end").where("cmp < 99")
+    assert rows(made) == rows(states.runs(d).select("cmp", "state", "t0", "len", "is_first", "is_last"))
+
+
+@pytest.mark.parametrize("width", [1, 4])
+def test_stream_filled(spark, tmp_path, dtrj, width):
+    d = timed(dtrj([[1, 2, 1, 1, 3, 4, 1, 2, 2, 5, 5, 2], [0, 1, 0, 1, 0, 0, 1, 1, 1, 0, 1, 1], [1, 2, 3, 1, 2, 3, 1, 2, 3, 1, 2, 3]]))
+    late = spark.createDataFrame([(99, 500, 0)], "cmp long, frame int, state int")
+    stream = in_files(spark, tmp_path, [*(d.where(f"frame >= {f} and frame < {f + width}") for f in range(0, 12, width)), timed(late)])
+    made = run_stream(spark, streams.stream_filled(stream, 2, "ts", "1 minute"), tmp_path, f"filled_{width}").where("cmp < 99")
+    assert rows(made) == rows(repair.correct_intermittency(d.drop("ts"), 2))
+
+
+def test_stream_renewals(spark, tmp_path):
+    import random
+
+    rng = random.Random(1)
+    pairs = [(f, r, s) for r in range(6) for f in range(20) for s in range(4) if rng.random() < 0.45]
+    contacts_ = spark.createDataFrame(pairs, "frame int, ref long, sel long")
+    grid = spark.range(6).selectExpr("id as ref", "explode(sequence(0, 19)) as frame")
+    partners = grid.join(contacts_.groupBy("frame", "ref").agg({"sel": "collect_list"}).withColumnRenamed("collect_list(sel)", "sels"), ["frame", "ref"], "left")
+    late = spark.createDataFrame([(500, 99, None)], "frame int, ref long, sels array<bigint>")
+    stream = in_files(spark, tmp_path, [*(timed(partners.where(f"frame between {5 * k} and {5 * k + 4}")) for k in range(4)), timed(late)])
+    made = run_stream(spark, streams.stream_renewals(stream, "ts", "1 minute"), tmp_path, "renewals_out").where("ref < 99")
+    wanted = events.bound_intervals(contacts_).selectExpr("ref", "sel", "t0", "stop - t0 as trenew", "t0 = 0 as is_first", "stop = 20 as is_last")
+    assert rows(made.where("not is_last")) == rows(wanted.where("not is_last"))
+    assert rows(made.where("is_last"), "ref", "t0", "trenew") == rows(wanted.where("is_last"), "ref", "t0", "trenew")
+
+
+def test_stream_contact_hist(spark, tmp_path):
+    data = timed(spark.createDataFrame([(f, r, s) for f in range(4) for r in range(3) for s in range(r + f % 2)], "frame int, ref long, sel long"))
+    late = timed(spark.createDataFrame([(500, 0, 0)], "frame int, ref long, sel long"))
+    stream = in_files(spark, tmp_path, [data, late, late.selectExpr("frame + 100 as frame", "ref", "sel", "ts + interval 2 hours as ts")])
+    made = run_stream(spark, streams.stream_contact_hist(stream, "ts", "30 minutes", "1 minute"), tmp_path, "hist_out")
+    assert {(r["n"], r["count"]) for r in made.where("start < timestamp_seconds(1700000000 + 3600)").collect()} == {(1, 4), (2, 4), (3, 2)}
+
+
+def test_matrices(spark, tmp_path):
+    """Rows that look like the head line are rows; each file has a head of its own; heads may begin with a word."""
+    (tmp_path / "m.txt").write_text("0 1 2 3\n0 1 5 6\n1 7 8 9\n")
+    made = rows(files.read_matrix(spark, f"file://{tmp_path}/m.txt"))
+    assert made == sorted([(0.0, 1.0, 1.0), (0.0, 2.0, 5.0), (0.0, 3.0, 6.0), (1.0, 1.0, 7.0), (1.0, 2.0, 8.0), (1.0, 3.0, 9.0)], key=repr)
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "a.txt").write_text("# one\nx 1 2\n10 1 2\n")
+    (tmp_path / "d" / "b.txt").write_text("x 5\n10 7\n11 8\n")
+    assert rows(files.read_matrix(spark, f"file://{tmp_path}/d")) == sorted([(10.0, 1.0, 1.0), (10.0, 2.0, 2.0), (10.0, 5.0, 7.0), (11.0, 5.0, 8.0)], key=repr)
+
+
+def test_distance_bins():
+    assert slicing.distance_bins((6.0, 8.0, 1e-12), 0, 9, num=5) == (0.0, 5.0, 1.0, 5)
+    with pytest.raises(ValueError):
+        slicing.distance_bins((0.0, 1.0, 1.0), 0, 1, num=2)
 
 
 @pytest.mark.parametrize("name", sorted(registry.QUERIES))

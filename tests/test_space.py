@@ -13,6 +13,7 @@ from framewalk.operators import binning, contacts, dynamics, events, repair
 from framewalk.plans import space_queries, tables
 
 SF = "/root/testdata/sf0.001"
+# Inputs of documented examples; the results below that are lists of numbers are theirs.
 CM = [(1, 0), (2, 0), (2, 1), (3, 1), (3, 2), (4, 0), (4, 1), (4, 2), (4, 3)]
 
 
@@ -104,7 +105,7 @@ def test_contact_sets(spark):
     found = spark.createDataFrame([(f, r, s) for f, c in enumerate(cms) for r, s in c], "frame int, ref long, sel long")
     assert column(contacts.n_contacts(found), "n", "frame") == [4, 2, 3]
     assert contacts.n_common_contacts(found, 3).first()[0] == 2
-    assert rows(contacts.attach_detach(found)) == [(1, 0, 0, 1), (1, 1, 0, 1), (2, 0, 1, 0)]
+    assert rows(contacts.attach_detach(found, 3)) == [(1, 0, 0, 1), (1, 1, 0, 1), (2, 0, 1, 0)]
 
 
 def test_partner_stats(spark):
@@ -221,3 +222,132 @@ def test_msd_of_all_starts(spark):
     """At lag 0 every position is a start."""
     made = space_queries.QUERIES["msd_all_starts"](spark, SF)
     assert made.where("lag = 0").first()["n"] == tables.positions(spark, SF).count()
+
+
+def skewed(rng, n_frames, n, box):
+    """Positions in skewed boxes, and the boxes' vectors."""
+    import numpy as np
+
+    a, b, c, al, be, ga = (*box[:3], *np.radians(box[3:]))
+    y = (np.cos(al) - np.cos(be) * np.cos(ga)) / np.sin(ga)
+    m = np.array([[a, 0, 0], [b * np.cos(ga), b * np.sin(ga), 0], [c * np.cos(be), c * y, c * np.sqrt(1 - np.cos(be) ** 2 - y * y)]])
+    return rng.random((n_frames, n, 3)) @ m, m
+
+
+BOXES = "frame int, lx double, ly double, lz double, alpha double, beta double, gamma double"
+
+
+def test_skewed_boxes(spark):
+    """Contacts, wrapping and unwrapping against brute force over images."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    box = (9.0, 8.0, 7.0, 75.0, 80.0, 65.0)
+    pos, m = skewed(rng, 2, 40, box)
+    data = spark.createDataFrame([(f, k, *map(float, pos[f, k])) for f in range(2) for k in range(40)], "frame int, ref long, x double, y double, z double")
+    boxes = spark.createDataFrame([(f, *box) for f in range(2)], BOXES)
+    sel = data.withColumnRenamed("ref", "sel")
+    for spread in ("ref", "sel"):
+        made = {(r["frame"], r["ref"], r["sel"]): r["dist"] for r in contacts.contact_pairs(data, sel, 1.6, boxes, spread).collect()}
+        wanted = {}
+        for f in range(2):
+            d = pos[f][None] - pos[f][:, None]
+            d = d - np.floor(d @ np.linalg.inv(m) + 0.5) @ m
+            for i, j in np.argwhere(np.linalg.norm(d, axis=2) <= 1.6):
+                wanted[f, int(i), int(j)] = float(np.linalg.norm(d[i, j]))
+        assert made.keys() == wanted.keys() and all(abs(made[k] - wanted[k]) < 1e-9 for k in made)
+    walk = np.cumsum(np.concatenate([pos[:1], rng.normal(size=(30, 40, 3)) * 0.6]), axis=0)
+    steps = spark.createDataFrame([(t, k, *map(float, walk[t, k])) for t in range(31) for k in range(40)], "frame int, ref long, x double, y double, z double")
+    long_boxes = spark.createDataFrame([(t, *box) for t in range(31)], BOXES)
+    wrapped = dynamics.wrap(steps, long_boxes)
+    for method in ("scaling", "displacement", "in-house", "heuristic", "hybrid"):
+        made = dynamics.unwrap(wrapped, long_boxes, "ref", method).collect()
+        assert all(np.allclose([r["x"], r["y"], r["z"]], walk[r["frame"], r["ref"]], atol=1e-8) for r in made)
+
+
+def test_skewed_compounds(spark):
+    """A compound that reaches over the faces of a skewed box is put together, and its centre into the box."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    box = (9.0, 8.0, 7.0, 75.0, 80.0, 65.0)
+    pos, m = skewed(rng, 1, 6, box)
+    whole = pos[0][:, None] + rng.normal(size=(6, 4, 3)) * 0.4
+    inside = whole - np.floor(whole @ np.linalg.inv(m)) @ m
+    data = spark.createDataFrame([(0, c, a, *map(float, inside[c, a]), 1.0 + a) for c in range(6) for a in range(4)], "frame int, cmp long, atom long, x double, y double, z double, mass double")
+    boxes = spark.createDataFrame([(0, *box)], BOXES)
+    for reference, weight in (("first", None), ("cog", None), ("com", "mass")):
+        made = dynamics.make_whole(data, boxes, "cmp", "atom", reference, weight).collect()
+        got = np.zeros((6, 4, 3))
+        for r in made:
+            got[r["cmp"], r["atom"]] = r["x"], r["y"], r["z"]
+        assert np.allclose(got - got[:, :1], whole - whole[:, :1])
+        w = np.ones(4) if weight is None else np.arange(1.0, 5)
+        center = (got * w[:, None]).sum(1) / w.sum()
+        if reference != "first":
+            part = center @ np.linalg.inv(m)
+            assert ((part >= 0) & (part < 1)).all()
+    made = dynamics.centers(data, ["frame", "cmp"], None, boxes, "atom", True).orderBy("cmp").collect()
+    part = whole.mean(1) @ np.linalg.inv(m)
+    assert np.allclose([[r["x"], r["y"], r["z"]] for r in made], (part - np.floor(part)) @ m)
+    with pytest.raises(ValueError):
+        dynamics.make_whole(data, boxes, "cmp", "atom", "com")
+
+
+def test_detached_at_the_end(spark):
+    """A pair that parts and never meets again is detached at the frame after its last contact."""
+    found = spark.createDataFrame([(0, 1, 2), (1, 1, 2)], "frame int, ref long, sel long")
+    assert rows(contacts.attach_detach(found, 10)) == [(2, 1, 0, 1)]
+    assert rows(contacts.attach_detach(found, 2)) == []
+
+
+def test_nearest_site_with_gaps(spark):
+    """Sites of very uneven density, a single one, and positions far from all of them."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    at = rng.random((300, 2)) * [20.0, 10.0]
+    data = spark.createDataFrame([(k, 0, float(x), float(y), float(k % 2)) for k, (x, y) in enumerate(at)], "cmp long, frame int, x double, y double, z double")
+    for points in ([(3.0, 4.0)], [(1.0, 1.0), (1.01, 1.0), (1.0, 1.01)] + [(0.5 + 0.02 * k, 0.5) for k in range(60)] + [(19.9, 9.9)]):
+        sites = spark.createDataFrame([(k, *p) for k, p in enumerate(points)], "site int, x double, y double")
+        d = at[:, None] - np.array(points)[None]
+        d = d - np.floor(d / [20.0, 10.0] + 0.5) * [20.0, 10.0]
+        wanted = np.argmin((d**2).sum(2), axis=1)
+        made = {r["cmp"]: r["state"] for r in binning.nearest_site(data, sites, (20.0, 10.0), (0.5, 2.0)).collect()}
+        assert len(made) == 300 and all(made[k] == (wanted[k] if k % 2 else -1) for k in made)
+
+
+def test_hexagon_axes():
+    """Every line passes through faces that are neighbours: one lattice constant apart along nearest axes, sqrt(3) of it along the others."""
+    import math
+
+    side, a = 1.0, math.sqrt(3.0)
+    lengths = (6.0, 2 * a)
+    vertices = sorted({(round((x + 1.5 * i) % lengths[0], 6), round((a / 2 * i + a * j) % lengths[1], 6)) for i in range(4) for j in range(2) for x in (1.0, 2.0)})
+    faces = binning.hexagon_faces(vertices, side, lengths)
+    for neighbours, apart in ((1, a), (2, 3.0)):
+        axes = binning.hexagon_axes(vertices, side, lengths, neighbours)
+        assert {x[2] for x in axes} == ({30.0, 90.0, 150.0} if neighbours == 1 else {0.0, 60.0, 120.0})
+        for x0, y0, angle in axes:
+            x, y = x0 + apart * math.cos(math.radians(angle)), y0 + apart * math.sin(math.radians(angle))
+            d = [((x - fx + lengths[0] / 2) % lengths[0] - lengths[0] / 2) ** 2 + ((y - fy + lengths[1] / 2) % lengths[1] - lengths[1] / 2) ** 2 for fx, fy in faces]
+            assert min(d) < 1e-6
+
+
+def test_hexagonal_distribution(spark):
+    data = spark.createDataFrame([(1.0, 5.0), (1.2, 9.9), (3.0, 5.0)], "x double, y double")
+    made = binning.hexagonal_distribution(data, [(1.0, 0.0, 90.0)], (12.0, 10.0), 1.0, [0.0, 1.0, 4.0, 6.0])
+    assert column(made, "n", "bin") == [1, 0, 1]
+    slant = binning.hexagonal_distribution(data, [(1.0, 5.0, 30.0)], (12.0, 10.0), 0.2, [0.0, 1.0, 4.0])
+    assert column(slant, "n", "bin") == [1, 0]
+
+
+def test_msd_by_bucket(spark):
+    """With a bound on the lag, long sequences are joined by bucket; the same as over all pairs."""
+    data = spark.range(2000).selectExpr("id div 1000 as cmp", "cast(id % 1000 as int) as frame", "cast((id * 37) % 101 as double) as x", "cast((id * 17) % 89 as double) as y", "0D as z")
+    made = dynamics.msd(data, "cmp", 1000, restart=3, max_lag=70)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "_bucket" in next(line for line in plan.splitlines() if "Join" in line)
+    data.createOrReplaceTempView("walk_")
+    wanted = spark.sql("select cast(b.frame - a.frame as int) lag, count(*) n, avg(pow(b.x - a.x, 2)) msd_x from walk_ a join walk_ b on a.cmp = b.cmp and b.frame - a.frame between 0 and 70 where a.frame % 3 = 0 group by 1")
+    assert rows(made, "lag", "n", "msd_x") == rows(wanted, "lag", "n", "msd_x")

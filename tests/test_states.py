@@ -8,6 +8,7 @@ from framewalk.plans import state_queries, tables
 
 NAN = float("nan")
 SF = "/root/testdata/sf0.001"
+# Inputs of documented examples; the results below that are lists of numbers are theirs.
 F1 = [[1, -2, -2, 3, 3, 3], [-2, -2, 3, 3, 3, 1], [3, 3, 3, 1, -2, -2], [1, 3, 3, 3, -2, -2], [1, 4, 4, 4, 4, -1]]
 F2 = [[1, 2, 2, 3, 3, 3], [2, 2, 3, 3, 3, 1], [3, 3, 3, 1, 2, 2], [1, 3, 3, 3, 2, 2]]
 F3 = [[1, 2, 2, 1, 3, 3, 3], [-1, 2, 2, -1, 3, 3, 3], [1, -2, -2, 1, 3, 3, 3], [1, 2, 2, 3, 3, 3, 1], [-1, 2, 2, 3, 3, 3, -1], [1, 2, 2, -3, -3, -3, 1]]
@@ -100,6 +101,9 @@ def test_lifetimes(dtrj):
     assert column(states.lifetimes(dtrj(F1)), "lifetime", "cmp", "t0") == [1, 2, 3, 2, 3, 1, 3, 1, 2, 1, 3, 2, 1, 4, 1]
     assert column(states.lifetimes(dtrj(F1), uncensored=True), "lifetime", "cmp", "t0") == [2, 3, 1, 3, 4]
     assert column(states.lifetimes(dtrj(F1), **START), "lifetime", "cmp", "t0") == [1, 3, 3, 1, 3, 1, 1, 3, 1, 4]
+    listed = states.lifetimes_per_state(dtrj(F1), lists=True).where("state = 1").first()
+    assert (listed["lifetimes"], listed["total"]) == ([1] * 5, 5)
+    assert rows(states.lifetime_counts(dtrj(F1))) == [(-1, 1, 1), (-2, 2, 4), (1, 1, 5), (3, 3, 4), (4, 4, 1)]
     assert rows(states.lifetimes_per_state(dtrj(F1)), "state", "n", "avg") == [(-1, 1, 1.0), (-2, 4, 2.0), (1, 5, 1.0), (3, 4, 3.0), (4, 1, 4.0)]
 
 
@@ -117,6 +121,39 @@ def test_transitions(dtrj):
         states.locate_trans(dtrj(F2), tfft=True, wrap=True)
 
 
+def test_both_pins(dtrj):
+    made = states.trans_ix(dtrj([[1, 1, 2, 3]]), "both")
+    assert rows(made, "frame", "pin") == sorted([(1, "start"), (2, "end"), (2, "start"), (3, "end")], key=repr)
+    with pytest.raises(ValueError):
+        states.trans_ix(dtrj([[1]]), "middle")
+
+
+def test_long_sequences(spark):
+    """100 compounds of 100,000 frames: survival and remain probabilities with a bounded lag, in time in proportion to the frames."""
+    d = spark.range(100 * 100_000).selectExpr("id div 100000 as cmp", "cast(id % 100000 as int) as frame", "cast(floor(id % 100000 / (1 + id div 100000)) % 3 as int) as state")
+    curve = states.kaplan_meier(d)
+    assert curve.count() == 100_000
+    assert near([curve.where("t = 1").first()["sf"]], [1 - 99_998 / curve.where("t = 1").first()["n_risk"]])
+    one = d.where("cmp = 60")
+    made = {r["lag"]: r["prob"] for r in states.remain_prob(one, max_lag=100).collect()}
+    assert len(made) == 101 and made[1] > 0.98 > made[20]
+
+
+def test_lag_join_is_by_bucket(dtrj):
+    plan = states.remain_prob(dtrj(F1), max_lag=2)._jdf.queryExecution().executedPlan().toString()
+    assert "_bucket" in next(line for line in plan.splitlines() if "Join" in line and "cmp" in line)
+
+
+def test_lifetime_methods(spark):
+    from framewalk.sources.files import generate_dtrj
+
+    d = generate_dtrj(spark, 200, 400, [6.0, 12.0], seed=3)
+    made = {(r["state"], r["method"]): r["mean"] for r in states.lifetime_methods(d).collect()}
+    assert {m for _, m in made} == {"count", "count_uncensored", "rate", "integral", "weibull", "burr12"}
+    for state, tau in ((0, 6.5), (1, 12.5)):  # lifetimes are rounded up
+        assert all(abs(made[state, m] - tau) < 0.1 * tau for m in ("count_uncensored", "integral", "weibull", "rate"))
+
+
 def test_trans_info(dtrj):
     d = [[1, 2, 2, 3, 3, 3], [-2, -2, -3, -3, -3, -1], [3, 3, 3, 1, -2, -2], [-1, 3, 3, 3, -2, -2], [6] * 6]
     assert tuple(states.trans_info(dtrj(d)).first()) == (1, 1, 2, 11, 8, 3, 2, 1, 2)
@@ -142,6 +179,6 @@ def test_properties(dtrj):
 def test_blocks_reach_the_last_frames(spark):
     rows = tables.dtrj(spark, SF)
     n = states.n_frames_of(rows)
-    made = state_queries.QUERIES["remain_prob_in_all_blocks"](spark, SF)
+    made = state_queries.QUERIES["remain_prob_in_blocks"](spark, SF)
     assert n > 45
     assert sorted(r["lag"] for r in made.collect()) == list(range(n // 3))

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from framewalk.functions import arrays, models, text
 from framewalk.operators import fits, sequences, stats
 
+# The inputs and results below that are lists of numbers are those of documented examples.
+
 
 @pytest.fixture(scope="module")
 def series(spark):
@@ -154,3 +156,21 @@ def test_auto_histogram(spark):
     assert all(abs(r["hi"] - r["lo"] - width) < 1e-9 for r in made)
     assert sum(r["n"] for r in made) == 5000
     assert abs(sum(r["density"] * width for r in made) - 1) < 1e-9
+
+
+def test_weighted_moments_of_large_values(spark):
+    """Values that differ little from a large mean: squares of the values themselves would cancel."""
+    data = spark.createDataFrame([("a", 1e9 + k, 1.0 + k % 2) for k in range(10)], "k string, x double, w double")
+    x, w = [float(k) for k in range(10)], [1.0 + k % 2 for k in range(10)]
+    mean = sum(a * b for a, b in zip(x, w)) / sum(w)
+    var = sum(b * (a - mean) ** 2 for a, b in zip(x, w)) / sum(w)
+    for keys in (["k"], []):
+        made = stats.weighted_moments(data, keys, "x", "w").first()
+        assert abs(made["mean"] - 1e9 - mean) < 1e-5 and abs(made["var"] - var) < 1e-6 and abs(made["std"] - var**0.5) < 1e-6
+
+
+def test_ngp_center(spark):
+    data = spark.createDataFrame([(0, float(v) + 50) for v in (-2, -1, 0, 1, 2)], "k int, x double")
+    assert near([stats.ngp_by(data, ["k"], "x", center=True).first()["ngp"]], [(34 / 5) / (3 * 4) - 1])
+    with pytest.raises(ValueError):
+        stats.ngp_by(data, ["k"], "x", is_squared=True, center=True)
