@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framewalk.functions.arrays import digitize
+from framewalk.operators.joins import with_totals
 
 #: The last edge of a position grid is widened by this share of the interval.
 TOL = 1e-6
@@ -20,8 +21,9 @@ def histogram(df: DataFrame, value: Column, edges: list[float], keys: list[str]
     b = digitize(F.col("_v"), edges) - 1
     b = F.when(F.col("_v") == float(edges[-1]), last - 1 if closed else None).otherwise(b)
     counted = df.select(*keys, value.cast("double").alias("_v")).select(*keys, b.alias("bin")).where((F.col("bin") >= 0) & (F.col("bin") < last)).groupBy(*keys, "bin").agg(F.count("*").alias("n"))
-    bins = df.sparkSession.createDataFrame([(k, float(edges[k]), float(edges[k + 1])) for k in range(last)], "bin int, lo double, hi double")
-    grid = df.select(*keys).distinct().join(F.broadcast(bins)) if keys else bins
+    bins = F.inline(F.array(*(F.struct(F.lit(k).alias("bin"), F.lit(float(edges[k])).alias("lo"), F.lit(float(edges[k + 1])).alias("hi")) for k in range(last))))
+    grid = df.select(*keys).distinct() if keys else df.sparkSession.range(1)
+    grid = grid.select(*keys, bins)
     return grid.join(counted, [*keys, "bin"], "left").fillna(0, ["n"])
 
 
@@ -69,7 +71,8 @@ def density_map(positions: DataFrame, boxes: DataFrame, plane: tuple[str, str],
     counted = rows.select(cell[0].alias("bx"), cell[1].alias("by")).groupBy("bx", "by").agg(F.count("*").alias("n"))
     mean = boxes.agg(F.count("*").alias("_f"), F.avg(lengths[plane[0]] * lengths[plane[1]] / (bins[0] * bins[1])).alias("_a"), F.avg(lengths[slab_axis]).alias("_h"))
     grid = positions.sparkSession.range(bins[0]).select(F.col("id").cast("int").alias("bx"), F.explode(F.sequence(F.lit(0), F.lit(bins[1] - 1))).alias("by"))
-    full = grid.join(counted, ["bx", "by"], "left").fillna(0, ["n"]).join(F.broadcast(mean))
+    full = grid.join(counted, ["bx", "by"], "left").fillna(0, ["n"])
+    full = with_totals(full, mean)
     return full.select("bx", "by", "n", F.try_divide(F.col("n"), F.col("_f") * F.col("_a") * F.col("_h") * (min(slab[1], 1.0) - slab[0])).alias("density"))
 
 

@@ -40,6 +40,11 @@ def _tests(change_type, rtol: float, atol: float) -> list[tuple[str, object]]:
     return [(f"{x:+g}", lambda d, x=x: F.abs(d - F.lit(x)) <= F.lit(atol + rtol * abs(x))) for x in wanted]
 
 
+def type_names(change_type) -> list[str]:
+    """The names that locate_changes gives to the types asked for."""
+    return [name for name, _ in _tests(change_type, 0.0, 0.0)]
+
+
 def locate_changes(df: DataFrame, by: list[str], order: str, value: str, discard_neg: str | None = None, change_type=None, rtol: float = 1e-5, atol: float = 1e-8, wrap: bool = False, tfic: bool = False, tlic: bool = False, mic: bool = False, amin: float | None = None, amax: float | None = None) -> DataFrame:
     """df with booleans `before` and `after`: last item before, first item after a change.
 

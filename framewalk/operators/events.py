@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from framewalk.functions.geometry import box_columns, min_image
 from framewalk.operators.contacts import AXES
+from framewalk.operators.joins import with_totals
 from framewalk.session import importable
 
 
@@ -130,7 +131,7 @@ def displacements_of_two_axes(events: DataFrame, bin_: Column, a: Column, b: Col
 def occupancy_by_bin(events: DataFrame, bin_: Column) -> DataFrame:
     """(bin, weight, share): time spent by bin if positions change only at renewals."""
     cells = events.groupBy(bin_.alias("bin")).agg(F.sum("trenew").alias("weight"))
-    return cells.crossJoin(F.broadcast(events.agg(F.sum("trenew").alias("_t")))).select("bin", "weight", (F.col("weight") / F.col("_t")).alias("share"))
+    return with_totals(cells, cells.agg(F.sum("weight").alias("_t"))).select("bin", "weight", (F.col("weight") / F.col("_t")).alias("share"))
 
 
 def contacts_at_moves(contacts: DataFrame, dtrj: DataFrame, lag: int = 0) -> DataFrame:

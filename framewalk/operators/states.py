@@ -70,15 +70,19 @@ def _state_range(dtrj: DataFrame, min_state: int | None, max_state: int | None)
     return min_state, max_state
 
 
+def _kinds(options: dict) -> Column:
+    """The types of transitions asked for, a row each."""
+    return F.explode(F.array(*map(F.lit, changes.type_names(options.get("trans_type")))))
+
+
 def trans_per_state(dtrj: DataFrame, min_state: int | None = None, max_state: int | None = None, **options) -> DataFrame:
     """(state, [trans_type,] n_start, n_end): transitions out of and into each state, zeros included."""
     low, high = _state_range(dtrj, min_state, max_state)
     found = locate_trans(dtrj, min_state=min_state, max_state=max_state, **options)
     keys = ["trans_type"] if "trans_type" in found.columns else []
-    kinds = found.select("trans_type").distinct() if keys else None
     counts = found.groupBy("state", *keys).agg(F.count_if("trans_start").alias("n_start"), F.count_if("trans_end").alias("n_end"))
     states = dtrj.sparkSession.range(low, high + 1).select(F.col("id").cast("int").alias("state"))
-    grid = states.join(F.broadcast(kinds)) if keys else states
+    grid = states.withColumn("trans_type", _kinds(options)) if keys else states
     return grid.join(counts, ["state", *keys], "left").fillna(0, ["n_start", "n_end"])
 
 
@@ -91,7 +95,7 @@ def trans_per_state_vs_time(dtrj: DataFrame, n_frames: int | None = None, min_st
     counts = found.groupBy("state", "frame", *keys).agg(F.count_if("trans_start").alias("n_start"), F.count_if("trans_end").alias("n_end"))
     grid = dtrj.sparkSession.range(n).select(F.col("id").cast("int").alias("frame"), F.explode(F.sequence(F.lit(low), F.lit(high))).alias("state"))
     if keys:
-        grid = grid.join(F.broadcast(found.select("trans_type").distinct()))
+        grid = grid.withColumn("trans_type", _kinds(options))
     return grid.join(counts, ["state", "frame", *keys], "left").fillna(0, ["n_start", "n_end"])
 
 

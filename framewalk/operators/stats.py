@@ -7,6 +7,7 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from framewalk.operators.joins import with_totals
 from framewalk.operators.lags import lag_pairs
 
 
@@ -72,11 +73,8 @@ def ngp_by(df: DataFrame, keys: list[str], x: str, d: int = 1, is_squared: bool
 def with_means(df: DataFrame, keys: list[str], x: Column, w: Column | None = None) -> DataFrame:
     """df with _m, the (weighted) mean of its group: a small table, joined back, so that no group meets in a task."""
     mean = F.avg(x) if w is None else F.try_divide(F.sum(w * x), F.sum(w))
-    one = F.lit(1).alias("_k")
-    means = df.groupBy(*(keys or [one])).agg(mean.cast("double").alias("_m"))
-    if not keys:
-        return df.withColumn("_k", F.lit(1)).join(F.broadcast(means), "_k").drop("_k")  # one row
-    return df.join(means, keys)
+    means = df.groupBy(*keys).agg(mean.cast("double").alias("_m"))
+    return df.join(means, keys) if keys else with_totals(df, means)
 
 
 def weighted_moments(df: DataFrame, keys: list[str], x: str, w: str) -> DataFrame:
@@ -173,7 +171,8 @@ def auto_histogram(df: DataFrame, keys: list[str], x: str) -> DataFrame:
     width = F.col("_s") * F.cbrt(24 * F.sqrt(F.lit(3.141592653589793)) / F.col("_n"))
     size = df.groupBy(*keys).agg(F.min(x).cast("double").alias("_m"), F.stddev_pop(x).alias("_s"), F.count(x).alias("_n"))
     size = size.select(*keys, "_m", "_n", F.when(width > 0, width).otherwise(1.0).alias("_w"))
-    rows = df.where(F.col(x).isNotNull()).join(F.broadcast(size) if not keys else size, keys) if keys else df.where(F.col(x).isNotNull()).join(F.broadcast(size))
+    known = df.where(F.col(x).isNotNull())
+    rows = known.join(size, keys) if keys else with_totals(known, size)
     made = rows.groupBy(*keys, F.floor((F.col(x) - F.col("_m")) / F.col("_w")).cast("int").alias("bin")).agg(F.count("*").alias("n"), F.first("_m").alias("_m"), F.first("_w").alias("_w"), F.first("_n").alias("_n"))
     low = F.col("_m") + F.col("bin") * F.col("_w")
     return made.select(*keys, "bin", low.alias("lo"), (low + F.col("_w")).alias("hi"), "n", (F.col("n") / (F.col("_n") * F.col("_w"))).alias("density"))

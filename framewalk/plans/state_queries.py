@@ -363,3 +363,17 @@ SELECT coalesce(k.state, i.state2) AS state, round(a, 6) + 0.0 AS count_mean, ro
 def lifetime_moments(spark, sf_dir):
     made = states.lifetime_moments(dtrj(spark, sf_dir), threshold=0.9)
     return _rounded(made, "count_mean", "count_std", "integral_mean").select("state", "count_mean", "count_std", "integral_mean")
+
+
+@query(f"""
+WITH c AS (SELECT state2, t, sf, lag(t) OVER w AS t0, lag(sf) OVER w AS sf0 FROM ({_survival_sql("", "", "state2").replace("least(3, floor(value / 25))", "(CASE event_type WHEN 'click' THEN 0 WHEN 'purchase' THEN 1 WHEN 'signup' THEN 2 WHEN 'view' THEN 3 ELSE -1 END)").replace("round(p, 6) + 0.0", "p")}) WHERE sf IS NOT NULL WINDOW w AS (PARTITION BY state2 ORDER BY t)),
+i AS (SELECT state2, count(*) AS n, CASE WHEN min(sf) <= 0.9 THEN sum((t - t0) * (sf + sf0) / 2) END AS m FROM c GROUP BY state2),
+{EVENTS_SQL.lstrip()}, {RUNS_SQL}
+SELECT CAST(state AS INTEGER) AS state, 'count' AS method, count(*) AS n, round(avg(len), 6) + 0.0 AS mean FROM runs GROUP BY state
+UNION ALL SELECT CAST(state AS INTEGER), 'count_uncensored', count(*), round(avg(len), 6) + 0.0 FROM runs WHERE NOT is_first AND NOT is_last GROUP BY state
+UNION ALL SELECT CAST(state AS INTEGER), 'rate', count(CASE WHEN NOT is_last THEN 1 END), round(sum(len) / nullif(count(CASE WHEN NOT is_last THEN 1 END), 0), 6) + 0.0 FROM runs GROUP BY state
+UNION ALL SELECT state2, 'integral', n, round(m, 6) + 0.0 FROM i""")
+def lifetime_methods(spark, sf_dir):
+    """Those of the estimators that SQL can express; the fitted ones are tested on drawn lifetimes."""
+    made = states.lifetime_methods(dtrj(spark, sf_dir), 0.9).where("method not in ('weibull', 'burr12')")
+    return _rounded(made, "mean").select("state", "method", "n", "mean")

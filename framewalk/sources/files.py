@@ -1,6 +1,6 @@
 """Readers and writers.  Parquet is the form to work on; the others come in or go out.
 
-Text files compressed as .gz or .bz2 are read by Spark itself; .xz, .npy and .npz
+Text files, structures too, are read by Spark itself, in blocks; .xz, .npy and .npz
 files are opened in the tasks, one file at a time.
 """
 
@@ -12,9 +12,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from framewalk.functions import geometry
 from framewalk.functions.geometry import box_columns, box_matrix
 from framewalk.session import importable
 
@@ -101,57 +102,55 @@ def write_columns(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").option("sep", " ").option("header", True).csv(path)
 
 
-def _cell(box: list[float]) -> list[float]:
-    """lx, ly, lz, alpha, beta, gamma of a box line: three numbers, or nine, the diagonal of the box's vectors and then what tilts them."""
-    if len(box) < 9:
-        return [*box[:3], 90.0, 90.0, 90.0]
-    a, b, c = np.array([[box[0], box[3], box[4]], [box[5], box[1], box[6]], [box[7], box[8], box[2]]])
-    lengths = [float(np.linalg.norm(v)) for v in (a, b, c)]
-    angle = lambda u, v: float(np.degrees(np.arccos(np.clip(u @ v / np.linalg.norm(u) / np.linalg.norm(v), -1, 1))))
-    return [*lengths, angle(b, c), angle(a, c), angle(a, b)]
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(path, line, value): the lines of text files with their numbers from 0 in each file.
+
+    Files are read in blocks by many tasks; a block's lines are counted once, and their running sum (a row a block) gives
+    each line its number.
+    """
+    rows = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("id"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"))
+    blocks = rows.groupBy("path", "block").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = blocks.select("path", "block", "first", before.alias("before"))
+    return rows.join(starts, ["path", "block"]).select("path", (F.col("before") + F.col("id") - F.col("first")).alias("line"), "value")
+
+
+def _framed(spark: SparkSession, path: str, count_line: int, extra: int) -> DataFrame:
+    """(path, frame, k, value, n): numbered_lines by frame, each of n + extra lines, n being in line count_line of a file."""
+    lines = numbered_lines(spark, path)
+    size = lines.where(F.col("line") == count_line).select("path", F.trim("value").try_cast("int").alias("n"))
+    rows = lines.join(size, "path").withColumn("span", F.col("n") + extra)
+    framed = rows.select("path", F.floor(F.col("line") / F.col("span")).cast("int").alias("frame"), (F.col("line") % F.col("span")).cast("int").alias("k"), "value", "n")
+    other = (F.col("k") == count_line) & (F.trim("value") != F.col("n").cast("string")) & (F.trim("value") != "")
+    odd = framed.groupBy("path").agg(F.count_if(other).alias("odd"))  # a row a file
+    said = F.raise_error(F.concat(F.col("path"), F.lit(": frames of different sizes; cut the file into one a size"))).cast("boolean")
+    return framed.join(odd, "path").where(F.when(F.col("odd") > 0, said).otherwise(F.lit(True))).drop("odd")
 
 
 def read_gro(spark: SparkSession, path: str) -> DataFrame:
     """(path, frame, atom_ix, resid, resname, name, x, y, z, lx, ly, lz, alpha, beta, gamma) of .gro files of one or more frames; nm.
 
-    Each file is cut into frames by one pass over its lines in a task; write trajectories as many files, or as Parquet.
+    The frames of a file have the same number of atoms each, so that a line's number tells its frame and its atom: a file is
+    read by as many tasks as it has blocks.  A box line of nine numbers keeps its tilt.
     """
-    importable(spark)
-
-    def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for name, content in zip(batch["path"], batch["content"]):
-                lines, at, frame = content.decode().split("\n"), 0, 0
-                while at + 1 < len(lines) and lines[at + 1].strip():
-                    n = int(lines[at + 1])
-                    body = lines[at + 2 : at + 2 + n]
-                    box = _cell([float(v) for v in lines[at + 2 + n].split()])
-                    yield pd.DataFrame({
-                        "path": name, "frame": frame, "atom_ix": range(n), "resid": [int(r[:5]) for r in body], "resname": [r[5:10].strip() for r in body], "name": [r[10:15].strip() for r in body],
-                        "x": [float(r[20:28]) for r in body], "y": [float(r[28:36]) for r in body], "z": [float(r[36:44]) for r in body],
-                        **dict(zip(("lx", "ly", "lz", "alpha", "beta", "gamma"), box)),
-                    })
-                    at, frame = at + 3 + n, frame + 1
-
-    schema = "path string, frame int, atom_ix long, resid int, resname string, name string, x double, y double, z double, lx double, ly double, lz double, alpha double, beta double, gamma double"
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(load, schema)
+    rows = _framed(spark, path, 1, 3)
+    part = lambda start, length: F.trim(F.substring("value", start, length))
+    atoms = rows.where((F.col("k") >= 2) & (F.col("k") < F.col("n") + 2)).select(
+        "path", "frame", (F.col("k") - 2).cast("long").alias("atom_ix"), part(1, 5).try_cast("int").alias("resid"), part(6, 5).alias("resname"), part(11, 5).alias("name"),
+        *(part(start, 8).try_cast("double").alias(a) for a, start in (("x", 21), ("y", 29), ("z", 37))),
+    )
+    v = F.transform(F.split(F.trim("value"), r"\s+"), lambda x: x.try_cast("double"))
+    at = lambda i: F.coalesce(F.get(v, i), F.lit(0.0))
+    box = geometry.triclinic_box([(at(0), at(3), at(4)), (at(5), at(1), at(6)), (at(7), at(8), at(2))])
+    ends = rows.where(F.col("k") == F.col("n") + 2).select("path", "frame", *(c.alias(n) for c, n in zip(box, ("lx", "ly", "lz", "alpha", "beta", "gamma"))))
+    return atoms.join(ends, ["path", "frame"])
 
 
 def read_xyz(spark: SparkSession, path: str) -> DataFrame:
-    """(path, frame, atom_ix, name, x, y, z) of .xyz files."""
-    importable(spark)
-
-    def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for name, content in zip(batch["path"], batch["content"]):
-                lines, at, frame = content.decode().split("\n"), 0, 0
-                while at < len(lines) and lines[at].strip():
-                    n = int(lines[at])
-                    body = [r.split() for r in lines[at + 2 : at + 2 + n]]
-                    yield pd.DataFrame({"path": name, "frame": frame, "atom_ix": range(n), "name": [r[0] for r in body], "x": [float(r[1]) for r in body], "y": [float(r[2]) for r in body], "z": [float(r[3]) for r in body]})
-                    at, frame = at + 2 + n, frame + 1
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(load, "path string, frame int, atom_ix long, name string, x double, y double, z double")
+    """(path, frame, atom_ix, name, x, y, z) of .xyz files, read as read_gro does."""
+    rows = _framed(spark, path, 0, 2)
+    words = F.split(F.trim("value"), r"\s+")
+    return rows.where(F.col("k") >= 2).select("path", "frame", (F.col("k") - 2).cast("long").alias("atom_ix"), F.get(words, 0).alias("name"), *(F.get(words, i).try_cast("double").alias(a) for i, a in ((1, "x"), (2, "y"), (3, "z"))))
 
 
 def write_gro(atoms: DataFrame, path: str) -> None:

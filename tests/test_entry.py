@@ -23,17 +23,35 @@ def test_names():
     assert all(callable(f) for f in known.values())
 
 
-def test_without_the_pipeline_folders(tmp_path):
-    """The rest is imported when the llm subpackage and the pipeline are not there."""
+def copy_without(tmp_path, *left_out):
     for name in os.listdir(ROOT):
-        if name not in ("framewalk", "corpus_pipeline.py", ".git", "tests"):
+        if name not in ("framewalk", "tests", ".git", ".pytest_cache", *left_out):
             os.symlink(f"{ROOT}/{name}", tmp_path / name)
-    os.mkdir(tmp_path / "framewalk")
-    for name in os.listdir(f"{ROOT}/framewalk"):
-        if name not in ("llm", "__pycache__"):
-            os.symlink(f"{ROOT}/framewalk/{name}", tmp_path / "framewalk" / name)
+    for top in ("framewalk", "tests"):
+        os.mkdir(tmp_path / top)
+        for name in os.listdir(f"{ROOT}/{top}"):
+            if name not in ("llm", "__pycache__"):
+                os.symlink(f"{ROOT}/{top}/{name}", tmp_path / top / name)
     (tmp_path / "__spark_entry__.py").unlink()
     (tmp_path / "__spark_entry__.py").write_text(open(f"{ROOT}/__spark_entry__.py").read())
+    return os.environ | {"PYTHONPATH": str(tmp_path)}
+
+
+def test_without_the_pipeline_folders(tmp_path):
+    """The rest is imported, its tests are collected, and some of them pass when the llm subpackage and the pipeline are not there."""
+    env = copy_without(tmp_path, "corpus_pipeline.py")
     code = "import __spark_entry__ as e; print(len(e.queries()), any(k.startswith('op1') or k == 'pipeline' for k in e.queries()))"
-    said = subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, capture_output=True, text=True, timeout=120)
+    said = subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=120)
     assert said.stdout.split()[1:] == ["False"], said.stderr
+    pytest_ = [sys.executable, "-B", "-m", "pytest", "-q", "-p", "no:cacheprovider"]
+    every = subprocess.run([*pytest_, "--collect-only", "tests"], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert every.returncode == 0, every.stdout[-2000:]
+    some = subprocess.run([*pytest_, "tests/test_sources.py", "-k", "slicing or bins or checks or kaplan_meier"], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
+    assert some.returncode == 0, some.stdout[-2000:]
+
+
+def test_a_broken_pipeline_is_not_hidden(tmp_path):
+    env = copy_without(tmp_path, "corpus_pipeline.py")
+    (tmp_path / "corpus_pipeline.py").write_text("import no_such_module\n")
+    said = subprocess.run([sys.executable, "-B", "-c", "import __spark_entry__"], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=120)
+    assert said.returncode != 0 and "no_such_module" in said.stderr

@@ -65,6 +65,25 @@ def test_structures(spark, tmp_path):
     assert files.read_xyz(spark, f"file://{tmp_path}/a.xyz").count() == 6
 
 
+def test_structures_in_blocks(spark, tmp_path):
+    """A trajectory in one file is read by many tasks; frames of another size are refused."""
+    n, frames = 50, 120
+    with open(tmp_path / "long.xyz", "w") as f:
+        for t in range(frames):
+            f.write(f"{n}\nframe {t}\n" + "".join(f"C {t} {k} 0.5\n" for k in range(n)))
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        made = files.read_xyz(spark, f"file://{tmp_path}/long.xyz")
+        assert spark.read.text(f"file://{tmp_path}/long.xyz").rdd.getNumPartitions() > 4
+        assert made.count() == n * frames and made.where("x <> frame or y <> atom_ix").count() == 0
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+    (tmp_path / "odd.xyz").write_text("1\nh\nC 0 0 0\n2\nh\nC 0 0 0\nC 0 0 0\n")
+    with pytest.raises(Exception, match="different sizes"):
+        files.read_xyz(spark, f"file://{tmp_path}/odd.xyz").collect()
+
+
 def test_write_gro(spark, tmp_path):
     atoms = spark.createDataFrame([(f, k, 1, "SOL", "OW", 0.5 * k, 1.0, 2.0, 3.0, 3.0, 3.0) for f in range(2) for k in range(3)], "frame int, atom_ix long, resid int, resname string, name string, x double, y double, z double, lx double, ly double, lz double")
     files.write_gro(atoms, f"file://{tmp_path}/out")
