@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from framewalk.functions import geometry
 from framewalk.functions.geometry import box_columns, box_matrix, min_image, wrap_into
 from framewalk.operators.contacts import AXES
-from framewalk.operators.lags import lag_pairs
+from framewalk.operators.lags import correlate, lag_pairs
 from framewalk.session import importable
 
 
@@ -223,6 +223,37 @@ def msd(positions: DataFrame, key: str, n_frames: int, restart: int = 1, max_lag
     return made.withColumn("msd", F.col("msd_x") + F.col("msd_y") + F.col("msd_z"))
 
 
+def msd_all_lags(positions: DataFrame, key: str, block: Column | None = None) -> DataFrame:
+    """msd with every frame as a start and no bound on the lag.
+
+    A particle's series is a group (as many rows as frames); its sums over all pairs are correlations of the coordinates and
+    their squares, so that a long series takes frames * log(frames) steps.  Frames may be missing: a series of ones where there are
+    some gives the numbers of pairs.
+    """
+    importable(positions.sparkSession)
+    keys = ["block"] if block is not None else []
+    rows = positions.select(*([block.cast("int").alias("block")] if keys else []), key, F.col("frame").cast("int").alias("frame"), *(F.col(a).cast("double").alias(a) for a in AXES))
+
+    def one(r: pd.DataFrame) -> pd.DataFrame:
+        frames = r["frame"].to_numpy()
+        there = np.zeros(frames.max() + 1)
+        there[frames] = 1.0
+        n = np.rint(correlate(there, there))
+        out = {k: r[k].iloc[0] for k in keys} | {"lag": np.arange(len(there), dtype=np.int32), "n": n.astype(np.int64)}
+        for a in AXES:
+            x = np.zeros(len(there))
+            x[frames] = r[a].to_numpy() - r[a].mean()  # sums of smaller values lose less
+            square = x * x
+            out[f"s{a}"] = np.maximum(0.0, correlate(square, there) + correlate(there, square) - 2 * correlate(x, x))
+        made = pd.DataFrame(out)
+        made.loc[0, ["sx", "sy", "sz"]] = 0.0
+        return made[made["n"] > 0]
+
+    sums = rows.groupBy(*keys, key).applyInPandas(one, ", ".join([*(f"{k} int" for k in keys), "lag int, n long, sx double, sy double, sz double"]))
+    made = sums.groupBy(*keys, "lag").agg(F.sum("n").alias("n"), *((F.sum(f"s{a}") / F.sum("n")).alias(f"msd_{a}") for a in AXES))
+    return made.withColumn("msd", F.col("msd_x") + F.col("msd_y") + F.col("msd_z"))
+
+
 def msd_by_layer(positions: DataFrame, key: str, layers: DataFrame, n_frames: int, restart: int = 1, max_lag: int | None = None) -> DataFrame:
     """(layer, lag, n, md_*, msd_*): displacements by lag and the particle's layer at the start; layers is (frame, key, layer)."""
     starts = positions.where((F.col("frame") % restart == 0) & (F.col("frame") < n_frames - 1)).join(layers.select("frame", key, "layer"), ["frame", key])

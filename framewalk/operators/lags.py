@@ -3,11 +3,13 @@
 Frames are cut into buckets.  A start goes to the buckets that its lags reach
 into, and meets the rows of the same key and bucket: with a bound on
 the lag each start meets as many rows as two or three buckets have, however long
-the sequence is, and a long sequence's pairs are made by many tasks.
+the sequence is, and a long sequence's pairs are made by many tasks.  Sums over all pairs of a
+sequence, at every lag, need no pairs: correlate makes them by Fourier transforms.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,3 +33,9 @@ def lag_pairs(starts: DataFrame, later: DataFrame, keys: list[str], max_lag: int
     right = later.withColumn("_bucket", bucket(F.col(frame)))
     lag = (F.col(frame) - F.col(frame0)).cast("int")
     return left.join(right, [*keys, "_bucket"]).drop("_bucket").withColumn("lag", lag).where(F.col("lag").between(min_lag, max_lag))
+
+
+def correlate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The sums of a[t] * b[t + lag] for the lags 0 .. len - 1, in len * log(len) steps."""
+    size = 1 << (2 * len(a) - 1).bit_length()
+    return np.fft.irfft(np.conj(np.fft.rfft(a, size)) * np.fft.rfft(b, size), size)[: len(a)]

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from statistics import NormalDist
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framewalk.operators.joins import with_totals
-from framewalk.operators.lags import lag_pairs
+from framewalk.operators.lags import correlate, lag_pairs
+from framewalk.session import importable
 
 
 def acf(series: DataFrame, dt: int | None = 1, dtau: int = 1, tau_max: int | None = None, center: bool = True, unbiased: bool = False) -> DataFrame:
@@ -30,6 +33,27 @@ def acf(series: DataFrame, dt: int | None = 1, dtau: int = 1, tau_max: int | Non
     return made.select("id", "lag", F.try_divide(value, zero).alias("acf"))
 
 
+def acf_all_lags(series: DataFrame, center: bool = True, unbiased: bool = False) -> DataFrame:
+    """acf with every t as a start and all lags, by Fourier transforms: a series is a group and takes T * log(T) steps."""
+    importable(series.sparkSession)
+    kind = series.schema["id"].dataType.simpleString()
+
+    def one(r: pd.DataFrame) -> pd.DataFrame:
+        t = r["t"].to_numpy()
+        there, x = np.zeros(t.max() + 1), np.zeros(t.max() + 1)
+        there[t], x[t] = 1.0, r["x"].to_numpy() - (r["x"].mean() if center else 0.0)
+        n = np.rint(correlate(there, there))
+        sums = correlate(x, x)
+        value = sums / np.maximum(n, 1) if unbiased else sums
+        zero = (x @ x) / (n[0] if unbiased else 1)
+        made = pd.DataFrame({"id": r["id"].iloc[0], "lag": np.arange(len(x), dtype=np.int32), "acf": value / zero if zero > 0 else np.full(len(x), np.nan)})
+        return made[n > 0]
+
+    rows = series.select("id", F.col("t").cast("int").alias("t"), F.col("x").cast("double").alias("x"))
+    made = rows.groupBy("id").applyInPandas(one, f"id {kind}, lag int, acf double")
+    return made.withColumn("acf", F.nanvl("acf", F.lit(None).cast("double")))
+
+
 def acf_se(curve: DataFrame, n: int | None = None) -> DataFrame:
     """acf(id, lag, acf) with se, Bartlett's standard errors for n samples (the number of lags unless given)."""
     w = Window.partitionBy("id").orderBy("lag")

@@ -506,8 +506,7 @@ def msd(spark, sf_dir):
 @query(f"""WITH {EVENTS_SQL}, {_MSD.format(g='', r=1)}
 SELECT CAST(lag AS INTEGER) AS lag, count(*) AS n, round(avg(dx2) + 1e-8, 4) + 0.0 AS msd_x, round(avg(dy2) + 1e-8, 4) + 0.0 AS msd_y, round(avg(dz2) + 1e-8, 4) + 0.0 AS msd_z, round(avg(dx2) + avg(dy2) + avg(dz2) + 1e-8, 4) + 0.0 AS msd FROM p GROUP BY lag""")
 def msd_all_starts(spark, sf_dir):
-    rows = positions(spark, sf_dir)
-    made = dynamics.msd(rows, "cmp", states.n_frames_of(rows), restart=1)
+    made = dynamics.msd_all_lags(positions(spark, sf_dir), "cmp")
     return made.withColumns({c: _tie(F.col(c), 4) for c in ("msd_x", "msd_y", "msd_z", "msd")})
 
 

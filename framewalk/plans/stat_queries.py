@@ -42,6 +42,13 @@ def acf(spark, sf_dir):
     return stats.acf(series(spark, sf_dir)).withColumn("acf", _round(F.col("acf")))
 
 
+@query(f"""
+WITH {_CEN}, p AS (SELECT a.id, b.t - a.t AS lag, sum(a.c * b.c) AS v FROM s a JOIN s b ON a.id = b.id AND b.t >= a.t GROUP BY ALL)
+SELECT id, CAST(lag AS INTEGER) AS lag, round(v / max(CASE WHEN lag = 0 THEN v END) OVER (PARTITION BY id) + 1e-9, 6) + 0.0 AS acf FROM p""")
+def acf_all_lags(spark, sf_dir):
+    return stats.acf_all_lags(series(spark, sf_dir)).withColumn("acf", _round(F.col("acf")))
+
+
 @query(f"""
 WITH {_CEN}, p AS (SELECT a.id, b.t - a.t AS lag, sum(a.x * b.x) / count(*) AS v FROM s a JOIN s b ON a.id = b.id AND b.t >= a.t AND (b.t - a.t) % 2 = 0 AND b.t - a.t < 20 AND a.t % greatest(1, b.t - a.t) = 0 GROUP BY ALL)
 SELECT id, CAST(lag AS INTEGER) AS lag, round(v / max(CASE WHEN lag = 0 THEN v END) OVER (PARTITION BY id) + 1e-9, 6) + 0.0 AS acf FROM p""")

@@ -351,3 +351,16 @@ def test_msd_by_bucket(spark):
     data.createOrReplaceTempView("walk_")
     wanted = spark.sql("select cast(b.frame - a.frame as int) lag, count(*) n, avg(pow(b.x - a.x, 2)) msd_x from walk_ a join walk_ b on a.cmp = b.cmp and b.frame - a.frame between 0 and 70 where a.frame % 3 = 0 group by 1")
     assert rows(made, "lag", "n", "msd_x") == rows(wanted, "lag", "n", "msd_x")
+
+
+def test_msd_of_all_lags(spark):
+    """By Fourier transforms the same as over all pairs, with frames missing, too; 100,000 frames in seconds."""
+    data = spark.range(300).selectExpr("id div 100 as cmp", "cast(id % 100 as int) as frame", "cast((id * 37) % 101 as double) + 1e4 as x", "cast((id * 17) % 89 as double) as y", "0D as z").where("not (cmp = 1 and frame in (5, 6) or cmp = 2 and frame = 99)")
+    a, b = dynamics.msd_all_lags(data, "cmp"), dynamics.msd(data, "cmp", 100)
+    assert rows(a, "lag", "n") == rows(b, "lag", "n")
+    assert all(abs(x["msd"] - y["msd"]) < 1e-6 for x, y in zip(a.orderBy("lag").collect(), b.orderBy("lag").collect()))
+    halves = dynamics.msd_all_lags(data.withColumn("frame", F.col("frame") % 50), "cmp", F.floor(F.col("y") / 1000))
+    assert halves.columns[0] == "block"
+    long = spark.range(2 * 100_000).selectExpr("id div 100000 as cmp", "cast(id % 100000 as int) as frame", "cast(id % 100000 as double) as x", "0D as y", "0D as z")
+    made = dynamics.msd_all_lags(long, "cmp").where("lag in (1, 1000)").orderBy("lag").collect()
+    assert [(r["n"], round(r["msd_x"], 2)) for r in made] == [(199_998, 1.0), (198_000, 1e6)]

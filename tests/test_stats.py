@@ -174,3 +174,13 @@ def test_ngp_center(spark):
     assert near([stats.ngp_by(data, ["k"], "x", center=True).first()["ngp"]], [(34 / 5) / (3 * 4) - 1])
     with pytest.raises(ValueError):
         stats.ngp_by(data, ["k"], "x", is_squared=True, center=True)
+
+
+@pytest.mark.parametrize("center, unbiased", [(True, False), (False, True)])
+def test_acf_of_all_lags(spark, center, unbiased):
+    data = spark.range(200).selectExpr("id div 100 as id", "cast(id % 100 as int) as t", "cast((id * 37) % 101 as double) as x").where("not (id = 1 and t in (5, 6))")
+    a, b = (f(data, center=center, unbiased=unbiased).orderBy("id", "lag").collect() for f in (stats.acf_all_lags, stats.acf))
+    assert [(x["id"], x["lag"]) for x in a] == [(x["id"], x["lag"]) for x in b]
+    assert all(abs(x["acf"] - y["acf"]) < 1e-9 for x, y in zip(a, b))
+    flat = spark.createDataFrame([(0, t, 3.0) for t in range(4)], "id int, t int, x double")
+    assert {r["acf"] for r in stats.acf_all_lags(flat).collect()} == {None}
