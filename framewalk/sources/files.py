@@ -169,6 +169,15 @@ def write_gro(atoms: DataFrame, path: str) -> None:
     rows.repartition("frame").sortWithinPartitions("frame", "k").select("frame", "value").write.mode("errorifexists").partitionBy("frame").text(path)
 
 
+def write_xyz(atoms: DataFrame, path: str) -> None:
+    """Frames as text in .xyz form, as write_gro does; atoms has the columns of read_xyz."""
+    body = atoms.select("frame", F.col("atom_ix").alias("k"), F.format_string("%s %.6f %.6f %.6f", "name", "x", "y", "z").alias("value"))
+    ends = atoms.groupBy("frame").agg(F.count("*").cast("string").alias("n"))
+    head = F.explode(F.array(F.struct(F.lit(-2).cast("long").alias("k"), F.col("n").alias("value")), F.struct(F.lit(-1).cast("long").alias("k"), F.format_string("frame %d", "frame").alias("value"))))
+    rows = body.unionByName(ends.select("frame", head.alias("e")).select("frame", "e.k", "e.value"))
+    rows.repartition("frame").sortWithinPartitions("frame", "k").select("frame", "value").write.mode("errorifexists").partitionBy("frame").text(path)
+
+
 def same_as(atoms: DataFrame, chosen: DataFrame, columns: list[str]) -> DataFrame:
     """The rows of atoms that share the columns (as resid, segid) with one of the chosen: a selection completed to whole residues."""
     return atoms.join(chosen.select(*columns).distinct(), columns, "left_semi")

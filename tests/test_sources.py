@@ -90,6 +90,8 @@ def test_write_gro(spark, tmp_path):
     back = files.read_gro(spark, f"file://{tmp_path}/out/*/*.txt")
     assert column(back, "x", "path", "atom_ix") == [0.0, 0.5, 1.0] * 2
     assert back.count() == 6
+    files.write_xyz(atoms, f"file://{tmp_path}/xyz")
+    assert rows(files.read_xyz(spark, f"file://{tmp_path}/xyz/*/*.txt"), "atom_ix", "name", "x", "y", "z") == rows(back, "atom_ix", "name", "x", "y", "z")
 
 
 def test_windowed_counts(spark, tmp_path):
