@@ -30,15 +30,16 @@ def _heights(box: list[str]) -> list[Column]:
     return [volume / geometry.norm(cross(u, v)) for u, v in ((b, c), (c, a), (a, b))]
 
 
-def contact_pairs(ref: DataFrame, sel: DataFrame, cutoff: float, boxes: DataFrame | None = None, spread: str = "ref") -> DataFrame:
-    """(frame, ref, sel, dist) of all pairs at most cutoff apart.
+def contact_pairs(ref: DataFrame, sel: DataFrame, cutoff: float, boxes: DataFrame | None = None, spread: str = "ref", compound: str | None = None) -> DataFrame:
+    """(frame, ref, sel, dist[, ref_cmp, sel_cmp]) of all pairs at most cutoff apart.
 
     ref has (frame, ref, x, y, z), sel (frame, sel, x, y, z), boxes (frame, lx, ly, lz[, alpha, beta, gamma]), or is
     None without periodic boundaries.  Space is cut into cells (along the box vectors) no
     smaller than the cutoff; each particle of one set is met by those of the other in the cells
     around it, as an equi-join on frame and cell.  Cells that coincide because a box has
     fewer than three of them are entered once.  The work is in proportion to the pairs of neighbouring cells.
-    spread is the set whose particles are put into up to 27 cells each: the smaller one.
+    spread is the set whose particles are put into up to 27 cells each: the smaller one.  compound is a column of both sets
+    that the pairs keep, so that sums by compound need no further join.
     """
     if spread not in ("ref", "sel"):
         raise ValueError(f"unknown spread {spread!r}")
@@ -59,14 +60,15 @@ def contact_pairs(ref: DataFrame, sel: DataFrame, cutoff: float, boxes: DataFram
             steps[a] = F.array_distinct(F.array(*(F.pmod(cells[a] + k, n) for k in (-1, 0, 1))))
     one, many = (ref, sel) if spread == "ref" else (sel, ref)
     other = "sel" if spread == "ref" else "ref"
-    left = one.select("frame", spread, *(F.col(a).cast("double").alias(f"r{a}") for a in AXES), *(box or []), *(steps[a].alias(f"s{a}") for a in AXES))
+    kept = lambda side: [F.col(compound).alias(f"{side}_cmp")] if compound else []
+    left = one.select("frame", spread, *kept(spread), *(F.col(a).cast("double").alias(f"r{a}") for a in AXES), *(box or []), *(steps[a].alias(f"s{a}") for a in AXES))
     for a in AXES:
         left = left.withColumn(f"c{a}", F.explode(f"s{a}")).drop(f"s{a}")
-    right = many.select("frame", other, *(x.alias(a) for a, x in zip(AXES, xyz)), *(cells[a].alias(f"c{a}") for a in AXES))
+    right = many.select("frame", other, *kept(other), *(x.alias(a) for a, x in zip(AXES, xyz)), *(cells[a].alias(f"c{a}") for a in AXES))
     pairs = left.join(right, ["frame", "cx", "cy", "cz"])
     d = geometry.min_image([F.col(a) - F.col(f"r{a}") for a in AXES], box)
     squared = sum((x * x for x in d), F.lit(0.0))
-    return pairs.withColumn("dist", F.sqrt(squared)).where(F.col("dist") <= cutoff).select("frame", "ref", "sel", "dist")
+    return pairs.withColumn("dist", F.sqrt(squared)).where(F.col("dist") <= cutoff).select("frame", "ref", "sel", "dist", *(["ref_cmp", "sel_cmp"] if compound else []))
 
 
 def contacts_around_point(positions: DataFrame, point: tuple[float, float, float], cutoff: float, lengths: tuple[float, float, float] | None = None) -> DataFrame:
@@ -80,8 +82,13 @@ def contacts_around_point(positions: DataFrame, point: tuple[float, float, float
 
 
 def compound_counts(contacts: DataFrame, ref_of: DataFrame | None = None, sel_of: DataFrame | None = None) -> DataFrame:
-    """(frame, ref, sel, n): contacts summed by compound; ref_of has (ref, cmp), sel_of (sel, cmp)."""
+    """(frame, ref, sel, n): contacts summed by compound; ref_of has (ref, cmp), sel_of (sel, cmp).
+
+    Without them the contacts' own compounds count where they have some (see contact_pairs), else the particles.
+    """
     rows = contacts.select("frame", "ref", "sel")
+    if ref_of is None and sel_of is None and "ref_cmp" in contacts.columns:
+        rows = contacts.select("frame", F.col("ref_cmp").alias("ref"), F.col("sel_cmp").alias("sel"))
     for side, of in (("ref", ref_of), ("sel", sel_of)):
         if of is not None:
             rows = rows.join(of.select(F.col(side), F.col("cmp").alias("_c")), side).drop(side).withColumnRenamed("_c", side)
@@ -93,9 +100,12 @@ def compound_contacts(contacts: DataFrame, ref_of: DataFrame | None = None, sel_
     return compound_counts(contacts, ref_of, sel_of).where(F.col("n") >= min_contacts).drop("n")
 
 
-def contact_counts_all_levels(contacts: DataFrame, ref_of: DataFrame, sel_of: DataFrame) -> DataFrame:
-    """(level, frame, ref, sel, n) for particles and compounds on either side, from one join."""
-    both = contacts.join(ref_of.select("ref", F.col("cmp").alias("rc")), "ref").join(sel_of.select("sel", F.col("cmp").alias("sc")), "sel")
+def contact_counts_all_levels(contacts: DataFrame, ref_of: DataFrame | None = None, sel_of: DataFrame | None = None) -> DataFrame:
+    """(level, frame, ref, sel, n) for particles and compounds on either side; without tables of them the contacts' own compounds count."""
+    if ref_of is None and sel_of is None:
+        both = contacts.withColumnsRenamed({"ref_cmp": "rc", "sel_cmp": "sc"})
+    else:
+        both = contacts.join(ref_of.select("ref", F.col("cmp").alias("rc")), "ref").join(sel_of.select("sel", F.col("cmp").alias("sc")), "sel")
     sides = F.explode(F.array(*(F.struct(F.lit(f"{r}-{s}").alias("level"), (F.col("ref") if r == "atm" else F.col("rc")).cast("long").alias("ref"), (F.col("sel") if s == "atm" else F.col("sc")).cast("long").alias("sel")) for r in ("atm", "cmp") for s in ("atm", "cmp"))))
     return both.select("frame", sides.alias("k")).select("k.level", "frame", "k.ref", "k.sel").groupBy("level", "frame", "ref", "sel").agg(F.count("*").alias("n"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from framewalk.functions import geometry
 from framewalk.operators import binning, contacts, dynamics, events, fits, repair, states
-from framewalk.plans.tables import BOX, CONTACTS_SQL, CUTOFF, EVENTS_SQL, N_DAYS_SQL, boxes, boxes_of, dtrj, n_days, particles, positions, table
+from framewalk.plans.tables import BOX, CONTACTS_SQL, CUTOFF, EVENTS_SQL, N_DAYS_SQL, boxes, boxes_of_days, dtrj, n_days, particles, positions, table
 from framewalk.plans.tables import events as user_events
 
 QUERIES: dict = {}
@@ -159,20 +159,20 @@ def wrap_compounds(spark, sf_dir):
 @query(f"WITH {CONTACTS_SQL} SELECT frame, ref, sel, round(dist, 6) + 0.0 AS dist FROM con")
 def contact_pairs(spark, sf_dir):
     ref, sel = particles(spark, sf_dir)
-    made = contacts.contact_pairs(ref, sel, CUTOFF, boxes_of(ref, sel))
+    made = contacts.contact_pairs(ref, sel, CUTOFF, boxes_of_days(spark, sf_dir))
     return made.withColumn("dist", _round(F.col("dist")))
 
 
 def _particle_contacts(spark, sf_dir):
+    """Contacts with the users of both particles."""
     ref, sel = particles(spark, sf_dir)
-    return contacts.contact_pairs(ref, sel, CUTOFF, boxes_of(ref, sel)), ref, sel
+    return contacts.contact_pairs(ref, sel, CUTOFF, boxes_of_days(spark, sf_dir), compound="cmp"), ref, sel
 
 
 def _user_counts(spark, sf_dir):
     """Contacts of users, and the users by day."""
     found, ref, sel = _particle_contacts(spark, sf_dir)
-    counts = contacts.compound_counts(found, ref.select("ref", "cmp"), sel.select("sel", "cmp"))
-    return counts, ref.select("frame", F.col("cmp").alias("ref")).distinct(), sel.select("frame", F.col("cmp").alias("sel")).distinct()
+    return contacts.compound_counts(found), ref.select("frame", F.col("cmp").alias("ref")).distinct(), sel.select("frame", F.col("cmp").alias("sel")).distinct()
 
 
 _USERS = f"""
@@ -189,8 +189,7 @@ def compound_contact_counts(spark, sf_dir):
 
 @query(f"WITH {_USERS} SELECT frame, ref, sel FROM cc WHERE n >= 2")
 def compound_contacts(spark, sf_dir):
-    found, ref, sel = _particle_contacts(spark, sf_dir)
-    return contacts.compound_contacts(found, ref.select("ref", "cmp"), sel.select("sel", "cmp"), 2)
+    return contacts.compound_contacts(_particle_contacts(spark, sf_dir)[0], min_contacts=2)
 
 
 @query(f"""
@@ -200,8 +199,7 @@ UNION ALL SELECT 'atm-cmp', frame, ref, sc, count(*) FROM con GROUP BY ALL
 UNION ALL SELECT 'cmp-atm', frame, rc, sel, count(*) FROM con GROUP BY ALL
 UNION ALL SELECT 'cmp-cmp', frame, rc, sc, count(*) FROM con GROUP BY ALL""")
 def contact_counts_all_levels(spark, sf_dir):
-    found, ref, sel = _particle_contacts(spark, sf_dir)
-    return contacts.contact_counts_all_levels(found, ref.select("ref", "cmp"), sel.select("sel", "cmp"))
+    return contacts.contact_counts_all_levels(_particle_contacts(spark, sf_dir)[0])
 
 
 @query(f"""
@@ -407,7 +405,7 @@ FROM d WHERE (dx - floor(dx / {BOX[0]} + 0.5) * {BOX[0]}) ** 2 + (dy - floor(dy
 def topological_map(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select(F.datediff("ts", F.lit("2024-01-01").cast("date")).alias("frame"), "event_id", "event_type", F.col("value").alias("x"), ((F.hour("ts") * 60 + F.minute("ts")) / 10).alias("y"), F.get_json_object("props", "$.k").cast("double").alias("z"))
     center = rows.groupBy("frame").agg(F.min_by(F.struct("x", "y", "z"), "event_id").alias("p")).select("frame", "p.*")
-    made = events.topological_map(rows, center, 30.0, boxes_of(rows), ["event_type"])
+    made = events.topological_map(rows, center, 30.0, boxes_of_days(spark, sf_dir), ["event_type"])
     return made.withColumn("event_type", F.array_join("event_type", ","))
 
 

@@ -68,12 +68,11 @@ def n_days(spark: SparkSession, sf_dir: str) -> int:
     return (table(spark, sf_dir, "events").agg(F.max(frame)).first()[0] or 0) + 1
 
 
-def boxes_of(*particles: DataFrame) -> DataFrame:
-    """A box for every frame that one of the tables has."""
-    frames = particles[0].select("frame")
-    for p in particles[1:]:
-        frames = frames.union(p.select("frame"))
-    return frames.distinct().select("frame", *(F.lit(v).alias(f"l{a}") for a, v in zip("xyz", BOX)))
+def boxes_of_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A box for every day from the first to the last that has an event."""
+    frame = F.datediff("ts", F.lit("2024-01-01").cast("date"))
+    low, high = table(spark, sf_dir, "events").agg(F.min(frame), F.max(frame)).first()
+    return spark.range(low or 0, (high or 0) + 1).select(F.col("id").cast("int").alias("frame"), *(F.lit(v).alias(f"l{a}") for a, v in zip("xyz", BOX)))
 
 
 def series(spark: SparkSession, sf_dir: str) -> DataFrame:
