@@ -129,8 +129,9 @@ class Model:
         self.number, self.ratio, self.weighed, self.bias, self.slope, self.offset = number, ratio, weighed, bias, slope, offset
 
     def score(self, text: str | None, shapes: Shapes) -> float:
-        number = self.number
-        at = np.array(sorted(number[g] for g in number.keys() & ngrams(text, shapes)), np.int64)  # sorted: a sum does not depend on a set's order
+        known = self.number.get
+        at = np.fromiter((i for g in ngrams(text, shapes) if (i := known(g)) is not None), np.int64)
+        at.sort()  # a sum does not depend on a set's order
         margin = self.bias + self.weighed[at].sum() / np.sqrt((self.ratio[at] ** 2).sum() or 1.0)
         return float(1 / (1 + np.exp(-np.clip(self.slope * margin + self.offset, -30, 30))))
 
