@@ -55,19 +55,23 @@ class Shapes(dict):
         return made
 
 
-def ngrams(text: str | None, shapes: Shapes) -> set:
-    """Words, pairs of words, and runs of three shapes ("=" for a token equal to the one before)."""
+def tokens_and_shapes(text: str | None, shapes: Shapes) -> tuple[list[str], set]:
+    """The tokens of a text, and its runs of three shapes ("=" for a token equal to the one before)."""
     tokens = _token.findall(text or "")
-    pairs = set(pairwise(tokens))
-    s = [shapes[t] for t in tokens]
+    s = list(map(shapes.__getitem__, tokens))
     out = set(zip(s, s[1:], s[2:]))
-    repeats = {a for a, b in pairs if a == b}
+    repeats = {a for a, b in zip(tokens, tokens[1:]) if a == b}
     if repeats:
         out.add(("=", "many" if sum(t in repeats for t in tokens) * 2 > len(tokens) else "some", "="))
-    out |= pairs
-    out.update(tokens)
     if not tokens:
         out.add(("", "empty", ""))
+    return tokens, out
+
+
+def ngrams(text: str | None, shapes: Shapes) -> set:
+    """Words, pairs of words, and runs of three shapes."""
+    tokens, out = tokens_and_shapes(text, shapes)
+    out.update(tokens, pairwise(tokens))
     return out
 
 
@@ -129,8 +133,11 @@ class Model:
         self.number, self.ratio, self.weighed, self.bias, self.slope, self.offset = number, ratio, weighed, bias, slope, offset
 
     def score(self, text: str | None, shapes: Shapes) -> float:
-        known = self.number.get
-        at = np.fromiter((i for g in ngrams(text, shapes) if (i := known(g)) is not None), np.int64)
+        known, (tokens, few) = self.number.get, tokens_and_shapes(text, shapes)
+        found = set(map(known, few))  # numbers instead of the n-grams themselves
+        found.update(map(known, tokens), map(known, pairwise(tokens)))
+        found.discard(None)
+        at = np.fromiter(found, np.int64, len(found))
         at.sort()  # a sum does not depend on a set's order
         margin = self.bias + self.weighed[at].sum() / np.sqrt((self.ratio[at] ** 2).sum() or 1.0)
         return float(1 / (1 + np.exp(-np.clip(self.slope * margin + self.offset, -30, 30))))

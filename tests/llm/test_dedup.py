@@ -9,7 +9,7 @@ from helpers import agree, rows
 from pyspark.sql import functions as F
 
 from framewalk.llm import line_dedup, registry, simhash
-from framewalk.llm.common import Workspace
+from framewalk.llm.common import Workspace, release, shared_dir
 from framewalk.llm.components import connected_components
 
 SF = "/root/testdata/sf0.001"
@@ -190,3 +190,51 @@ def test_op3_columns(spark):
     assert made.columns == ["doc_id", "fingerprint", "component_id"]
     assert made.where(~F.col("fingerprint").rlike("^[0-9a-f]{16}$")).count() == 0
     assert len(rows(made)) == 200
+
+
+def test_tables_are_dropped(spark):
+    """What nothing reads any more is dropped at once, the rest by release()."""
+    import os
+
+    docs = spark.createDataFrame([(k, f"some text {k % 3} of words", f"s{k}") for k in range(30)], "doc_id long, text string, source string")
+    mine = Workspace(spark, "mine")
+    mine.keep(docs, "docs")
+    made = simhash.near_duplicates(docs)
+    folder = Workspace.made[-1].path.removeprefix("file://").removeprefix("file:")
+    assert made.count() == 30 and set(os.listdir(folder)) & {"tiles", "distinct", "links0", "stars"} == set()
+    release(mine)
+    assert not os.path.exists(folder) and mine in Workspace.made
+    assert spark.read.parquet(f"{mine.path}/docs").count() == 30
+    release()
+
+
+def test_a_shared_folder_is_needed_on_a_cluster():
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda key, default=None: None)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    with pytest.raises(ValueError):
+        shared_dir(Cluster)
+
+
+def test_bounds_that_the_user_set_stay(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(key)
+    spark.conf.set(key, "77")
+    Workspace(spark, "test")
+    assert spark.conf.get(key) == "77"
+    spark.conf.set(key, was)
+
+
+@pytest.mark.parametrize("most", [1_000_000, 0])
+def test_hub_components(spark, monkeypatch, most):
+    """A hub with many links, minima broadcast or not."""
+    from framewalk.llm import common
+
+    monkeypatch.setattr(common, "BROADCAST_NUMBERS", most)
+    links = [(0, k) for k in range(1, 3000)] + [(5000 + k, 5001 + k) for k in range(40)] + [(2999, 5000)]
+    made = connected_components(spark.createDataFrame(links, "u long, v long"), Workspace(spark, "test")).collect()
+    assert {r["root"] for r in made} == {0} and len(made) == 2999 + 41
