@@ -5,8 +5,10 @@ from __future__ import annotations
 from framewalk.llm.decontamination import op5_decontamination
 from framewalk.llm.html_text import op1_html_text
 from framewalk.llm.line_dedup import OP8_SQL, op8_line_dedup
+from framewalk.llm.merkle import OP12_SQL, op12_merkle_manifest
 from framewalk.llm.quality_classifier import op9_quality_classifier
 from framewalk.llm.quality_rules import OP10_SQL, op10_quality_rules
+from framewalk.llm.resampling import OP13_SQL, op13_resampling
 from framewalk.llm.sentencepiece_bpe import op6_sentencepiece
 from framewalk.llm.sharding import op4_sharding
 from framewalk.llm.simhash import op3_simhash
@@ -24,6 +26,8 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_quality_rules": op10_quality_rules,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_resampling": op13_resampling,
 }
 
-ORACLE_SQL = {"op7_url_filter": OP7_SQL, "op8_line_dedup": OP8_SQL, "op10_quality_rules": OP10_SQL}
+ORACLE_SQL = {"op7_url_filter": OP7_SQL, "op8_line_dedup": OP8_SQL, "op10_quality_rules": OP10_SQL, "op12_merkle_manifest": OP12_SQL, "op13_resampling": OP13_SQL}
