@@ -23,6 +23,8 @@ from framewalk.session import importable
 ARROW_ROWS, ARROW_BYTES = 512, 16 << 20
 #: Most numbers that a table may hold to be broadcast; a larger one is shuffled for its join.
 BROADCAST_NUMBERS = 1_000_000
+#: A key with more than this part of the rows is hot.
+HEAVY = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -76,6 +78,21 @@ class Workspace:
         held = kept.agg(F.sum(size if size is not None else F.lit(1))).first()[0] or 0
         return F.broadcast(kept) if held <= BROADCAST_NUMBERS else kept
 
+    def matched(self, rows: DataFrame, side: DataFrame, keys: list[str], count: str, name: str) -> DataFrame:
+        """rows joined to the side (left), which has each key once and in `count` how many of the rows have it.
+
+        A side of few numbers is broadcast.  Of a larger one, the keys with more than a share of 1 / HEAVY of the
+        rows are: they are fewer than HEAVY.  The other rows are shuffled, so that no task gets a hot key's.
+        """
+        kept = self.keep(side, name)
+        held, counted = kept.agg(F.count("*") * len(kept.columns), F.sum(count)).first()
+        if held <= BROADCAST_NUMBERS:
+            return rows.join(F.broadcast(kept), keys, "left")
+        heavy = F.col(count) * HEAVY > counted
+        often = rows.join(F.broadcast(kept.where(heavy)), keys)
+        rest = rows.join(F.broadcast(kept.where(heavy).select(*keys)), keys, "left_anti")
+        return often.unionByName(rest.join(kept.where(~heavy), keys, "left"))
+
     def drop(self, *names: str) -> None:
         """Removes tables that are not read any more; without names the whole folder."""
         jvm = self.spark._jvm

@@ -14,6 +14,7 @@ from framewalk.llm.sharding import op4_sharding
 from framewalk.llm.simhash import op3_simhash
 from framewalk.llm.toxicity import op2_toxicity
 from framewalk.llm.url_filter import OP7_SQL, op7_url_filter
+from framewalk.llm.warc import OP11_SQL, op11_warc
 
 QUERIES = {
     "op1_html_text": op1_html_text,
@@ -26,8 +27,9 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_quality_rules": op10_quality_rules,
+    "op11_warc": op11_warc,
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_resampling": op13_resampling,
 }
 
-ORACLE_SQL = {"op7_url_filter": OP7_SQL, "op8_line_dedup": OP8_SQL, "op10_quality_rules": OP10_SQL, "op12_merkle_manifest": OP12_SQL, "op13_resampling": OP13_SQL}
+ORACLE_SQL = {"op7_url_filter": OP7_SQL, "op8_line_dedup": OP8_SQL, "op10_quality_rules": OP10_SQL, "op11_warc": OP11_SQL, "op12_merkle_manifest": OP12_SQL, "op13_resampling": OP13_SQL}
