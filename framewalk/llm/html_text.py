@@ -38,23 +38,24 @@ LAYOUT = frozenset("with without has no none and page layout wrapper wrap outer"
 
 RAW = re.compile(r"<!--|<!\[CDATA\[|<(script|style|title|textarea|iframe|xmp|noembed|noframes)\b", re.I)
 SHUT = {tag: re.compile(rf"</{tag}\b[^>]*>", re.I) for tag in "script style title textarea iframe xmp noembed noframes".split()}
-TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>", re.S)
-ODD_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+NO_TAG = re.compile(r"<[!?/][^>]*(?:>|\Z)")
+MARK = re.compile(r"[>\"']")
 ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 RIGHTS = re.compile(r"©|\bcopyright\b|all rights reserved", re.I)
 
-#: Characters in which a tag with quoted values must end; one that does not ends at its first ">", and the next
-#: is given half as many, down to the least.
-LONGEST_TAG, LEAST_TAG = 1 << 14, 1 << 8
 #: Log odds that a block's place gives: in readers' comments or out of sight; in an element that is no content; in one that only its class
 #: (or being a form) makes such; in an article; in what its class calls content.
-READER, ELEMENT, CLASS, GOOD, HINT = -5.0, -4.5, -3.5, 2.5, 1.0
+READER, ELEMENT, CLASS, GOOD, HINT = -5.0, -4.5, -3.5, 2.5, 1.6
 #: Strength of the link between neighbours of one container, halved for each step between their containers; between a block and the one before it in its container.
 NEXT, SAME = 0.8, 0.7
-#: What only its class makes bad, a form, or an element that is never closed, yet holds more than this share of a page's text, is not bad.
-HOLDS = 0.7
+#: What only its class makes bad, a form, or an element that is never closed is believed the less, the more of a page's text it
+#: holds: by 1 - share ** HOLDS.
+HOLDS = 4
+#: What a block's links cost at most, and how much less for each unit of good odds: a linked item of an article is a part of it.
+LINKED, IN_PLACE = 4.0, 1.2
 
 
 class Block:
@@ -101,6 +102,41 @@ def without_raw(page: str) -> str:
     return "".join(out)
 
 
+class Tags:
+    """Finds where the tags of a page end, past the ">" in quoted values.
+
+    A quote opens a value only after "=".  One that is not closed up to the page's end is none.  A tag without an end
+    outside of its values ends at its first ">", or with the page.  All searches together pass over the page a few times at
+    most: they go forward, and a place from which there was no end is not searched from again.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.last, self.unclosed, self.endless = page, page.rfind(">"), set(), set()
+
+    def end(self, at: int) -> tuple[int, int]:
+        """(end of the attributes, end of the tag) of the tag whose name ends at `at`."""
+        page, k, passed = self.page, at, [at]
+        if at > self.last:
+            return len(page), len(page)
+        while k not in self.endless and (m := MARK.search(page, k)):
+            k = m.end()
+            if m[0] == ">":
+                return k - 1, k
+            before = k - 2
+            while before >= at and page[before].isspace():
+                before -= 1
+            if page[before] == "=" and before >= at and m[0] not in self.unclosed:
+                close = page.find(m[0], k)
+                if close >= 0:
+                    k = close + 1
+                else:
+                    self.unclosed.add(m[0])
+            passed.append(k)
+        self.endless.update(passed)
+        first = page.find(">", at)
+        return first, first + 1
+
+
 def evidence(tag: str, attributes: str, inside: bool) -> tuple[float, bool, float]:
     """What a container tells of the blocks in it: (bad odds or 0, whether only softly so, good odds or 0)."""
     words: set[str] = set()
@@ -137,7 +173,7 @@ def blocks_of(page: str) -> tuple[list[Block], list[Bad]]:
     text: list[str] = []
     size = [0, 0]  # characters: all, linked
     link = made = at = look = 0
-    reach = LONGEST_TAG
+    tags = Tags(page)
     skipped: list[str] = []  # open inline elements that are bad by themselves, up to the next block
 
     def flush() -> None:
@@ -158,11 +194,13 @@ def blocks_of(page: str) -> tuple[list[Block], list[Bad]]:
         del stack[k:]
 
     while (start := page.find("<", look)) >= 0:
-        m = TAG.match(page, start, start + reach)
-        reach = LONGEST_TAG if m else max(LEAST_TAG, reach // 2)
-        m = m or ODD_TAG.match(page, start)
-        look = m.end() if m else start + 1
-        if not m:
+        m = TAG.match(page, start)
+        if m:
+            stop, look = tags.end(m.end())
+        elif other := NO_TAG.match(page, start):
+            look = other.end()
+        else:
+            look = start + 1
             continue
         if start > at and not skipped:
             piece = page[at:start]
@@ -170,10 +208,9 @@ def blocks_of(page: str) -> tuple[list[Block], list[Bad]]:
             size[0] += len(piece)
             size[1] += len(piece) if link else 0
         at = look
-        shut, tag, attributes = m.group(1, 2, 3)
-        if not tag:
+        if not m:
             continue
-        tag = tag.lower()
+        shut, tag, attributes = m[1], m[2].lower(), page[m.end() : stop]
         if tag not in BREAKS and tag not in NEVER:
             if skipped:
                 if shut and tag in skipped:
@@ -221,20 +258,23 @@ def blocks_of(page: str) -> tuple[list[Block], list[Bad]]:
 
 
 def places_of(blocks: list[Block], bads: list[Bad]) -> list[float]:
-    """The log odds that each block's place gives."""
+    """The log odds that each block's place gives: bad ones as far as they are believed, good ones for the rest."""
     for k in range(len(bads) - 1, 0, -1):  # what is inside comes later
         bads[bads[k].inside].held += bads[k].held
-    total = bads[0].held
-    odds = [0.0]
+    total = max(1, bads[0].held)
+    odds, believed = [0.0], [0.0]
     for b in bads[1:]:
-        odds.append(min(odds[b.inside], 0.0 if b.soft and b.held > HOLDS * total else b.odds))
-    return [odds[b.bad] or b.good for b in blocks]
+        sure = 1 - (b.held / total) ** HOLDS if b.soft else 1.0
+        worse = b.odds * sure < odds[b.inside]
+        odds.append(b.odds * sure if worse else odds[b.inside])
+        believed.append(sure if worse else believed[b.inside])
+    return [odds[b.bad] + (1 - believed[b.bad]) * b.good for b in blocks]
 
 
 def log_odds(b: Block, place: float) -> float:
     """The classifier: log odds that the block is content, by its own text and its place."""
     words = b.text.count(" ") + 1
-    out = place - 0.6 + min(2.5, 0.9 * math.log(words)) - 4.0 * b.links
+    out = place - 0.6 + min(2.5, 0.9 * math.log(words)) - (LINKED - IN_PLACE * max(0.0, place)) * b.links
     if b.text[-1] in ".!?…:;\"”»":
         out += 0.6
     if b.tag in ("p", "pre", "blockquote"):

@@ -335,7 +335,7 @@ def test_loose_markup(page, text):
     assert html_text.main_text(page) == text
 
 
-@pytest.mark.parametrize("page", ["<title>" * 150_000, '<a ">"x' * 150_000, "<!--" * 250_000, '<p title="' * 100_000, "<nav>" * 100_000 + "x", "<" * 1_000_000, "<textarea><iframe>" * 50_000, "<div class='ad'>x</div>" * 40_000])
+@pytest.mark.parametrize("page", ["<title>" * 150_000, '<a ">"x' * 150_000, "<!--" * 250_000, '<p title="' * 100_000, "<nav>" * 100_000 + "x", "<" * 1_000_000, "<textarea><iframe>" * 50_000, "<div class='ad'>x</div>" * 40_000, "<a " * 300_000, '<a "' * 200_000 + ">", '<a b="' * 200_001, "<a b='\">" * 100_001, "<p a = '" * 100_000 + ">"])
 def test_long_pages_are_read_in_linear_time(page):
     import time
 
@@ -398,6 +398,42 @@ def test_labelled_pages():
     assert mended > 50 and mended >= 0.9 * moved
 
 
+def test_pages_without_telling_names():
+    """The same layouts without any known class or id, and without readers' comments, whose text is like the page's own: by tags, text, links and the cut."""
+    import re
+
+    rng = random.Random(22)
+    tally = {"own": [0, 0], "cut": [0, 0]}
+    wanted = 0
+    for _ in range(300):
+        page, content = site_page(rng)
+        page = re.sub(r'<section id="comments">.*?</section>', "", page)
+        page = re.sub(r" (?:class|id)=(?:\"[^\"]*\"|[^ >]*)", " class=x7", page)
+        blocks, bads = html_text.blocks_of(page)
+        odds, kept = html_text.labels_of(blocks, bads)
+        wanted += len(content)
+        for name, labels in (("own", [x > 0 for x in odds]), ("cut", kept)):
+            got = [b.text for b, k in zip(blocks, labels) if k]
+            tally[name][0] += sum(x in content for x in got)
+            tally[name][1] += len(got)
+    recall, precision = ({n: right / (wanted if k == 0 else found) for n, (right, found) in tally.items()} for k in range(2))
+    assert recall["cut"] >= 0.9 and precision["cut"] >= 0.9
+    assert recall["cut"] > recall["own"] + 0.01 and precision["cut"] > precision["own"] - 0.01
+
+
+@pytest.mark.parametrize("page, text", [
+    ('<p data-json="' + "x > y " * 3000 + ' > LEAKED MARKUP">Beta is here</p>', "Beta is here"),
+    ('<div data-a="' + "x>" * 9000 + '>z">one two</div>' * 1, "one two"),
+    ('<div data-a="' + "x>" * 9000 + '>z">Some words.</div>' + '<div data-a="' + "y>" * 20000 + '>z">Other words.</div>', "Some words.\nOther words."),
+    ("<article><h1>Head</h1><p>Some words are here.</p><ul><li><a>One two three</a></li><li><a>Four five</a></li></ul></article>", "Head\nSome words are here.\nOne two three\nFour five"),
+    ('<div class="content"><p><a>Only link text</a></p></div>', "Only link text"),
+    ("<p>An apostrophe's tag <b title=it's>is</b> no quote's begin, nor is <b a = '>'>this one's</b>.</p>", "An apostrophe's tag is no quote's begin, nor is this one's."),
+    ('<p title="never closed>Words that are here all the same.</p>', "Words that are here all the same."),
+])
+def test_long_and_odd_attributes(page, text):
+    assert html_text.main_text(page) == text
+
+
 @pytest.mark.parametrize("odd", [None, "", "<", "<p", "<a href='x>text", "</div></div>", "<!-- open", "<script>x", "&#xD800;&bogus;&#0;", "<p title=\"" * 500, "<div>" * 5000 + "x", "<" * 5000])
 def test_odd_pages(odd):
     assert isinstance(html_text.main_text(odd), str)
