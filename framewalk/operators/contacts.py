@@ -11,9 +11,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framewalk.functions import geometry
-from framewalk.operators.lags import lag_pairs
+from framewalk.operators.lags import at_least, in_runs, lag_pairs, run_overlaps
+from framewalk.session import kept
 
 AXES = ("x", "y", "z")
+#: Particles of a cell from which on it is dealt out.
+CROWD = 1 << 13
 
 
 def min_image(d: Column, length: Column) -> Column:
@@ -30,6 +33,14 @@ def _heights(box: list[str]) -> list[Column]:
     return [volume / geometry.norm(cross(u, v)) for u, v in ((b, c), (c, a), (a, b))]
 
 
+def _dealt(left: DataFrame, right: DataFrame, crowded: DataFrame, cell: list[str], number: str) -> tuple[DataFrame, DataFrame]:
+    """left and right with a column part, 0 in cells that are not crowded: each row of right in one part of its cell, each of left in all of them."""
+    parts = F.coalesce("parts", F.lit(1))
+    left = left.join(crowded, cell, "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    right = right.join(crowded, cell, "left").withColumn("part", F.pmod(F.xxhash64(number), parts).cast("int")).drop("parts")
+    return left, right
+
+
 def contact_pairs(ref: DataFrame, sel: DataFrame, cutoff: float, boxes: DataFrame | None = None, spread: str = "ref", compound: str | None = None) -> DataFrame:
     """(frame, ref, sel, dist[, ref_cmp, sel_cmp]) of all pairs at most cutoff apart.
 
@@ -38,6 +49,8 @@ def contact_pairs(ref: DataFrame, sel: DataFrame, cutoff: float, boxes: DataFram
     smaller than the cutoff; each particle of one set is met by those of the other in the cells
     around it, as an equi-join on frame and cell.  Cells that coincide because a box has
     fewer than three of them are entered once.  The work is in proportion to the pairs of neighbouring cells.
+    A crowded cell, of more than CROWD particles, is dealt out: its particles by number into parts, those of the other set into each, so that
+    no task has more than CROWD particles of one cell at a time.  Cells are counted for it when the function is called.
     spread is the set whose particles are put into up to 27 cells each: the smaller one.  compound is a column of both sets
     that the pairs keep, so that sums by compound need no further join.
     """
@@ -60,12 +73,18 @@ def contact_pairs(ref: DataFrame, sel: DataFrame, cutoff: float, boxes: DataFram
             steps[a] = F.array_distinct(F.array(*(F.pmod(cells[a] + k, n) for k in (-1, 0, 1))))
     one, many = (ref, sel) if spread == "ref" else (sel, ref)
     other = "sel" if spread == "ref" else "ref"
-    kept = lambda side: [F.col(compound).alias(f"{side}_cmp")] if compound else []
-    left = one.select("frame", spread, *kept(spread), *(F.col(a).cast("double").alias(f"r{a}") for a in AXES), *(box or []), *(steps[a].alias(f"s{a}") for a in AXES))
+    of = lambda side: [F.col(compound).alias(f"{side}_cmp")] if compound else []
+    left = one.select("frame", spread, *of(spread), *(F.col(a).cast("double").alias(f"r{a}") for a in AXES), *(box or []), *(steps[a].alias(f"s{a}") for a in AXES))
     for a in AXES:
         left = left.withColumn(f"c{a}", F.explode(f"s{a}")).drop(f"s{a}")
-    right = many.select("frame", other, *kept(other), *(x.alias(a) for a, x in zip(AXES, xyz)), *(cells[a].alias(f"c{a}") for a in AXES))
-    pairs = left.join(right, ["frame", "cx", "cy", "cz"])
+    right = many.select("frame", other, *of(other), *(x.alias(a) for a, x in zip(AXES, xyz)), *(cells[a].alias(f"c{a}") for a in AXES))
+    cell = ["frame", "cx", "cy", "cz"]
+    if not right.isStreaming and not left.isStreaming:
+        crowded = right.groupBy(*cell).agg(F.ceil(F.count("*") / CROWD).cast("int").alias("parts")).where("parts > 1")
+        if not crowded.isEmpty():
+            left, right = _dealt(left, right, kept(crowded, "crowded"), cell, other)
+            cell = [*cell, "part"]
+    pairs = left.join(right, cell)
     d = geometry.min_image([F.col(a) - F.col(f"r{a}") for a in AXES], box)
     squared = sum((x * x for x in d), F.lit(0.0))
     return pairs.withColumn("dist", F.sqrt(squared)).where(F.col("dist") <= cutoff).select("frame", "ref", "sel", "dist", *(["ref_cmp", "sel_cmp"] if compound else []))
@@ -180,15 +199,20 @@ def unbound(contacts: DataFrame, compounds: DataFrame, side: str = "ref") -> Dat
 def autocorrelation(members: DataFrame, keys: list[str], n_frames: int, restart: int = 1, max_lag: int | None = None) -> DataFrame:
     """(lag, n_both, n_start, acf): the share of members (frame, keys) at t0 that are members at t0 + lag too.
 
-    Starts are the frames 0, restart, ... but the last; pairs are made by an equi-join on keys and buckets of frames.
+    Starts are the frames 0, restart, ... but the last.  If every frame is a start, pairs are counted by pairs of runs
+    (memberships from one frame to another), otherwise by an equi-join on keys and buckets of frames.
     """
     most = min(n_frames - 1, max_lag or n_frames - 1)
     rows = members.select("frame", *keys).distinct()
     starts = rows.where((F.col("frame") % restart == 0) & (F.col("frame") < n_frames - 1))
-    both = lag_pairs(starts.withColumnRenamed("frame", "f0"), rows, keys, most, min_lag=1).groupBy("lag").agg(F.count("*").alias("n_both"))
-    per_reach = starts.groupBy(F.least(F.lit(n_frames - 1) - F.col("frame"), F.lit(most)).alias("reach")).agg(F.count("*").alias("n"))
-    total = per_reach.select(F.explode(F.sequence(F.lit(1), F.col("reach").cast("int"))).alias("lag"), "n").groupBy("lag").agg(F.sum("n").alias("n_start"))
     grid = members.sparkSession.range(most + 1).select(F.col("id").cast("int").alias("lag"))
+    if restart == 1:
+        spans = in_runs(rows, keys)
+        both = run_overlaps(spans, spans, keys, most, grid, "n_both")
+    else:
+        both = lag_pairs(starts.withColumnRenamed("frame", "f0"), rows, keys, most, min_lag=1).groupBy("lag").agg(F.count("*").alias("n_both"))
+    reach = (F.lit(n_frames - 1) - F.col("frame")).alias("reach")
+    total = at_least(starts.groupBy(reach).agg(F.count("*").alias("n")), grid, [], "reach", "n_start").where("lag > 0")
     joined = grid.join(both, "lag", "left").join(total, "lag", "left").fillna(0, ["n_both", "n_start"])
     return joined.withColumn("acf", F.when(F.col("lag") == 0, F.lit(1.0)).otherwise(F.try_divide(F.col("n_both").cast("double"), F.col("n_start"))))
 

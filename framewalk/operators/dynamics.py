@@ -11,8 +11,7 @@ from framewalk.functions import geometry
 from framewalk.functions.geometry import box_columns, box_matrix, min_image, wrap_into
 from framewalk.operators.contacts import AXES
 from framewalk.operators.lags import correlate, lag_pairs
-from framewalk.session import importable
-
+from framewalk.session import drop, importable, kept
 
 
 def _xyz(prefix: str = ""):
@@ -115,42 +114,66 @@ def images(d: np.ndarray, matrix: np.ndarray) -> np.ndarray:
     return np.floor(d @ np.linalg.inv(matrix) + 0.5)
 
 
+_SHIFT = ("i", "j", "k")
+
+
+def _doubled(hooks: DataFrame) -> DataFrame:
+    """hooks (frame, a, to, i, j, k), each leading to a smaller one, with `to` the last one of the way, and the shifts along it summed.
+
+    Each round replaces a pointer by that of where it leads: log2 of the longest way rounds.
+    """
+    while True:
+        ahead = hooks.select("frame", F.col("a").alias("to"), F.col("to").alias("_to"), *(F.col(c).alias(f"_{c}") for c in _SHIFT))
+        joined = hooks.join(ahead, ["frame", "to"], "left")
+        moved = kept(joined.select("frame", "a", F.coalesce("_to", "to").alias("to"), *((F.col(c) + F.coalesce(f"_{c}", F.lit(0))).alias(c) for c in _SHIFT), F.col("_to").isNotNull().alias("went")), "pointers")
+        drop(hooks)
+        hooks = moved.drop("went")
+        if moved.where("went").isEmpty():
+            return hooks
+
+
+def _contracted(edges: DataFrame, hooks: DataFrame) -> DataFrame:
+    """edges (frame, a, b, i, j, k) between what their ends lead to, one for each pair, without those inside of one."""
+    end = lambda c: hooks.select("frame", F.col("a").alias(c), F.col("to").alias(f"{c}2"), *(F.col(x).alias(f"{x}{c}") for x in _SHIFT))
+    both = edges.join(end("a"), ["frame", "a"], "left").join(end("b"), ["frame", "b"], "left")
+    zero = F.lit(0)
+    moved = both.select("frame", F.coalesce("a2", "a").alias("a"), F.coalesce("b2", "b").alias("b"), *((F.col(x) + F.coalesce(f"{x}b", zero) - F.coalesce(f"{x}a", zero)).alias(x) for x in _SHIFT))
+    return moved.where("a <> b").groupBy("frame", "a", "b").agg(F.min(F.struct(*_SHIFT)).alias("s")).select("frame", "a", "b", "s.*")
+
+
 def make_whole_by_bonds(positions: DataFrame, boxes: DataFrame, compound: str, atom: str, bonds: DataFrame) -> DataFrame:
-    """Compounds of any size made whole along bonds(a, b): each atom goes to the image nearest to the bonded one before it.
+    """Compounds of any size made whole along bonds(a, b), each one of atoms of one compound: bonded atoms go to each other's nearest images.
 
-    The bonds are those of one compound each and are gathered by compound; a group is one compound in one frame.
+    Of what bonds hold together, the atom with the least number stays where it is.  Every bond says by how many box vectors its ends are apart.  A
+    round hooks each atom to its least bonded one, if that is less than it; follows the hooks to their ends by pointer doubling, adding
+    the shifts on the way; and goes on with what is left of the bonds, which then join those ends.  Hooks part a chain, however
+    long, into few pieces at once, so that rounds and joins are about the logarithm of a compound's size, and a compound is
+    rows, not a group.  Where rings or bonds as long as half a box leave a choice, some way along the bonds decides.
     """
-    importable(positions.sparkSession)
+    box = box_columns(boxes.columns)
     chosen = with_boxes(positions, boxes)
-    of = positions.select(F.col(atom).alias("a"), compound).distinct()
-    links = bonds.join(of, "a").groupBy(compound).agg(F.collect_list(F.struct("a", "b")).alias("_bonds"))
-    schema, box = positions.schema, box_columns(boxes.columns)
-
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(atom)
-        at = {i: k for k, i in enumerate(rows[atom])}
-        near: dict[int, list[int]] = {k: [] for k in at.values()}
-        for bond in rows["_bonds"].iloc[0] if rows["_bonds"].iloc[0] is not None else []:
-            if bond["a"] in at and bond["b"] in at:
-                near[at[bond["a"]]].append(at[bond["b"]])
-                near[at[bond["b"]]].append(at[bond["a"]])
-        xyz, cell = rows[list(AXES)].to_numpy(float), matrices(rows.iloc[:1], box)[0]
-        seen: set[int] = set()
-        for start in range(len(xyz)):
-            todo = [start] if start not in seen else []
-            seen.update(todo)
-            while todo:
-                i = todo.pop()
-                for j in near[i]:
-                    if j not in seen:
-                        d = xyz[j] - xyz[i]
-                        xyz[j] = xyz[i] + d - images(d, cell) @ cell
-                        seen.add(j)
-                        todo.append(j)
-        rows[list(AXES)] = xyz
-        return rows[schema.names]
-
-    return chosen.join(links, compound, "left").groupBy("frame", compound).applyInPandas(one, schema)
+    matrix = box_matrix(box)
+    points = chosen.select("frame", F.col(atom).alias("_a"), *AXES)
+    first = chosen.select("frame", F.col(atom).alias("a"), *AXES, *box)
+    second = points.select("frame", F.col("_a").alias("b"), *(F.col(c).alias(f"_{c}") for c in AXES))
+    known = bonds.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    apart = known.join(first, "a").join(second, ["frame", "b"])
+    steps = geometry.cart2box(tuple(F.col(f"_{c}") - F.col(c) for c in AXES), matrix)
+    # a's shift is b's and this
+    there = apart.select("frame", "a", "b", *(F.floor(x + 0.5).cast("long").alias(c) for c, x in zip(_SHIFT, steps)))
+    edges = kept(there.unionByName(there.select("frame", F.col("b").alias("a"), F.col("a").alias("b"), *((-F.col(c)).alias(c) for c in _SHIFT))), "bonds")
+    at = chosen.select("frame", F.col(atom).alias("_atom"), F.col(atom).alias("_at"), *(F.lit(0).cast("long").alias(f"_{c}") for c in _SHIFT))
+    while not edges.isEmpty():
+        least = edges.where("b < a").groupBy("frame", "a").agg(F.min(F.struct("b", *_SHIFT)).alias("s"))
+        hooks = _doubled(kept(least.select("frame", "a", F.col("s.b").alias("to"), *(F.col(f"s.{c}").alias(c) for c in _SHIFT)), "hooks"))
+        led = hooks.select("frame", F.col("a").alias("_at"), "to", *_SHIFT)
+        at = at.join(led, ["frame", "_at"], "left").select("frame", "_atom", F.coalesce("to", "_at").alias("_at"), *((F.col(f"_{c}") + F.coalesce(c, F.lit(0))).alias(f"_{c}") for c in _SHIFT))
+        left = kept(_contracted(edges, hooks), "bonds")
+        drop(edges)
+        edges = left
+    rows = chosen.withColumn("_atom", F.col(atom)).join(at.drop("_at"), ["frame", "_atom"])
+    moved = geometry.box2cart(tuple(F.col(f"_{c}").cast("double") for c in _SHIFT), matrix)
+    return rows.withColumns({a: F.col(a) + m for a, m in zip(AXES, moved)}).select(*positions.columns)
 
 
 def unwrap(positions: DataFrame, boxes: DataFrame, key: str, method: str = "scaling") -> DataFrame:
@@ -263,6 +286,45 @@ def msd_by_layer(positions: DataFrame, key: str, layers: DataFrame, n_frames: in
     return pairs.groupBy("layer", "lag").agg(F.count("*").alias("n"), *(F.avg(d[a]).alias(f"md_{a}") for a in AXES), *(F.avg(d[a] * d[a]).alias(f"msd_{a}") for a in AXES))
 
 
+def msd_by_layer_all_lags(positions: DataFrame, key: str, layers: DataFrame, n_frames: int) -> DataFrame:
+    """msd_by_layer with every frame but the last as a start and no bound on the lag; layers are whole numbers.
+
+    As in msd_all_lags, a particle's sums over all pairs are correlations: of the frames at which it starts in a layer with
+    its coordinates and their squares.  So its steps are layers * frames * log(frames).
+    """
+    importable(positions.sparkSession)
+    rows = positions.select(key, F.col("frame").cast("int").alias("frame"), *(F.col(a).cast("double").alias(a) for a in AXES)).join(layers.select(key, "frame", F.col("layer").cast("int").alias("layer")), [key, "frame"], "left")
+
+    def one(r: pd.DataFrame) -> pd.DataFrame:
+        frames = r["frame"].to_numpy()
+        size = frames.max() + 1
+        there = np.zeros(size)
+        there[frames] = 1.0
+        series = {}
+        for a in AXES:
+            series[a] = np.zeros(size)
+            series[a][frames] = r[a].to_numpy() - r[a].mean()  # sums of smaller values lose less
+        made = []
+        for layer in np.unique(r["layer"].dropna()):
+            start = np.zeros(size)
+            start[frames[(r["layer"] == layer).to_numpy()]] = 1.0
+            start[n_frames - 1 :] = 0.0
+            n = np.rint(correlate(start, there))
+            out = {"layer": np.int32(layer), "lag": np.arange(size, dtype=np.int32), "n": n.astype(np.int64)}
+            for a, x in series.items():
+                own = start * x
+                out[f"s{a}"] = correlate(start, x) - correlate(own, there)
+                out[f"q{a}"] = np.maximum(0.0, correlate(start, x * x) + correlate(own * x, there) - 2 * correlate(own, x))
+                out[f"s{a}"][0] = out[f"q{a}"][0] = 0.0
+            made.append(pd.DataFrame(out)[n > 0])
+        names = ["layer", "lag", "n", *(f"{k}{a}" for a in AXES for k in "sq")]
+        return pd.concat(made)[names] if made else pd.DataFrame(columns=names)
+
+    sums = rows.groupBy(key).applyInPandas(one, "layer int, lag int, n long, " + ", ".join(f"{k}{a} double" for a in AXES for k in "sq"))
+    mean = lambda c, name: (F.sum(c) / F.sum("n")).alias(name)
+    return sums.groupBy("layer", "lag").agg(F.sum("n").alias("n"), *(mean(f"s{a}", f"md_{a}") for a in AXES), *(mean(f"q{a}", f"msd_{a}") for a in AXES))
+
+
 def block_average(blocks: DataFrame, keys: list[str], value: str, ddof: int = 0) -> DataFrame:
     """(keys, mean, sd): mean over the blocks and its standard deviation, that of the blocks over the root of their number."""
     std = F.stddev_samp(value) if ddof == 1 else F.stddev_pop(value)

@@ -14,7 +14,12 @@ from pyspark.sql import functions as F
 from framewalk.functions.geometry import box_columns, min_image
 from framewalk.operators.contacts import AXES
 from framewalk.operators.joins import with_totals
-from framewalk.session import importable
+from framewalk.session import drop, importable, kept
+
+#: Steps of a power iteration that are one job.
+STEPS = 4
+#: Shares that are broadcast.
+FEW = 500_000
 
 
 def contact_runs(contacts: DataFrame) -> DataFrame:
@@ -97,17 +102,29 @@ def transition_matrix(events: DataFrame, start: Column, stop: Column) -> DataFra
     return cells.withColumn("prob", F.col("n") / F.sum("n").over(Window.partitionBy("bin0")))
 
 
-def stationary_distribution(matrix: DataFrame) -> list[tuple[int, float]]:
-    """The left eigenvector at eigenvalue 1 of transition_matrix, as (bin, share); as large as the number of bins."""
-    rows = matrix.select("bin0", "bin1", "prob").collect()
-    bins = sorted({r["bin0"] for r in rows} | {r["bin1"] for r in rows})
-    at = {b: k for k, b in enumerate(bins)}
-    p = np.zeros((len(bins), len(bins)))
-    for r in rows:
-        p[at[r["bin0"]], at[r["bin1"]]] = r["prob"]
-    values, vectors = np.linalg.eig(p.T)
-    v = np.abs(np.real(vectors[:, np.argmin(np.abs(values - 1))]))
-    return list(zip(bins, (v / v.sum()).tolist()))
+def stationary_distribution(matrix: DataFrame, tolerance: float = 1e-10, rounds: int = 2000) -> DataFrame:
+    """(bin, share): the left eigenvector at eigenvalue 1 of transition_matrix, by power iteration.
+
+    Shares and matrix stay tables: a step is their join and a grouped sum, the mean of it and of the shares before being taken, so that
+    chains that go round in a circle come to rest, too.  A few steps are one job, whose result is written.  It ends when no share
+    moves by more than the tolerance in a step.  Few shares (they are counted) are broadcast to the cells.  Of a matrix that falls into parts, each keeps the share it has when all
+    bins are alike at the start.
+    """
+    cells = kept(matrix.select("bin0", "bin1", F.col("prob").cast("double").alias("prob")), "matrix")
+    bins = cells.select(F.col("bin0").alias("bin")).union(cells.select(F.col("bin1").alias("bin"))).distinct()
+    shares = kept(with_totals(bins, bins.agg(F.count("*").alias("_n"))).select("bin", (F.lit(1.0) / F.col("_n")).alias("share")), "shares")
+    few = F.broadcast if shares.count() <= FEW else lambda x: x
+    for _ in range(0, rounds, STEPS):
+        after = shares
+        for _ in range(STEPS):
+            given = cells.join(few(after.select(F.col("bin").alias("bin0"), "share")), "bin0").groupBy(F.col("bin1").alias("bin")).agg(F.sum(F.col("share") * F.col("prob")).alias("_given"))
+            after = after.select("bin", "share").join(few(given), "bin", "left").select("bin", F.col("share").alias("was"), ((F.col("share") + F.coalesce("_given", F.lit(0.0))) / 2).alias("share"))
+        done = kept(after, "shares")
+        drop(shares)
+        shares = done
+        if (shares.agg(F.max(F.abs(F.col("share") - F.col("was")))).first()[0] or 0.0) <= tolerance:
+            return shares.select("bin", "share")
+    raise RuntimeError(f"shares have not come to rest after {rounds} steps")
 
 
 def with_previous_event(events: DataFrame, columns: list[str]) -> DataFrame:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
+from framewalk.operators.lags import in_runs
 from framewalk.session import importable
 
 
@@ -27,37 +31,60 @@ def fill_gaps(states: np.ndarray, intermittency: int, upto: int | None = None) -
 def correct_intermittency(dtrj: DataFrame, intermittency: int) -> DataFrame:
     """(cmp, frame, state) with gaps of at most intermittency frames filled; frames must be dense.
 
-    The rule is sequential in the frames of a compound, so a compound's states are one array; many of them go
-    to Python in a batch.
+    The rule is one of runs: a run reaches to the end of the last one in its chain, that is of the runs of its
+    state that follow each other with gaps of at most intermittency frames.  Taken in order, the first run after the reach
+    of the last taken is taken next.  Chains are a window by state; what is left of the order is one pass over
+    runs that pass through Python sorted, which remembers one number.
     """
     if intermittency <= 0:
         return dtrj.select("cmp", "frame", "state")
     importable(dtrj.sparkSession)
-    kind = dtrj.schema["state"].dataType.simpleString()
-
-    @F.pandas_udf(f"array<{kind}>")
-    def filled(states: pd.Series) -> pd.Series:
-        return states.map(lambda s: fill_gaps(np.array(s), intermittency))
-
-    each = dtrj.groupBy("cmp").agg(F.array_sort(F.collect_list(F.struct("frame", "state"))).alias("s"))
-    done = each.select("cmp", F.col("s.frame").alias("frame"), filled("s.state").alias("state"))
-    return done.select("cmp", F.explode(F.arrays_zip("frame", "state")).alias("r")).select("cmp", "r.frame", "r.state")
+    same = Window.partitionBy("cmp", "state").orderBy("t0")
+    apart = F.coalesce((F.col("t0") - F.lag(F.col("t0") + F.col("len")).over(same) > intermittency).cast("int"), F.lit(0))
+    chained = in_runs(dtrj, ["cmp", "state"]).withColumn("gap", apart).withColumn("chain", F.sum("gap").over(same.rowsBetween(Window.unboundedPreceding, 0)))
+    reach = chained.withColumn("until", F.max(F.col("t0") + F.col("len") - 1).over(Window.partitionBy("cmp", "state", "chain"))).select("cmp", "state", "t0", "until")
+
+    def taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, end = object(), -1
+        for batch in batches:
+            keep = []
+            for c, t0, until in zip(batch["cmp"].to_pylist(), batch["t0"].to_pylist(), batch["until"].to_pylist()):
+                new = c != of
+                if new or t0 > end:
+                    of, end = c, until
+                    keep.append(True)
+                else:
+                    keep.append(False)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    ordered = reach.repartition("cmp").sortWithinPartitions("cmp", "t0")
+    kept = ordered.mapInArrow(taken, reach.schema)
+    frame = dtrj.schema["frame"].dataType
+    return kept.select("cmp", F.explode(F.sequence(F.col("t0"), F.col("until")).cast(ArrayType(frame))).alias("frame"), "state")
 
 
 def correct_contact_intermittency(contacts: DataFrame, intermittency: int, n_frames: int) -> DataFrame:
-    """contacts(frame, ref, sel) with gaps filled; contacts and their absence are treated alike, pair by pair."""
-    importable(contacts.sparkSession)
-
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        bound = np.zeros(n_frames, np.int8)
-        bound[rows["frame"].to_numpy()] = 1
-        frames = np.flatnonzero(fill_gaps(bound, intermittency))
-        return pd.DataFrame({"frame": frames, "ref": rows["ref"].iloc[0], "sel": rows["sel"].iloc[0]})
+    """contacts(frame, ref, sel) with gaps filled; contacts and their absence are treated alike, pair by pair.
 
+    Of two states that take turns, a run longer than intermittency, or a pair's first or last one, begins what reaches up
+    to the next such run of the other state: short runs in between are of the state before them.  So a pair is its runs and the gaps
+    between them, in windows, and only the frames in contact are rows.
+    """
     chosen = contacts.select("frame", "ref", "sel").distinct()
     if intermittency <= 0:
         return chosen
-    return chosen.groupBy("ref", "sel").applyInPandas(one, chosen.schema)
+    w = Window.partitionBy("ref", "sel").orderBy("t0")
+    spans = in_runs(chosen, ["ref", "sel"]).withColumns({"before": F.coalesce(F.lag(F.col("t0") + F.col("len")).over(w), F.lit(0)), "is_last": F.lead("t0").over(w).isNull(), "is_first": F.lag("t0").over(w).isNull()})
+    end = F.col("t0") + F.col("len")
+    turn = lambda bound, at, long: F.struct(F.lit(bound).alias("bound"), at.cast("long").alias("at"), long.alias("long"))
+    gap = F.when(F.col("t0") > F.col("before"), turn(False, F.col("before"), F.col("is_first") | (F.col("t0") - F.col("before") > intermittency)))
+    run = turn(True, F.col("t0"), (F.col("len") > intermittency) | (F.col("t0") == 0) | (end == n_frames))
+    rest = F.when(F.col("is_last") & (end < n_frames), turn(False, end, F.lit(True)))
+    turns = spans.select("ref", "sel", F.explode(F.array_compact(F.array(gap, run, rest))).alias("e")).select("ref", "sel", "e.*").where("long")
+    by = Window.partitionBy("ref", "sel").orderBy("at")
+    changes = turns.withColumn("was", F.lag("bound").over(by)).where("was is null or was <> bound").withColumn("until", F.coalesce(F.lead("at").over(by), F.lit(n_frames)))
+    kind = chosen.schema["frame"].dataType
+    return changes.where("bound").select(F.explode(F.sequence(F.col("at"), F.col("until") - 1).cast(ArrayType(kind))).alias("frame"), "ref", "sel")
 
 
 def replace_short_sequences(dtrj: DataFrame, min_len: int, val: int = 0) -> DataFrame:

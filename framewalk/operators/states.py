@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framewalk.operators import changes
-from framewalk.operators.lags import lag_pairs
+from framewalk.operators.lags import at_least, in_runs, lag_pairs, run_overlaps
 
 
 def _flags(discard_neg_start: bool, discard_all_neg: bool) -> None:
@@ -230,16 +230,15 @@ def remain_prob(dtrj: DataFrame, dtrj2: DataFrame | None = None, restart: int =
     second sequence the counts are kept apart by its state at t0.  prob is 1 at lag 0 and
     null without valid pairs.
 
-    Continuous pairs that hold and all valid ones follow from run ends alone and need
-    no self-join.  Otherwise equal pairs are found by joining on (cmp, state) and buckets of
-    frames, so that only pairs in the same state and about max_lag apart are made.
+    All valid pairs, and continuous ones that hold, follow from run ends alone.  If every frame is a start, pairs in the
+    same state are counted by pairs of runs; otherwise by joining on (cmp, state) and buckets of frames.
     """
     _flags(discard_neg_start, discard_all_neg)
     n = n_frames or n_frames_of(dtrj)
     most = min(n - 1, max_lag or n - 1)
     keys = ["state2"] if dtrj2 is not None else []
-    ahead = Window.partitionBy("cmp").orderBy("frame").rowsBetween(1, Window.unboundedFollowing)
-    here = Window.partitionBy("cmp").orderBy("frame")
+    here, back = Window.partitionBy("cmp").orderBy("frame"), Window.partitionBy("cmp").orderBy(F.desc("frame"))
+    ahead = back.rowsBetween(Window.unboundedPreceding, -1)
     changed = F.when(F.col("state") != F.lag("state").over(here), F.col("frame"))
     marked = dtrj.select("cmp", "frame", "state", changed.alias("c"), F.when(F.col("state") < 0, F.col("frame")).alias("g"), (F.max("frame").over(Window.partitionBy("cmp")) + 1).alias("end"))
     marked = marked.select("cmp", "frame", "state", "end", F.coalesce(F.min("c").over(ahead), "end").alias("change"), F.coalesce(F.least(F.min("g").over(ahead), "g"), "end").alias("negative"))
@@ -249,20 +248,23 @@ def remain_prob(dtrj: DataFrame, dtrj2: DataFrame | None = None, restart: int =
     if keys:
         starts = with_state2(starts, dtrj2, F.col("frame"))
     reach = (F.col("negative") if discard_all_neg else F.col("end")) - 1 - F.col("frame")  # the largest valid lag
-    per_reach = starts.groupBy(*keys, F.least(reach, F.lit(most)).alias("reach")).agg(F.count("*").alias("n"))
-    valid = per_reach.where("reach >= 1").select(*keys, F.explode(F.sequence(F.lit(1), F.col("reach"))).alias("lag"), "n").groupBy(*keys, "lag").agg(F.sum("n").alias("n_valid"))
+    lags = dtrj.sparkSession.range(most + 1).select(F.col("id").cast("int").alias("lag"))
+    grid = dtrj2.select(F.col("state").alias("state2")).distinct().select("state2", F.explode(F.sequence(F.lit(0), F.lit(most))).alias("lag")) if keys else lags
+    valid = at_least(starts.groupBy(*keys, reach.alias("reach")).agg(F.count("*").alias("n")), grid, keys, "reach", "n_valid")
     if continuous:
-        holds = F.least(F.col("change") - 1 - F.col("frame"), reach, F.lit(most))
-        same = starts.groupBy(*keys, holds.alias("holds")).agg(F.count("*").alias("n")).where("holds >= 1")
-        same = same.select(*keys, F.explode(F.sequence(F.lit(1), F.col("holds"))).alias("lag"), "n").groupBy(*keys, "lag").agg(F.sum("n").alias("n_same"))
+        holds = F.least(F.col("change") - 1 - F.col("frame"), reach)
+        same = at_least(starts.groupBy(*keys, holds.alias("holds")).agg(F.count("*").alias("n")), grid, keys, "holds", "n_same")
+    elif restart == 1:
+        chosen = F.col("state") >= 0 if discard_neg_start or discard_all_neg else F.lit(True)
+        # with discard_all_neg, a pair's frames lie before the same negative one
+        of = ["cmp", "state", "negative"] if discard_all_neg else ["cmp", "state"]
+        same = run_overlaps(in_runs(starts, [*of, *keys]), in_runs(marked.where(chosen), of), of, most, grid, "n_same", keys)
     else:
         first = starts.select(*keys, "cmp", "state", F.col("frame").alias("f0"), F.least(reach, F.lit(most)).alias("reach"))
         pairs = lag_pairs(first, dtrj.select("cmp", "state", "frame"), ["cmp", "state"], most, min_lag=1).where(F.col("lag") <= F.col("reach"))
         same = pairs.groupBy(*keys, "lag").agg(F.count("*").alias("n_same"))
-    spark = dtrj.sparkSession
-    lags = spark.range(most + 1).select(F.col("id").cast("int").alias("lag"))
-    grid = dtrj2.select(F.col("state").alias("state2")).distinct().select("state2", F.explode(F.sequence(F.lit(0), F.lit(most))).alias("lag")) if keys else lags
-    joined = grid.join(valid, [*keys, "lag"], "left").join(same, [*keys, "lag"], "left").fillna(0, ["n_valid", "n_same"])
+    zero = lambda c: F.when(F.col("lag") == 0, F.lit(0)).otherwise(F.coalesce(c, F.lit(0))).cast("long").alias(c)
+    joined = grid.join(valid, [*keys, "lag"], "left").join(same, [*keys, "lag"], "left").select(*keys, "lag", zero("n_same"), zero("n_valid"))
     prob = F.when(F.col("lag") == 0, F.lit(1.0)).otherwise(F.try_divide(F.col("n_same").cast("double"), F.col("n_valid")))
     return joined.select(*keys, "lag", "n_same", "n_valid", prob.alias("prob"))
 
@@ -290,10 +292,10 @@ def back_jump_prob(dtrj: DataFrame, dtrj2: DataFrame | None = None, continuous:
     if keys:
         jumps = with_state2(jumps, dtrj2, F.col("next_t0") - 1)
     returned = jumps.where("back is not null").groupBy(*keys, F.col("back").cast("int").alias("lag")).agg(F.count("*").alias("n_back"))
-    left = jumps.groupBy(*keys, "left").agg(F.count("*").alias("n")).select(*keys, F.explode(F.sequence(F.lit(0).cast("long"), (F.col("left") - 1).cast("long"))).alias("lag"), "n").groupBy(*keys, F.col("lag").cast("int").alias("lag")).agg(F.sum("n").alias("norm"))
     grid = dtrj.sparkSession.range(n - 1).select(F.col("id").cast("int").alias("lag"))
     if keys:
         grid = dtrj2.select(F.col("state").alias("state2")).distinct().select("state2", F.explode(F.sequence(F.lit(0), F.lit(n - 2))).alias("lag"))
+    left = at_least(jumps.groupBy(*keys, (F.col("left") - 1).alias("reach")).agg(F.count("*").alias("n")), grid, keys, "reach", "norm")
     joined = grid.join(returned, [*keys, "lag"], "left").join(left, [*keys, "lag"], "left").fillna(0, ["n_back", "norm"])
     return joined.select(*keys, "lag", "n_back", "norm", F.try_divide(F.col("n_back").cast("double"), F.col("norm")).alias("prob"))
 

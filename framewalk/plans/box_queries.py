@@ -329,7 +329,7 @@ SELECT CAST(j AS INTEGER) AS bin, round(sum(p) / (SELECT count(DISTINCT i) FROM
 def stationary_distribution(spark, sf_dir):
     found = events.renewal_events(_user_counts(spark, sf_dir)[0], n_days(spark, sf_dir))
     shares = events.stationary_distribution(events.transition_matrix(found, F.col("sel") % 3, (F.col("ref") + F.col("t0") + F.col("trenew")) % 3))
-    return spark.createDataFrame(shares, "bin int, share double").withColumn("share", _round(F.col("share")))
+    return shares.select(F.col("bin").cast("int").alias("bin"), _round(F.col("share")).alias("share"))
 
 
 @query(f"""WITH {EVENTS_SQL}, p AS (SELECT b.frame - a.frame AS lag, (b.x - a.x) ** 2 AS d, a.state2 AS layer, a.frame AS f0 FROM ev a JOIN ev b ON a.cmp = b.cmp AND b.frame >= a.frame WHERE b.frame - a.frame <= 20 AND a.frame % 5 = 0),
@@ -343,6 +343,34 @@ def lag_at_msd(spark, sf_dir):
     return dynamics.lag_at_value(curve.withColumn("msd_x", F.lit(400) - F.round(F.abs(F.col("msd_x") - 400), 6)), ["layer"], "lag", "msd_x", 400)
 
 
+@query(f"""WITH {EVENTS_SQL}, p AS (SELECT b.frame - a.frame AS lag, (b.x - a.x) ** 2 AS d, a.state2 AS layer, a.frame AS f0 FROM ev a JOIN ev b ON a.cmp = b.cmp AND b.frame >= a.frame ),
+m AS (SELECT layer, CAST(lag AS INTEGER) AS lag, avg(d) AS m FROM p WHERE f0 < (SELECT max(frame) FROM ev) GROUP BY ALL)
+SELECT layer, arg_min(lag, struct_pack(d := round(abs(m - 400), 6), l := lag)) AS lag FROM m GROUP BY layer""")
+def lag_at_msd_all_starts(spark, sf_dir):
+    from framewalk.plans.tables import events as rows_of
+
+    rows = rows_of(spark, sf_dir)
+    curve = dynamics.msd_by_layer_all_lags(positions(spark, sf_dir), "cmp", rows.select("cmp", "frame", F.col("state2").alias("layer")), states.n_frames_of(rows))
+    return dynamics.lag_at_value(curve.withColumn("msd_x", F.lit(400) - F.round(F.abs(F.col("msd_x") - 400), 6)), ["layer"], "lag", "msd_x", 400)
+
+
+@query(f"""WITH RECURSIVE {EVENTS_SQL},
+p AS (SELECT frame, cmp, x - 60 * floor(x / 60) AS x, y - 14.4 * floor(y / 14.4) AS y, z - 10 * floor(z / 10) AS z, CASE WHEN cmp % 7 = 0 THEN cmp // 2 ELSE cmp - 1 END AS up FROM ev),
+w AS (
+  SELECT p.*, 0.0::DOUBLE AS sx, 0.0::DOUBLE AS sy, 0.0::DOUBLE AS sz FROM p LEFT JOIN p q ON q.frame = p.frame AND q.cmp = p.up AND p.cmp <> p.up WHERE q.cmp IS NULL
+  UNION ALL
+  SELECT p.*, {", ".join(f"w.s{a} - floor((p.{a} - w.{a}) / {b} + 0.5)" for a, b in zip("xyz", (60.0, 14.4, 10.0)))} FROM w JOIN p ON p.frame = w.frame AND p.up = w.cmp AND p.cmp <> p.up)
+SELECT frame, cmp, {", ".join(f"round({a} + s{a} * {b}, 4) + 0.0 AS {a}" for a, b in zip("xyz", (60.0, 14.4, 10.0)))} FROM w""")
+def make_whole_along_bonds(spark, sf_dir):
+    """Users as the atoms of a molecule with branches; a bond holds in the frames that have both."""
+    rows = positions(spark, sf_dir)
+    small = boxes(spark, states.n_frames_of(rows)).select("frame", F.lit(60.0).alias("lx"), F.lit(14.4).alias("ly"), F.lit(10.0).alias("lz"))
+    up = F.when(F.col("cmp") % 7 == 0, F.floor(F.col("cmp") / 2)).otherwise(F.col("cmp") - 1)
+    bonds = rows.select(F.col("cmp").alias("a"), up.alias("b")).distinct()
+    made = dynamics.make_whole_by_bonds(dynamics.wrap(rows, small).withColumn("mol", F.lit(0)), small, "mol", "cmp", bonds)
+    return made.select("frame", "cmp", *(_round(F.col(a), 4).alias(a) for a in "xyz"))
+
+
 # ---- sites and axes
 
 

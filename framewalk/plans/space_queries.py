@@ -517,6 +517,15 @@ def msd_by_layer(spark, sf_dir):
     return made.withColumns({c: _tie(F.col(c), 4) for c in made.columns if c.startswith("m")})
 
 
+@query(f"""WITH {EVENTS_SQL}, {_MSD.format(g='a.state2 AS layer, a.frame AS f0,', r=1)}
+SELECT layer, CAST(lag AS INTEGER) AS lag, count(*) AS n, round(avg(dx) + 1e-8, 4) + 0.0 AS md_x, round(avg(dy) + 1e-8, 4) + 0.0 AS md_y, round(avg(dz) + 1e-8, 4) + 0.0 AS md_z,
+       round(avg(dx2) + 1e-8, 4) + 0.0 AS msd_x, round(avg(dy2) + 1e-8, 4) + 0.0 AS msd_y, round(avg(dz2) + 1e-8, 4) + 0.0 AS msd_z FROM p WHERE f0 < (SELECT max(frame) FROM ev) GROUP BY ALL""")
+def msd_by_layer_all_starts(spark, sf_dir):
+    rows = user_events(spark, sf_dir)
+    made = dynamics.msd_by_layer_all_lags(positions(spark, sf_dir), "cmp", rows.select("cmp", "frame", F.col("state2").alias("layer")), states.n_frames_of(rows))
+    return made.withColumns({c: _tie(F.col(c), 4) for c in made.columns if c.startswith("m")})
+
+
 @query(f"""WITH {EVENTS_SQL}, {_MSD.format(g='', r=5)}, m AS (SELECT lag, avg(dx2) + avg(dy2) + avg(dz2) AS msd FROM p WHERE lag >= 1 AND lag <= 20 GROUP BY lag),
 s AS (SELECT sum(lag * msd) / sum(lag * lag) AS s FROM m)
 SELECT round(any_value(s) / 6, 5) + 0.0 AS "D", round(sqrt(sum((msd - s * lag) ** 2) / ((count(*) - 1) * sum(lag * lag))) / 6, 5) + 0.0 AS "D_sd", count(*) AS n FROM m, s""")
@@ -526,6 +535,14 @@ def fit_einstein(spark, sf_dir):
     return made.select(_round(F.col("D"), 5).alias("D"), _round(F.col("D_sd"), 5).alias("D_sd"), "n")
 
 
+@query(f"""WITH {EVENTS_SQL}, {_MSD.format(g='', r=1)}, m AS (SELECT lag, avg(dx2) + avg(dy2) + avg(dz2) AS msd FROM p WHERE lag >= 1 AND lag <= 20 GROUP BY lag),
+s AS (SELECT sum(lag * msd) / sum(lag * lag) AS s FROM m)
+SELECT round(any_value(s) / 6, 5) + 0.0 AS "D", round(sqrt(sum((msd - s * lag) ** 2) / ((count(*) - 1) * sum(lag * lag))) / 6, 5) + 0.0 AS "D_sd", count(*) AS n FROM m, s""")
+def fit_einstein_all_starts(spark, sf_dir):
+    made = fits.fit_einstein(dynamics.msd_all_lags(positions(spark, sf_dir), "cmp"), [], "lag", "msd", 3, 1, 20)
+    return made.select(_round(F.col("D"), 5).alias("D"), _round(F.col("D_sd"), 5).alias("D_sd"), "n")
+
+
 @query(f"""
 WITH {EVENTS_SQL},
 s AS (SELECT cmp, frame, x, y, z, {", ".join(f"coalesce(-floor({a} / {b} - lag({a}) OVER w / {b} + 0.5), 0) AS s{a}" for a, b in zip("xyz", (60.0, 14.4, 10.0)))} FROM (SELECT cmp, frame, x - 60 * floor(x / 60) AS x, y - 14.4 * floor(y / 14.4) AS y, z - 10 * floor(z / 10) AS z FROM ev) WINDOW w AS (PARTITION BY cmp ORDER BY frame))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from framewalk.functions import arrays, models, text
 from framewalk.operators import binning, changes, dynamics, fits, sequences, stats
 from framewalk.plans.tables import EVENTS_SQL, events, series, table
-from framewalk.sources import files, slicing
+from framewalk.sources import selection, slicing
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -387,7 +387,7 @@ def sort_by_names(spark, sf_dir):
 @query("SELECT p_partkey FROM part WHERE (p_type LIKE 'ECO%' OR p_type = 'PROMO') AND NOT (p_partkey BETWEEN 10 AND 400) AND p_size > 20")
 def select_atoms(spark, sf_dir):
     atoms = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("atom_ix"), F.col("p_type").alias("type"), "p_size")
-    return files.select_atoms(atoms, "type ECO* PROMO and not index 10:400 and prop p_size > 20").select(F.col("atom_ix").alias("p_partkey"))
+    return selection.select_atoms(atoms, "type ECO* PROMO and not index 10:400 and prop p_size > 20").select(F.col("atom_ix").alias("p_partkey"))
 
 
 # ---- models

@@ -195,49 +195,6 @@ def around(atoms: DataFrame, chosen: DataFrame, cutoff: float, boxes: DataFrame
     return atoms.join(near, ["frame", "atom_ix"], "left_semi").join(chosen.select("frame", "atom_ix"), ["frame", "atom_ix"], "left_anti")
 
 
-def select_atoms(atoms: DataFrame, selection: str) -> DataFrame:
-    """Rows of atoms for a selection such as "name CA CB and not resid 1:5 or resname SOL": words become a predicate.
-
-    Keywords: name, type, resname, segid, resid, index (lists; lo:hi for numbers), prop <column> <op> <number>, all, none, and, or, not, parentheses.
-    What needs other rows is a function: around, same_as, contacts.contacts_around_point.
-    """
-    return atoms.where(selection_sql(selection))
-
-
-def selection_sql(selection: str) -> str:
-    """The SQL predicate of a selection."""
-    words = selection.replace("(", " ( ").replace(")", " ) ").split()
-    names, numbers = {"name", "type", "resname", "segid"}, {"resid": "resid", "index": "atom_ix"}
-    plain = {"and": "AND", "or": "OR", "not": "NOT", "(": "(", ")": ")", "all": "TRUE", "none": "FALSE"}
-    out, at = [], 0
-    while at < len(words):
-        word = words[at]
-        at += 1
-        if word in plain:
-            out.append(plain[word])
-        elif word == "prop":
-            column, op, value = words[at : at + 3]
-            at += 3
-            if not column.isidentifier() or op not in ("<", "<=", ">", ">=", "==", "!="):
-                raise ValueError(f"cannot read {selection!r}")
-            out.append(f"`{column}` {op.replace('==', '=')} {float(value)}")
-        elif word in names or word in numbers:
-            values = []
-            while at < len(words) and words[at] not in plain:
-                values.append(words[at])
-                at += 1
-            if not values:
-                raise ValueError(f"no values for {word} in {selection!r}")
-            if word in names:
-                each = [f"`{word}` LIKE '" + v.replace("'", "''").replace("%", r"\%").replace("_", r"\_").replace("*", "%") + "'" for v in values]
-            else:
-                each = [f"`{numbers[word]}` BETWEEN {int(v.split(':')[0])} AND {int(v.split(':')[-1])}" for v in values]
-            out.append("(" + " OR ".join(each) + ")")
-        else:
-            raise ValueError(f"unknown word {word!r} in {selection!r}")
-    return " ".join(out)
-
-
 def generate_dtrj(spark: SparkSession, n_cmps: int, n_frames: int, taus: list[float], dist: str = "weibull", beta: float = 1.0, delta: float = 1.0, seed: int = 0, adjacent: bool = False, discard: int = 0) -> DataFrame:
     """(cmp, frame, state): state sequences with drawn lifetimes, one scale for each state.
 

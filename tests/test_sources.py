@@ -1,14 +1,18 @@
 """Readers, writers, parameter checks, streams and the registered queries."""
 
 import lzma
+import os
+import struct
 
 import numpy as np
 import pytest
 from helpers import agree, column, near, rows
+from pyspark.sql import functions as F
 
+from framewalk.functions import packed
 from framewalk.operators import events, repair, states
 from framewalk.plans import registry
-from framewalk.sources import files, slicing
+from framewalk.sources import files, selection, slicing, xtc
 from framewalk.streaming import runs as streams
 
 SF = "/root/testdata/sf0.001"
@@ -107,11 +111,133 @@ def test_windowed_counts(spark, tmp_path):
     assert got == {(m, k): 2 for m in (0, 10) for k in "ab"}
 
 
-def test_selection(spark):
-    assert files.selection_sql("name C* and (resid 1:3 or not index 5)") == "(`name` LIKE 'C%') AND ( (`resid` BETWEEN 1 AND 3) OR NOT (`atom_ix` BETWEEN 5 AND 5) )"
-    for bad in ("name", "shape round", "prop x; 1"):
-        with pytest.raises((ValueError, IndexError)):
-            files.selection_sql(bad)
+ATOMS = [  # atom_ix, frame, name, resname, resid, segid, mass, x, y, z
+    (0, 0, "N", "ALA", 1, "A", 14.0, 0.0, 0.0, 0.0), (1, 0, "CA", "ALA", 1, "A", 12.0, 1.0, 0.0, 0.0), (2, 0, "CB", "ALA", 1, "A", 12.0, 2.0, 0.0, 0.0), (3, 0, "OW", "SOL", 2, "B", 16.0, 3.0, 0.0, 0.0),
+    (4, 0, "HW1", "SOL", 2, "B", 1.0, 3.5, 0.0, 0.0), (5, 0, "HW2", "SOL", 2, "C", 1.0, 9.0, 0.0, 0.0), (6, 0, "OW", "SOL", 3, "C", 16.0, 9.5, 0.0, 0.0), (7, 0, None, "NA", None, None, None, 5.0, 5.0, 5.0),
+]
+
+
+@pytest.mark.parametrize("text, found", [
+    ("name C*", {1, 2}), ("name C[!A]", {2}), ("name ?W", {3, 6}), ("name HW[12] N", {0, 4, 5}), ("not name C* N", {3, 4, 5, 6, 7}), ("all and not none", set(range(8))),
+    ("resid 1 3", {0, 1, 2, 6}), ("resid 2-", {3, 4, 5, 6}), ("index 1:2 5", {1, 2, 5}), ("bynum 1-2", {0, 1}), ("mass 12.0:14", {0, 1, 2}), ("mass 16", {3, 6}),
+    ("protein", {0, 1, 2}), ("backbone", {0, 1}), ("not protein and not resname SOL", {7}), ("name CA or name CB and name CA", {1}), ("(name CA or name CB) and name CB", {2}), ("not not name CA", {1}),
+    ("prop x >= 3 and prop abs y < 1", {3, 4, 5, 6}), ("prop mass != 1", {0, 1, 2, 3, 6}), ("point 0 0 0 1.5", {0, 1}),
+    ("around 1.1 name CB", {1, 3}), ("around 1.1 protein and name CB", {1, 3}), ("(around 1.1 protein) and name OW", {3}), ("around 1 around 1 name N", {0, 2}), ("around 3 none", set()),
+    ("byres name HW1", {3, 4}), ("same resid as name HW1", {3, 4, 5}), ("same residue as around 1.1 name CB", {0, 1, 2, 3, 4, 5}), ("not (byres name CA) and not name OW", {4, 5, 7}), ("same segid as index 7", set()),
+    ("sphzone 1 protein", {0, 1, 2}), ("sphlayer 1 2.4 protein", {3}), ("sphlayer 1 2.5 protein", {3, 4}), ("isolayer 1 1.5 protein", {4}), ("cyzone 2 1 -1 protein", {0, 1, 2, 3}), ("bonded name CA", {0, 2}), ("bonded bonded name N", {0, 2}),
+    ("name CA or around 1.1 name CA or bonded name HW1", {0, 1, 2}), ("sphzone 3 none", set()), ("byres bonded name N and name CA", {0, 1, 2}), ("name HW1 or (same resid as name N)", {0, 1, 2, 4}),
+])
+@pytest.mark.parametrize("framed", [True, False])
+def test_selection(spark, text, found, framed):
+    if not framed and len(text) % 3:
+        return
+    atoms = spark.createDataFrame([(*a, "x") for a in ATOMS], "atom_ix long, frame int, name string, resname string, resid int, segid string, mass double, x double, y double, z double, other string")
+    bonds = spark.createDataFrame([(0, 1), (2, 1)], "a long, b long")
+    if framed:  # a frame without any atom in common
+        atoms = atoms.unionByName(atoms.where("atom_ix < 2").withColumn("frame", F.lit(1)).withColumn("name", F.lit("X")).withColumn("resname", F.lit("Y")).withColumns({"mass": F.lit(-1.0), "x": F.lit(2.0), "resid": F.lit(77), "segid": F.lit("Z")}))
+    else:
+        atoms = atoms.drop("frame")
+    made = selection.select_atoms(atoms, text, bonds=bonds)
+    assert made.columns == atoms.columns
+    made = made.where("frame = 0") if framed else made
+    assert sorted(r["atom_ix"] for r in made.collect()) == sorted(found)
+
+
+def test_periodic_selection(spark):
+    atoms = spark.createDataFrame([(k, 0, float(x), 0.0, 0.0, "A" if k == 0 else "B") for k, x in enumerate((0.2, 9.9, 9.0, 5.0))], "atom_ix long, frame int, x double, y double, z double, name string")
+    box = spark.createDataFrame([(0, 10.0, 10.0, 10.0)], "frame int, lx double, ly double, lz double")
+    pick = lambda rows, text, b: sorted(r["atom_ix"] for r in selection.select_atoms(rows, text, b).collect())
+    for rows, b in ((atoms, box), (atoms.drop("frame"), box.drop("frame"))):
+        assert pick(rows, "around 0.5 name A", b) == [1] and pick(rows, "around 0.5 name A", None) == []
+        assert pick(rows, "sphzone 1.5 name A", b) == [0, 1, 2] and pick(rows, "sphlayer 1 1.5 name A", b) == [2]
+    assert pick(atoms.limit(0), "around 3 name A", box) == []
+
+
+@pytest.mark.parametrize("bad", ["", "name", "shape round", "prop x; 1", "prop x =< 1", "(name CA", "name CA)", "around name CA", "around 3", "same as name CA", "same resid name CA", "name CA and", "resid A", "index 1:B", "point 1 2 3", "bonded name CA", "prop x < name"])
+def test_bad_selections(spark, bad):
+    atoms = spark.createDataFrame([], "atom_ix long, frame int, name string, resid int, x double, y double, z double")
+    with pytest.raises(ValueError):
+        selection.select_atoms(atoms, bad)
+
+
+# ---- binary trajectories
+
+
+def test_packed_frames():
+    rng = np.random.default_rng(1)
+    shapes = [lambda n: rng.uniform(-5, 5, (n, 3)), lambda n: np.cumsum(rng.normal(0, 0.05, (n, 3)), axis=0), lambda n: np.repeat(rng.uniform(0, 9, (n, 3)), 3, axis=0)[:n] + rng.normal(0, 0.04, (n, 3)), lambda n: rng.uniform(-2e4, 2e4, (n, 3)), lambda n: np.zeros((n, 3))]
+    for n in (0, 1, 9, 10, 11, 300):
+        for shape in shapes:
+            for changes in (None, lambda g: int(rng.integers(-1, 2)), lambda g: -1, lambda g: 1):
+                points = shape(n)
+                data = packed.pack(points, 1000.0, changes)
+                assert np.abs(packed.unpack(data, n) - points).max(initial=0) <= 0.00051 + 1e-6 * np.abs(points).max(initial=0)
+                whole = packed.frame_of(points, 3, 1.5, np.eye(3) * 4)
+                assert packed.length_of(whole[: packed.HEAD + 36]) == len(whole)
+    waters = np.repeat(rng.uniform(0, 9, (1000, 3)), 3, axis=0) + rng.normal(0, 0.04, (3000, 3))
+    assert len(packed.pack(waters)) < 3000 * 12 / 2
+    with pytest.raises(ValueError):
+        packed.head_of(b"x" * 60)
+    with pytest.raises(ValueError):
+        packed.pack(np.full((10, 3), 1e9))
+
+
+def test_packed_bits():
+    """A frame put together by hand: a whole place, then two steps, of which the first is of the atom before."""
+    low, high = [0, 0, 0], [7, 7, 7]  # 10 bits a place (for 512 itself, too), steps in a range of 8 in 9 bits
+    number = lambda v, of, bits=9: format((n := (v[0] * of + v[1]) * of + v[2]) & 255, "08b") + format(n >> 8, f"0{bits - 8}b")
+    groups = number([3, 3, 3], 8, 10) + "1" + format(2 * 3 + 1, "05b") + number([4, 5, 3], 8) + number([6, 4, 4], 8)
+    single = number([7, 0, 1], 8, 10) + "1" + format(1, "05b")
+    rest = "".join(number([k % 8, 0, 0], 8, 10) + "0" for k in range(7))
+    text = groups + single + rest
+    data = int(text.ljust(-(-len(text) // 8) * 8, "0"), 2).to_bytes(-(-len(text) // 8), "big")
+    head = struct.pack(">f3i3iii", 10.0, *low, *high, 9, len(data))
+    got = np.rint(packed.unpack(head + data + b"\0" * 4, 11) * 10).astype(int).tolist()
+    assert got == [[3, 4, 2], [3, 3, 3], [5, 4, 2], [7, 0, 1], *([k % 8, 0, 0] for k in range(7))]
+
+
+def _trajectory(spark, n_frames=30, n_atoms=20):
+    rng = np.random.default_rng(2)
+    rows = [(f, a, *map(float, rng.uniform(-3, 12, 3)), 10.0, 9.0, 8.0, 90.0, 75.0, 90.0, 2.5 * f) for f in range(n_frames) for a in range(n_atoms)]
+    return rows, spark.createDataFrame(rows, "frame int, atom_ix long, x double, y double, z double, lx double, ly double, lz double, alpha double, beta double, gamma double, time double")
+
+
+def test_xtc(spark, tmp_path):
+    rows, atoms = _trajectory(spark)
+    xtc.write_xtc(atoms.repartition(5), f"{tmp_path}/t", frames=12)
+    assert sorted(p.name for p in (tmp_path / "t").iterdir()) == [f"part-0000000{k}.xtc" for k in range(3)]
+    back = xtc.read_xtc(spark, f"{tmp_path}/t")
+    got = sorted((r["step"], r["atom_ix"], round(r["x"], 3), round(r["y"], 3), round(r["z"], 3), round(r["beta"], 3), round(r["lx"], 4), r["time"]) for r in back.collect())
+    assert got == [(f, a, round(x, 3), round(y, 3), round(z, 3), 75.0, 10.0, t) for f, a, x, y, z, *_, t in rows]
+    assert {(r["path"][-5:], r["frame"], r["step"]) for r in back.collect()} == {(f"{f // 12}.xtc", f % 12, f) for f in range(30)}
+    one = xtc.read_xtc(spark, f"{tmp_path}/t/part-00000001.xtc")
+    assert one.agg(F.min("step"), F.max("step")).first() == (12, 23)
+    with pytest.raises(Exception, match="not overwritten"):
+        atoms.select("frame").write.format("xtc").mode("overwrite").save(f"{tmp_path}/t")
+
+
+def test_xtc_frames_that_are_not_asked_for_are_not_read(spark, tmp_path):
+    """A file is several partitions; a filter on frames leaves the others out of them, and their bytes unread."""
+    _, atoms = _trajectory(spark)
+    xtc.write_xtc(atoms, f"{tmp_path}/t", frames=100)
+    path = f"{tmp_path}/t/part-00000000.xtc"
+    size = os.path.getsize(path)
+    frames = list(xtc.frames_of(path, size))
+    assert len(frames) == 30
+    rows = spark.read.format("xtc").option("stretch", str(3 * max(f[2] for f in frames))).load(path)
+    assert rows.rdd.getNumPartitions() == 10
+    with open(path, "r+b") as f:  # what is packed in all frames but 10 to 14 is made unreadable
+        for frame, at, length, *_ in frames:
+            if not 10 <= frame < 15:
+                f.seek(at + packed.HEAD + 36)
+                f.write(b"\xff" * (length - packed.HEAD - 36))
+    some = rows.where("frame >= 10 and frame < 15 and x > -100")
+    assert some.rdd.getNumPartitions() == 2
+    assert some.count() == 5 * 20 and rows.where("frame = 12").count() == 20 and rows.where("time in (25.0, 27.5)").count() == 40 and rows.where("step > 13 and step <= 14").count() == 20
+    assert rows.where("frame > 99").count() == 0 and rows.where("path = 'x'").count() == 0
+    with open(path, "r+b") as f:
+        f.truncate(size - 5)
+    assert len(list(xtc.frames_of(path, size - 5))) == 29
 
 
 def test_generator(spark):
