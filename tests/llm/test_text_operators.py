@@ -161,6 +161,35 @@ def test_edited_beside_whole_copies(spark, whole):
     assert abs(scores[whole] - slow_align(edited, item)) < 1e-9
 
 
+def test_common_phrases_are_no_leaks(spark):
+    """Hundreds of documents hold a phrase of a short item, or of several: none of them is lost, while copies, edited ones too, are found."""
+    rng = random.Random(13)
+    item = "what is the name of the capital of france"
+    other = "what is the name of the largest lake in the north of the country"
+    own = lambda n: " ".join(f"t{rng.randrange(10**6)}" for _ in range(n))
+    docs = [(k, f"nobody knows what is the name of the {own(8)} {own(k % 30)}") for k in range(400)]
+    docs += [(k, f"{own(20)} {item} {own(20)}") for k in range(400, 410)]
+    docs += [(k, f"{own(9)} what is the name of the largest t{k} in the north of the country {own(5)}") for k in range(410, 420)]
+    docs += [(420, own(5) + " what is the name of the city that is the capital of france")]
+    bench = spark.createDataFrame([(1, item), (2, other)], "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert {d for d, _ in found if d < 400} == set()
+    assert {(k, 1) for k in range(400, 410)} | {(k, 2) for k in range(410, 420)} <= found
+    weights = decontamination.word_weights(item.split(), {tuple("what is the name of".split()): 421, tuple("is the name of the".split()): 421})
+    assert weights[:6].max() < 0.15 and weights[6:].min() == 1
+    long = [f"w{k}" for k in range(40)]
+    half = {tuple(long[k : k + 5]): 5000 for k in range(20)}  # a half that thousands hold is no phrase
+    assert decontamination.word_weights(long, half).min() == 1
+
+
+def test_short_items_as_lines(spark):
+    docs = spark.createDataFrame([(1, "One two\nthe answer is yes!\nThree"), (2, "the answer is yes and more"), (3, None), (4, "YES\nthe Answer, is: yes")], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, "The answer is yes."), (8, "yes"), (9, ""), (10, None)], "item_id long, text string")
+    found = decontamination.contaminated(docs, bench, short_lines=True).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["score"], r["start_word"], r["end_word"]) for r in found) == [(1, 7, 1.0, 2, 6), (4, 7, 1.0, 1, 5), (4, 8, 1.0, 0, 1)]
+    assert decontamination.contaminated(docs, bench).count() == 0
+
+
 def test_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontamination, "BLOCK_WORDS", 40)
     bench = spark.createDataFrame([(k, " ".join(f"b{k}x{j}" for j in range(15))) for k in range(9)], "item_id long, text string")
