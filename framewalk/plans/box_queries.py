@@ -391,18 +391,8 @@ def nearest_lattice_site(spark, sf_dir):
     return rows.select("cmp", "frame", _round(d[0] * d[0] + d[1] * d[1]).alias("d2"))
 
 
-#: A lattice of hexagons of side 2 with a flat side along x: its vertices.
-_R0 = 2.0
+#: Sheet of a lattice of hexagons of side 2 with a flat side along x.
 _SHEET = (12.0, 4 * math.sqrt(3.0))
-_VERTICES = sorted({(round((x + 3.0 * i) % _SHEET[0], 6), round((y + math.sqrt(3.0) * i + 2 * math.sqrt(3.0) * j) % _SHEET[1], 6)) for i in range(4) for j in range(2) for x, y in ((2.0, 0.0), (4.0, 0.0))})
-
-
-@query(f"""WITH {EVENTS_SQL}, f(angle, x0) AS (VALUES (90.0::DOUBLE, 0.0::DOUBLE)) SELECT 'first' AS kind, CAST(4 AS INTEGER) AS columns UNION ALL SELECT 'second', CAST(4 AS INTEGER)""")
-def hexagon_axes(spark, sf_dir):
-    """Lines in each of the straight directions: a column for each distinct x of the faces, and a row for each distinct y."""
-    first = binning.hexagon_axes(_VERTICES, _R0, _SHEET, 1)
-    second = binning.hexagon_axes(_VERTICES, _R0, _SHEET, 2)
-    return spark.createDataFrame([("first", sum(a == 90 for _, _, a in first)), ("second", sum(a == 0 for _, _, a in second))], "kind string, columns int")
 
 
 @query(f"""

@@ -26,41 +26,44 @@ def query(sql: str | None = None):
 # ---- checks
 
 
-@query("SELECT CAST(lag AS INTEGER) AS lag, CAST(ceil((45 - lag) / 7.0) AS INTEGER) AS starts FROM range(0, 45) AS r(lag)")
+@query(f"""WITH {EVENTS_SQL}, n AS (SELECT DISTINCT cmp, n FROM ev), l AS (SELECT cmp, n, unnest(range(0, n)) AS lag FROM n) SELECT cmp, CAST(lag AS INTEGER) AS lag, CAST(ceil((n - lag) / 7.0) AS INTEGER) AS starts FROM l""")
 def n_restarts(spark, sf_dir):
-    return spark.createDataFrame(list(enumerate(slicing.n_restarts(45, 7))), "lag int, starts int")
+    lengths = events(spark, sf_dir).groupBy("cmp").agg(F.count("*").alias("n"))
+    return slicing.restarts_by_lag(lengths, ["cmp"], "n", 7)
 
 
 @query("""
-SELECT DISTINCT p_size, CAST(least(greatest(1, p_size), 20) AS INTEGER) AS blocks, CAST(20 // least(greatest(1, p_size), 20) AS INTEGER) AS frames,
+SELECT p_partkey, CAST(least(greatest(1, p_size), 20) AS INTEGER) AS blocks, CAST(20 // least(greatest(1, p_size), 20) AS INTEGER) AS frames,
        CAST(greatest(1, least(greatest(p_size, 3), 60) // 3) AS INTEGER) AS restart, CAST(greatest(least(p_size, 19) - least(p_size, 19) % 3, 3) AS INTEGER) AS lag
 FROM part""")
 def block_and_lag_checks(spark, sf_dir):
-    """The driver's checks of parameters, for every size of a part (50 different ones)."""
-    import warnings
-
-    rows = table(spark, sf_dir, "part").select("p_size").distinct().collect()
-    with warnings.catch_warnings():
-        warnings.simplefilter("ignore")
-        made = [(r["p_size"], *slicing.block_averaging(r["p_size"], 20), slicing.restarts(r["p_size"], 3, 20), slicing.frame_lag(r["p_size"], 3, 20)) for r in rows]
-    return spark.createDataFrame(made, "p_size int, blocks int, frames int, restart int, lag int")
+    size, n = F.col("p_size"), F.lit(20)
+    blocks, frames = slicing.checked_blocks(size, n)
+    made = {"blocks": blocks, "frames": frames, "restart": slicing.checked_restart(size, 3, n), "lag": slicing.checked_lag(size, 3, n)}
+    return table(spark, sf_dir, "part").select("p_partkey", *(c.cast("int").alias(name) for name, c in made.items()))
 
 
 @query("""
-SELECT * FROM (VALUES ('step', 0.0::DOUBLE, 7.5::DOUBLE, 2.5::DOUBLE, 3), ('num', 0.0, 9.0, 1.5, 6), ('cut', 0.0, 4.0, 2.0, 2), ('distance', 0.0, 5.0, 1.0, 5)) AS v(kind, start, stop, step, num)""")
+WITH r AS (SELECT p_type, greatest(min(p_retailprice), 905.0) AS a, least(max(p_retailprice), 1900.0) AS b FROM part GROUP BY p_type),
+d AS (SELECT nation.n_nationkey, sqrt(6.0 * 6.0 + 8.0 * 8.0 + n_nationkey * n_nationkey) / 2 AS half FROM nation WHERE n_nationkey > 0)
+SELECT 'num' AS kind, p_type AS name, round(a, 6) + 0.0 AS start, round(b, 6) + 0.0 AS stop, round((b - a) / 6, 6) + 0.0 AS step, 6 AS num FROM r
+UNION ALL SELECT 'step', p_type, round(a, 6) + 0.0, round(a + 70.0 * floor((b - a) / 70.0), 6) + 0.0, 70.0, CAST(floor((b - a) / 70.0) AS INTEGER) FROM r
+UNION ALL SELECT 'distance', CAST(n_nationkey AS VARCHAR), 0.0, round(half, 6) + 0.0, round(half / 5, 6) + 0.0, 5 FROM d""")
 def bin_checks(spark, sf_dir):
-    made = [
-        ("step", *slicing.bins(0, 9, step=2.5)),
-        ("num", *slicing.bins(-3, 9, num=6)),
-        ("cut", *slicing.bins(0, 9, step=2, amax=4)),
-        ("distance", *slicing.distance_bins((6.0, 8.0, 0.000000001), 0, 9, num=5)),
-    ]
-    return spark.createDataFrame(made, "kind string, start double, stop double, step double, num int")
+    part = table(spark, sf_dir, "part")
+    boxes_ = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("name"), F.lit(6.0).alias("lx"), F.lit(8.0).alias("ly"), F.col("n_nationkey").cast("double").alias("lz"))
+    each = [("num", slicing.bins_of(part.withColumnRenamed("p_type", "name"), ["name"], "p_retailprice", num=6, amin=905, amax=1900)), ("step", slicing.bins_of(part.withColumnRenamed("p_type", "name"), ["name"], "p_retailprice", step=70, amin=905, amax=1900)), ("distance", slicing.distance_bins_of(boxes_, ["name"], 5))]
+    rows = [made.select(F.lit(kind).alias("kind"), "name", *((F.round(F.col(c), 6) + F.lit(0.0)).alias(c) for c in ("start", "stop", "step")), "num") for kind, made in each]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
-@query("SELECT i - 1 AS i, e AS edge FROM (SELECT unnest(range(1, 5)) AS i, unnest([0.0, 0.3, 0.6, 1.000001]::DOUBLE[]) AS e)")
+@query("""
+WITH e AS (SELECT p_brand, list_sort(list_distinct(list(p_size / 40.0::DOUBLE))) AS e FROM part GROUP BY p_brand),
+a AS (SELECT p_brand, list_concat(list_concat([0.0::DOUBLE], list_filter(e, lambda x: x > 0 AND x < 1)), [1.000001::DOUBLE]) AS e FROM e)
+SELECT p_brand, CAST(i - 1 AS INTEGER) AS i, e[i] AS edge FROM (SELECT p_brand, e, unnest(range(1, len(e) + 1)) AS i FROM a)""")
 def bin_edge_checks(spark, sf_dir):
-    return spark.createDataFrame(list(enumerate(slicing.bin_edges([0.6, 0.3, 0.3]))), "i long, edge double")
+    edges = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.collect_set(F.col("p_size") / 40.0).alias("e"))  # at most as many as there are sizes
+    return edges.select("p_brand", F.posexplode(slicing.bin_edges_of(F.col("e"))).alias("i", "edge"))
 
 
 @query("SELECT count(*) AS n, count(CASE WHEN p_size = 13 THEN 1 END) AS missing, count(CASE WHEN p_size <> 13 AND p_retailprice < 950 THEN 1 END) AS not_positive FROM part")

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from framewalk.functions import arrays, models, text
-from framewalk.operators import binning, changes, dynamics, fits, sequences, stats
+from framewalk.operators import binning, changes, dynamics, fits, normal_fits, sequences, stats
 from framewalk.plans.tables import EVENTS_SQL, events, series, table
 from framewalk.sources import selection, slicing
 
@@ -181,13 +181,35 @@ def spectrum(spark, sf_dir):
     return made.select("id", (F.round("frequency", 6) + 0.0).alias("frequency"), (F.round(F.col("amplitude") + 1e-7, 5) + 0.0).alias("amplitude"))
 
 
-@query()
-def fit_gaussian(spark, sf_dir):
+_HIST = """WITH x AS (SELECT label, unnest(embedding)::DOUBLE AS x FROM embeddings), b AS (SELECT label, CASE WHEN x = 4 THEN 31 ELSE CAST(floor((x + 4) / 0.25) AS INTEGER) END AS bin, count(*) AS n FROM x WHERE x >= -4 AND x <= 4 GROUP BY ALL),
+g AS (SELECT label, CAST(v AS INTEGER) AS bin FROM (SELECT DISTINCT label FROM x), range(0, 32) AS r(v))
+SELECT g.label, -4 + 0.25 * g.bin + 0.125 AS t, coalesce(n, 0) / sum(n) OVER (PARTITION BY g.label) / 0.25 AS y FROM g LEFT JOIN b ON g.label = b.label AND g.bin = b.bin"""
+
+
+def _density(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").select("label", F.explode(F.col("embedding").cast("array<double>")).alias("x"))
-    edges = [-4.0 + 0.25 * k for k in range(33)]
-    hist = binning.histogram(rows, F.col("x"), edges, ["label"])
+    hist = binning.histogram(rows, F.col("x"), [-4.0 + 0.25 * k for k in range(33)], ["label"])
     total = F.sum("n").over(Window.partitionBy("label"))
-    return fits.fit_model(hist.select("label", ((F.col("lo") + F.col("hi")) / 2).alias("c"), (F.col("n") / total / 0.25).alias("d")), "gaussian", ["label"], "c", "d")
+    return hist.select("label", ((F.col("lo") + F.col("hi")) / 2).alias("c"), (F.col("n") / total / 0.25).alias("d"))
+
+
+def _label_fit(made, *names):
+    return made.select("label", "n", *((F.round(F.col(c) + 1e-7, 5) + F.lit(0.0)).alias(c) for x in names for c in (x, f"{x}_sd")))
+
+
+def _label_sql(model, *names):
+    return f"SELECT label, n, {', '.join(f'round({c} + 1e-7, 5) + 0.0 AS {c}' for x in names for c in (x, x + '_sd'))} FROM ({normal_fits.fit_sql(_HIST, model, ['label'])})"
+
+
+@query(_label_sql("gaussian", "mu", "sigma"))
+def fit_gaussian(spark, sf_dir):
+    return _label_fit(normal_fits.fit_by_sums(_density(spark, sf_dir), "gaussian", ["label"], "c", "d"), "mu", "sigma")
+
+
+@query(_label_sql("maxwell", "var", "drift"))
+def fit_maxwell(spark, sf_dir):
+    """The same bell by a function of another form: what the least squares make of it is the same in both engines."""
+    return _label_fit(normal_fits.fit_by_sums(_density(spark, sf_dir), "maxwell", ["label"], "c", "d"), "var", "drift")
 
 
 @query("""

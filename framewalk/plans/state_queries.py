@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from framewalk.operators import changes, fits, repair, states
+from framewalk.operators import changes, fits, normal_fits, repair, states
 from framewalk.plans.tables import EVENTS_SQL, RUNS_SQL, dtrj, dtrj2, events
 from framewalk.sources import slicing
 
@@ -328,18 +328,46 @@ def fit_exp_decay(spark, sf_dir):
     return made.select(F.round("k", 5).alias("k"), F.round("k_sd", 5).alias("k_sd"), "n")
 
 
-@query()
-def fit_kww_discrete(spark, sf_dir):
+# the curves of remain_prob, all starts, by the second state at the start; then the part of each that is fitted
+_REMAIN_CURVE = f"""WITH {EVENTS_SQL}, {RUNS_SQL},
+h AS (SELECT i.state2, r.t0 + r.len - 1 - i.frame AS holds, i.n - 1 - i.frame AS reach FROM ri i JOIN rr r ON i.cmp = r.cmp AND i.run = r.run WHERE i.frame < i.n - 1),
+g AS (SELECT state2, t AS lag FROM (SELECT DISTINCT state2 FROM ev), fr),
+c AS (SELECT g.state2, g.lag, CASE WHEN g.lag = 0 THEN 1.0 ELSE count(CASE WHEN holds >= g.lag THEN 1 END) / nullif(count(h.reach), 0) END AS prob FROM g LEFT JOIN h ON h.state2 = g.state2 AND h.reach >= g.lag GROUP BY g.state2, g.lag),
+w AS (SELECT *, row_number() OVER q AS k, count(*) OVER (PARTITION BY state2) AS n, max(CASE WHEN prob < 0.01 THEN 1 ELSE 0 END) OVER q AS e FROM c WINDOW q AS (PARTITION BY state2 ORDER BY lag))
+SELECT state2, lag AS t, prob AS y FROM w WHERE k <= 2 OR (k <= 0.9 * n AND e = 0)"""
+
+
+def _fit_sql(points: str, model: str, keys: list[str], places: int = 4) -> str:
+    names = normal_fits.MODELS[model].names
+    return f"SELECT {', '.join(keys)}, n, {', '.join(f'round({c} + 1e-7, {places}) + 0.0 AS {c}' for x in names for c in (x, x + '_sd'))} FROM ({normal_fits.fit_sql(points, model, keys)})"
+
+
+def _fitted(made, model: str, keys: list[str], places: int = 4):
+    return made.select(*keys, "n", *((F.round(F.col(c) + 1e-7, places) + F.lit(0.0)).alias(c) for x in normal_fits.MODELS[model].names for c in (x, f"{x}_sd")))
+
+
+def _remain_fit(spark, sf_dir, model: str):
     curve = states.remain_prob(dtrj(spark, sf_dir), dtrj2(spark, sf_dir), continuous=True)
-    return fits.fit_model(fits.fit_window(curve, ["state2"], "lag", "prob"), "kww", ["state2"], "lag", "prob")
+    return _fitted(normal_fits.fit_by_sums(fits.fit_window(curve, ["state2"], "lag", "prob"), model, ["state2"], "lag", "prob"), model, ["state2"])
+
+
+@query(_fit_sql(_REMAIN_CURVE, "kww", ["state2"]))
+def fit_kww_discrete(spark, sf_dir):
+    return _remain_fit(spark, sf_dir, "kww")
 
 
 @query()
 def fit_burr12(spark, sf_dir):
+    """A curve a group: with three parameters on a few points the equations are so near to singular that two engines' last digits differ."""
     curve = states.remain_prob(dtrj(spark, sf_dir), dtrj2(spark, sf_dir), continuous=True)
     return fits.fit_model(fits.fit_window(curve, ["state2"], "lag", "prob"), "burr12", ["state2"], "lag", "prob")
 
 
+@query(_fit_sql(_REMAIN_CURVE, "weibull", ["state2"]))
+def fit_weibull(spark, sf_dir):
+    return _remain_fit(spark, sf_dir, "weibull")
+
+
 @query(f"""
 WITH {EVENTS_SQL}, z AS (SELECT (max(frame) + 1) // 3 AS size FROM ev),
 b AS (SELECT cmp, CAST(frame // size AS INTEGER) AS block, frame % size AS frame, state FROM ev, z WHERE frame < 3 * size),

@@ -5,7 +5,7 @@ from __future__ import annotations
 import warnings
 from decimal import ROUND_DOWN, Decimal
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -124,3 +124,55 @@ def describe_atoms(atoms: DataFrame, keys: list[str]) -> DataFrame:
     """(attribute, n_distinct) of the columns named, in one pass."""
     made = atoms.agg(*(F.count_distinct(k).alias(k) for k in keys))
     return made.select(F.explode(F.array(*(F.struct(F.lit(k).alias("attribute"), F.col(k).alias("n_distinct")) for k in keys))).alias("k")).select("k.*")
+
+
+# ---- the same rules for columns, so that a table of parameters is checked where it is
+
+
+def restarts_by_lag(lengths: DataFrame, keys: list[str], n_frames: str, restart: int) -> DataFrame:
+    """(keys, lag, starts): n_restarts of each row's number of frames."""
+    rows = lengths.select(*keys, F.col(n_frames).cast("long").alias("_n"), F.explode(F.sequence(F.lit(0), F.col(n_frames).cast("int") - 1)).alias("lag"))
+    return rows.select(*keys, "lag", F.ceil((F.col("_n") - F.col("lag")) / restart).cast("int").alias("starts"))
+
+
+def checked_blocks(n_blocks: Column, n_frames: Column) -> list[Column]:
+    """block_averaging of columns: blocks, frames of each."""
+    blocks = F.least(F.greatest(F.lit(1), n_blocks), n_frames)
+    return [blocks, F.floor(n_frames / blocks)]
+
+
+def checked_restart(restart: Column, every: int, n_frames: Column) -> Column:
+    """restarts of columns: the frames between starts, counted in read frames."""
+    return F.greatest(F.lit(1), F.floor(F.least(F.greatest(restart, F.lit(every)), n_frames * every) / every))
+
+
+def checked_lag(lag: Column, every: int, n_frames: Column) -> Column:
+    """frame_lag of columns: a multiple of every, less than the number of frames, every at least."""
+    most = F.least(lag, n_frames - 1)
+    return F.greatest(most - most % every, F.lit(every))
+
+
+def bins_of(df: DataFrame, keys: list[str], x: str, num: int | None = None, step: float | None = None, amin: float | None = None, amax: float | None = None) -> DataFrame:
+    """(keys, start, stop, step, num): bins over each group's range of x, cut to [amin, amax]; groups of one value have none."""
+    if (step is None) == (num is None):
+        raise ValueError("give either step or num")
+    low, high = F.min(x).cast("double"), F.max(x).cast("double")
+    low, high = (F.greatest(low, F.lit(float(amin))) if amin is not None else low), (F.least(high, F.lit(float(amax))) if amax is not None else high)
+    ends = df.groupBy(*keys).agg(low.alias("start"), high.alias("_stop")).where("_stop > start")
+    if num is not None:
+        return ends.select(*keys, "start", F.col("_stop").alias("stop"), ((F.col("_stop") - F.col("start")) / num).alias("step"), F.lit(num).alias("num"))
+    width = F.least(F.lit(float(step)), F.col("_stop") - F.col("start"))
+    n = F.floor((F.col("_stop") - F.col("start")) / width)
+    return ends.select(*keys, "start", (F.col("start") + width * n).alias("stop"), width.alias("step"), n.cast("int").alias("num"))
+
+
+def distance_bins_of(boxes: DataFrame, keys: list[str], num: int) -> DataFrame:
+    """(keys, start, stop, step, num): distance_bins from 0 on of each row's orthorhombic box, up to half its diagonal."""
+    half = F.sqrt(F.col("lx") * F.col("lx") + F.col("ly") * F.col("ly") + F.col("lz") * F.col("lz")) / 2
+    return boxes.where("lx > 0 and ly > 0 and lz > 0").select(*keys, F.lit(0.0).alias("start"), half.alias("stop"), (half / num).alias("step"), F.lit(num).alias("num"))
+
+
+def bin_edges_of(edges: Column, amin: float = 0, amax: float = 1, tol: float = 1e-6) -> Column:
+    """bin_edges of an array column: sorted distinct edges within (amin, amax), the ends added, the last one widened by tol."""
+    inner = F.filter(F.array_sort(F.array_distinct(edges)), lambda e: (e > amin) & (e < amax))
+    return F.concat(F.array(F.lit(float(amin))), inner, F.array(F.lit(float(amax + tol))))

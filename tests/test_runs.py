@@ -162,8 +162,8 @@ def test_shares_at_rest(spark):
     values, vectors = np.linalg.eig(p.T)
     v = np.abs(np.real(vectors[:, np.argmin(np.abs(values - 1))]))
     cells = spark.createDataFrame([(i, j, float(p[i, j])) for i in range(6) for j in range(6) if p[i, j]], "bin0 int, bin1 int, prob double")
-    got = {r["bin"]: r["share"] for r in events.stationary_distribution(cells).collect()}
-    assert [got[k] for k in range(6)] == pytest.approx((v / v.sum()).tolist(), abs=1e-7)
+    got = {r["bin"]: r["share"] for r in events.stationary_distribution(cells, 1e-7).collect()}
+    assert [got[k] for k in range(6)] == pytest.approx((v / v.sum()).tolist(), abs=1e-5)
     circle = spark.createDataFrame([(k, (k + 1) % 5, 1.0) for k in range(5)], "bin0 int, bin1 int, prob double")
     assert [r["share"] for r in events.stationary_distribution(circle).collect()] == pytest.approx([0.2] * 5)
     assert events.stationary_distribution(circle.limit(0)).count() == 0

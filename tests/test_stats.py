@@ -8,7 +8,7 @@ from helpers import column, near, plain, rows
 from pyspark.sql import functions as F
 
 from framewalk.functions import arrays, models, text
-from framewalk.operators import fits, sequences, stats
+from framewalk.operators import fits, normal_fits, sequences, stats
 
 # The inputs and results below that are lists of numbers are those of documented examples.
 
@@ -184,3 +184,28 @@ def test_acf_of_all_lags(spark, center, unbiased):
     assert all(abs(x["acf"] - y["acf"]) < 1e-9 for x, y in zip(a, b))
     flat = spark.createDataFrame([(0, t, 3.0) for t in range(4)], "id int, t int, x double")
     assert {r["acf"] for r in stats.acf_all_lags(flat).collect()} == {None}
+
+
+@pytest.mark.parametrize("model", ["kww", "gaussian", "maxwell", "burr12_alt"])
+def test_fits_by_sums(spark, model):
+    """All curves at once by grouped sums: the parameters of the plain method, curve by curve."""
+    rng = np.random.default_rng(8)
+    f, names, start, low, high = fits.MODELS[model]
+    x = np.linspace(-3, 4, 50) if model == "gaussian" else np.linspace(0.2, 4, 40) if model == "maxwell" else np.arange(40.0)
+    true = {"gaussian": [(0.3, 0.8), (1.0, 1.2)], "maxwell": [(0.8, 0.0), (0.5, -0.2)], "kww": [(5, 0.7), (12, 1.4)], "weibull": [(5, 0.7), (12, 1.4)]}.get(model, [(8, 1.3, 1.4), (4, 0.9, 1.7)])
+    points = [(g, float(t), float(y) if survival_ok(model, y) else 0.5) for g, p in enumerate(true) for t, y in zip(x, f(x, *p) + rng.normal(0, 0.004, len(x)))]
+    points += [(8, 1.0, 0.5), (9, 1.0, None), (9, float("nan"), 0.1)]
+    curve = spark.createDataFrame(points, "g long, t double, y double")
+    made = {r["g"]: r for r in normal_fits.fit_by_sums(curve, model, ["g"], "t", "y").collect()}
+    plain_ = {r["g"]: r for r in fits.fit_model(curve, model, ["g"], "t", "y").collect()}
+    assert made.keys() == plain_.keys()
+    for g in range(len(true)):
+        for n in names:
+            assert made[g][n] == pytest.approx(plain_[g][n], rel=1e-5, abs=1e-6)
+            assert made[g][f"{n}_sd"] == pytest.approx(plain_[g][f"{n}_sd"], rel=1e-3, abs=1e-6)
+        assert made[g]["n"] == plain_[g]["n"]
+    assert made[8][names[0]] is None and made[8]["n"] == 1 and made[9]["n"] == 0
+
+
+def survival_ok(model, y):
+    return model in ("gaussian", "maxwell") or 0 < y <= 1
