@@ -47,7 +47,7 @@ def block_and_lag_checks(spark, sf_dir):
 WITH r AS (SELECT p_type, greatest(min(p_retailprice), 905.0) AS a, least(max(p_retailprice), 1900.0) AS b FROM part GROUP BY p_type),
 d AS (SELECT nation.n_nationkey, sqrt(6.0 * 6.0 + 8.0 * 8.0 + n_nationkey * n_nationkey) / 2 AS half FROM nation WHERE n_nationkey > 0)
 SELECT 'num' AS kind, p_type AS name, round(a, 6) + 0.0 AS start, round(b, 6) + 0.0 AS stop, round((b - a) / 6, 6) + 0.0 AS step, 6 AS num FROM r
-UNION ALL SELECT 'step', p_type, round(a, 6) + 0.0, round(a + 70.0 * floor((b - a) / 70.0), 6) + 0.0, 70.0, CAST(floor((b - a) / 70.0) AS INTEGER) FROM r
+UNION ALL SELECT 'step', p_type, round(a, 6) + 0.0, round(a + least(70.0::DOUBLE, b - a) * floor((b - a) / least(70.0::DOUBLE, b - a)), 6) + 0.0, round(least(70.0::DOUBLE, b - a), 6) + 0.0, CAST(floor((b - a) / least(70.0::DOUBLE, b - a)) AS INTEGER) FROM r
 UNION ALL SELECT 'distance', CAST(n_nationkey AS VARCHAR), 0.0, round(half, 6) + 0.0, round(half / 5, 6) + 0.0, 5 FROM d""")
 def bin_checks(spark, sf_dir):
     part = table(spark, sf_dir, "part")
