@@ -231,6 +231,19 @@ def attach_detach(contacts: DataFrame, n_frames: int) -> DataFrame:
     return new.unionByName(gone).groupBy("frame", "ref").agg(F.sum("a").alias("n_attached"), F.sum("d").alias("n_detached"))
 
 
+def coordination_changes(contacts: DataFrame, n_frames: int, kind: str = "any", n_det: int = 1, n_att: int = 1) -> DataFrame:
+    """The rows of attach_detach with a change of a kind.
+
+    any: a partner more or less; detachment: n_det partners or more at once that leave; attachment: n_att or more that come;
+    exchange: both in the same frame.
+    """
+    if kind not in ("any", "detachment", "attachment", "exchange"):
+        raise ValueError(f"unknown kind {kind!r}")
+    left, came = F.col("n_detached") >= n_det, F.col("n_attached") >= n_att
+    found = attach_detach(contacts, n_frames)
+    return found if kind == "any" else found.where({"detachment": left, "attachment": came, "exchange": left & came}[kind])
+
+
 def check_contacts(contacts: DataFrame, n_frames: int | None = None, n_refs: int | None = None, n_sels: int | None = None) -> DataFrame:
     """One row: contacts, repeated ones, those with a null, and those outside of the frames and numbers from 0 that are given.
 

@@ -309,6 +309,22 @@ def msd_at_coordination_change(spark, sf_dir):
     return made.withColumn("msd", _tie(F.col("msd"), 4))
 
 
+_KINDS = {"detachment": "n_detached >= 1", "attachment": "n_attached >= 2", "exchange": "n_detached >= 1 AND n_attached >= 1"}
+
+
+@query(f"""
+WITH {_CHANGES},
+dp AS (SELECT frame, user_id AS ref, arg_min(x, event_id) AS x, arg_min(y, event_id) AS y, arg_min(z, event_id) AS z FROM pt WHERE event_type = 'click' GROUP BY ALL),
+k AS ({" UNION ALL ".join(f"SELECT '{kind}' AS kind, frame, ref FROM ad WHERE frame > 0 AND {test} UNION ALL SELECT '{kind}', frame, ref FROM dp WHERE frame = 0" for kind, test in _KINDS.items())}),
+s AS (SELECT kind, k.frame - lag(k.frame) OVER w AS dt, (x - lag(x) OVER w) ** 2 + (y - lag(y) OVER w) ** 2 + (z - lag(z) OVER w) ** 2 AS d2
+      FROM k JOIN dp ON k.frame = dp.frame AND k.ref = dp.ref WINDOW w AS (PARTITION BY kind, k.ref ORDER BY k.frame))
+SELECT kind, dt, count(*) AS n, round(avg(d2) + 1e-8, 4) + 0.0 AS msd FROM s WHERE dt IS NOT NULL GROUP BY kind, dt""")
+def msd_at_kinds_of_change(spark, sf_dir):
+    found, n, places = _user_counts(spark, sf_dir)[0], n_days(spark, sf_dir), _day_positions(spark, sf_dir)
+    made = [events.msd_at_coordination_change(places, contacts.coordination_changes(found, n, kind, 1, n_att)).withColumn("kind", F.lit(kind)) for kind, n_att in (("detachment", 1), ("attachment", 2), ("exchange", 1))]
+    return made[0].unionByName(made[1]).unionByName(made[2]).select("kind", "dt", "n", _tie(F.col("msd"), 4).alias("msd"))
+
+
 @query(f"""
 WITH {_USERS}, i AS (SELECT ref, sel, frame, frame - row_number() OVER (PARTITION BY ref, sel ORDER BY frame) AS g FROM cc)
 SELECT ref, sel, CAST(min(frame) AS INTEGER) AS start, CAST(max(frame) + 1 AS INTEGER) AS stop FROM i GROUP BY ref, sel, g""")

@@ -167,3 +167,14 @@ def test_shares_at_rest(spark):
     circle = spark.createDataFrame([(k, (k + 1) % 5, 1.0) for k in range(5)], "bin0 int, bin1 int, prob double")
     assert [r["share"] for r in events.stationary_distribution(circle).collect()] == pytest.approx([0.2] * 5)
     assert events.stationary_distribution(circle.limit(0)).count() == 0
+
+
+def test_kinds_of_change(spark):
+    rows_ = [(0, 1, 1), (0, 1, 2), (1, 1, 3), (1, 1, 4), (2, 1, 3), (3, 1, 3), (3, 1, 5), (3, 1, 6)]
+    found = spark.createDataFrame(rows_, "frame int, ref long, sel long")
+    of = lambda *a: [tuple(r) for r in contacts.coordination_changes(found, 5, *a).orderBy("frame").collect()]
+    assert of() == [(1, 1, 2, 2), (2, 1, 0, 1), (3, 1, 2, 0), (4, 1, 0, 3)]
+    assert [r[0] for r in of("detachment", 2)] == [1, 4] and [r[0] for r in of("attachment", 1, 2)] == [1, 3]
+    assert [r[0] for r in of("exchange", 1, 1)] == [1] and of("exchange", 3, 1) == []
+    with pytest.raises(ValueError):
+        of("other")
