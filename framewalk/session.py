@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -28,6 +29,15 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def system_of(path: str):
+    """(file system, name on it) of a path as Spark writes it, for tasks that open files themselves."""
+    from pyarrow import fs
+
+    if path.startswith("file:") or "://" not in path:
+        return fs.LocalFileSystem(), re.sub(r"^file:/*", "/", path)
+    return fs.FileSystem.from_uri(path)
+
+
 def kept(frame: DataFrame, name: str) -> DataFrame:
     """The frame, written to a new folder and read from there: what follows does not compute it again, nor after the loss of an executor."""
     path = new_folder(frame.sparkSession, name)

@@ -1,7 +1,7 @@
 """Readers and writers.  Parquet is the form to work on; the others come in or go out.
 
-Text files, structures too, are read by Spark itself, in blocks; .xz, .npy and .npz
-files are opened in the tasks, one file at a time.
+Text files, structures too, are read by Spark itself, in blocks, and .npy files in stretches of bytes; .xz and
+.npz files, which are compressed, are opened in the tasks, one file at a time.
 """
 
 from __future__ import annotations
@@ -17,30 +17,65 @@ from pyspark.sql import functions as F
 
 from framewalk.functions import geometry
 from framewalk.functions.geometry import box_columns, box_matrix
-from framewalk.session import importable
+from framewalk.session import importable, system_of
 
-#: Rows that a reader of arrays returns at a time.
-ROWS = 100_000
+#: Rows that a reader of arrays returns at a time, and bytes of an .npy file that a task reads.
+ROWS, STRETCH = 100_000, 16 << 20
 
 
-def read_dtrj_npy(spark: SparkSession, path: str) -> DataFrame:
-    """(path, cmp, frame, state) of .npy and .npz files that hold (compounds, frames) arrays of integers."""
+def npy_head(file) -> tuple[tuple[int, int], bool, np.dtype, int]:
+    """(compounds and frames, whether frames come first, type, where the numbers begin) of an open .npy file."""
+    read = {(1, 0): np.lib.format.read_array_header_1_0, (2, 0): np.lib.format.read_array_header_2_0}[np.lib.format.read_magic(file)]
+    shape, turned, kind = read(file)
+    if kind.hasobject or len(shape) > 2:
+        raise ValueError("not an array of numbers with at most two axes")
+    return (1,) * (2 - len(shape)) + tuple(shape), turned, kind, file.tell()
+
+
+def integral(name: str, values: np.ndarray) -> np.ndarray:
+    if (values != np.floor(values)).any():
+        raise ValueError(f"{name}: states must be integral")
+    return values.astype(np.int32)
+
+
+def read_dtrj_npy(spark: SparkSession, path: str, stretch: int = STRETCH) -> DataFrame:
+    """(path, cmp, frame, state) of .npy and .npz files that hold (compounds, frames) arrays of integers.
+
+    An .npy file is read by as many tasks as it has stretches of bytes, each of which opens it where its numbers begin.
+    """
     importable(spark)
 
-    def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for name, content in zip(batch["path"], batch["content"]):
                 data = np.load(io.BytesIO(content), allow_pickle=False)
-                for array in [data] if isinstance(data, np.ndarray) else [data[k] for k in data.files]:
-                    array = np.atleast_2d(array)
-                    if (array != np.floor(array)).any():
-                        raise ValueError(f"{name}: states must be integral")
+                for array in map(np.atleast_2d, (data[k] for k in data.files)):
                     frames = array.shape[1]
                     for s in range(0, array.size, ROWS):
                         k = np.arange(s, min(s + ROWS, array.size))
-                        yield pd.DataFrame({"path": name, "cmp": k // frames, "frame": (k % frames).astype(np.int32), "state": array.ravel()[k].astype(np.int32)})
+                        yield pd.DataFrame({"path": name, "cmp": k // frames, "frame": (k % frames).astype(np.int32), "state": integral(name, array.ravel()[k])})
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(load, "path string, cmp long, frame int, state int")
+    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for name, number in zip(batch["path"], batch["number"]):
+                system, place = system_of(name)
+                with system.open_input_file(place) as file:
+                    (compounds, frames), turned, kind, begin = npy_head(file)
+                    each = max(1, stretch // kind.itemsize)
+                    first, last = number * each, min((number + 1) * each, compounds * frames)
+                    file.seek(begin + first * kind.itemsize)
+                    for s in range(first, last, ROWS):
+                        k = np.arange(s, min(s + ROWS, last))
+                        values = np.frombuffer(file.read(len(k) * kind.itemsize), kind)
+                        cmp, frame = (k % compounds, k // compounds) if turned else (k // frames, k % frames)
+                        yield pd.DataFrame({"path": name, "cmp": cmp, "frame": frame.astype(np.int32), "state": integral(name, values)})
+
+    columns = "path string, cmp long, frame int, state int"
+    files = spark.read.format("binaryFile").load(path)
+    packed = F.lower("path").endswith(".npz")
+    parts = files.where(~packed).select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("length") / stretch))).alias("number"))
+    read = parts.repartition(max(1, parts.count()), "path", "number").mapInPandas(part, columns)
+    return read.unionByName(files.where(packed).select("path", "content").mapInPandas(whole, columns))
 
 
 def write_dtrj(dtrj: DataFrame, path: str, mode: str = "errorifexists") -> None:

@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import math
 import os
-import re
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -26,7 +25,7 @@ from pyspark.sql import functions as F
 
 from framewalk.functions import packed
 from framewalk.functions.geometry import box_columns, box_matrix
-from framewalk.session import importable
+from framewalk.session import importable, system_of
 
 #: Bytes of frames that one task reads (option "stretch"), if a frame is not longer; files whose heads are read at a time; atoms of a batch of rows.
 STRETCH, AT_ONCE, ROWS = 16 << 20, 32, 1 << 16
@@ -35,20 +34,11 @@ SCHEMA = "path string, frame int, step int, time double, atom_ix long, x double,
 INPUT = "file long, frame int, step int, time double, atom_ix long, x double, y double, z double, " + ", ".join(f"v{i}{j} double" for i in range(3) for j in range(3))
 
 
-def _system(path: str):
-    """(file system, name on it) of a path as Spark writes it."""
-    from pyarrow import fs
-
-    if path.startswith("file:") or "://" not in path:
-        return fs.LocalFileSystem(), re.sub(r"^file:/*", "/", path)
-    return fs.FileSystem.from_uri(path)
-
-
 def files_below(path: str) -> list[tuple[str, int]]:
     """(path, size) of a file, or of the files of a folder whose names end in .xtc, in order."""
     from pyarrow import fs
 
-    system, name = _system(path)
+    system, name = system_of(path)
     info = system.get_file_info(name)
     if info.type == fs.FileType.NotFound:
         raise FileNotFoundError(path)
@@ -59,7 +49,7 @@ def files_below(path: str) -> list[tuple[str, int]]:
 
 def frames_of(path: str, size: int) -> Iterator[tuple[int, int, int, int, float]]:
     """(frame, offset, length, step, time) of a file's frames; only their heads are read.  A last frame that is cut off is left out."""
-    system, name = _system(path)
+    system, name = system_of(path)
     with system.open_input_file(name) as file:
         at = frame = 0
         while at + packed.HEAD <= size:
@@ -128,7 +118,7 @@ class XtcReader(ds.DataSourceReader):
     def read(self, part: Stretch) -> Iterator[pa.RecordBatch]:
         if not part.frames:
             return
-        system, name = _system(part.path)
+        system, name = system_of(part.path)
         held: list[dict] = []
         with system.open_input_file(name) as file:
             for frame, at, length in part.frames:
@@ -180,7 +170,7 @@ class XtcWriter(ds.DataSourceArrowWriter):
     def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
         from uuid import uuid4
 
-        system, base = _system(self.path)
+        system, base = system_of(self.path)
         system.create_dir(base, recursive=True)
         own, names, out, of, parts = uuid4().hex, [], None, None, []
 
@@ -213,13 +203,13 @@ class XtcWriter(ds.DataSourceArrowWriter):
         return Written(names)
 
     def commit(self, messages: list[Written | None]) -> None:
-        system, base = _system(self.path)
+        system, base = system_of(self.path)
         for m in messages:
             for name in m.names if m else []:
                 system.move(f"{base}/{name}", f"{base}/part-{name[-12:]}")
 
     def abort(self, messages: list[Written | None]) -> None:
-        system, base = _system(self.path)
+        system, base = system_of(self.path)
         for m in messages:
             for name in m.names if m else []:
                 system.delete_file(f"{base}/{name}")

@@ -45,6 +45,25 @@ def test_npz(spark, tmp_path, dtrj):
     assert rows(spark.read.parquet(f"file://{tmp_path}/out")) == rows(made.drop("path"))
 
 
+@pytest.mark.parametrize("order", ["C", "F"])
+def test_npy_in_stretches(spark, tmp_path, order):
+    """A file is read by many tasks, in either order of its axes; types of any width, empty arrays and single numbers are read, too."""
+    a = np.random.default_rng(3).integers(-5, 90, (7, 101))
+    for name, kind in (("a", np.int64), ("b", np.float32), ("c", np.int8)):
+        np.save(tmp_path / f"{name}.npy", np.asarray(a.astype(kind), order=order))
+    np.save(tmp_path / "empty.npy", np.zeros((0, 4), np.int16))
+    made = files.read_dtrj_npy(spark, f"file://{tmp_path}/*.npy", stretch=256)
+    assert made.rdd.getNumPartitions() > 20
+    got = made.groupBy("path").agg(F.count("*").alias("n")).collect()
+    assert sorted(r["n"] for r in got) == [a.size] * 3
+    for name in "abc":
+        found = made.where(F.col("path").endswith(f"/{name}.npy")).orderBy("cmp", "frame").toPandas()
+        assert (found["state"].to_numpy().reshape(a.shape) == a).all()
+    np.save(tmp_path / "half.npy", np.array([[0.5, 1.0]]))
+    with pytest.raises(Exception, match="integral"):
+        files.read_dtrj_npy(spark, f"file://{tmp_path}/half.npy").collect()
+
+
 def test_text(spark, tmp_path):
     (tmp_path / "m.txt").write_text("# head\n0 1 2\n10 3.5 4\n20 5 6\n")
     assert rows(files.read_matrix(spark, f"file://{tmp_path}/m.txt")) == [(10.0, 1.0, 3.5), (10.0, 2.0, 4.0), (20.0, 1.0, 5.0), (20.0, 2.0, 6.0)]

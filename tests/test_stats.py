@@ -59,6 +59,34 @@ def test_describe(series):
     assert near([r["std"], r["skew"], r["kurt"], r["median"]], [x.std(ddof=1), g1 * (n * (n - 1)) ** 0.5 / (n - 2), (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6), 4])
 
 
+@pytest.mark.parametrize("sorted_", [4096, 3])
+def test_medians(spark, monkeypatch, sorted_):
+    """Equal to numpy's for groups of all sizes, ties, outliers and null keys; with brackets narrowed to three values as well."""
+    monkeypatch.setattr(stats, "SORTED", sorted_)
+    rng = np.random.default_rng(5)
+    groups = {
+        "even": [1.0, 2.0, 4.0, 8.0], "one": [3.0], "ties": [2.0] * 50 + [7.0] * 50, "most": [1.0, *[5.0] * 40, 9.0], "far": [-1e300, 0.0, 1e-300, 5.0, 1e300, 1e308],
+        "many": list(rng.normal(size=5001)), "coarse": list(rng.integers(0, 9, 4000).astype(float)), None: [2.0, 3.0, 10.0], "edge": list(np.arange(600.0)) + [-1e9] * 598,
+    }
+    data = [(k, float(x)) for k, xs in groups.items() for x in xs] + [("none", None), ("many", None)]
+    df = spark.createDataFrame(data, "g string, x double")
+    got = {r["g"]: r["median"] for r in stats.medians(df, ["g"], "x").collect()}
+    assert got == {k: float(np.median(xs)) for k, xs in groups.items()}
+    every = [x for xs in groups.values() for x in xs]
+    assert stats.medians(df, [], "x").first()[0] == np.median(every)
+    assert {r["g"]: r["median"] for r in stats.describe(df, ["g"], "x").collect()} == got | {"none": None}
+    assert stats.medians(df.where("false"), ["g"], "x").count() == 0
+    assert stats.describe(df.where("false"), [], "x").select("n", "median").first() == (0, None)
+
+
+def test_medians_beyond_a_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(stats, "FEW", 0)
+    monkeypatch.setattr(stats, "SORTED", 2)
+    df = spark.range(3000).selectExpr("if(id % 10 < 9, 0, id % 7) as g", "double((id * 7919) % 1013) as x")
+    wanted = {r[0]: r[1] for r in df.groupBy("g").agg(F.percentile("x", 0.5)).collect()}
+    assert {r["g"]: r["median"] for r in stats.medians(df, ["g"], "x").collect()} == wanted
+
+
 def test_moments(spark):
     got = spark.range(1).select(arrays.moment_raw2cen([F.lit(2.0), F.lit(5.0)]), arrays.moment_raw2cen([F.lit(2.0), F.lit(5.0), F.lit(16.0)])).first()
     assert near(got, [1, 16 - 3 * 2 * 5 + 2 * 8])
