@@ -155,7 +155,7 @@ def medians(df: DataFrame, keys: list[str], x: str) -> DataFrame:
     while most := state.where(F.col("v").isNull()).agg(F.max("n")).first()[0]:
         todo = state.where(F.col("v").isNull())
         rows = beside(todo).where(within("lo", "hi"))
-        held = [F.first(c).alias(c) for c in ("size", "n", "rank", "lo", "hi")]
+        held, spare = [F.first(c).alias(c) for c in ("size", "n", "rank", "lo", "hi")], [state]
         if most <= SORTED:
             new = rows.groupBy(*by).agg(*held, F.array_sort(F.collect_list(v)).alias("xs")).select(*by, "size", "n", "rank", "lo", "hi", F.get("xs", F.col("rank").cast("int")).alias("v"))
         else:
@@ -163,6 +163,7 @@ def medians(df: DataFrame, keys: list[str], x: str) -> DataFrame:
             sketch = rows.groupBy(*by).agg(*held, F.percentile_approx(v, [i / CUTS for i in range(CUTS + 1)], ACCURACY).alias("q"))
             ends = sketch.select(*by, "size", "n", "rank", "lo", "hi", F.when(part > 1, F.get("q", part - 1)).alias("a"), F.when(part < CUTS - 2, F.get("q", part + 2)).alias("b"))
             ends = kept(ends, "median")
+            spare.append(ends)
             inside = beside(ends).where(within("lo", "hi"))
             count = lambda test: F.sum(test.cast("long"))
             zero = F.lit(0).cast("long")
@@ -178,8 +179,8 @@ def medians(df: DataFrame, keys: list[str], x: str) -> DataFrame:
                 *by, "size", case(c1, zero, c3, zero, F.col("n") - upto).alias("n"), case(r, zero, r - before, zero, r - upto).alias("rank"),
                 case(low, none, F.coalesce("a", low), none, F.col("b")).alias("lo"), case(F.col("a"), none, F.coalesce("b", high), none, high).alias("hi"), case(none, F.col("a"), none, F.col("b"), none).alias("v"),
             )
-        old, state = state, kept(state.where(F.col("v").isNotNull()).unionByName(new), "median")
-        drop(old)
+        state = kept(state.where(F.col("v").isNotNull()).unionByName(new), "median")
+        drop(*spare)
     both = beside(state).groupBy(*by).agg(F.first("size").alias("size"), F.first("v").alias("v"), F.sum((v <= F.col("v")).cast("long")).alias("upto"), F.min(F.when(v > F.col("v"), v)).alias("next"))
     alone = (F.col("size") % 2 == 1) | (F.col("upto") > F.floor(F.col("size") / 2))
     return both.select(*(F.col(b).alias(k) for b, k in zip(by, keys)), F.when(alone, F.col("v")).otherwise(0.5 * F.col("v") + 0.5 * F.col("next")).alias("median"))

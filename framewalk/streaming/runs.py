@@ -15,11 +15,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from framewalk.operators.contacts import AXES
 from framewalk.operators.repair import fill_gaps
 from framewalk.session import importable
 
 RUN = "cmp long, state int, t0 int, len int, is_first boolean, is_last boolean"
 RENEWAL = "ref long, sel long, t0 int, trenew int, is_first boolean, is_last boolean"
+PLACED = "ref long, sel long, t0 int, trenew int, us long, " + ", ".join(f"{k} double" for k in (*(f"ref_{a}0" for a in AXES), *(f"ref_d{a}" for a in AXES), *(f"sel_{a}0" for a in AXES)))
 
 
 def _stateful(stream: DataFrame, key: str, ts: str | None, late: str | None, out: str, held: str, step: Callable, end: Callable) -> DataFrame:
@@ -95,6 +97,13 @@ def stream_filled(states: DataFrame, intermittency: int, ts: str | None = None,
     return _stateful(chosen, "cmp", ts, late, "cmp long, frame int, state int", "start int, states array<int>", step, end)
 
 
+def renewed(t0: int, left: set, frame: int, here: set) -> tuple[int, set, int | None]:
+    """(t0, left, ended): the interval open after a frame with the partners here, and the partner of the one that ended at it, if one did."""
+    if t0 >= 0 and left & here:
+        return t0, left & here, None
+    return (frame, here, min(left, default=None)) if here else (-1, here, min(left, default=None))
+
+
 def stream_renewals(partners: DataFrame, ts: str | None = None, late: str | None = None) -> DataFrame:
     """(ref, sel, t0, trenew, is_first, is_last): the bound intervals of a stream (ref, frame, sels[, ts]).
 
@@ -108,14 +117,10 @@ def stream_renewals(partners: DataFrame, ts: str | None = None, late: str | None
         out = []
         for frame, sels in zip(rows["frame"].tolist(), rows["sels"]):
             here = set(map(int, sels)) if sels is not None else set()
-            first = frame if first < 0 else first
-            if t0 >= 0:
-                stay = left & here
-                if stay:
-                    left = stay
-                    continue
-                out.append((ref, min(left), t0, frame - t0, t0 == first, False))
-            t0, left = (frame, here) if here else (-1, set())
+            first, began = frame if first < 0 else first, t0
+            t0, left, ended = renewed(t0, left, frame, here)
+            if ended is not None:
+                out.append((ref, ended, began, frame - began, began == first, False))
         return out, (t0, sorted(left), first, int(rows["frame"].iloc[-1]))
 
     def end(ref, held):
@@ -126,6 +131,51 @@ def stream_renewals(partners: DataFrame, ts: str | None = None, late: str | None
     return _stateful(chosen, "ref", ts, late, RENEWAL, "t0 int, sels array<bigint>, first int, last int", step, end)
 
 
+def stream_placed_renewals(partners: DataFrame, ts: str, late: str) -> DataFrame:
+    """(ref, sel, t0, trenew, ts, ref_x0 .., ref_dx .., sel_x0 ..): renewals of a stream (ref, frame, x, y, z, sels, ts) with positions at t0.
+
+    sels is an array of (sel, x, y, z).  ts is the time of the renewal.  What is open at the first frame or at the end is
+    left out, as in events.renewal_events, and so is a renewal without a position of the reference compound at either
+    end or of the partner at t0.  A compound's state is its position and those of its candidates when its interval
+    began: it grows with the candidates, not with the frames.  The partner's move needs with_partner_moves.
+    """
+
+    def step(ref, rows: pd.DataFrame, held):
+        t0, left, first, at, places = (-1, set(), -1, [], {}) if held is None else (held[0], set(held[1]), held[2], held[3], dict(zip(held[4], zip(*[iter(held[5])] * 3))))
+        out = []
+        for frame, us, sels, xyz, *here_at in rows[["frame", "_us", "sels", "xyz", *AXES]].itertuples(index=False):
+            frame, first, began = int(frame), int(frame) if first < 0 else first, t0
+            here = set() if sels is None else set(map(int, sels))
+            t0, left, ended = renewed(t0, left, frame, here)
+            if ended is not None and began != first:
+                numbers = [*at, *(b - a for a, b in zip(at, here_at)), *places[ended]]
+                if not np.isnan(numbers).any():
+                    out.append((ref, ended, began, frame - began, int(us), *numbers))
+            if t0 == frame:
+                at = list(map(float, here_at))
+                places = dict(zip(map(int, sels), zip(*[iter(map(float, xyz))] * 3)))
+        return out, (t0, sorted(left), first, at, [s for s in places if s in left], [x for s, p in places.items() if s in left for x in p])
+
+    nan = F.lit(float("nan"))
+    flat = F.flatten(F.transform("sels", lambda s: F.array(*(F.coalesce(s[a].cast("double"), nan) for a in AXES))))
+    chosen = partners.select("ref", F.col("frame").cast("int").alias("frame"), *(F.coalesce(F.col(a).cast("double"), nan).alias(a) for a in AXES), F.transform("sels", lambda s: s["sel"].cast("long")).alias("sels"), flat.alias("xyz"), F.unix_micros(ts).alias("_us"), ts)
+    made = _stateful(chosen, "ref", ts, late, PLACED, "t0 int, sels array<bigint>, first int, at array<double>, of array<bigint>, places array<double>", step, lambda ref, held: [])
+    return made.withColumn("ts", F.timestamp_micros("us")).drop("us")
+
+
+def with_partner_moves(renewals: DataFrame, sel_pos: DataFrame, late: str) -> DataFrame:
+    """stream_placed_renewals(..) with sel_dx, sel_dy, sel_dz, from the stream of positions (sel, frame, x, y, z, ts).
+
+    A join of two streams at the renewal's own time, so that the watermark bounds what either side holds.  renewals is read from
+    where the other query writes it: two operators with state of their own and timeouts cannot be in one query.
+    Renewals without a position of their partner at the time are left out.
+    """
+    left = renewals.withWatermark("ts", late)
+    right = sel_pos.select(F.col("sel").alias("_sel"), F.col("ts").alias("_ts"), *(F.col(a).alias(f"_{a}") for a in AXES)).withWatermark("_ts", late)
+    made = left.join(right, F.expr("sel = _sel and ts = _ts")).where(" and ".join(f"_{a} is not null" for a in AXES))
+    return made.select(*renewals.columns, *((F.col(f"_{a}") - F.col(f"sel_{a}0")).alias(f"sel_d{a}") for a in AXES))
+
+
 def stream_contact_hist(contacts: DataFrame, ts: str, window: str, late: str) -> DataFrame:
     """(start, n, count): by window of event time, how many reference compounds have n contacts in one frame.
 

@@ -13,6 +13,7 @@ from framewalk.functions import packed
 from framewalk.operators import events, repair, states
 from framewalk.plans import registry
 from framewalk.sources import files, selection, slicing, xtc
+from framewalk.streaming import replay
 from framewalk.streaming import runs as streams
 
 SF = "/root/testdata/sf0.001"
@@ -339,6 +340,36 @@ def test_stream_renewals(spark, tmp_path):
     assert rows(made.where("is_last"), "ref", "t0", "trenew") == rows(wanted.where("is_last"), "ref", "t0", "trenew")
 
 
+def test_stream_renewals_with_positions(spark, tmp_path):
+    """The same rows as in batch, over many batches of the streams; positions that are missing, null or too late leave their renewals out."""
+    import random
+
+    rng = random.Random(4)
+    n, refs, sels = 40, 5, 4
+    contacts_ = spark.createDataFrame([(f, r, s) for r in range(refs) for f in range(n) for s in range(sels) if rng.random() < 0.4], "frame int, ref long, sel long")
+    place = lambda i, f: tuple(None if rng.random() < 0.04 else rng.uniform(0, 9) for _ in "xyz")
+    ref_pos = spark.createDataFrame([(r, f, *place(r, f)) for r in range(refs) for f in range(n)], "ref long, frame int, x double, y double, z double")
+    every = [(s, f, *place(s, f)) for s in range(sels) for f in range(n) if rng.random() > 0.05]
+    shape = "sel long, frame int, x double, y double, z double"
+    is_late = lambda p: p[0] == 1 and p[1] in (3, 4, 5, 6)
+    sel_pos, late_pos = spark.createDataFrame([p for p in every if not is_late(p)], shape), spark.createDataFrame([p for p in every if is_late(p)], shape)
+
+    pairs = contacts_.join(spark.createDataFrame(every, shape), ["sel", "frame"], "left").groupBy("ref", "frame").agg(F.collect_list(F.struct("sel", "x", "y", "z")).alias("sels"))
+    stream, late = replay.in_order(ref_pos.join(pairs, ["ref", "frame"], "left"), "ref", 8)
+    placed = streams.stream_placed_renewals(stream, "ts", late)
+    renewals = spark.readStream.schema(placed.schema).parquet(replay.written(placed))
+    tick = lambda d: d.withColumn("ts", F.timestamp_seconds((F.col("frame") + 1) * replay.TICK))
+    parts = [*(tick(sel_pos.where(f"frame between {5 * k} and {5 * k + 4}")) for k in range(8)), tick(late_pos)]
+    made = replay.to_end(streams.with_partner_moves(renewals, in_files(spark, tmp_path, parts), late))
+
+    wanted = events.renewal_events(contacts_, n, ref_pos, spark.createDataFrame(every, shape)).dropna()
+    lost = (F.col("sel") == 1) & (F.col("t0") + F.col("trenew")).between(3, 6)
+    assert wanted.where(lost).count() > 0 and wanted.where(~lost).count() > 20
+    columns = [c for c in made.columns if c != "ts"]
+    assert rows(made, *columns) == rows(wanted.where(~lost), *columns)
+    assert events.renewal_events(contacts_, n).count() > wanted.count()
+
+
 def test_stream_contact_hist(spark, tmp_path):
     data = timed(spark.createDataFrame([(f, r, s) for f in range(4) for r in range(3) for s in range(r + f % 2)], "frame int, ref long, sel long"))
     late = timed(spark.createDataFrame([(500, 0, 0)], "frame int, ref long, sel long"))
