@@ -1,9 +1,12 @@
 """Classifiers by held-out accuracy, and the pipeline stage by stage."""
 
+import os
 import zlib
 
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from helpers import rows
 
@@ -125,6 +128,47 @@ def test_ngrams():
     assert all(quality_classifier.gram(quality_classifier.key(g)) == g for g in grams)
 
 
+def test_numbers_are_those_of_the_ngrams():
+    """Of any text the numbers of just those of its n-grams that the model has, whatever is left out of the model."""
+    rng = np.random.default_rng(8)
+    words = ["The", "the", "12", "cats!", "...", "A1", "né", "x_y", "\U0001f600", "#", "OK", "a", "a"]
+    texts = [" ".join(rng.choice(words, rng.integers(0, 40))) for _ in range(200)] + [None, "", " \n", "a a a a", "a", "a b"]
+    s = quality_classifier.Shapes()
+    every = sorted({g for t in texts for g in quality_classifier.ngrams(t, s)}, key=repr)
+    for share in (1.0, 0.5, 0.0):
+        kept_words = {g for g in every if isinstance(g, str) and rng.random() < share}
+        model = {g for g in every if g in kept_words or (len(g) == 2 and not isinstance(g, str) and set(g) <= kept_words and rng.random() < 0.8) or (isinstance(g, tuple) and len(g) == 3 and rng.random() < share)}
+        numbers = quality_classifier.Numbers(pa.array(sorted(map(quality_classifier.key, model)), pa.string()))
+        grams, shapes = numbers.grams(), quality_classifier.Shapes(numbers.shapes)
+        assert set(grams) == model and len(grams) == len(model)
+        assert [grams[i] for i in range(len(grams))] == [quality_classifier.gram(sorted(map(quality_classifier.key, model))[i]) for i in numbers.order]
+        for t in texts:
+            found = numbers.of(t, shapes)
+            assert {grams[i] for i in found} == quality_classifier.ngrams(t, s) & model
+            assert (np.diff(found) > 0).all()
+
+
+def test_memory_of_a_large_model():
+    """Six million n-grams, the most that the stated bounds allow, take less than 300 MB in a worker."""
+    import pickle
+    import subprocess
+    import sys
+
+    words = [f"w{k}" for k in range(600_000)]
+    rng = np.random.default_rng(1)
+    ends = np.unique(rng.integers(0, 600_000, (5_450_000, 2)), axis=0)[:5_400_000]
+    grams = pa.concat_arrays([pa.array(words), pc.binary_join_element_wise(*(pa.array(words).take(pa.array(e)) for e in ends.T), quality_classifier.SEP)])
+    numbers = quality_classifier.Numbers(grams)
+    model = quality_classifier.Model(numbers, np.zeros(len(grams)), np.zeros(len(grams)), 0.0, 1.0, 0.0)
+    code = (
+        "import pickle, sys; from framewalk.llm import quality_classifier as q; size = lambda: int(next(x for x in open('/proc/self/status') if x.startswith('VmRSS')).split()[1]);"
+        "before = size(); m = pickle.load(sys.stdin.buffer); m.score('w1 w2 w3', q.Shapes(m.numbers.shapes)); print((size() - before) // 1024)"
+    )
+    root = os.path.dirname(os.path.abspath(corpus_pipeline.__file__))
+    said = subprocess.run([sys.executable, "-c", code], cwd=root, input=pickle.dumps(model, protocol=5), capture_output=True, timeout=300)
+    assert int(said.stdout) < 300, said
+
+
 def test_scores_do_not_depend_on_the_order_of_sets():
     """The same in processes that hash strings in another way."""
     import os
