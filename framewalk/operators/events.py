@@ -6,6 +6,8 @@ a break, made by one window by pair.
 
 from __future__ import annotations
 
+from heapq import heappush
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -36,19 +38,19 @@ def longest_bound(start: np.ndarray, stop: np.ndarray, sel: np.ndarray) -> list[
     the partners at that frame.  It lasts until the last of them has gone; of those that go last the
     lowest number is recorded.  The next one opens in the same frame if there are partners.
     """
-    out, open_, k, at = [], [], 0, 0
+    out, open_, k, at = [], [], 0, 0  # open_ is a heap: of the runs that go last, the lowest number first
     while True:
         while k < len(start) and start[k] <= at:
-            open_.append(k)
+            heappush(open_, (-int(stop[k]), int(sel[k])))
             k += 1
-        open_ = [i for i in open_ if stop[i] > at]
-        if not open_:
+        if not open_ or -open_[0][0] <= at:
+            open_.clear()
             if k == len(start):
                 return out
             at = int(start[k])
             continue
-        end = max(int(stop[i]) for i in open_)
-        out.append((at, end, min(int(sel[i]) for i in open_ if stop[i] == end)))
+        end = -open_[0][0]
+        out.append((at, end, open_[0][1]))
         at = end
 
 
