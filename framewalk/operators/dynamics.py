@@ -110,8 +110,11 @@ def matrices(rows: pd.DataFrame, box: list[str]) -> np.ndarray:
 
 
 def images(d: np.ndarray, matrix: np.ndarray) -> np.ndarray:
-    """The numbers of box vectors by which a difference is off its minimum image."""
-    return np.floor(d @ np.linalg.inv(matrix) + 0.5)
+    """The numbers of box vectors by which differences are off their minimum images: by the divisions of geometry.cart2box, so that halves fall as there."""
+    z = d[..., 2] / matrix[..., 2, 2]
+    y = (d[..., 1] - z * matrix[..., 2, 1]) / matrix[..., 1, 1]
+    x = (d[..., 0] - z * matrix[..., 2, 0] - y * matrix[..., 1, 0]) / matrix[..., 0, 0]
+    return np.floor(np.stack([x, y, z], axis=-1) + 0.5)
 
 
 _SHIFT = ("i", "j", "k")
@@ -196,12 +199,12 @@ def unwrap(positions: DataFrame, boxes: DataFrame, key: str, method: str = "scal
             out = xyz.copy()
             if method == "hybrid":
                 d = np.diff(xyz, axis=0)
-                d = d - np.einsum("ti,tij->tj", np.floor(np.einsum("ti,tij->tj", d, np.linalg.inv(cells[1:])) + 0.5), cells[1:]) if len(d) else d
+                crossed = np.einsum("ti,tij->tj", images(d, cells[1:]), cells[1:])
             for t in range(1, len(out)):
                 if method == "heuristic":
                     out[t] = xyz[t] - images(xyz[t] - out[t - 1], cells[t]) @ cells[t]
                 else:
-                    out[t] = out[t - 1] + d[t - 1] - images(xyz[t - 1] - out[t - 1], cells[t - 1]) @ (cells[t] - cells[t - 1])
+                    out[t] = out[t - 1] + d[t - 1] - crossed[t - 1] - images(xyz[t - 1] - out[t - 1], cells[t - 1]) @ (cells[t] - cells[t - 1])
             r[list(AXES)] = out
             return r[["frame", key, *AXES]]
 
