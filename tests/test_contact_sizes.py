@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from framewalk.operators import dynamics
+from framewalk.operators import contacts, dynamics
 
 
 @pytest.mark.parametrize("method", ["heuristic", "hybrid"])
@@ -18,3 +18,13 @@ def test_unwrap_at_half_a_box(spark, method):
     for r in dynamics.unwrap(pos, boxes, "p", method).where("frame = 1").collect():
         d = length * (steps[r["p"]] + 0.5)
         assert r["x"] == r["y"] == r["z"] == d - length * math.floor(d / length + 0.5)
+
+
+def test_skewed_distance_is_compiled_in_steps(spark):
+    """The steps of a skewed distance are columns of their own, and tasks go by the pairs, not by the few bytes of the particles."""
+    ref, sel = (spark.range(50).select(F.lit(0).alias("frame"), F.col("id").alias(side), *((F.rand(k) * 30).alias(a) for k, a in enumerate("xyz", seed))) for side, seed in (("ref", 1), ("sel", 5)))
+    boxes = spark.createDataFrame([(0, 30.0, 30.0, 30.0, 80.0, 75.0, 70.0)], "frame int, lx double, ly double, lz double, alpha double, beta double, gamma double")
+    made = contacts.contact_pairs(ref, sel, 5.0, boxes)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert max(len(line) for line in plan.split("\n") if "SQRT" in line) < 4000
+    assert plan.count("RepartitionByExpression") == 2
