@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framewalk.functions.geometry import box_columns, min_image
-from framewalk.operators.contacts import AXES
+from framewalk.operators.contacts import AXES, block_of
 from framewalk.operators.joins import with_totals
 from framewalk.session import drop, importable, kept
 
@@ -26,9 +26,10 @@ FEW = 500_000
 
 def contact_runs(contacts: DataFrame) -> DataFrame:
     """(ref, sel, start, stop): contact at start .. stop - 1."""
-    island = F.col("frame") - F.row_number().over(Window.partitionBy("ref", "sel").orderBy("frame"))
-    rows = contacts.select("frame", "ref", "sel").distinct().withColumn("island", island)
-    return rows.groupBy("ref", "sel", "island").agg(F.min("frame").cast("int").alias("start"), (F.max("frame") + 1).cast("int").alias("stop")).drop("island")
+    own = block_of(contacts)
+    island = F.col("frame") - F.row_number().over(Window.partitionBy(*own, "ref", "sel").orderBy("frame"))
+    rows = contacts.select(*own, "frame", "ref", "sel").distinct().withColumn("island", island)
+    return rows.groupBy(*own, "ref", "sel", "island").agg(F.min("frame").cast("int").alias("start"), (F.max("frame") + 1).cast("int").alias("stop")).drop("island", *own)
 
 
 def longest_bound(start: np.ndarray, stop: np.ndarray, sel: np.ndarray) -> list[tuple[int, int, int]]:
@@ -55,7 +56,10 @@ def longest_bound(start: np.ndarray, stop: np.ndarray, sel: np.ndarray) -> list[
 
 
 def bound_intervals(contacts: DataFrame) -> DataFrame:
-    """(ref, sel, t0, stop) of longest_bound, for every reference compound, whose contact runs are one array."""
+    """(ref, sel, t0, stop) of longest_bound, for every reference compound.
+
+    Of the runs that begin at one frame only the longest, of the lowest number, can ever decide: a compound's array has at most a run for each frame.
+    """
     importable(contacts.sparkSession)
 
     @F.pandas_udf("array<struct<t0: int, stop: int, sel: bigint>>")
@@ -66,7 +70,8 @@ def bound_intervals(contacts: DataFrame) -> DataFrame:
 
         return runs.map(one)
 
-    each = contact_runs(contacts).groupBy("ref").agg(F.array_sort(F.collect_list(F.struct("start", F.col("sel").cast("long").alias("sel"), "stop"))).alias("runs"))
+    best = contact_runs(contacts).groupBy("ref", "start").agg(F.max(F.struct("stop", (-F.col("sel").cast("long")).alias("least"))).alias("b"))
+    each = best.groupBy("ref").agg(F.array_sort(F.collect_list(F.struct("start", (-F.col("b.least")).alias("sel"), F.col("b.stop").alias("stop")))).alias("runs"))
     return each.select("ref", F.explode(intervals("runs")).alias("r")).select("ref", "r.sel", "r.t0", "r.stop")
 
 
@@ -153,6 +158,22 @@ def occupancy_by_bin(events: DataFrame, bin_: Column) -> DataFrame:
     return with_totals(cells, cells.agg(F.sum("weight").alias("_t"))).select("bin", "weight", (F.col("weight") / F.col("_t")).alias("share"))
 
 
+def shared_partners(contacts: DataFrame, most: int) -> DataFrame:
+    """(ref, f0, f1, common): in how many contacts a compound is at both of two frames at most so many apart; those that are in none do not appear.
+
+    Only pairs in contact in several frames leave the partition of their block.
+    """
+    own = block_of(contacts)
+    frames = contacts.groupBy(*own, "ref", "sel").agg(F.collect_set("frame").alias("fs")).where(F.size("fs") > 1)
+    two = F.flatten(F.transform("fs", lambda a: F.transform(F.filter("fs", lambda b: (b > a) & (b <= a + most)), lambda b: F.struct(a.alias("f0"), b.alias("f1")))))
+    return frames.select("ref", F.explode(two).alias("f")).groupBy("ref", "f.f0", "f.f1").agg(F.count("*").alias("common"))
+
+
+def partner_numbers(contacts: DataFrame) -> DataFrame:
+    """(frame, ref, n): partners of each compound that has some."""
+    return contacts.select(*block_of(contacts), "frame", "ref", "sel").distinct().groupBy("frame", "ref").agg(F.count("*").alias("n"))
+
+
 def contacts_at_moves(contacts: DataFrame, dtrj: DataFrame, lag: int = 0) -> DataFrame:
     """(kind, n_events, before, after, common, attached, detached): contacts lag frames before and after frames with and without a move.
 
@@ -164,11 +185,11 @@ def contacts_at_moves(contacts: DataFrame, dtrj: DataFrame, lag: int = 0) -> Dat
     first, last = F.lag("state", 1 + lag).over(w), F.lead("state", lag).over(w) if lag else F.col("state")
     rows = dtrj.select(F.col("cmp").alias("ref"), F.col("frame").alias("t0"), (F.col("state") != F.lag("state").over(w)).alias("moved"), first.alias("s0"), last.alias("s1")).where("s0 is not null and s1 is not null")
     rows = rows.select("ref", "t0", F.concat(F.when(F.col("moved"), "move").otherwise("stay"), F.when(F.col("s0") == F.col("s1"), F.lit("-same")).otherwise(F.lit("-different"))).alias("kind"))
-    own = contacts.select("frame", "ref", "sel").distinct()
-    before = own.select("ref", "sel", (F.col("frame") + 1 + lag).alias("t0"), F.lit(1).alias("b"))
-    after = own.select("ref", "sel", (F.col("frame") - lag).alias("t0"), F.lit(1).alias("a"))
-    both = before.join(after, ["ref", "sel", "t0"], "full").groupBy("ref", "t0").agg(F.count("b").alias("before"), F.count("a").alias("after"), F.count(F.col("a") + F.col("b")).alias("common"))
-    joined = rows.join(both, ["ref", "t0"], "left").fillna(0, ["before", "after", "common"])
+    each = kept(partner_numbers(contacts), "partners")
+    before = each.select("ref", (F.col("frame") + 1 + lag).alias("t0"), F.col("n").alias("before"))
+    after = each.select("ref", (F.col("frame") - lag).alias("t0"), F.col("n").alias("after"))
+    both = shared_partners(contacts, 1 + 2 * lag).where(F.col("f1") - F.col("f0") == 1 + 2 * lag).select("ref", (F.col("f0") + 1 + lag).alias("t0"), "common")
+    joined = rows.join(before, ["ref", "t0"], "left").join(after, ["ref", "t0"], "left").join(both, ["ref", "t0"], "left").fillna(0, ["before", "after", "common"])
     return joined.groupBy("kind").agg(F.count("*").alias("n_events"), F.sum("before").alias("before"), F.sum("after").alias("after"), F.sum("common").alias("common"), F.sum(F.col("after") - F.col("common")).alias("attached"), F.sum(F.col("before") - F.col("common")).alias("detached"))
 
 
@@ -189,18 +210,20 @@ def block_transitions(dtrj: DataFrame, min_block: int, max_gap: int) -> DataFram
     return moves.where(F.col("gap") <= max_gap).select("cmp", "frame", "gap", kind.alias("kind"))
 
 
+def _farthest(rows: DataFrame) -> int:
+    return rows.agg(F.max(F.col("f1") - F.col("f0"))).first()[0] or 0
+
+
 def contacts_at_block_transitions(contacts: DataFrame, moves: DataFrame, lag: int = 0) -> DataFrame:
     """(kind, n_events, avg_before, avg_after, avg_common, avg_attached, avg_detached) for the moves of block_transitions.
 
     before is taken at frame - lag, after at frame + gap + 1 + lag.
     """
     rows = moves.select(F.col("cmp").alias("ref"), "frame", "gap", "kind").withColumns({"f0": F.col("frame") - lag, "f1": F.col("frame") + F.col("gap") + 1 + lag})
-    own = contacts.select("frame", "ref", "sel").distinct()
-    key = ["ref", "frame", "gap", "kind"]
-    before = rows.join(own.withColumnRenamed("frame", "f0"), ["ref", "f0"]).select(*key, "sel", F.lit(1).alias("b"))
-    after = rows.join(own.withColumnRenamed("frame", "f1"), ["ref", "f1"]).select(*key, "sel", F.lit(1).alias("a"))
-    both = before.join(after, [*key, "sel"], "full").groupBy(*key).agg(F.count("b").alias("b"), F.count("a").alias("a"), F.count(F.col("a") + F.col("b")).alias("c"))
-    full = rows.select(*key).join(both, key, "left").fillna(0, ["a", "b", "c"])
+    each = kept(partner_numbers(contacts), "partners")
+    before, after = (each.select("ref", F.col("frame").alias(f), F.col("n").alias(name)) for f, name in (("f0", "b"), ("f1", "a")))
+    both = shared_partners(contacts, _farthest(rows)).withColumnRenamed("common", "c")
+    full = rows.join(before, ["ref", "f0"], "left").join(after, ["ref", "f1"], "left").join(both, ["ref", "f0", "f1"], "left").fillna(0, ["a", "b", "c"])
     return full.groupBy("kind").agg(F.count("*").alias("n_events"), F.avg("b").alias("avg_before"), F.avg("a").alias("avg_after"), F.avg("c").alias("avg_common"), F.avg(F.col("a") - F.col("c")).alias("avg_attached"), F.avg(F.col("b") - F.col("c")).alias("avg_detached"))
 
 
@@ -229,11 +252,11 @@ def partners_at_block_transitions(contacts: DataFrame, moves: DataFrame, lag: in
     numbers of partners detached, attached and remaining, the mean, variance, least and largest partner number before and after
     (of bound compounds), and their mean absolute change (of those bound both times).
     """
-    own = contacts.select("frame", "ref", "sel").distinct()
+    own = contacts.select(*block_of(contacts), "frame", "ref", "sel").distinct()
     rows = moves.withColumnRenamed("cmp", "ref").withColumns({"f0": F.col("frame") - lag, "f1": F.col("frame") + F.col("gap") + 1 + lag})
-    each = own.groupBy("frame", "ref").agg(F.count("*").alias("n"), F.avg("sel").alias("mean"), F.var_pop("sel").alias("var"), F.min("sel").cast("double").alias("min"), F.max("sel").cast("double").alias("max"))
+    each = kept(own.groupBy("frame", "ref").agg(F.count("*").alias("n"), F.avg("sel").alias("mean"), F.var_pop("sel").alias("var"), F.min("sel").cast("double").alias("min"), F.max("sel").cast("double").alias("max")), "partners")
     side = lambda f, tag: each.select(F.col("frame").alias(f), "ref", *(F.col(c).alias(f"{c}_{tag}") for c in ("n", "mean", "var", "min", "max")))
-    both = rows.where("counted").select("ref", "f0", "f1").join(own.withColumnRenamed("frame", "f0"), ["ref", "f0"]).join(own.withColumnRenamed("frame", "f1"), ["ref", "f1", "sel"]).groupBy("ref", "f0", "f1").agg(F.count("*").alias("common"))
+    both = shared_partners(contacts, _farthest(rows.where("counted")))
     full = rows.join(side("f0", "before"), ["ref", "f0"], "left").join(side("f1", "after"), ["ref", "f1"], "left").join(both, ["ref", "f0", "f1"], "left").fillna(0, ["n_before", "n_after", "common"])
     of = lambda c: F.when(F.col("counted"), c)
     stats = [F.avg(of(F.col(f"{c}_{tag}"))).alias(f"{c}_{tag}") for tag in ("before", "after") for c in ("mean", "var", "min", "max")]
@@ -265,11 +288,11 @@ def contact_hists_at_moves(counts: DataFrame, refs: DataFrame, dtrj: DataFrame)
 
     counts is (frame, ref, sel, n), refs (frame, ref), dtrj (cmp, frame, state) of the reference compounds.
     """
-    from framewalk.operators.contacts import contact_hists
+    from framewalk.operators.contacts import hists_of_levels, levels
 
     w = Window.partitionBy("cmp").orderBy("frame")
     flags = dtrj.select("frame", F.col("cmp").alias("ref"), (F.col("state") != F.lag("state").over(w)).alias("moved")).where("moved is not null")
-    return contact_hists(counts.join(flags, ["frame", "ref"]), refs.join(flags, ["frame", "ref"]), ["moved"])
+    return hists_of_levels(levels(counts).join(flags, ["frame", "ref"]), refs.join(flags, ["frame", "ref"]), ["moved"])
 
 
 def events_by_bin(events: DataFrame, bin_: Column, compounds: DataFrame | None = None) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
+from framewalk.operators.contacts import block_of
 from framewalk.operators.lags import in_runs
 from framewalk.session import importable
 
@@ -70,18 +71,20 @@ def correct_contact_intermittency(contacts: DataFrame, intermittency: int, n_fra
     to the next such run of the other state: short runs in between are of the state before them.  So a pair is its runs and the gaps
     between them, in windows, and only the frames in contact are rows.
     """
-    chosen = contacts.select("frame", "ref", "sel").distinct()
+    own = block_of(contacts)
+    pair = [*own, "ref", "sel"]
+    chosen = contacts.select("frame", *pair).distinct()
     if intermittency <= 0:
-        return chosen
-    w = Window.partitionBy("ref", "sel").orderBy("t0")
-    spans = in_runs(chosen, ["ref", "sel"]).withColumns({"before": F.coalesce(F.lag(F.col("t0") + F.col("len")).over(w), F.lit(0)), "is_last": F.lead("t0").over(w).isNull(), "is_first": F.lag("t0").over(w).isNull()})
+        return chosen.drop(*own)
+    w = Window.partitionBy(*pair).orderBy("t0")
+    spans = in_runs(chosen, pair).withColumns({"before": F.coalesce(F.lag(F.col("t0") + F.col("len")).over(w), F.lit(0)), "is_last": F.lead("t0").over(w).isNull(), "is_first": F.lag("t0").over(w).isNull()})
     end = F.col("t0") + F.col("len")
     turn = lambda bound, at, long: F.struct(F.lit(bound).alias("bound"), at.cast("long").alias("at"), long.alias("long"))
     gap = F.when(F.col("t0") > F.col("before"), turn(False, F.col("before"), F.col("is_first") | (F.col("t0") - F.col("before") > intermittency)))
     run = turn(True, F.col("t0"), (F.col("len") > intermittency) | (F.col("t0") == 0) | (end == n_frames))
     rest = F.when(F.col("is_last") & (end < n_frames), turn(False, end, F.lit(True)))
-    turns = spans.select("ref", "sel", F.explode(F.array_compact(F.array(gap, run, rest))).alias("e")).select("ref", "sel", "e.*").where("long")
-    by = Window.partitionBy("ref", "sel").orderBy("at")
+    turns = spans.select(*pair, F.explode(F.array_compact(F.array(gap, run, rest))).alias("e")).select(*pair, "e.*").where("long")
+    by = Window.partitionBy(*pair).orderBy("at")
     changes = turns.withColumn("was", F.lag("bound").over(by)).where("was is null or was <> bound").withColumn("until", F.coalesce(F.lead("at").over(by), F.lit(n_frames)))
     kind = chosen.schema["frame"].dataType
     return changes.where("bound").select(F.explode(F.sequence(F.col("at"), F.col("until") - 1).cast(ArrayType(kind))).alias("frame"), "ref", "sel")

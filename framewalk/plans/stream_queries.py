@@ -65,7 +65,7 @@ JOIN sp s0 ON s0.cmp = n.sel AND s0.frame = n.t0 JOIN sp s1 ON s1.cmp = n.sel AN
 def stream_renewal_moves(spark, sf_dir):
     """Two streaming queries: renewals with what is known when they come, then the join with the positions of their partners."""
     places = _partner_positions(spark, sf_dir)
-    pairs = _user_counts(spark, sf_dir)[0].select("ref", "frame", "sel").distinct().join(places, ["sel", "frame"], "left")
+    pairs = _user_counts(spark, sf_dir)[0].select("ref", "frame", "sel").join(places, ["sel", "frame"], "left")
     partners = pairs.groupBy("ref", "frame").agg(F.collect_list(F.struct("sel", *AXES)).alias("sels"))
     rows = _grid(spark, sf_dir).join(partners, ["ref", "frame"], "left").join(_day_positions(spark, sf_dir), ["ref", "frame"], "left")
     stream, late = replay.in_order(rows, "ref")
