@@ -1,7 +1,7 @@
 """Events of contacts: renewals, coordination sequences, and contacts around moves.
 
 All start from contact runs: the spans of frames in which a pair is in contact without
-a break, made by one window by pair.
+a break.  Where the contacts are a table of runs (contacts.compound_pairs), these are taken; else one window by pair makes them.
 """
 
 from __future__ import annotations
@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framewalk.functions.geometry import box_columns, min_image
-from framewalk.operators.contacts import AXES, block_of
+from framewalk.operators.contacts import AXES, RUNS, block_of, contact_frames
+from framewalk.operators.contacts import contact_runs as runs_of
 from framewalk.operators.joins import with_totals
 from framewalk.session import drop, importable, kept
 
@@ -26,10 +27,7 @@ FEW = 500_000
 
 def contact_runs(contacts: DataFrame) -> DataFrame:
     """(ref, sel, start, stop): contact at start .. stop - 1."""
-    own = block_of(contacts)
-    island = F.col("frame") - F.row_number().over(Window.partitionBy(*own, "ref", "sel").orderBy("frame"))
-    rows = contacts.select(*own, "frame", "ref", "sel").distinct().withColumn("island", island)
-    return rows.groupBy(*own, "ref", "sel", "island").agg(F.min("frame").cast("int").alias("start"), (F.max("frame") + 1).cast("int").alias("stop")).drop("island", *own)
+    return runs_of(contacts).select("ref", "sel", "start", "stop")
 
 
 def longest_bound(start: np.ndarray, stop: np.ndarray, sel: np.ndarray) -> list[tuple[int, int, int]]:
@@ -163,15 +161,18 @@ def shared_partners(contacts: DataFrame, most: int) -> DataFrame:
 
     Only pairs in contact in several frames leave the partition of their block.
     """
-    own = block_of(contacts)
-    frames = contacts.groupBy(*own, "ref", "sel").agg(F.collect_set("frame").alias("fs")).where(F.size("fs") > 1)
+    runs = runs_of(contacts)
+    if RUNS in runs.columns:
+        runs = runs.where((F.col(RUNS) > 1) | (F.col("stop") - F.col("start") > 1))
+    spans = F.flatten(F.collect_list(F.sequence(F.col("start"), F.col("stop") - 1)))
+    frames = runs.groupBy(*block_of(runs), "ref", "sel").agg(spans.alias("fs")).where(F.size("fs") > 1)
     two = F.flatten(F.transform("fs", lambda a: F.transform(F.filter("fs", lambda b: (b > a) & (b <= a + most)), lambda b: F.struct(a.alias("f0"), b.alias("f1")))))
     return frames.select("ref", F.explode(two).alias("f")).groupBy("ref", "f.f0", "f.f1").agg(F.count("*").alias("common"))
 
 
 def partner_numbers(contacts: DataFrame) -> DataFrame:
     """(frame, ref, n): partners of each compound that has some."""
-    return contacts.select(*block_of(contacts), "frame", "ref", "sel").distinct().groupBy("frame", "ref").agg(F.count("*").alias("n"))
+    return contact_frames(contacts).groupBy("frame", "ref").agg(F.count("*").alias("n"))
 
 
 def contacts_at_moves(contacts: DataFrame, dtrj: DataFrame, lag: int = 0) -> DataFrame:
@@ -252,7 +253,7 @@ def partners_at_block_transitions(contacts: DataFrame, moves: DataFrame, lag: in
     numbers of partners detached, attached and remaining, the mean, variance, least and largest partner number before and after
     (of bound compounds), and their mean absolute change (of those bound both times).
     """
-    own = contacts.select(*block_of(contacts), "frame", "ref", "sel").distinct()
+    own = contact_frames(contacts)
     rows = moves.withColumnRenamed("cmp", "ref").withColumns({"f0": F.col("frame") - lag, "f1": F.col("frame") + F.col("gap") + 1 + lag})
     each = kept(own.groupBy("frame", "ref").agg(F.count("*").alias("n"), F.avg("sel").alias("mean"), F.var_pop("sel").alias("var"), F.min("sel").cast("double").alias("min"), F.max("sel").cast("double").alias("max")), "partners")
     side = lambda f, tag: each.select(F.col("frame").alias(f), "ref", *(F.col(c).alias(f"{c}_{tag}") for c in ("n", "mean", "var", "min", "max")))
@@ -292,7 +293,7 @@ def contact_hists_at_moves(counts: DataFrame, refs: DataFrame, dtrj: DataFrame)
 
     w = Window.partitionBy("cmp").orderBy("frame")
     flags = dtrj.select("frame", F.col("cmp").alias("ref"), (F.col("state") != F.lag("state").over(w)).alias("moved")).where("moved is not null")
-    return hists_of_levels(levels(counts).join(flags, ["frame", "ref"]), refs.join(flags, ["frame", "ref"]), ["moved"])
+    return hists_of_levels(kept(levels(counts), "levels").join(flags, ["frame", "ref"]), refs.join(flags, ["frame", "ref"]), ["moved"])
 
 
 def events_by_bin(events: DataFrame, bin_: Column, compounds: DataFrame | None = None) -> DataFrame:

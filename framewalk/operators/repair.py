@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
-from framewalk.operators.contacts import block_of
+from framewalk.operators.contacts import RUNS, block_of, contact_frames, contact_runs, frame_type
 from framewalk.operators.lags import in_runs
 from framewalk.session import importable
 
@@ -71,13 +71,20 @@ def correct_contact_intermittency(contacts: DataFrame, intermittency: int, n_fra
     to the next such run of the other state: short runs in between are of the state before them.  So a pair is its runs and the gaps
     between them, in windows, and only the frames in contact are rows.
     """
-    own = block_of(contacts)
-    pair = [*own, "ref", "sel"]
-    chosen = contacts.select("frame", *pair).distinct()
     if intermittency <= 0:
-        return chosen.drop(*own)
+        return contact_frames(contacts).select("frame", "ref", "sel")
+    pair = [*block_of(contacts), "ref", "sel"]
+    found = contact_runs(contacts)
+    kind = frame_type(contacts)
+    frames = lambda start, stop: F.explode(F.sequence(start, stop - 1).cast(ArrayType(kind))).alias("frame")
+    several, alone = found, None
+    if RUNS in found.columns:  # a single run needs no other row: it stays if it is long, or at the first or last frame
+        several = found.where(F.col(RUNS) > 1)
+        stays = (F.col("stop") - F.col("start") > intermittency) | (F.col("start") == 0) | (F.col("stop") == n_frames)
+        alone = found.where((F.col(RUNS) == 1) & stays).select(frames(F.col("start"), F.col("stop")), "ref", "sel")
     w = Window.partitionBy(*pair).orderBy("t0")
-    spans = in_runs(chosen, pair).withColumns({"before": F.coalesce(F.lag(F.col("t0") + F.col("len")).over(w), F.lit(0)), "is_last": F.lead("t0").over(w).isNull(), "is_first": F.lag("t0").over(w).isNull()})
+    spans = several.select(*pair, F.col("start").alias("t0"), (F.col("stop") - F.col("start")).alias("len"))
+    spans = spans.withColumns({"before": F.coalesce(F.lag(F.col("t0") + F.col("len")).over(w), F.lit(0)), "is_last": F.lead("t0").over(w).isNull(), "is_first": F.lag("t0").over(w).isNull()})
     end = F.col("t0") + F.col("len")
     turn = lambda bound, at, long: F.struct(F.lit(bound).alias("bound"), at.cast("long").alias("at"), long.alias("long"))
     gap = F.when(F.col("t0") > F.col("before"), turn(False, F.col("before"), F.col("is_first") | (F.col("t0") - F.col("before") > intermittency)))
@@ -86,8 +93,8 @@ def correct_contact_intermittency(contacts: DataFrame, intermittency: int, n_fra
     turns = spans.select(*pair, F.explode(F.array_compact(F.array(gap, run, rest))).alias("e")).select(*pair, "e.*").where("long")
     by = Window.partitionBy(*pair).orderBy("at")
     changes = turns.withColumn("was", F.lag("bound").over(by)).where("was is null or was <> bound").withColumn("until", F.coalesce(F.lead("at").over(by), F.lit(n_frames)))
-    kind = chosen.schema["frame"].dataType
-    return changes.where("bound").select(F.explode(F.sequence(F.col("at"), F.col("until") - 1).cast(ArrayType(kind))).alias("frame"), "ref", "sel")
+    filled = changes.where("bound").select(frames(F.col("at"), F.col("until")), "ref", "sel")
+    return filled.unionByName(alone) if alone is not None else filled
 
 
 def replace_short_sequences(dtrj: DataFrame, min_len: int, val: int = 0) -> DataFrame:

@@ -2,11 +2,12 @@
 
 import math
 
+import numpy as np
 import pytest
 from helpers import rows
 from pyspark.sql import functions as F
 
-from framewalk.operators import contacts, dynamics, events
+from framewalk.operators import contacts, dynamics, events, near, repair
 
 
 @pytest.mark.parametrize("method", ["heuristic", "hybrid"])
@@ -46,3 +47,49 @@ def test_pairs_stay_in_their_blocks(spark, blocks, monkeypatch):
         assert rows(events.bound_intervals(plain)) == rows(events.bound_intervals(placed))
         assert rows(contacts.attach_detach(plain, 3)) == rows(contacts.attach_detach(placed, 3))
         assert rows(contacts.autocorrelation(plain, ["ref", "sel"], 3)) == rows(contacts.autocorrelation(placed, ["ref", "sel"], 3))
+
+
+ORTHO, SKEWED = "frame int, lx double, ly double, lz double", "frame int, lx double, ly double, lz double, alpha double, beta double, gamma double"
+
+
+@pytest.mark.parametrize("box", [None, (12.0, 12.0, 12.0), (10.0, 7.0, 3.5), (12.0, 13.0, 14.0, 80.0, 75.0, 70.0)])
+def test_compound_pairs(spark, box, monkeypatch):
+    """What blocks find and sum on their own is what the join of particles gives: counts, runs and all made of runs; no pair is shuffled, however few are held."""
+    monkeypatch.setattr(contacts, "FEWEST", 9)
+    sides = []
+    for side, seed in (("ref", 1), ("sel", 5)):
+        at = [((F.rand(seed + k) - 0.3) * 20).alias(a) for k, a in enumerate("xyz")]
+        at[0] = F.when(F.col("id") == 7, F.lit(None)).otherwise(at[0]).alias("x")
+        number = F.when(F.col("id") % 17 == 0, F.lit(None)).otherwise(F.concat(F.lit("c"), (F.col("id") % 11).cast("string"))).alias("cmp")
+        sides.append(spark.range(400).select((F.col("id") % 6 + F.when(F.col("id") % 6 > 3, 2).otherwise(0)).cast("int").alias("frame"), F.col("id").alias(side), number, *at).localCheckpoint())
+    boxes = spark.createDataFrame([(f, *box) for f in range(8)], ORTHO if len(box) == 3 else SKEWED) if box else None
+    plain = contacts.compound_counts(contacts.contact_pairs(*sides, 3.0, boxes, compound="cmp")).coalesce(1).localCheckpoint()
+    made = {(m, b): contacts.compound_pairs(*sides, 3.0, boxes, make=m, blocks=b) for m, b in (("counts", "pairs"), ("counts", "frames"), ("runs", "pairs"), ("longest", "pairs"))}
+    for b in ("pairs", "frames"):
+        assert rows(made["counts", b].drop("block")) == rows(plain)
+        assert made["counts", b]._jdf.queryExecution().executedPlan().toString().replace("BroadcastExchange", "").count("Exchange") == 2
+    known = plain.where("ref is not null and sel is not null").withColumns({c: F.substring(c, 2, 9).cast("long") for c in ("ref", "sel")})
+    runs, best = (made[m, "pairs"].coalesce(1).localCheckpoint().where("ref is not null and sel is not null").withColumns({c: F.substring(c, 2, 9).cast("long") for c in ("ref", "sel")}) for m in ("runs", "longest"))
+    assert rows(events.contact_runs(runs)) == rows(events.contact_runs(known))
+    assert rows(contacts.attach_detach(runs, 8)) == rows(contacts.attach_detach(known, 8))
+    assert rows(contacts.common_contacts(runs, 2)) == rows(contacts.common_contacts(known, 2))
+    assert rows(events.shared_partners(runs, 3)) == rows(events.shared_partners(known, 3))
+    assert rows(events.partner_numbers(runs)) == rows(events.partner_numbers(known))
+    for gap in (0, 1, 2):
+        assert rows(repair.correct_contact_intermittency(runs, gap, 8)) == rows(repair.correct_contact_intermittency(known, gap, 8))
+    assert rows(events.bound_intervals(best)) == rows(events.bound_intervals(known))
+
+
+def test_few_pairs_are_held(monkeypatch):
+    """A block compares a bounded many pairs at a time, and repeated keys are summed as they come."""
+    monkeypatch.setattr(near, "COMPARED", 50)
+    monkeypatch.setattr(near, "HELD", 64)
+    made = np.random.default_rng(3)
+    one, many = ({"frame": np.sort(made.integers(0, 2, n)), **{f"c{a}": made.integers(0, 3, n) for a in "xyz"}, **{f"{k}{a}": made.random(n) for a in "xyz"}} for k, n in (("r", 60), ("", 70)))
+    found = list(near.Block(one, many, [], 0.8).pairs())
+    assert max(len(i) for i, _, _ in found) <= 50 + 70
+    want = sum(one["frame"][i] == many["frame"][j] and all(abs(one[f"c{a}"][i] - many[f"c{a}"][j]) < 2 for a in "xyz") and sum((one[f"r{a}"][i] - many[a][j]) ** 2 for a in "xyz") <= 0.64 for i in range(60) for j in range(70))
+    assert sum(len(i) for i, _, _ in found) == want > 500
+    keys, n = near.summed(np.asarray(i % 5) for i, _, _ in found)
+    assert keys.tolist() == [0, 1, 2, 3, 4] and n.sum() == want
+    assert near.longest(np.array([0, 1, 2, 3]), np.array([1, 1, 0, 0]), np.array([1, 1, 1, 2]), 2, 3, np.array([4, 5, 6]))[0].tolist() == [0, 3]
