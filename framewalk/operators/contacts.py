@@ -396,7 +396,7 @@ def attach_detach(contacts: DataFrame, n_frames: int) -> DataFrame:
     runs = contact_runs(contacts)
     turn = lambda at, a, d: F.struct(at.cast(frame_type(contacts)).alias("frame"), F.lit(a).alias("a"), F.lit(d).alias("d"))
     new, gone = F.when(F.col("start") > 0, turn(F.col("start"), 1, 0)), F.when(F.col("stop") < n_frames, turn(F.col("stop"), 0, 1))
-    turns = runs.select("ref", F.explode(F.array_compact(F.array(new, gone))).alias("t"))
+    turns = runs.select("ref", F.explode(F.array(new, gone)).alias("t")).where("t is not null")  # a filter of the array would not be compiled
     return turns.groupBy("t.frame", "ref").agg(F.sum("t.a").alias("n_attached"), F.sum("t.d").alias("n_detached"))
 
 
