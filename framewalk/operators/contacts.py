@@ -25,8 +25,8 @@ AXES = ("x", "y", "z")
 CROWD = 1 << 13
 #: Pairs of a block or task, and fewest of them.
 PAIRS, FEWEST = 1_500_000, 16
-#: Pairs of a block whose pairs are not rows.
-BLOCK_PAIRS = 4_000_000
+#: Pairs of a block whose pairs are not rows; where what leaves it is no more than particles, most blocks for the sake of its pairs, and particles that it holds.
+BLOCK_PAIRS, BLOCKS, HELD = 4_000_000, 64, 1_500_000
 #: Column of the block of a pair of compounds, in tables that come from contact_pairs with blocks.
 BLOCK = "block"
 #: Column of the number of runs of a pair of compounds, in tables that come from compound_pairs.
@@ -68,6 +68,15 @@ def _blocks(one: DataFrame, many: DataFrame, cell: list[str], most: int | None =
     return max(FEWEST, math.ceil((pairs or 0) / (most or PAIRS))), max(1, frames)
 
 
+def _few_blocks(left: DataFrame, right: DataFrame, cell: list[str], by_frame: bool) -> tuple[int, int]:
+    """As _blocks, where a block's pairs are taken part by part: no more than BLOCKS, unless its particles would be more than HELD, since each block of a row of the grid gets them."""
+    count = lambda rows, name: rows.groupBy(*cell).agg(F.count("*").alias(name))
+    cells = count(left, "_l").join(count(right, "_r"), cell, "full_outer")
+    pairs, particles, frames = cells.agg(F.sum(4.2 * F.col("_l") * F.col("_r")), F.sum(F.coalesce("_l", F.lit(0)) + F.coalesce("_r", F.lit(0))), F.count_distinct("frame")).first()
+    side = math.ceil((particles or 0) / (HELD * (max(1, frames) if by_frame else 1)))
+    return max(FEWEST, min(BLOCKS, math.ceil((pairs or 0) / BLOCK_PAIRS)), side * side * (max(1, frames) if by_frame and side > 1 else 1)), max(1, frames)
+
+
 def _in_blocks(left: DataFrame, right: DataFrame, sides: tuple[str, str], blocks: str, most: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
     """left and right with a column block, and partitioned by it: a grid of compounds by compounds, each row of a side in all blocks that its compound has in the grid.
 
@@ -175,31 +184,52 @@ def contact_pairs(ref: DataFrame, sel: DataFrame, cutoff: float, boxes: DataFram
     return pairs.withColumn("dist", F.sqrt(squared)).where(F.col("dist") <= cutoff).select(*chosen)
 
 
-def compound_pairs(ref: DataFrame, sel: DataFrame, cutoff: float, boxes: DataFrame | None = None, compound: str = "cmp", make: str = "counts", blocks: str = "pairs") -> DataFrame:
+#: Columns of what compound_pairs makes, and what it has to be told for it.
+MADE = {
+    "counts": ("frame {frame}, ref {ref}, sel {sel}, n long", ()),
+    "runs": (f"ref {{ref}}, sel {{sel}}, start int, stop int, {RUNS} int", ()),
+    "longest": ("ref {ref}, sel {sel}, start int, stop int", ()),
+    "levels": ("frame {frame}, ref {ref}, n long, k long", ()),
+    "common": ("ref {ref}, sel {sel}", ("n_frames",)),
+    "meetings": ("ref {ref}, f0 int, f1 int, n long, size long, total double, square double, least double, greatest double", ("apart",)),
+    "filled": ("frame {frame}, ref {ref}, sel {sel}", ("intermittency", "n_frames")),
+    "checks": ("n long, repeated long, nulls long, outside long", ("n_frames", "n_refs", "n_sels")),
+}
+#: What is no more than particles, or seldom is.
+FEWER = ("longest", "levels", "common", "meetings", "checks")
+
+
+def compound_pairs(ref: DataFrame, sel: DataFrame, cutoff: float, boxes: DataFrame | None = None, compound: str = "cmp", make: str = "counts", blocks: str = "pairs", **options) -> DataFrame:
     """Contacts of the compounds of ref and sel (see contact_pairs), found and summed block by block (operators/near.py).
 
     make is counts: (block, frame, ref, sel, n), the contacts of their particles; runs: (block, ref, sel, start, stop, runs), where they have a
     contact at start .. stop - 1, and how many runs the two have; longest: (block, ref, sel, start, stop), of the runs of a reference compound
-    that begin at one frame the longest, of the lowest number, in each block.  Only counts are right with blocks of frames.
+    that begin at one frame the longest, of the lowest number, in each block; levels: (block, frame, ref, n, k), see levels, whose k are
+    to be summed over blocks; common: (block, ref, sel), those in contact in n_frames frames; meetings: (block, ref, f0, f1, n, size, total, square, least, greatest), in how many
+    contacts a reference compound is at both frames, of f0 = f1 and of f1 - f0 from apart[0] to apart[1], and of f0 = f1 how many of the partners have a number, their sum,
+    the squares about their mean, and the ends, in each block; filled: (block, frame, ref, sel), repair.correct_contact_intermittency by
+    intermittency and n_frames; checks: (block, n, repeated, nulls, outside), of a part of a block check_contacts by n_frames, n_refs and n_sels.
+    Counts, levels and checks alone are right with blocks of frames.  Blocks of what is no more than particles are few, and take their pairs part by part.
     """
-    if make not in ("counts", "runs", "longest") or (make != "counts" and blocks != "pairs"):
+    if make not in MADE or (make not in ("counts", "levels", "checks") and blocks != "pairs"):
         raise ValueError(f"unknown result {make!r} of blocks of {blocks}")
+    options = {c: options.get(c) for c in MADE[make][1]}
     importable(ref.sparkSession)
     left, right, _, shape, _ = _by_cell(ref, sel, cutoff, boxes, "ref", compound)
     left = left.withColumnsRenamed({f"_c{a}": f"c{a}" for a in AXES})
     cell = ["frame", *(f"c{a}" for a in AXES)]
     left, right = (rows.withColumns({c: F.col(c).cast("long") for c in (*cell, *(f"n{a}" for a in AXES)) if c in rows.columns}).dropna(subset=cell) for rows in (left, right))
-    left, right = _in_blocks(left, right, ("ref_cmp", "sel_cmp"), blocks, _blocks(left, right, cell, BLOCK_PAIRS))
+    number = _few_blocks(left, right, cell, blocks == "frames") if make in FEWER else _blocks(left, right, cell, BLOCK_PAIRS)
+    left, right = _in_blocks(left, right, ("ref_cmp", "sel_cmp"), blocks, number)
     ref_type, sel_type = (rows.schema[f"{side}_cmp"].dataType.simpleString() for side, rows in (("ref", left), ("sel", right)))
-    both = f"ref {ref_type}, sel {sel_type}"
-    schema = StructType.fromDDL(f"{BLOCK} int, " + (f"frame {ref.schema['frame'].dataType.simpleString()}, {both}, n long" if make == "counts" else f"{both}, start int, stop int" + (f", {RUNS} int" if make == "runs" else "")))
+    schema = StructType.fromDDL(f"{BLOCK} int, " + MADE[make][0].format(frame=ref.schema["frame"].dataType.simpleString(), ref=ref_type, sel=sel_type))
     out = to_arrow_schema(schema)
 
     def found(key: tuple, one: pa.Table, many: pa.Table) -> pa.Table:
-        pairs = near.block_pairs(one, many, shape, cutoff, make)
+        pairs = near.block_pairs(one, many, shape, cutoff, make, options)
         if pairs is None:
             return out.empty_table()
-        number = pa.chunked_array([pa.repeat(key[0], len(b)) for b in pairs.to_batches()])
+        number = pa.chunked_array([pa.repeat(key[0], len(b)) for b in pairs.to_batches()], key[0].type)
         return pairs.add_column(0, BLOCK, number).cast(out)
 
     return left.drop("ref").groupBy(BLOCK).cogroup(right.drop("sel").groupBy(BLOCK)).applyInArrow(found, schema)
@@ -298,7 +328,9 @@ def n_common_contacts(contacts: DataFrame, n_frames: int) -> DataFrame:
 
 
 def common_contacts(contacts: DataFrame, n_frames: int) -> DataFrame:
-    """(ref, sel) in contact in every one of n_frames frames: the intersection of the frames' sets."""
+    """(ref, sel) in contact in every one of n_frames frames: the intersection of the frames' sets; those that compound_pairs has found stay as they are."""
+    if "frame" not in contacts.columns and "start" not in contacts.columns:
+        return contacts.select("ref", "sel")
     runs = contact_runs(contacts)
     keys = [*block_of(runs), "ref", "sel"]
     if RUNS in runs.columns:  # of those with a single run it alone tells
@@ -333,7 +365,9 @@ def contact_hists(counts: DataFrame, refs: DataFrame, keys: list[str] | None = N
 
 
 def levels(counts: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """([keys,] [frame,] ref, n, k): with how many partners a reference compound has n contacts; far fewer rows than counts."""
+    """([keys,] [frame,] ref, n, k): with how many partners a reference compound has n contacts; far fewer rows than counts.  Levels of compound_pairs stay as they are, a row for each block."""
+    if "k" in counts.columns:
+        return counts.select(*(c for c in counts.columns if c != BLOCK))
     by = [*(keys or []), "ref", *(["frame"] if "frame" in counts.columns and "frame" not in (keys or []) else [])]
     return counts.groupBy(*by, "n").agg(F.count("*").alias("k"))
 
@@ -355,8 +389,9 @@ def hists_of_levels(counts: DataFrame, refs: DataFrame, keys: list[str], max_n:
 
 
 def contact_averages(counts: DataFrame, refs: DataFrame) -> DataFrame:
-    """One row: contacts per reference compound and frame, over all of them and over the bound ones; and the same of partners."""
-    each = counts.groupBy("frame", "ref").agg(F.count("*").alias("d"), F.sum("n").alias("t"))
+    """One row: contacts per reference compound and frame, over all of them and over the bound ones; and the same of partners.  counts may be levels."""
+    of = (F.sum("k"), F.sum(F.col("n") * F.col("k"))) if "k" in counts.columns else (F.count("*"), F.sum("n"))
+    each = counts.groupBy("frame", "ref").agg(of[0].alias("d"), of[1].alias("t"))
     full = refs.select("frame", "ref").join(each, ["frame", "ref"], "left")
     return full.agg(F.count("*").alias("n_refs"), F.count("d").alias("n_bound"), F.try_divide(F.sum("t"), F.count("*")).alias("contacts_all"), F.avg("t").alias("contacts_bound"), F.try_divide(F.sum("d"), F.count("*")).alias("partners_all"), F.avg("d").alias("partners_bound"))
 
@@ -420,8 +455,10 @@ def changes_of_kind(found: DataFrame, kind: str = "any", n_det: int = 1, n_att:
 def check_contacts(contacts: DataFrame, n_frames: int | None = None, n_refs: int | None = None, n_sels: int | None = None) -> DataFrame:
     """One row: contacts, repeated ones, those with a null, and those outside of the frames and numbers from 0 that are given.
 
-    What holds for a sequence of equal contact matrices, said of its long form.
+    What holds for a sequence of equal contact matrices, said of its long form.  Checks of compound_pairs are summed.
     """
+    if "repeated" in contacts.columns:
+        return contacts.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "repeated", "nulls", "outside")))
     null = F.col("frame").isNull() | F.col("ref").isNull() | F.col("sel").isNull()
     outside = F.lit(False)
     for c, n in (("frame", n_frames), ("ref", n_refs), ("sel", n_sels)):

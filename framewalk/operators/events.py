@@ -159,8 +159,10 @@ def occupancy_by_bin(events: DataFrame, bin_: Column) -> DataFrame:
 def shared_partners(contacts: DataFrame, most: int) -> DataFrame:
     """(ref, f0, f1, common): in how many contacts a compound is at both of two frames at most so many apart; those that are in none do not appear.
 
-    Only pairs in contact in several frames leave the partition of their block.
+    Only pairs in contact in several frames leave the partition of their block.  Meetings of compound_pairs are summed.
     """
+    if "f0" in contacts.columns:
+        return contacts.where((F.col("f1") > F.col("f0")) & (F.col("f1") - F.col("f0") <= most)).groupBy("ref", "f0", "f1").agg(F.sum("n").alias("common"))
     runs = runs_of(contacts)
     if RUNS in runs.columns:
         runs = runs.where((F.col(RUNS) > 1) | (F.col("stop") - F.col("start") > 1))
@@ -172,9 +174,29 @@ def shared_partners(contacts: DataFrame, most: int) -> DataFrame:
 
 def partner_numbers(contacts: DataFrame) -> DataFrame:
     """(frame, ref, n): partners of each compound that has some."""
+    if "f0" in contacts.columns:
+        return contacts.where("f0 = f1").groupBy(F.col("f0").alias("frame"), "ref").agg(F.sum("n").alias("n"))
     return contact_frames(contacts).groupBy("frame", "ref").agg(F.count("*").alias("n"))
 
 
+def partner_stats(contacts: DataFrame) -> DataFrame:
+    """(frame, ref, n, mean, var, min, max): partners of each compound that has some, and their numbers."""
+    if "f0" not in contacts.columns:
+        return contact_frames(contacts).groupBy("frame", "ref").agg(F.count("*").alias("n"), F.avg("sel").alias("mean"), F.var_pop("sel").alias("var"), F.min("sel").cast("double").alias("min"), F.max("sel").cast("double").alias("max"))
+    part = F.struct("size", "total", "square")
+    each = contacts.where("f0 = f1").groupBy(F.col("f0").alias("frame"), "ref").agg(F.sum("n").alias("n"), F.sum("size").alias("size"), F.sort_array(F.collect_list(part)).alias("parts"), F.min("least").alias("min"), F.max("greatest").alias("max"))
+    total = F.aggregate("parts", F.lit(0.0), lambda a, p: a + p["total"])
+    each = each.withColumn("mean", F.try_divide(total, F.col("size")))
+    about = lambda p: F.try_divide(p["total"], p["size"]) - F.col("mean")
+    square = F.aggregate("parts", F.lit(0.0), lambda a, p: a + p["square"] + F.coalesce(p["size"] * about(p) * about(p), F.lit(0.0)))
+    return each.select("frame", "ref", "n", "mean", F.try_divide(square, F.col("size")).alias("var"), "min", "max")
+
+
+def _once(contacts: DataFrame, *more: str) -> DataFrame:
+    """Meetings, written once since they are read several times; other contacts as they are."""
+    return kept(contacts.select("ref", "f0", "f1", "n", *more), "meetings") if "f0" in contacts.columns else contacts
+
+
 def contacts_at_moves(contacts: DataFrame, dtrj: DataFrame, lag: int = 0) -> DataFrame:
     """(kind, n_events, before, after, common, attached, detached): contacts lag frames before and after frames with and without a move.
 
@@ -186,6 +208,7 @@ def contacts_at_moves(contacts: DataFrame, dtrj: DataFrame, lag: int = 0) -> Dat
     first, last = F.lag("state", 1 + lag).over(w), F.lead("state", lag).over(w) if lag else F.col("state")
     rows = dtrj.select(F.col("cmp").alias("ref"), F.col("frame").alias("t0"), (F.col("state") != F.lag("state").over(w)).alias("moved"), first.alias("s0"), last.alias("s1")).where("s0 is not null and s1 is not null")
     rows = rows.select("ref", "t0", F.concat(F.when(F.col("moved"), "move").otherwise("stay"), F.when(F.col("s0") == F.col("s1"), F.lit("-same")).otherwise(F.lit("-different"))).alias("kind"))
+    contacts = _once(contacts)
     each = kept(partner_numbers(contacts), "partners")
     before = each.select("ref", (F.col("frame") + 1 + lag).alias("t0"), F.col("n").alias("before"))
     after = each.select("ref", (F.col("frame") - lag).alias("t0"), F.col("n").alias("after"))
@@ -221,6 +244,7 @@ def contacts_at_block_transitions(contacts: DataFrame, moves: DataFrame, lag: in
     before is taken at frame - lag, after at frame + gap + 1 + lag.
     """
     rows = moves.select(F.col("cmp").alias("ref"), "frame", "gap", "kind").withColumns({"f0": F.col("frame") - lag, "f1": F.col("frame") + F.col("gap") + 1 + lag})
+    contacts = _once(contacts)
     each = kept(partner_numbers(contacts), "partners")
     before, after = (each.select("ref", F.col("frame").alias(f), F.col("n").alias(name)) for f, name in (("f0", "b"), ("f1", "a")))
     both = shared_partners(contacts, _farthest(rows)).withColumnRenamed("common", "c")
@@ -253,9 +277,9 @@ def partners_at_block_transitions(contacts: DataFrame, moves: DataFrame, lag: in
     numbers of partners detached, attached and remaining, the mean, variance, least and largest partner number before and after
     (of bound compounds), and their mean absolute change (of those bound both times).
     """
-    own = contact_frames(contacts)
+    contacts = _once(contacts, "size", "total", "square", "least", "greatest")
     rows = moves.withColumnRenamed("cmp", "ref").withColumns({"f0": F.col("frame") - lag, "f1": F.col("frame") + F.col("gap") + 1 + lag})
-    each = kept(own.groupBy("frame", "ref").agg(F.count("*").alias("n"), F.avg("sel").alias("mean"), F.var_pop("sel").alias("var"), F.min("sel").cast("double").alias("min"), F.max("sel").cast("double").alias("max")), "partners")
+    each = kept(partner_stats(contacts), "partners")
     side = lambda f, tag: each.select(F.col("frame").alias(f), "ref", *(F.col(c).alias(f"{c}_{tag}") for c in ("n", "mean", "var", "min", "max")))
     both = shared_partners(contacts, _farthest(rows.where("counted")))
     full = rows.join(side("f0", "before"), ["ref", "f0"], "left").join(side("f1", "after"), ["ref", "f1"], "left").join(both, ["ref", "f0", "f1"], "left").fillna(0, ["n_before", "n_after", "common"])

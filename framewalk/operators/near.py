@@ -14,7 +14,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Pairs of particles that are compared at a time, and keys that are held before equal ones are summed.
-COMPARED, HELD = 1 << 18, 1 << 22
+COMPARED, HELD = 1 << 16, 1 << 22
+#: Pairs of a part of a block, the share of the compared ones that are pairs, and particles that it is estimated from.
+PART, SHARE, SAMPLE = 4_000_000, 0.34, 4096
+#: Places along x are in 2 ** FINE steps of a cell; distances of cells are taken to be shorter by this part of the cutoff than computed.
+FINE, NEAR = 10, 1e-6
 #: Rows of a batch that leaves a block.
 ROWS = 1 << 16
 
@@ -34,79 +38,128 @@ def _found(known: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return np.where(known[at] == keys, at, -1)
 
 
+def _inside(share: np.ndarray) -> bool:
+    share = share[~np.isnan(share)]
+    return not len(share) or (share.min() > -NEAR and share.max() < 1 + NEAR)
+
+
 class Block:
-    """The particles of a block by cell.  one has frame, cx, cy, cz, rx, ry, rz and, with boxes, nx, ny, nz and the box; many frame, cx, cy, cz, x, y, z."""
+    """The particles of a block by cell.  one has frame, cx, cy, cz, rx, ry, rz and, with boxes, nx, ny, nz and the box; many frame, cx, cy, cz, x, y, z.
+
+    Along x particles are in the order of their places in units of a cell, so that only those within reach are compared: from a row of cells
+    the reach is what is left of the cutoff.  In a skewed box, and where cells are not those of the places, cells alone count.  group numbers the rows of one that are asked about together.
+    """
 
-    def __init__(self, one: dict[str, np.ndarray], many: dict[str, np.ndarray], box: list[str], cutoff: float):
+    def __init__(self, one: dict[str, np.ndarray], many: dict[str, np.ndarray], box: list[str], cutoff: float, group: np.ndarray | None = None):
         self.cutoff, self.box = cutoff, box
         self.frames, frame = np.unique(many["frame"], return_inverse=True)
         at = _found(self.frames, one["frame"])
         self.rows = np.flatnonzero(at >= 0)
-        one = {k: v[self.rows] for k, v in one.items()}
-        at, cell, other = at[self.rows], {}, {}
-        self.n = {}
+        at, one = at[self.rows], {k: v[self.rows] for k, v in one.items()}
+        group = np.zeros(len(at), np.int64) if group is None else group[self.rows]
+        by = np.lexsort((one["cx"], one["cz"], one["cy"], at, group))  # sorted questions are answered faster
+        self.rows, self.at, group, one = self.rows[by], at[by], group[by], {k: v[by] for k, v in one.items()}
+        self.groups = np.concatenate(([0], np.flatnonzero(group[1:] != group[:-1]) + 1, [len(group)])) if len(group) else np.zeros(1, np.int64)
+        self.n = {a: one[f"n{a}"].astype(np.int64) for a in "xyz"} if box else {}
+        first = np.zeros(len(self.frames), np.int64)  # any row of one in the frame knows its box
+        first[self.at] = np.arange(len(self.at))
+        self.share = {a: self._share(one[f"r{a}"], one[f"c{a}"], one, a, slice(None)) for a in "xyz"}
+        shares = {a: self._share(many[a], many[f"c{a}"], one, a, first[frame]) for a in "xyz"}
+        #: Whether places are known within cells; those of frames that one does not have are not.
+        asked = np.bincount(self.at, minlength=len(self.frames))[frame] > 0
+        self.placed = len(box) <= 3 and all(_inside(v) for v in self.share.values()) and all(_inside(v[asked]) for v in shares.values())
+        for found in (self.share, shares):
+            for a in "xyz":
+                found[a] = np.nan_to_num(np.clip(found[a], 0.0, 1.0)) if self.placed else np.full(len(found[a]), 0.5)
+        self.cell, other = {}, {}
         for a in "xyz":
-            cell[a], other[a] = one[f"c{a}"], many[f"c{a}"]
-            if box:
-                self.n[a] = one[f"n{a}"]
-            else:  # without a box no cell is at the end of a row
-                low = min(cell[a].min(initial=0), other[a].min(initial=0)) - 1
-                cell[a], other[a] = cell[a] - low, other[a] - low
-                self.n[a] = np.full(len(at), max(cell[a].max(initial=0), other[a].max(initial=0)) + 2)
-        self.width = {a: int(max(cell[a].max(initial=0), other[a].max(initial=0), self.n[a].max(initial=0))) + 2 for a in "xyz"}
+            self.cell[a], other[a] = one[f"c{a}"].astype(np.int64), many[f"c{a}"].astype(np.int64)
+            if not box:  # without a box no cell is at the end of a row
+                low = min(self.cell[a].min(initial=0), other[a].min(initial=0)) - 1
+                self.cell[a], other[a] = self.cell[a] - low, other[a] - low
+                self.n[a] = np.full(len(self.at), max(self.cell[a].max(initial=0), other[a].max(initial=0)) + 2)
+        self.width = {a: int(max(self.cell[a].max(initial=0), other[a].max(initial=0), self.n[a].max(initial=0))) + 2 for a in "xyz"}
         self.lines, line = np.unique(frame * self.width["y"] + other["y"], return_inverse=True)
         self.columns, column = np.unique(line * self.width["z"] + other["z"], return_inverse=True)
-        place = column * self.width["x"] + other["x"]
+        x = other["x"] + shares["x"]
+        place = column * (self.width["x"] << FINE) + (x * (1 << FINE)).astype(np.int64)
         self.order = np.argsort(place, kind="stable")
         self.place, self.frame_of_many = place[self.order], frame[self.order]
         self.many = {a: many[a][self.order] for a in "xyz"}
-        by = np.lexsort((cell["x"], cell["z"], cell["y"], at))  # sorted questions are answered faster
-        self.rows, self.at, self.n = self.rows[by], at[by], {a: v[by] for a, v in self.n.items()}
-        self.cell = {a: v[by] for a, v in cell.items()}
-        self.one = {a: one[f"r{a}"][by] for a in "xyz"}
+        self.one = {a: one[f"r{a}"] for a in "xyz"}
+        self.size = {a: one[f"l{a}"] / self.n[a] if len(box) == 3 else np.full(len(self.at), float(cutoff)) for a in "xyz"}
         self.shape = {}
         for c in box:
-            v = one[c][by]
-            self.shape[c] = v[0] if len(v) and (v == v[0]).all() else v
+            self.shape[c] = one[c][0] if len(one[c]) and (one[c] == one[c][0]).all() else one[c]
+
+    def _share(self, value: np.ndarray, cell: np.ndarray, one: dict[str, np.ndarray], a: str, of: slice | np.ndarray) -> np.ndarray:
+        """How far into its cell a particle is, from 0 to 1."""
+        if len(self.box) > 3 or not len(self.at):
+            return np.full(len(value), 0.5)
+        if not self.box:
+            return value / self.cutoff - cell
+        part = value / one[f"l{a}"][of]
+        return (part - np.floor(part)) * self.n[a][of] - cell
 
-    def _steps(self, a: str, k: int, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The rows that have a cell k steps along an axis that no smaller step has led to, and its number."""
+    def _steps(self, a: str, k: int, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The rows that have a cell k steps along an axis that no smaller step has led to, its number, and the square of the least distance to it."""
         n = self.n[a][rows]
         rows = rows[(n >= 3) | (k == 0) | ((n == 2) & (k == 1))]
-        return rows, (self.cell[a][rows] + k) % self.n[a][rows]
+        n = self.n[a][rows]
+        if k == 0 or not self.placed:
+            away = np.zeros(len(rows))
+        else:
+            share = self.share[a][rows]
+            away = np.where(n >= 3, np.maximum((share if k < 0 else 1.0 - share) * self.size[a][rows] - NEAR * self.cutoff, 0.0), 0.0)
+        return rows, (self.cell[a][rows] + k) % n, away * away
 
-    def ranges(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row of one, first and last place + 1 in many): what lies in the cells around it, those of a row along x at once."""
-        found = []
+    def ranges(self, start: int = 0, stop: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row of one from start to stop, first and last place + 1 in many): what lies within reach in the cells around it, those of a row along x at once."""
+        found, count, most = [], (len(self.rows) if stop is None else stop) - start, self.cutoff * self.cutoff * (1 + NEAR)
         for ky in (-1, 0, 1):
-            rows, y = self._steps("y", ky, np.arange(len(self.rows)))
+            rows, y, dy = self._steps("y", ky, np.arange(start, start + count))
             line = _found(self.lines, self.at[rows] * self.width["y"] + y)
-            rows, line = rows[line >= 0], line[line >= 0]
-            of = np.full(len(self.rows), -1)
-            of[rows] = line
+            rows, line, dy = rows[line >= 0], line[line >= 0], dy[line >= 0]
+            of, far = np.full(count, -1), np.zeros(count)
+            of[rows - start], far[rows - start] = line, dy
             for kz in (-1, 0, 1):
-                there, z = self._steps("z", kz, rows)
-                column = _found(self.columns, of[there] * self.width["z"] + z)
-                there, column = there[column >= 0], column[column >= 0]
-                start, x, n = column * self.width["x"], self.cell["x"][there], self.n["x"][there]
-                found.append((there, start + np.maximum(x - 1, 0), start + np.minimum(x + 1, n - 1)))
-                for end, far in ((x == 0, n - 1), (x == n - 1, n * 0)):
-                    end = end & (n >= 3)
-                    found.append((there[end], (start + far)[end], (start + far)[end]))
+                there, z, dz = self._steps("z", kz, rows)
+                left = most - far[there - start] - dz
+                column = np.where(left >= 0, _found(self.columns, of[there - start] * self.width["z"] + z), -1)
+                there, column, left = there[column >= 0], column[column >= 0], left[column >= 0]
+                if not len(there):
+                    continue
+                n = self.n["x"][there] << FINE
+                reach = 1.0 if not self.placed else np.sqrt(left) / self.size["x"][there]
+                x = self.cell["x"][there] + self.share["x"][there]
+                low = np.floor((x - reach) * (1 << FINE)).astype(np.int64) - 1
+                high = np.floor((x + reach) * (1 << FINE)).astype(np.int64) + 1
+                base = column * (self.width["x"] << FINE)
+                around = high - low + 1 >= n
+                found.append((there, base + np.where(around, 0, np.maximum(low, 0)), base + np.where(around, n, np.minimum(high, n))))
+                if self.box:
+                    for over, a, b in ((low < 0, low + n, n), (high >= n, n * 0, high - n)):
+                        over = over & ~around
+                        found.append((there[over], (base + a)[over], (base + b)[over]))
+        if not found:
+            return (np.zeros(0, np.int64),) * 3
         rows, first, last = (np.concatenate(v) for v in zip(*found))
         low, high = np.searchsorted(self.place, first, "left"), np.searchsorted(self.place, last, "right")
         some = high > low
         return rows[some], low[some], high[some]
 
-    def _distance(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    def _square(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """The square of the distance of the minimum image, in the steps of geometry.vdist."""
         d = {a: self.many[a][j] - self.one[a][i] for a in "xyz"}
-        of = lambda c: self.shape[c] if np.ndim(self.shape[c]) == 0 else self.shape[c][i]
+        of = lambda c, at: self.shape[c] if np.ndim(self.shape[c]) == 0 else self.shape[c][at]
         if len(self.box) == 3:
             for a in "xyz":
-                length = of(f"l{a}")
-                d[a] -= np.floor(d[a] / length + 0.5) * length
+                far = np.flatnonzero(np.abs(d[a]) >= 0.49 * of(f"l{a}", i))  # nearer ones are moved by no box
+                if len(far):
+                    length = of(f"l{a}", i[far])
+                    d[a][far] -= np.floor(d[a][far] / length + 0.5) * length
         elif self.box:
-            m = {c: of(c) for c in self.box}
+            m = {c: of(c, i) for c in self.box}
             fz = d["z"] / m["m22"]
             fy = (d["y"] - fz * m["m21"]) / m["m11"]
             fx = (d["x"] - fz * m["m20"] - fy * m["m10"]) / m["m00"]
@@ -114,23 +167,32 @@ class Block:
             d["x"] -= ix * m["m00"] + iy * m["m10"] + iz * m["m20"]
             d["y"] -= iy * m["m11"] + iz * m["m21"]
             d["z"] -= iz * m["m22"]
-        return np.sqrt(d["x"] * d["x"] + d["y"] * d["y"] + d["z"] * d["z"])
+        square = d["x"] * d["x"]
+        square += d["y"] * d["y"]
+        square += d["z"] * d["z"]
+        return square
 
-    def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(row of one, row of many, number of the frame) of the pairs within the cutoff, a bounded many at a time."""
-        rows, low, high = self.ranges()
-        ends = np.cumsum(high - low)
+    def near(self, start: int = 0, stop: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(number of a row in the order of one, and of many) of the pairs within the cutoff, a bounded many at a time."""
+        rows, low, high = self.ranges(start, stop)
+        ends, most = np.cumsum(high - low), self.cutoff * self.cutoff * (1 + NEAR)
         k = 0
         while k < len(rows):
             stop = max(k + 1, int(np.searchsorted(ends, (ends[k - 1] if k else 0) + COMPARED, "right")))
             n = high[k:stop] - low[k:stop]
             i = np.repeat(rows[k:stop], n)
             j = np.arange(len(i)) + np.repeat(low[k:stop] - (np.cumsum(n) - n), n)
-            near = self._distance(i, j) <= self.cutoff
-            i, j = i[near], j[near]
-            yield self.rows[i], self.order[j], self.frame_of_many[j]
+            square = self._square(i, j)
+            close = np.flatnonzero(square <= most)
+            close = close[np.sqrt(square[close]) <= self.cutoff]
+            yield i[close], j[close]
             k = stop
 
+    def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(row of one, row of many, number of the frame) of the pairs within the cutoff, a bounded many at a time."""
+        for i, j in self.near():
+            yield self.rows[i], self.order[j], self.frame_of_many[j]
+
 
 def _once(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     keys.sort()
@@ -159,35 +221,173 @@ def summed(keys: Iterator[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return _merged(done, _once(np.concatenate(new))) if new else done
 
 
-def block_pairs(left: pa.Table, right: pa.Table, box: list[str], cutoff: float, make: str) -> pa.Table | None:
-    """What contacts.compound_pairs makes of one block's particles, without the block's number; None without any pair."""
+def _parts(ref: np.ndarray, n_refs: int, many: int) -> np.ndarray:
+    """Numbers of parts of a block for compounds in their order, many of them with about as many particles each."""
+    size = np.bincount(ref, minlength=n_refs)
+    return (np.cumsum(size) - size) * many // max(1, len(ref))
+
+
+def block_pairs(left: pa.Table, right: pa.Table, box: list[str], cutoff: float, make: str, options: dict | None = None) -> pa.Table | None:
+    """What contacts.compound_pairs makes of one block's particles, without the block's number; None without any pair.
+
+    The compounds of left are taken part by part, so that the keys of about PART pairs are held, however many the block has.
+    """
     if not len(left) or not len(right):
         return None
     (ref, refs), (sel, sels) = codes(left["ref_cmp"]), codes(right["sel_cmp"])
     arrays = lambda t, names: {c: t[c].to_numpy() for c in names}
     places = [f"c{a}" for a in "xyz"]
-    block = Block(arrays(left, ["frame", *places, "rx", "ry", "rz", *(["nx", "ny", "nz", *box] if box else [])]), arrays(right, ["frame", *places, "x", "y", "z"]), box, cutoff)
-    n_refs, n_sels, n_frames = len(refs), len(sels), len(block.frames)
-    if n_refs * n_sels * (n_frames + 1) >= 1 << 63:
+    one = arrays(left, ["frame", *places, "rx", "ry", "rz", *(["nx", "ny", "nz", *box] if box else [])])
+    many = arrays(right, ["frame", *places, "x", "y", "z"])
+    few = np.arange(0, len(ref), max(1, len(ref) // SAMPLE))
+    tried = Block({k: v[few] for k, v in one.items()}, many, box, cutoff)
+    _, low, high = tried.ranges()
+    of = _parts(ref, len(refs), max(1, int(SHARE * (high - low).sum() * len(ref) / len(few) / PART)))
+    del tried, low, high
+    block = Block(one, many, box, cutoff, of[ref])
+    del one, many
+    n_sels, n_frames = len(sels), len(block.frames)
+    if len(refs) * n_sels * (n_frames + 1) >= 1 << 63:
         raise OverflowError("too many compounds and frames for one block")
-    keys, n = summed((ref[i] * n_sels + sel[j]) * n_frames + f for i, j, f in block.pairs())
-    if not len(keys):
-        return None
-    pair, frame = keys // n_frames, block.frames[keys % n_frames]
-    if make == "counts":
-        made = {"frame": pa.array(frame, pa.int32()), "ref": refs.take(pa.array(pair // n_sels)), "sel": sels.take(pa.array(pair % n_sels)), "n": pa.array(n, pa.int64())}
-        return _in_batches(made)
-    code = keys % n_frames
-    first = np.flatnonzero(np.concatenate(([True], (pair[1:] != pair[:-1]) | (frame[1:] != frame[:-1] + 1))))
-    start, size, pair, code = frame[first], np.diff(np.append(first, len(frame))), pair[first], code[first]
-    made = {}
-    if make == "longest":
-        pair, start, size = longest(pair, code, size, n_sels, n_frames, block.frames)
-    else:
-        of = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1])))
-        runs = np.diff(np.append(of, len(pair)))
-        made = {"runs": pa.array(np.repeat(runs, runs), pa.int32())}
-    return _in_batches({"ref": refs.take(pa.array(pair // n_sels)), "sel": sels.take(pa.array(pair % n_sels)), "start": pa.array(start, pa.int32()), "stop": pa.array(start + size, pa.int32()), **made})
+    own, other = ref[block.rows] * (n_sels * n_frames), sel[block.order] * n_frames + block.frame_of_many
+    tables = []
+    for start, stop in zip(block.groups[:-1], block.groups[1:]):
+        keys, n = summed(own[i] + other[j] for i, j in block.near(start, stop))
+        if len(keys):
+            tables.append(MADE[make](Pairs(keys, n, refs, sels, block.frames), **(options or {})))
+    return pa.concat_tables(tables) if tables else None
+
+
+class Pairs:
+    """Contacts of compounds of a part: keys, which are sorted by compounds and frame, and n of each."""
+
+    def __init__(self, keys: np.ndarray, n: np.ndarray, refs: pa.Array, sels: pa.Array, frames: np.ndarray):
+        self.keys, self.n, self.refs, self.sels, self.frames = keys, n, refs, sels, frames
+        self.n_sels, self.n_frames = len(sels), len(frames)
+        self.pair, self.code = np.divmod(keys, self.n_frames)
+
+    @property
+    def frame(self) -> np.ndarray:
+        return self.frames[self.code]
+
+    def names(self, pair: np.ndarray) -> dict[str, pa.Array]:
+        ref, sel = np.divmod(pair, self.n_sels)
+        return {"ref": self.refs.take(pa.array(ref)), "sel": self.sels.take(pa.array(sel))}
+
+    def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(pair, number of the first frame, first frame, frames) of the runs."""
+        pair, frame = self.pair, self.frame
+        first = _firsts((pair[1:] != pair[:-1]) | (frame[1:] != frame[:-1] + 1))
+        return pair[first], self.code[first], frame[first], np.diff(np.append(first, len(frame)))
+
+
+def _firsts(other: np.ndarray) -> np.ndarray:
+    """Places of the first of equal neighbours, from whether a value differs from the one before."""
+    return np.flatnonzero(np.concatenate(([True], other)))
+
+
+def _counts(of: Pairs) -> pa.Table:
+    return _in_batches({"frame": pa.array(of.frame, pa.int32()), **of.names(of.pair), "n": pa.array(of.n, pa.int64())})
+
+
+def _runs(of: Pairs) -> pa.Table:
+    pair, _, start, size = of.runs()
+    first = _firsts(pair[1:] != pair[:-1])
+    runs = np.diff(np.append(first, len(pair)))
+    return _spans(of, pair, start, size, runs=pa.array(np.repeat(runs, runs), pa.int32()))
+
+
+def _longest(of: Pairs) -> pa.Table:
+    pair, code, _, size = of.runs()
+    return _spans(of, *longest(pair, code, size, of.n_sels, of.n_frames, of.frames))
+
+
+def _spans(of: Pairs, pair: np.ndarray, start: np.ndarray, size: np.ndarray, **more: pa.Array) -> pa.Table:
+    return _in_batches({**of.names(pair), "start": pa.array(start, pa.int32()), "stop": pa.array(start + size, pa.int32()), **more})
+
+
+def _levels(of: Pairs) -> pa.Table:
+    """With how many partners a reference compound has n contacts in a frame."""
+    most = int(of.n.max()) + 1
+    keys, k = _once((of.pair // of.n_sels * of.n_frames + of.code) * most + of.n)
+    at, n = np.divmod(keys, most)
+    return _in_batches({"frame": pa.array(of.frames[at % of.n_frames], pa.int32()), "ref": of.refs.take(pa.array(at // of.n_frames)), "n": pa.array(n, pa.int64()), "k": pa.array(k, pa.int64())})
+
+
+def _common(of: Pairs, n_frames: int) -> pa.Table:
+    """Pairs that are in contact in so many frames."""
+    first = _firsts(of.pair[1:] != of.pair[:-1])
+    return _in_batches(of.names(of.pair[first][np.diff(np.append(first, len(of.pair))) == n_frames]))
+
+
+def _meetings(of: Pairs, apart: tuple[int, int]) -> pa.Table:
+    """Partners of a reference compound at a frame (f0 = f1) with sums of their numbers, and those it has at both of two frames so many apart."""
+    at, own = np.unique(of.pair // of.n_sels * of.n_frames + of.code, return_inverse=True)
+    numbers = of.sels.cast(pa.float64()) if pa.types.is_integer(of.sels.type) or pa.types.is_floating(of.sels.type) else pa.nulls(of.n_sels, pa.float64())
+    value = numbers.to_numpy(zero_copy_only=False)[of.pair % of.n_sels]
+    known = ~np.isnan(value)
+    size, total = np.bincount(own, known), np.bincount(own, np.where(known, value, 0.0))
+    mean = np.divide(total, size, out=np.zeros(len(at)), where=size > 0)
+    off = np.where(known, value - mean[own], 0.0)
+    least, greatest = np.full(len(at), np.nan), np.full(len(at), np.nan)
+    np.fmin.at(least, own, value), np.fmax.at(greatest, own, value)
+    real = lambda x: pa.array(x, pa.float64(), from_pandas=True)
+    ref, frame = of.refs.take(pa.array(at // of.n_frames)), pa.array(of.frames[at % of.n_frames], pa.int32())
+    stats = {"size": pa.array(size.astype(np.int64)), "total": real(total), "square": real(np.bincount(own, off * off)), "least": real(least), "greatest": real(greatest)}
+    alone = _in_batches({"ref": ref, "f0": frame, "f1": frame, "n": pa.array(np.bincount(own), pa.int64()), **stats})
+    again = np.flatnonzero(np.concatenate(([False], of.pair[1:] == of.pair[:-1])) | np.concatenate((of.pair[1:] == of.pair[:-1], [False])))
+    pair, code, found, d = of.pair[again], of.code[again], [], 1
+    while True:  # frames of a pair are neighbours, the d-th is looked at
+        same = np.flatnonzero(pair[d:] == pair[:-d])
+        if not len(same):
+            break
+        between = of.frames[code[same + d]] - of.frames[code[same]]
+        same = same[(between >= apart[0]) & (between <= apart[1])]
+        found.append((pair[same] // of.n_sels * of.n_frames + code[same]) * of.n_frames + code[same + d])
+        d += 1
+    keys, n = _once(np.concatenate(found)) if found else _once(np.zeros(0, np.int64))
+    at, last = np.divmod(keys, of.n_frames)
+    both = {"ref": of.refs.take(pa.array(at // of.n_frames)), "f0": pa.array(of.frames[at % of.n_frames], pa.int32()), "f1": pa.array(of.frames[last], pa.int32()), "n": pa.array(n, pa.int64())}
+    return pa.concat_tables([alone, _in_batches({**both, **{c: pa.nulls(len(n), v.type) for c, v in stats.items()}})])
+
+
+def _filled(of: Pairs, intermittency: int, n_frames: int) -> pa.Table:
+    """Frames in contact after repair.correct_contact_intermittency, whose rule this is, on the runs of a pair and the gaps between them as arrays."""
+    pair, _, start, size = of.runs()
+    stop, first = start + size, np.concatenate(([True], pair[1:] != pair[:-1]))
+    last = np.append(first[1:], True)
+    before = np.where(first, 0, np.concatenate(([0], stop[:-1])))
+    run_long = (size > intermittency) | (start == 0) | (stop == n_frames)
+    gap_long = (start > before) & (first | (start - before > intermittency))
+    rest = last & (stop < n_frames)
+    # three turns a run, in order: the gap before it, itself, and what is left after the last one
+    bound = np.tile([False, True, False], len(pair))
+    at, long = np.stack((before, start, stop), 1).ravel(), np.stack((gap_long, run_long, rest), 1).ravel()
+    kept = np.flatnonzero(long)
+    bound, at, pair = bound[kept], at[kept], pair[kept // 3]
+    change = _firsts((pair[1:] != pair[:-1]) | (bound[1:] != bound[:-1]))
+    bound, at, pair = bound[change], at[change], pair[change]
+    until = np.where(np.append(pair[1:] == pair[:-1], False), np.append(at[1:], n_frames), n_frames)
+    at, until, pair = at[bound], until[bound], pair[bound]
+    n = until - at
+    frame = np.arange(n.sum()) + np.repeat(at - (np.cumsum(n) - n), n)
+    return _in_batches({"frame": pa.array(frame, pa.int32()), **of.names(np.repeat(pair, n))})
+
+
+def _checks(of: Pairs, n_frames: int | None, n_refs: int | None, n_sels: int | None) -> pa.Table:
+    """One row: what contacts.check_contacts counts, of this part."""
+    ref, sel = np.divmod(of.pair, of.n_sels)
+    out, null = np.zeros(len(of.keys), bool), np.zeros(len(of.keys), bool)
+    for values, at, most in ((pa.array(of.frames), of.code, n_frames), (of.refs, ref, n_refs), (of.sels, sel, n_sels)):
+        beyond = pc.less(values, 0) if most is None else pc.or_(pc.less(values, 0), pc.greater_equal(values, most))
+        out |= pc.fill_null(beyond, False).to_numpy(zero_copy_only=False)[at]
+        null |= values.is_null().to_numpy(zero_copy_only=False)[at]
+    counted = {"n": len(of.keys), "repeated": int((of.keys[1:] == of.keys[:-1]).sum()), "nulls": null.sum(), "outside": out.sum()}
+    return pa.table({c: pa.array([int(v)], pa.int64()) for c, v in counted.items()})
+
+
+#: What a part's pairs are made to.
+MADE = {"counts": _counts, "runs": _runs, "longest": _longest, "levels": _levels, "common": _common, "meetings": _meetings, "filled": _filled, "checks": _checks}
 
 
 def longest(pair: np.ndarray, code: np.ndarray, size: np.ndarray, n_sels: int, n_frames: int, frames: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

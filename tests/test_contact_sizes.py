@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import rows
 from pyspark.sql import functions as F
@@ -93,3 +94,113 @@ def test_few_pairs_are_held(monkeypatch):
     keys, n = near.summed(np.asarray(i % 5) for i, _, _ in found)
     assert keys.tolist() == [0, 1, 2, 3, 4] and n.sum() == want
     assert near.longest(np.array([0, 1, 2, 3]), np.array([1, 1, 0, 0]), np.array([1, 1, 1, 2]), 2, 3, np.array([4, 5, 6]))[0].tolist() == [0, 3]
+
+
+@pytest.mark.parametrize("box", [None, (12.0, 12.0, 12.0), (10.0, 7.0, 3.5), (12.0, 13.0, 14.0, 80.0, 75.0, 70.0)])
+def test_blocks_in_parts(box, monkeypatch):
+    """A block's pairs are taken part by part, no more keys than a part's are held, and along x only what is in reach is compared."""
+    made, n = np.random.default_rng(5), 900
+    shape = geometry_shape(box)
+    many = {"frame": made.integers(0, 2, n), **{a: made.random(n) * 40 - 8 for a in "xyz"}}
+    one = {"frame": made.integers(0, 2, n), **{f"r{a}": made.random(n) * 40 - 8 for a in "xyz"}}
+    for side, places in ((one, ("rx", "ry", "rz")), (many, ("x", "y", "z"))):
+        for a, share in zip("xyz", shares([side[p] for p in places], box, shape)):
+            side[f"c{a}"] = np.floor(share / 3.0).astype(np.int64) if not box else np.minimum(shape[f"n{a}"] - 1, np.floor((share - np.floor(share)) * shape[f"n{a}"])).astype(np.int64)
+    names = [c for c in shape if c[0] != "n"]
+    one |= {c: np.full(n, v) for c, v in shape.items()}
+    left, right = pa.table({**one, "ref_cmp": made.integers(0, 60, n)}), pa.table({**many, "sel_cmp": made.integers(0, 50, n)})
+    sizes, summed = [], near.summed
+    monkeypatch.setattr(near, "summed", lambda keys: sizes.append(summed(keys)) or sizes[-1])
+    whole = near.block_pairs(left, right, names, 3.0, "counts")
+    ends, sizes[:] = len(sizes), []
+    monkeypatch.setattr(near, "PART", 200)
+    parts = near.block_pairs(left, right, names, 3.0, "counts")
+    assert ends == 1 and len(sizes) > 2 and max(len(k) for k, _ in sizes) < 0.6 * len(whole)
+    order = [(c, "ascending") for c in ("frame", "ref", "sel")]
+    assert parts.combine_chunks().sort_by(order).equals(whole.combine_chunks().sort_by(order))
+    block = near.Block({k: v for k, v in one.items()}, many, names, 3.0)
+    i, j = np.meshgrid(np.arange(n), np.arange(n), indexing="ij")
+    i, j = i[one["frame"][:, None] == many["frame"]], j[one["frame"][:, None] == many["frame"]]
+    d2 = least_squares_of_images(np.stack([many[a][j] - one[f"r{a}"][i] for a in "xyz"]), box, shape)
+    assert sum(len(a) for a, _, _ in block.pairs()) == (np.sqrt(d2) <= 3.0).sum() == np.asarray(whole["n"]).sum() > 300
+    _, low, high = block.ranges()
+    assert len(names) == 6 or (high - low).sum() < (6 if box else 5) * (np.sqrt(d2) <= 3.0).sum()
+
+
+def geometry_shape(box):
+    if not box:
+        return {}
+    if len(box) == 3:
+        return {**{f"n{a}": max(1, math.floor(v / 3.0)) for a, v in zip("xyz", box)}, **{f"l{a}": v for a, v in zip("xyz", box)}}
+    (ax, bx, cx), by = (box[0], box[1] * math.cos(math.radians(box[5])), box[2] * math.cos(math.radians(box[4]))), box[1] * math.sin(math.radians(box[5]))
+    cy = (box[1] * box[2] * math.cos(math.radians(box[3])) - bx * cx) / by
+    cz = math.sqrt(box[2] ** 2 - cx * cx - cy * cy)
+    m = np.array([[ax, 0, 0], [bx, by, 0], [cx, cy, cz]])
+    heights = 1 / np.linalg.norm(np.linalg.inv(m), axis=0)
+    return {**{f"n{a}": max(1, math.floor(h / 3.0)) for a, h in zip("xyz", heights)}, **{f"m{i}{k}": m[i, k] for i in range(3) for k in range(i + 1)}}
+
+
+def shares(places, box, shape):
+    if not box:
+        return places
+    if len(box) == 3:
+        return [p / v for p, v in zip(places, box)]
+    z = places[2] / shape["m22"]
+    y = (places[1] - z * shape["m21"]) / shape["m11"]
+    return [(places[0] - z * shape["m20"] - y * shape["m10"]) / shape["m00"], y, z]
+
+
+def least_squares_of_images(d, box, shape):
+    """Squares of the distances, by the steps that the queries' SQL has."""
+    if box and len(box) == 3:
+        d = np.stack([v - np.floor(v / length + 0.5) * length for v, length in zip(d, box)])
+    elif box:
+        ix, iy, iz = (np.floor(f + 0.5) for f in shares(d, box, shape))
+        d = np.stack([d[0] - (ix * shape["m00"] + iy * shape["m10"] + iz * shape["m20"]), d[1] - (iy * shape["m11"] + iz * shape["m21"]), d[2] - iz * shape["m22"]])
+    return (d * d).sum(0)
+
+
+def test_sums_of_blocks(spark, monkeypatch):
+    """What blocks sum, without a pair as a row, is what is made of the contacts; in several blocks and parts."""
+    monkeypatch.setattr(contacts, "FEWEST", 9)
+    sides = []
+    for side, seed in (("ref", 1), ("sel", 5)):
+        at = [(F.rand(seed + k) * 9).alias(a) for k, a in enumerate("xyz")]
+        sides.append(spark.range(500).select((F.col("id") % 8).cast("int").alias("frame"), F.col("id").alias(side), (F.xxhash64("id", F.lit(seed)) % 13).alias("cmp"), *at).localCheckpoint())
+    boxes = spark.range(8).select(F.col("id").cast("int").alias("frame"), *(F.lit(9.0).alias(f"l{a}") for a in "xyz"))
+    plain = contacts.compound_counts(contacts.contact_pairs(*sides, 1.5, boxes, compound="cmp")).coalesce(1).localCheckpoint()
+    made = lambda make, blocks="pairs", **options: contacts.compound_pairs(*sides, 1.5, boxes, make=make, blocks=blocks, **options).coalesce(1).localCheckpoint()
+    refs = sides[0].select("frame", F.col("cmp").alias("ref")).distinct()
+    levels = made("levels", "frames")
+    assert rows(contacts.contact_hists(levels, refs)) == rows(contacts.contact_hists(plain, refs))
+    assert rows(contacts.contact_averages(made("levels"), refs)) == rows(contacts.contact_averages(plain, refs))
+    dtrj = refs.sparkSession.range(13 * 8).select((F.col("id") % 13 - 6).alias("cmp"), F.floor(F.col("id") / 13).cast("int").alias("frame"), (F.xxhash64("id") % 2).alias("state"))
+    dtrj = dtrj.unionByName(dtrj.select((F.col("cmp") - 13).alias("cmp"), "frame", "state")).unionByName(dtrj.select((F.col("cmp") + 13).alias("cmp"), "frame", "state"))
+    assert rows(events.contact_hists_at_moves(levels, refs, dtrj)) == rows(events.contact_hists_at_moves(plain, refs, dtrj))
+    for n in (1, 2):
+        assert rows(contacts.n_common_contacts(made("common", n_frames=n), n)) == rows(contacts.n_common_contacts(plain, n))
+        assert rows(made("filled", intermittency=n, n_frames=8).drop("block")) == rows(repair.correct_contact_intermittency(plain, n, 8))
+    meetings = made("meetings", apart=(1, 8))
+    assert meetings.select("block").distinct().count() > 3
+    assert rows(events.partner_numbers(meetings)) == rows(events.partner_numbers(plain))
+    stats = lambda found: rows(found.withColumns({c: F.round(F.col(c) + 1e-9, 4) for c in ("mean", "var")}))
+    assert stats(events.partner_stats(meetings)) == stats(events.partner_stats(plain))
+    assert rows(events.shared_partners(meetings, 3)) == rows(events.shared_partners(plain, 3))
+    assert rows(events.contacts_at_moves(made("meetings", apart=(3, 3)), dtrj, 1)) == rows(events.contacts_at_moves(plain, dtrj, 1))
+    moves = events.block_transitions(dtrj, 1, 3)
+    assert rows(events.contacts_at_block_transitions(meetings, moves)) == rows(events.contacts_at_block_transitions(plain, moves))
+    history = events.block_transitions_with_history(dtrj, 1, 3)
+    assert rows(events.partners_at_block_transitions(meetings, history)) == rows(events.partners_at_block_transitions(plain, history))
+    assert rows(contacts.check_contacts(made("checks", "frames", n_frames=6, n_refs=5), 6, 5)) == rows(contacts.check_contacts(plain, 6, 5))
+
+
+def test_few_blocks(spark, monkeypatch):
+    """Blocks whose result is no more than particles are no more for more pairs, so that each particle is shuffled no more often; only for more particles than one holds."""
+    side = spark.range(4000).select((F.col("id") % 2).cast("int").alias("frame"), *(F.lit(0).alias(c) for c in ("cx", "cy", "cz")))
+    cell = ["frame", "cx", "cy", "cz"]
+    monkeypatch.setattr(contacts, "BLOCK_PAIRS", 1000)
+    assert contacts._blocks(side, side, cell, contacts.BLOCK_PAIRS)[0] > 30000
+    assert contacts._few_blocks(side, side, cell, False) == (64, 2) == contacts._few_blocks(side, side, cell, True)
+    monkeypatch.setattr(contacts, "HELD", 500)
+    assert contacts._few_blocks(side, side, cell, False) == (256, 2)
+    assert contacts._few_blocks(side, side, cell, True) == (128, 2)
