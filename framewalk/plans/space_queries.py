@@ -177,9 +177,14 @@ def _user_counts(spark, sf_dir, blocks="frames"):
     return found, ref.select("frame", F.col("cmp").alias("ref")).distinct(), sel.select("frame", F.col("cmp").alias("sel")).distinct()
 
 
-def _user_runs(spark, sf_dir, make="runs"):
-    """Runs of contact of users; the longest by start are enough for renewals."""
-    return contacts.compound_pairs(*particles(spark, sf_dir), CUTOFF, boxes_of_days(spark, sf_dir), make=make)
+def _user_runs(spark, sf_dir, make="runs", **options):
+    """Runs of contact of users; the longest by start are enough for renewals, and other sums need no runs at all."""
+    return contacts.compound_pairs(*particles(spark, sf_dir), CUTOFF, boxes_of_days(spark, sf_dir), make=make, **options)
+
+
+def _user_levels(spark, sf_dir):
+    """Contacts of a user and day by their number in a pair, and the users by day."""
+    return _user_runs(spark, sf_dir, "levels", blocks="frames"), particles(spark, sf_dir)[0].select("frame", F.col("cmp").alias("ref")).distinct()
 
 
 _USERS = f"""
@@ -465,6 +470,10 @@ mv AS (
   FROM vb WHERE to_ IS NOT NULL AND to_t0 - t0 - len <= 6)"""
 
 
+#: Frames from 1 before a move to 1 after it, with gaps of up to 6.
+_APART = (3, 9)
+
+
 def _blocks_sql(select: str) -> str:
     from framewalk.plans.tables import RUNS_SQL
 
@@ -504,7 +513,7 @@ SELECT h.kind, CAST(h.prev AS INTEGER) AS prev, count(*) AS n_moves, count(CASE
 FROM hc h LEFT JOIN st b ON b.ref = h.cmp AND b.frame = h.frame - 1 LEFT JOIN st a ON a.ref = h.cmp AND a.frame = h.frame + gap + 2 GROUP BY h.kind, h.prev"""))
 def partners_at_block_transitions(spark, sf_dir):
     moves = events.block_transitions_with_history(_user_states(spark, sf_dir), 2, 6)
-    made = events.partners_at_block_transitions(_user_runs(spark, sf_dir), moves, 1)
+    made = events.partners_at_block_transitions(_user_runs(spark, sf_dir, "meetings", apart=_APART), moves, 1)
     return made.withColumns({c: _tie5(F.col(c)) for c in made.columns if made.schema[c].dataType.typeName() == "double"})
 
 
