@@ -459,7 +459,7 @@ n AS (
 SELECT kind, count(*) AS n_events, CAST(sum(b) AS BIGINT) AS before, CAST(sum(a) AS BIGINT) AS after, CAST(sum(c) AS BIGINT) AS common, CAST(sum(a - c) AS BIGINT) AS attached, CAST(sum(b - c) AS BIGINT) AS detached
 FROM n GROUP BY kind""")
 def contacts_at_moves(spark, sf_dir):
-    return events.contacts_at_moves(_user_runs(spark, sf_dir), _user_states(spark, sf_dir), 1)
+    return events.contacts_at_moves(_user_runs(spark, sf_dir, "meetings", apart=(3, 3)), _user_states(spark, sf_dir), 1)
 
 
 _BLOCKS = """
