@@ -223,8 +223,7 @@ g AS (SELECT unnest(range(0, (SELECT max(n) + 1 FROM k))) AS n)
 SELECT g.n, count(CASE WHEN k = 'd' THEN 1 END) AS diff, count(CASE WHEN k = 's' THEN 1 END) AS same, count(CASE WHEN k = 't' THEN 1 END) AS tot, count(CASE WHEN k = 'p' THEN 1 END) AS pair
 FROM g LEFT JOIN k ON g.n = k.n GROUP BY g.n""")
 def contact_hists(spark, sf_dir):
-    counts, refs, _ = _user_counts(spark, sf_dir)
-    return contacts.contact_hists(counts, refs)
+    return contacts.contact_hists(*_user_levels(spark, sf_dir))
 
 
 @query(f"""
