@@ -255,7 +255,7 @@ def atoms_around_point(spark, sf_dir):
 
 @query(f"WITH {_USERS} SELECT count(*) AS n, CAST(0 AS BIGINT) AS repeated, CAST(0 AS BIGINT) AS nulls, count(CASE WHEN ref >= 100 OR frame >= 20 THEN 1 END) AS outside FROM cc")
 def check_contacts(spark, sf_dir):
-    return contacts.check_contacts(_user_counts(spark, sf_dir)[0].select("frame", "ref", "sel"), 20, 100)
+    return contacts.check_contacts(_user_runs(spark, sf_dir, "checks", blocks="frames", n_frames=20, n_refs=100))
 
 
 def _gaps_sql(rows: str, out: str) -> str:
