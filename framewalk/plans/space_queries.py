@@ -491,7 +491,7 @@ SELECT kind, count(*) AS n_events, round(avg(b), 6) + 0.0 AS avg_before, round(a
 FROM n GROUP BY kind"""))
 def contacts_at_block_transitions(spark, sf_dir):
     moves = events.block_transitions(_user_states(spark, sf_dir), 2, 6)
-    made = events.contacts_at_block_transitions(_user_runs(spark, sf_dir), moves, 1)
+    made = events.contacts_at_block_transitions(_user_runs(spark, sf_dir, "meetings", apart=_APART), moves, 1)
     return made.withColumns({c: _round(F.col(c)) for c in made.columns if c.startswith("avg")})
 
 
