@@ -244,7 +244,7 @@ def contacts_per_frame(spark, sf_dir):
 
 @query(f"WITH {_USERS}, p AS (SELECT ref, sel FROM cc GROUP BY ref, sel HAVING count(DISTINCT frame) = 2) SELECT count(*) AS n FROM p")
 def contacts_in_common(spark, sf_dir):
-    return contacts.n_common_contacts(_user_runs(spark, sf_dir), 2)
+    return contacts.n_common_contacts(_user_runs(spark, sf_dir, "common", n_frames=2), 2)
 
 
 @query(f"""
