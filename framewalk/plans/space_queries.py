@@ -413,8 +413,7 @@ g AS (SELECT moved, unnest(range(0, top + 1)) AS n FROM (SELECT moved, max(n) AS
 SELECT g.moved, g.n, count(CASE WHEN k = 'd' THEN 1 END) AS diff, count(CASE WHEN k = 's' THEN 1 END) AS same, count(CASE WHEN k = 't' THEN 1 END) AS tot, count(CASE WHEN k = 'p' THEN 1 END) AS pair
 FROM g LEFT JOIN k ON g.n = k.n AND g.moved = k.moved GROUP BY g.moved, g.n""")
 def contact_hists_at_moves(spark, sf_dir):
-    counts, refs, _ = _user_counts(spark, sf_dir)
-    return events.contact_hists_at_moves(counts, refs, _user_states(spark, sf_dir))
+    return events.contact_hists_at_moves(*_user_levels(spark, sf_dir), _user_states(spark, sf_dir))
 
 
 @query(f"""{_RENEWALS}, ev AS (SELECT n.sel % 5 AS bin FROM op o JOIN nx n ON n.ref = o.ref AND n.t0 = o.t0 WHERE n.t0 > 0 AND n.stop < {N_DAYS_SQL})
