@@ -232,8 +232,7 @@ SELECT count(*) AS n_refs, count(t) AS n_bound, round(sum(t) / count(*), 6) + 0.
        round(sum(d) / count(*), 6) + 0.0 AS partners_all, round(avg(CASE WHEN d > 0 THEN d END), 6) + 0.0 AS partners_bound
 FROM e""")
 def contact_averages(spark, sf_dir):
-    counts, refs, _ = _user_counts(spark, sf_dir)
-    made = contacts.contact_averages(counts, refs)
+    made = contacts.contact_averages(*_user_levels(spark, sf_dir))
     return made.withColumns({c: _round(F.col(c)) for c in ("contacts_all", "contacts_bound", "partners_all", "partners_bound")})
 
 
