@@ -282,7 +282,7 @@ def correct_intermittency(spark, sf_dir):
   SELECT struct_pack(r := ref, s := sel) AS k, list_transform(range(0, {N_DAYS_SQL}), lambda f: CASE WHEN list_contains(l, CAST(f AS INTEGER)) THEN 1 ELSE 0 END) AS s
   FROM (SELECT ref, sel, list(DISTINCT frame) AS l FROM cc GROUP BY ref, sel))""", """, un AS (SELECT k, generate_subscripts(s, 1) - 1 AS frame, unnest(s) AS b FROM dn) SELECT CAST(frame AS INTEGER) AS frame, k.r AS ref, k.s AS sel FROM un WHERE b = 1"""))
 def contact_intermittency(spark, sf_dir):
-    return repair.correct_contact_intermittency(_user_runs(spark, sf_dir), 2, n_days(spark, sf_dir))
+    return _user_runs(spark, sf_dir, "filled", intermittency=2, n_frames=n_days(spark, sf_dir)).drop(contacts.BLOCK)
 
 
 # ---- renewals and displacements
