@@ -146,8 +146,12 @@ def displacement_by_bin(events: DataFrame, bin_: Column, value: Column) -> DataF
 
 
 def displacements_of_two_axes(events: DataFrame, bin_: Column, a: Column, b: Column) -> DataFrame:
-    """(bin, n, corr, slope): how the displacements along two axes go together, and the slope of b over a."""
-    return events.groupBy(bin_.alias("bin")).agg(F.count("*").alias("n"), F.corr(a, b).alias("corr"), F.regr_slope(b, a).alias("slope"))
+    """(bin, n, corr, slope): how the displacements along two axes go together, and the slope of b over a; null where one of them is the same throughout."""
+    rows = events.select(bin_.alias("bin"), a.cast("double").alias("a"), b.cast("double").alias("b"))
+    known = F.col("a").isNotNull() & F.col("b").isNotNull()
+    both = [F.when(known, F.col(c)) for c in ("a", "b")]  # corr itself divides by 0
+    corr = F.try_divide(F.covar_pop(*both), F.stddev_pop(both[0]) * F.stddev_pop(both[1]))
+    return rows.groupBy("bin").agg(F.count("*").alias("n"), corr.alias("corr"), F.try_divide(F.covar_pop(*both), F.var_pop(both[0])).alias("slope"))
 
 
 def occupancy_by_bin(events: DataFrame, bin_: Column) -> DataFrame:

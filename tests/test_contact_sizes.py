@@ -9,6 +9,7 @@ from helpers import rows
 from pyspark.sql import functions as F
 
 from framewalk.operators import contacts, dynamics, events, near, repair
+from framewalk.plans import registry
 
 
 @pytest.mark.parametrize("method", ["heuristic", "hybrid"])
@@ -204,3 +205,28 @@ def test_few_blocks(spark, monkeypatch):
     monkeypatch.setattr(contacts, "HELD", 500)
     assert contacts._few_blocks(side, side, cell, False) == (256, 2)
     assert contacts._few_blocks(side, side, cell, True) == (128, 2)
+
+
+def most_rows(spark):
+    """The most rows that a step of the last query gave out."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    last = store.executionsList().last().executionId()
+    values, found, nodes = store.executionMetrics(last), [], store.planGraph(last).allNodes()
+    for metrics in (nodes.apply(k).metrics() for k in range(nodes.size())):
+        for m in (metrics.apply(i) for i in range(metrics.size())):
+            if m.name() in ("number of output rows", "shuffle records written") and values.contains(m.accumulatorId()):
+                found.append(int(values.apply(m.accumulatorId()).replace(",", "")))
+    return max(found)
+
+
+@pytest.mark.parametrize("name, n", [("events_by_bin", 1), ("displacements_of_two_axes", 1), ("occupancy_by_bin", 1), ("previous_events", 70), ("renewal_events", 70), ("compound_contact_counts", 9800)])
+def test_pairs_of_particles_are_no_rows(spark, tmp_path, name, n):
+    """On two of four days 210 clicks meet 210 purchases each: no step of these queries has a row for each of the 88,200 pairs."""
+    at = F.when((F.col("click") == 1) | F.col("day").isin(1, 2), 50.0).otherwise(300.0) + F.col("user_id") % 3
+    days = spark.range(1680).select(F.col("id").alias("event_id"), (F.col("id") % 4).alias("day"), F.floor(F.col("id") / 4) % 2, F.floor(F.col("id") / 24).alias("user_id")).toDF("event_id", "day", "click", "user_id")
+    ts = F.timestamp_seconds(F.unix_timestamp(F.lit("2024-01-01 10:00:00")) + F.col("day") * 86400)
+    table = days.select("event_id", ts.alias("ts"), "user_id", F.when(F.col("click") == 1, "click").otherwise("purchase").alias("event_type"), at.alias("value"), F.lit('{"k": 5}').alias("props"))
+    table.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    assert len(registry.QUERIES[name](spark, str(tmp_path)).collect()) == n
+    assert 1680 <= most_rows(spark) < 20_000
