@@ -19,7 +19,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from framewalk.functions import geometry
 from framewalk.operators import near
-from framewalk.operators.lags import at_least, in_runs, lag_pairs, run_overlaps
+from framewalk.operators.lags import at_lags, at_least, in_runs, lag_pairs, run_overlaps
 from framewalk.session import importable, kept
 
 AXES = ("x", "y", "z")
@@ -237,12 +237,13 @@ MADE = {
     "longest": ("ref {ref}, sel {sel}, start int, stop int", ()),
     "levels": ("frame {frame}, ref {ref}, n long, k long", ()),
     "common": ("ref {ref}, sel {sel}", ("n_frames",)),
+    "lags": ("frame {frame}, at long, n long", ("max_lag",)),
     "meetings": ("ref {ref}, f0 int, f1 int, n long, size long, total double, square double, least double, greatest double", ("apart",)),
     "filled": ("frame {frame}, ref {ref}, sel {sel}", ("intermittency", "n_frames")),
     "checks": ("n long, repeated long, nulls long, outside long", ("n_frames", "n_refs", "n_sels")),
 }
 #: What is no more than particles, or seldom is.
-FEWER = ("longest", "levels", "common", "meetings", "checks")
+FEWER = ("longest", "levels", "common", "lags", "meetings", "checks")
 
 
 def compound_pairs(ref: DataFrame, sel: DataFrame, cutoff: float, boxes: DataFrame | None = None, compound: str = "cmp", make: str = "counts", blocks: str = "pairs", **options) -> DataFrame:
@@ -251,7 +252,7 @@ def compound_pairs(ref: DataFrame, sel: DataFrame, cutoff: float, boxes: DataFra
     make is counts: (block, frame, ref, sel, n), the contacts of their particles; runs: (block, ref, sel, start, stop, runs), where they have a
     contact at start .. stop - 1, and how many runs the two have; longest: (block, ref, sel, start, stop), of the runs of a reference compound
     that begin at one frame the longest, of the lowest number, in each block; levels: (block, frame, ref, n, k), see levels, whose k are
-    to be summed over blocks; common: (block, ref, sel), those in contact in n_frames frames; meetings: (block, ref, f0, f1, n, size, total, square, least, greatest), in how many
+    to be summed over blocks; common: (block, ref, sel), those in contact in n_frames frames; lags: (block, frame, at, n), of a part of a block what autocorrelation sums, of lags up to max_lag (None: all); meetings: (block, ref, f0, f1, n, size, total, square, least, greatest), in how many
     contacts a reference compound is at both frames, of f0 = f1 and of f1 - f0 from apart[0] to apart[1], and of f0 = f1 how many of the partners have a number, their sum,
     the squares about their mean, and the ends, in each block; filled: (block, frame, ref, sel), repair.correct_contact_intermittency by
     intermittency and n_frames; checks: (block, n, repeated, nulls, outside), of a part of a block check_contacts by n_frames, n_refs and n_sels.
@@ -448,20 +449,30 @@ def autocorrelation(members: DataFrame, keys: list[str], n_frames: int, restart:
     """(lag, n_both, n_start, acf): the share of members (frame, keys) at t0 that are members at t0 + lag too.
 
     Starts are the frames 0, restart, ... but the last.  If every frame is a start, pairs are counted by pairs of runs
-    (memberships from one frame to another), otherwise by an equi-join on keys and buckets of frames.
+    (memberships from one frame to another), otherwise by an equi-join on keys and buckets of frames.  Of the lags of compound_pairs, whose starts are
+    all frames, the sums are taken.
     """
     most = min(n_frames - 1, max_lag or n_frames - 1)
-    keys = [*block_of(members), *keys]
-    rows = members.select("frame", *keys).distinct()
-    starts = rows.where((F.col("frame") % restart == 0) & (F.col("frame") < n_frames - 1))
     grid = members.sparkSession.range(most + 1).select(F.col("id").cast("int").alias("lag"))
-    if restart == 1:
-        spans = in_runs(rows, keys)
-        both = run_overlaps(spans, spans, keys, most, grid, "n_both")
-    else:
-        both = lag_pairs(starts.withColumnRenamed("frame", "f0"), rows, keys, most, min_lag=1).groupBy("lag").agg(F.count("*").alias("n_both"))
+    is_start = (F.col("frame") % restart == 0) & (F.col("frame") < n_frames - 1)
     reach = (F.lit(n_frames - 1) - F.col("frame")).alias("reach")
-    total = at_least(starts.groupBy(reach).agg(F.count("*").alias("n")), grid, [], "reach", "n_start").where("lag > 0")
+    if "at" in members.columns:
+        if restart != 1:
+            raise ValueError("lags of blocks start at every frame")
+        sums = kept(members.groupBy("frame", "at").agg(F.sum("n").alias("n")), "lags")
+        both = at_lags(sums.where("at is not null").select(F.col("at").alias("lag"), F.col("n").alias("d")), grid, "n_both")
+        counts = sums.where("at is null").where(is_start).select(reach, "n")
+    else:
+        keys = [*block_of(members), *keys]
+        rows = members.select("frame", *keys).distinct()
+        starts = rows.where(is_start)
+        if restart == 1:
+            spans = in_runs(rows, keys)
+            both = run_overlaps(spans, spans, keys, most, grid, "n_both")
+        else:
+            both = lag_pairs(starts.withColumnRenamed("frame", "f0"), rows, keys, most, min_lag=1).groupBy("lag").agg(F.count("*").alias("n_both"))
+        counts = starts.groupBy(reach).agg(F.count("*").alias("n"))
+    total = at_least(counts, grid, [], "reach", "n_start").where("lag > 0")
     joined = grid.join(both, "lag", "left").join(total, "lag", "left").fillna(0, ["n_both", "n_start"])
     return joined.withColumn("acf", F.when(F.col("lag") == 0, F.lit(1.0)).otherwise(F.try_divide(F.col("n_both").cast("double"), F.col("n_start"))))
 

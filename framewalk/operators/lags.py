@@ -78,8 +78,14 @@ def run_overlaps(first: DataFrame, later: DataFrame, keys: list[str], max_lag: i
     gap = F.col("_b") - F.col("_a")
     ramps = F.array(*(F.struct(at.cast("long").alias("at"), F.lit(sign).alias("d")) for at, sign in ((gap - F.col("_la"), 1), (gap, -1), (gap + F.col("_lb") - F.col("_la"), -1), (gap + F.col("_lb"), 1))))
     summed = pairs.select(*by, F.explode(ramps).alias("r")).groupBy(*by, F.col("r.at").alias("lag")).agg(F.sum("r.d").cast("long").alias("d"))
+    return at_lags(summed, grid, name, by)
+
+
+def at_lags(ramps: DataFrame, grid: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
+    """(by, lag, name): at the lags of grid the sum of ramps (by, lag, d), each of which is 0 up to its lag and grows by d a step from there."""
+    by = by or []
     w = Window.partitionBy(*by).orderBy("lag").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    both = summed.withColumn("asked", F.lit(False)).unionByName(grid.select(*by, F.col("lag").cast("long").alias("lag"), F.lit(0).cast("long").alias("d"), F.lit(True).alias("asked")))
+    both = ramps.withColumn("asked", F.lit(False)).unionByName(grid.select(*by, F.col("lag").cast("long").alias("lag"), F.lit(0).cast("long").alias("d"), F.lit(True).alias("asked")))
     value = F.col("lag") * F.sum("d").over(w) - F.sum(F.col("d") * F.col("lag")).over(w)
     return both.withColumn(name, value).where("asked and lag > 0").select(*by, F.col("lag").cast("int").alias("lag"), name)
 

@@ -363,6 +363,35 @@ def _common(of: Pairs, n_frames: int) -> pa.Table:
     return _in_batches(of.names(of.pair[first][np.diff(np.append(first, len(of.pair))) == n_frames]))
 
 
+def _lags(of: Pairs, max_lag: int | None) -> pa.Table:
+    """Pairs in contact by frame (at is null), and the ramps of lags.run_overlaps of the runs of one pair: the sum of their signs by place."""
+    frames, n = np.unique(of.code, return_counts=True)
+    pair, _, start, size = of.runs()
+    least, width = -int(size.max()), int(of.frames[-1] - of.frames[0]) + 1
+
+    def ramps() -> Iterator[np.ndarray]:
+        d, first = 0, np.arange(len(pair))  # runs of a pair are neighbours, the d-th is looked at
+        while len(first):
+            for low in range(0, len(first), COMPARED):
+                a, b = first[low : low + COMPARED], first[low : low + COMPARED] + d
+                gap = start[b] - start[a]
+                for at, less in ((gap - size[a], 0), (gap, 1), (gap + size[b] - size[a], 1), (gap + size[b], 0)):
+                    yield (at.astype(np.int64) - least) * 2 + less
+            d += 1
+            first = first[first + d < len(pair)]
+            same = pair[first + d] == pair[first]
+            first = first[same if max_lag is None else same & (start[first + d] - start[first] - size[first] < max_lag)]
+
+    keys, k = summed(ramps())
+    place, less = np.divmod(keys, 2)
+    first = _firsts(place[1:] != place[:-1])
+    sums = np.add.reduceat(np.where(less == 1, -k, k), first)
+    at = place[first] + least
+    some = (sums != 0) & (at < width if max_lag is None else at <= max_lag)
+    members = {"frame": pa.array(of.frames[frames], pa.int32()), "at": pa.nulls(len(frames), pa.int64()), "n": pa.array(n, pa.int64())}
+    return pa.concat_tables([pa.table(members), pa.table({"frame": pa.nulls(some.sum(), pa.int32()), "at": pa.array(at[some], pa.int64()), "n": pa.array(sums[some], pa.int64())})])
+
+
 def _meetings(of: Pairs, apart: tuple[int, int]) -> pa.Table:
     """Partners of a reference compound at a frame (f0 = f1) with sums of their numbers, and those it has at both of two frames so many apart."""
     at, own = np.unique(of.pair // of.n_sels * of.n_frames + of.code, return_inverse=True)
@@ -430,7 +459,7 @@ def _checks(of: Pairs, n_frames: int | None, n_refs: int | None, n_sels: int | N
 
 
 #: What a part's pairs are made to.
-MADE = {"counts": _counts, "runs": _runs, "longest": _longest, "levels": _levels, "common": _common, "meetings": _meetings, "filled": _filled, "checks": _checks}
+MADE = {"counts": _counts, "runs": _runs, "longest": _longest, "levels": _levels, "common": _common, "lags": _lags, "meetings": _meetings, "filled": _filled, "checks": _checks}
 
 
 def longest(pair: np.ndarray, code: np.ndarray, size: np.ndarray, n_sels: int, n_frames: int, frames: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

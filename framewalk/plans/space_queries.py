@@ -274,7 +274,7 @@ FROM g LEFT JOIN b ON g.lag = b.lag LEFT JOIN s ON g.lag = s.lag"""
 
 @query(_acf_sql("SELECT frame, struct_pack(r := ref, s := sel) AS k FROM cc"))
 def autocorr_bound(spark, sf_dir):
-    made = contacts.autocorrelation(_user_counts(spark, sf_dir, "pairs")[0], ["ref", "sel"], n_days(spark, sf_dir))
+    made = contacts.autocorrelation(_user_runs(spark, sf_dir, "lags"), ["ref", "sel"], n_days(spark, sf_dir))
     return made.withColumn("acf", _round(F.col("acf")))
 
 

@@ -9,19 +9,35 @@ from framewalk.operators import contacts, near
 from framewalk.plans import registry
 
 
-def shuffled(spark):
-    """The rows that the last query shuffled."""
-    store = spark._jsparkSession.sharedState().statusStore()
+def executions(spark):
     spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
-    last = store.executionsList().last().executionId()
-    values, total, nodes = store.executionMetrics(last), 0, store.planGraph(last).allNodes()
-    for metrics in (nodes.apply(k).metrics() for k in range(nodes.size())):
-        for m in (metrics.apply(i) for i in range(metrics.size())):
-            if m.name() == "shuffle records written" and values.contains(m.accumulatorId()):
-                total += int(values.apply(m.accumulatorId()).replace(",", ""))
+    return spark._jsparkSession.sharedState().statusStore().executionsCount()
+
+
+def shuffled(spark, since):
+    """The rows shuffled by all queries after the first so many."""
+    store, total = spark._jsparkSession.sharedState().statusStore(), 0
+    new = executions(spark) - since
+    for e in (store.executionsList(since, new).apply(k).executionId() for k in range(new)):
+        values, nodes = store.executionMetrics(e), store.planGraph(e).allNodes()
+        for metrics in (nodes.apply(k).metrics() for k in range(nodes.size())):
+            for m in (metrics.apply(i) for i in range(metrics.size())):
+                if m.name() == "shuffle records written" and values.contains(m.accumulatorId()):
+                    total += int(values.apply(m.accumulatorId()).replace(",", ""))
     return total
 
 
+@pytest.fixture(scope="module")
+def crowd(spark, tmp_path_factory):
+    """A folder of events: on each of four days 210 clicks of 70 users are at the place of 210 purchases of theirs, 44,100 contacts a day of 4,900 pairs of users."""
+    folder = tmp_path_factory.mktemp("crowd")
+    days = spark.range(1680).select(F.col("id").alias("event_id"), (F.col("id") % 4).alias("day"), F.floor(F.col("id") / 4) % 2, F.floor(F.col("id") / 24).alias("user_id")).toDF("event_id", "day", "click", "user_id")
+    ts = F.timestamp_seconds(F.unix_timestamp(F.lit("2024-01-01 10:00:00")) + F.col("day") * 86400)
+    table = days.select("event_id", ts.alias("ts"), "user_id", F.when(F.col("click") == 1, "click").otherwise("purchase").alias("event_type"), (50.0 + F.col("user_id") % 3).alias("value"), F.lit('{"k": 5}').alias("props"))
+    table.coalesce(1).write.parquet(f"{folder}/events.parquet")
+    return str(folder)
+
+
 BOXES = [None, (12.0, 12.0, 12.0), (10.0, 7.0, 3.5), (12.0, 13.0, 14.0, 80.0, 75.0, 70.0), (60.0, 11.0, 8.0, 80.0, 75.0, 70.0)]
 
 
@@ -58,7 +74,33 @@ def test_particle_pairs(spark, box, held, monkeypatch):
 
 def test_skewed_pairs_shuffle_particles(spark):
     """Particles are shuffled a few times, not once for each of the 27 cells around one."""
-    table = spark.read.parquet(f"{SF}/events.parquet").where("event_type in ('click', 'purchase')")
-    n = table.count()
-    registry.QUERIES["contact_pairs_skewed"](spark, SF).collect()
-    assert n <= shuffled(spark) <= 4 * n
+    n = spark.read.parquet(f"{SF}/events.parquet").where("event_type in ('click', 'purchase')").count()
+    made = registry.QUERIES["contact_pairs_skewed"](spark, SF)
+    since = executions(spark)
+    made.collect()
+    assert n <= shuffled(spark, since) <= 4 * n
+
+
+@pytest.mark.parametrize("most", [None, 2])
+def test_lags_of_blocks(spark, most, monkeypatch):
+    """Lags that blocks sum from runs, part by part, are those of all contacts."""
+    monkeypatch.setattr(contacts, "FEWEST", 4)
+    sides, boxes = two_sides(spark), boxes_of(spark, BOXES[1])
+    plain = contacts.compound_counts(contacts.contact_pairs(*sides, 3.0, boxes, compound="cmp")).localCheckpoint()
+    lags = contacts.compound_pairs(*sides, 3.0, boxes, make="lags", max_lag=most)
+    made, wanted = (contacts.autocorrelation(m, ["ref", "sel"], 8, max_lag=most) for m in (lags, plain.dropna()))
+    known = contacts.autocorrelation(contacts.compound_pairs(*(s.dropna(subset=["cmp"]) for s in sides), 3.0, boxes, make="lags", max_lag=most), ["ref", "sel"], 8, max_lag=most)
+    assert rows(known) == rows(wanted)
+    assert sum(r["n_both"] for r in known.collect()) > 50
+    assert made.where("n_start is null").isEmpty()
+    with pytest.raises(ValueError):
+        contacts.autocorrelation(lags, ["ref", "sel"], 8, 2)
+
+
+def test_autocorr_bound_shuffles_no_pairs(spark, crowd, monkeypatch):
+    """The 19,600 pairs of users and days stay in their blocks; the particles, counted and dealt out, leave them."""
+    monkeypatch.setattr(contacts, "FEWEST", 1)
+    since = executions(spark)
+    made = registry.QUERIES["autocorr_bound"](spark, crowd).orderBy("lag").collect()
+    assert [(r["lag"], r["n_both"], r["n_start"], r["acf"]) for r in made] == [(0, 0, 0, 1.0), *((k, 4900 * (4 - k), 4900 * min(3, 4 - k), 1.0) for k in (1, 2, 3))]
+    assert 1680 <= shuffled(spark, since) < 5000
