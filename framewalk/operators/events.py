@@ -53,6 +53,15 @@ def longest_bound(start: np.ndarray, stop: np.ndarray, sel: np.ndarray) -> list[
         at = end
 
 
+def deciding_runs(contacts: DataFrame) -> DataFrame:
+    """(ref, sel, start, stop): of the runs of a reference compound that begin at one frame the longest, of the lowest number.
+
+    At any frame the run that goes last, of the lowest number, is one of them, and so bound intervals and renewals of these contacts alone are those of all.
+    """
+    best = contact_runs(contacts).groupBy("ref", "start").agg(F.max(F.struct("stop", (-F.col("sel").cast("long")).alias("least"))).alias("b"))
+    return best.select("ref", (-F.col("b.least")).alias("sel"), "start", F.col("b.stop").alias("stop"))
+
+
 def bound_intervals(contacts: DataFrame) -> DataFrame:
     """(ref, sel, t0, stop) of longest_bound, for every reference compound.
 
@@ -68,8 +77,7 @@ def bound_intervals(contacts: DataFrame) -> DataFrame:
 
         return runs.map(one)
 
-    best = contact_runs(contacts).groupBy("ref", "start").agg(F.max(F.struct("stop", (-F.col("sel").cast("long")).alias("least"))).alias("b"))
-    each = best.groupBy("ref").agg(F.array_sort(F.collect_list(F.struct("start", (-F.col("b.least")).alias("sel"), F.col("b.stop").alias("stop")))).alias("runs"))
+    each = deciding_runs(contacts).groupBy("ref").agg(F.array_sort(F.collect_list(F.struct("start", "sel", "stop"))).alias("runs"))
     return each.select("ref", F.explode(intervals("runs")).alias("r")).select("ref", "r.sel", "r.t0", "r.stop")
 
 

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from framewalk.operators import contacts, events
 from framewalk.operators.contacts import AXES
 from framewalk.plans import box_queries, space_queries
-from framewalk.plans.space_queries import _RENEWALS, _day_positions, _user_counts
+from framewalk.plans.space_queries import _RENEWALS, _day_positions, _user_counts, _user_runs
 from framewalk.plans.tables import EVENTS_SQL, N_DAYS_SQL, RUNS_SQL, dtrj, n_days, particles
+from framewalk.session import drop, kept
 from framewalk.streaming import replay, runs
 
 QUERIES: dict = {}
@@ -63,12 +65,19 @@ SELECT n.ref, n.sel, CAST(n.t0 AS INTEGER) AS t0, CAST(n.stop - n.t0 AS INTEGER)
 FROM op o JOIN nx n ON n.ref = o.ref AND n.t0 = o.t0 JOIN rp r0 ON r0.cmp = n.ref AND r0.frame = n.t0 JOIN rp r1 ON r1.cmp = n.ref AND r1.frame = n.stop
 JOIN sp s0 ON s0.cmp = n.sel AND s0.frame = n.t0 JOIN sp s1 ON s1.cmp = n.sel AND s1.frame = n.stop WHERE n.t0 > 0 AND n.stop < {N_DAYS_SQL}""")
 def stream_renewal_moves(spark, sf_dir):
-    """Two streaming queries: renewals with what is known when they come, then the join with the positions of their partners."""
+    """Two streaming queries: renewals with what is known when they come, then the join with the positions of their partners.
+
+    Of the contacts those of the deciding runs are replayed: a few for each user and day, where all partners would be a row for each pair.  The stream's rule is
+    that of all partners, and its renewals are the same.
+    """
     places = _partner_positions(spark, sf_dir)
-    pairs = _user_counts(spark, sf_dir)[0].select("ref", "frame", "sel").join(places, ["sel", "frame"], "left")
+    runs_ = events.deciding_runs(_user_runs(spark, sf_dir, "longest"))
+    pairs = contacts.contact_frames(runs_).join(places, ["sel", "frame"], "left")
     partners = pairs.groupBy("ref", "frame").agg(F.collect_list(F.struct("sel", *AXES)).alias("sels"))
-    rows = _grid(spark, sf_dir).join(partners, ["ref", "frame"], "left").join(_day_positions(spark, sf_dir), ["ref", "frame"], "left")
+    grid = particles(spark, sf_dir)[0].select(F.col("cmp").cast("long").alias("ref")).distinct().select("ref", F.explode(F.sequence(F.lit(0), F.lit(n_days(spark, sf_dir) - 1))).alias("frame"))
+    rows = kept(grid.join(partners, ["ref", "frame"], "left").join(_day_positions(spark, sf_dir), ["ref", "frame"], "left"), "partners")
     stream, late = replay.in_order(rows, "ref")
+    drop(rows)
     placed = runs.stream_placed_renewals(stream, "ts", late)
     renewals = spark.readStream.schema(placed.schema).parquet(replay.written(placed))
     made = replay.to_end(runs.with_partner_moves(renewals, replay.in_order(places, "sel")[0], late))

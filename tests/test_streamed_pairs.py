@@ -5,8 +5,9 @@ from conftest import SF
 from helpers import rows
 from pyspark.sql import functions as F
 
-from framewalk.operators import contacts, near
+from framewalk.operators import contacts, events, near
 from framewalk.plans import registry
+from framewalk.streaming import replay, runs
 
 
 def executions(spark):
@@ -104,3 +105,41 @@ def test_autocorr_bound_shuffles_no_pairs(spark, crowd, monkeypatch):
     made = registry.QUERIES["autocorr_bound"](spark, crowd).orderBy("lag").collect()
     assert [(r["lag"], r["n_both"], r["n_start"], r["acf"]) for r in made] == [(0, 0, 0, 1.0), *((k, 4900 * (4 - k), 4900 * min(3, 4 - k), 1.0) for k in (1, 2, 3))]
     assert 1680 <= shuffled(spark, since) < 5000
+
+
+def test_deciding_runs_renew_alike(spark):
+    """With the partners of deciding runs alone, the rule of the stream renews at the same frames with the same partners."""
+    made = spark.range(4 * 9 * 14).select((F.col("id") % 4).alias("ref"), (F.floor(F.col("id") / 4) % 9).alias("sel"), F.floor(F.col("id") / 36).cast("int").alias("frame")).where(F.xxhash64("ref", "sel", F.floor(F.col("frame") * 0.7), F.lit(3)) % 5 == 0).localCheckpoint()
+    few = contacts.contact_frames(events.deciding_runs(made)).localCheckpoint()
+    assert few.count() < made.count()
+
+    def renewals(of):
+        here, out = {}, []
+        for r in of.collect():
+            here.setdefault((r["ref"], r["frame"]), set()).add(r["sel"])
+        for ref in range(4):
+            t0, left = -1, set()
+            for frame in range(15):
+                began = t0
+                t0, left, ended = runs.renewed(t0, left, frame, here.get((ref, frame), set()))
+                if ended is not None:
+                    out.append((ref, ended, began, frame))
+        return out
+
+    assert renewals(few) == renewals(made)
+    assert len(renewals(made)) > 12
+
+
+def test_few_partners_are_replayed(spark, crowd, monkeypatch):
+    """Of 19,600 partners on all days the stream gets one a user and day."""
+
+    class Seen(Exception):
+        pass
+
+    def in_order(rows, key):
+        raise Seen(rows.agg(F.sum(F.size("sels"))).first()[0], rows.count())
+
+    monkeypatch.setattr(replay, "in_order", in_order)
+    with pytest.raises(Seen) as seen:
+        registry.QUERIES["stream_renewal_moves"](spark, crowd)
+    assert seen.value.args == (280, 280)
