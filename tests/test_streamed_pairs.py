@@ -143,3 +143,28 @@ def test_few_partners_are_replayed(spark, crowd, monkeypatch):
     with pytest.raises(Seen) as seen:
         registry.QUERIES["stream_renewal_moves"](spark, crowd)
     assert seen.value.args == (280, 280)
+
+
+@pytest.mark.parametrize("part", [1 << 20, 3])
+@pytest.mark.parametrize("box", [BOXES[1], BOXES[3]])
+def test_all_levels(spark, box, part, monkeypatch):
+    """Levels summed in blocks, in many parts and with particles that are there twice, are those of the joined contacts."""
+    monkeypatch.setattr(contacts, "FEWEST", 3)
+    monkeypatch.setattr(near, "PART", part)
+    ref, sel = two_sides(spark, 200)
+    sel, boxes = sel.withColumn("sel", F.substring("sel", 2, 9).cast("long")), boxes_of(spark, box)
+    for again in (ref.limit(0), ref.where("ref % 10 = 3")):
+        sides = ref.unionByName(again), sel
+        made, plain = contacts.all_levels(*sides, 3.0, boxes), contacts.contact_counts_all_levels(contacts.contact_pairs(*sides, 3.0, boxes, compound="cmp"))
+        assert made.dtypes == plain.dtypes
+        assert rows(made) == rows(plain)
+
+
+def test_levels_shuffle_no_contacts(spark, crowd, monkeypatch):
+    """The 176,400 contacts on four days are no rows of a shuffle, nor are their sums."""
+    monkeypatch.setattr(contacts, "FEWEST", 1)
+    made = registry.QUERIES["contact_counts_all_levels"](spark, crowd)
+    since = executions(spark)
+    found = {r["level"]: (r["k"], r["n"]) for r in made.groupBy("level").agg(F.count("*").alias("k"), F.sum("n").alias("n")).collect()}
+    assert found == {"atm-atm": (176_400, 176_400), "atm-cmp": (58_800, 176_400), "cmp-atm": (58_800, 176_400), "cmp-cmp": (19_600, 176_400)}
+    assert 1680 <= shuffled(spark, since) < 5000
